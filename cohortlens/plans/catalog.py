@@ -15,6 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens import spec as S
+from cohortlens.operators import charts as C
+from cohortlens.operators import engagement as E
+from cohortlens.operators import funnel as FN
+from cohortlens.operators import integrity as Q
+from cohortlens.operators import labels as L
+from cohortlens.operators import mix as M
 from cohortlens.operators import retention as R
 from cohortlens.operators.window import (
     AnalysisWindow, derive_window, quarantine, window_summary,
@@ -85,6 +91,58 @@ report("retention_slice_curve")(
 report("censoring_bias")(lambda c: R.censoring_bias(c.act, c.window, c.spec))
 
 
+# --- profile and integrity --------------------------------------------------
+
+report("version_profile")(lambda c: Q.version_profile(c.act))
+report("integrity_report")(lambda c: Q.integrity_report(c.act, c.prog, c.window.extract, c.spec))
+report("bad_cohort_cells")(lambda c: Q.bad_cohort_cells(c.act))
+report("orphan_prog_cells")(
+    lambda c: Q.orphan_cells(Q.progression_grain(c.prog), Q.activity_grain(c.act)))
+report("orphan_act_cells")(
+    lambda c: Q.orphan_cells(Q.activity_grain(c.act), Q.progression_grain(c.prog)))
+report("missing_cohort_days")(lambda c: Q.missing_cohort_days(c.act, c.window.extract, c.spec))
+report("duplicate_act_keys")(lambda c: Q.duplicate_keys(c.act, S.KEY6))
+report("extract_day_check")(lambda c: Q.extract_day_check(c.act, c.window.extract, c.spec))
+report("playtime_quirk_cells")(lambda c: Q.playtime_quirk_cells(c.act, c.prog))
+report("playtime_quirk")(lambda c: Q.playtime_quirk(c.act, c.prog))
+report("zero_playtime_actives")(lambda c: Q.zero_playtime_actives(c.act, c.window, c.spec))
+
+# --- label checks -----------------------------------------------------------
+
+report("label_volume_by_month")(lambda c: L.label_volume_by_month(c.act, O.PATCH))
+report("label_behaviour_profile")(lambda c: L.label_behaviour_profile(c.act, c.prog, c.window))
+report("label_predates_parent")(lambda c: L.label_predates_parent(c.act, O.PATCH, O.CAND))
+
+
+# --- mix, funnel, engagement, chart series ----------------------------------
+
+report("mix_balance")(lambda c: M.mix_balance(c.act, c.window, c.spec))
+report("mix_max_gap")(lambda c: M.mix_max_gap(M.mix_balance(c.act, c.window, c.spec)))
+
+
+def _funnel(c: Context) -> DataFrame:
+    return FN.level_funnel(c.prog, c.window, c.spec)
+
+
+report("level_funnel")(_funnel)
+report("level_funnel_reported")(
+    lambda c: FN.suppress_thin(_funnel(c), c.spec, max_level=O.REPORT_MAX_LEVEL,
+                               min_starts=O.REPORT_MIN_STARTS))
+report("level_time")(lambda c: FN.level_time(c.prog, c.window, c.spec))
+report("level_by_country")(lambda c: FN.level_by_dimension(c.prog, c.window, c.spec))
+report("level_by_cohort")(lambda c: FN.level_by_cohort(c.prog, c.spec.cand))
+report("level_reach")(lambda c: FN.level_reach(c.prog, c.window, c.spec, O.REACH_LEVELS))
+report("drift_summary")(
+    lambda c: FN.drift_summary(_funnel(c), c.spec, tail_from=O.DRIFT_TAIL_FROM))
+report("second_break_test")(
+    lambda c: FN.second_break_test(c.prog, c.window, c.spec, level=O.SECOND_BREAK_LEVEL))
+report("engagement")(lambda c: E.engagement(c.act, c.window, c.spec))
+report("engagement_by_day")(lambda c: E.engagement_by_day(c.act, c.window, c.spec))
+report("retention_chart_series")(
+    lambda c: C.retention_chart_series(R.retention_curve(c.act, c.window, c.spec), c.spec))
+report("funnel_chart_series")(lambda c: C.funnel_chart_series(_funnel(c), c.spec))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn: Report) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: fn(context(spark, sf_dir))
