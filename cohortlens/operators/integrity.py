@@ -111,6 +111,16 @@ def orphan_cells(left_grain: DataFrame, right_grain: DataFrame) -> DataFrame:
             .join(right_grain.select(*S.KEY6), on=S.KEY6, how="left_anti"))
 
 
+def orphan_prog_cells(act: DataFrame, prog: DataFrame) -> DataFrame:
+    """Q9 detail from the grain pairs: progression cells without activity."""
+    return cell_pairs(act, prog).filter(F.col("a_rows").isNull()).select(*S.KEY6)
+
+
+def orphan_act_cells(act: DataFrame, prog: DataFrame) -> DataFrame:
+    """Q10 detail from the grain pairs: activity cells without progression."""
+    return cell_pairs(act, prog).filter(F.col("p_rows").isNull()).select(*S.KEY6)
+
+
 def missing_cohort_days(act: DataFrame, extract: dt.date,
                         spec: CohortSpec = CohortSpec()) -> DataFrame:
     """Q11 detail: for each (build, install date) of the two builds, the
@@ -194,38 +204,119 @@ def zero_playtime_actives(act: DataFrame, window: AnalysisWindow,
 
 # --- the whole report -------------------------------------------------------
 
-def _long(wide: DataFrame) -> DataFrame:
-    cols = [c for c in wide.columns]
-    return wide.unpivot([], cols, "check_name", "n").select(
-        "check_name", F.col("n").cast("bigint").alias("n"))
+def _bit(k: Column) -> Column:
+    """2**k as BIGINT (exact for the small day numbers used here)."""
+    return F.pow(F.lit(2), k).cast("bigint")
+
+
+def cell_pairs(act: DataFrame, prog: DataFrame) -> DataFrame:
+    """Both tables rolled up to the activity grain and paired on it.
+
+    activity  -> KEY6: rows, summed and max actives, row-level fault counts;
+    progression -> KEY7 (rows per level key, row-level fault counts, seconds)
+                -> KEY6: rows, duplicated level keys, fault counts, seconds.
+    Every shuffle carries partial aggregates (a hot key costs one combined
+    row per task).  Both rollups come out hash-partitioned on KEY6, so the
+    full outer join adds no exchange.  A key present on one side only is an
+    orphan of that side; NULL key parts never match, as in SQL.
+    """
+    u, s, pt = _c(S.ACTIVE), _c(S.SESSIONS), _c(S.PLAYTIME)
+    a6 = act.groupBy(*S.KEY6).agg(
+        F.count(F.lit(1)).alias("a_rows"),
+        F.sum(u).alias("a_users"),
+        F.max(u).alias("a_users_max"),
+        count_if(F.least(u, s, pt) < 0).alias("a_negatives"),
+        count_if(s < u).alias("a_sessions_lt_actives"),
+        count_if(pt > u * F.lit(SECONDS_PER_DAY)).alias("a_playtime_gt_24h"),
+    )
+    st, co, fa = _c(S.STARTED), _c(S.COMPLETED), _c(S.FAILED)
+    us, lt = _c(S.USERS), _c(S.LEVEL_TIME)
+    p7 = prog.groupBy(*S.KEY7).agg(
+        F.count(F.lit(1)).alias("n7"),
+        count_if(st != co + fa).alias("ib"),
+        count_if(F.least(st, co, fa, us, lt) < 0).alias("neg"),
+        count_if(us > st).alias("ugs"),
+        F.sum(lt).alias("lt"),
+    )
+    p6 = p7.groupBy(*S.KEY6).agg(
+        F.sum("n7").alias("p_rows"),
+        count_if(F.col("n7") > 1).alias("p_dup_level_keys"),
+        F.sum("ib").alias("p_identity_breaks"),
+        F.sum("neg").alias("p_negatives"),
+        F.sum("ugs").alias("p_users_gt_starts"),
+        F.sum("lt").alias("level_seconds"),
+    )
+    return a6.join(p6, on=S.KEY6, how="full_outer")
 
 
 def integrity_report(act: DataFrame, prog: DataFrame, extract: dt.date,
                      spec: CohortSpec = CohortSpec()) -> DataFrame:
-    """Q19: every integrity counter as one (check_name, n) row.
-
-    Parts are tiny aggregates; the activity and progression grain rollups
-    are each used twice in the plan and Spark reuses their exchanges."""
-    act_grain = activity_grain(act)
-    prog_grain = progression_grain(prog)
-    parts = [
-        _long(activity_row_checks(act, extract)),
-        _long(progression_row_checks(prog)),
-        _count_duplicates(act_grain).select(F.lit("dup_act").alias("check_name"), "n"),
-        _count_duplicates(prog.groupBy(*S.KEY7).agg(F.count(F.lit(1)).alias("n")))
-        .select(F.lit("dup_prog").alias("check_name"), "n"),
-        bad_cohort_cells(act).agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit("bad_cohort_cells").alias("check_name"), "n"),
-        orphan_cells(prog_grain, act_grain).agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit("prog_cells_without_act").alias("check_name"), "n"),
-        orphan_cells(act_grain, prog_grain).agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit("act_cells_without_prog").alias("check_name"), "n"),
-        missing_cohort_days(act, extract, spec).agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit("missing_version_day_rows").alias("check_name"), "n"),
-        install_date_gaps(act).select(F.lit("install_date_gaps").alias("check_name"), "n"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # 'negatives' arrives once per table; add them up.
-    return out.groupBy("check_name").agg(F.sum("n").cast("bigint").alias("n"))
+    """Q19: every integrity counter (Q2-Q15) as one (check_name, n) row.
+
+    One scan of each table feeds one chain of shrinking aggregates:
+    grain pairs (KEY6) -> cohort (KEY5) -> build x install date -> build ->
+    one row.  The expected cohort days of a (build, date) are a bit mask
+    compared with the bit mask of the days present, so no day list is
+    generated or joined.
+    """
+    h = spec.horizon
+    pairs = cell_pairs(act, prog)
+    has_act, has_prog = F.col("a_rows").isNotNull(), F.col("p_rows").isNotNull()
+    cd, d = _c(S.COHORT_DAY), _c(S.INSTALL_DATE)
+    beyond = F.date_add(d, cd.cast("int")) > F.lit(extract)
+    day_bit = F.when(has_act & cd.between(0, h), _bit(cd))
+
+    def total(c: str) -> Column:
+        return F.sum(c).alias(c)
+
+    # Cohort level (KEY5).
+    k5 = pairs.groupBy(*S.KEY5).agg(
+        sum_if(F.col("a_users"), has_act & (cd == 0)).alias("d0"),
+        max_if(F.col("a_users_max"), has_act & (cd > 0)).alias("later"),
+        F.bit_or(day_bit).alias("days_mask"),
+        F.max(F.when(has_act, F.lit(1))).alias("has_act"),
+        F.sum("a_rows").alias("act_rows"),
+        F.sum("p_rows").alias("prog_rows"),
+        F.sum("p_identity_breaks").alias("identity_breaks"),
+        (F.coalesce(F.sum("a_negatives"), F.lit(0))
+         + F.coalesce(F.sum("p_negatives"), F.lit(0))).alias("negatives"),
+        count_if(F.col("a_rows") > 1).alias("dup_act"),
+        F.sum("p_dup_level_keys").alias("dup_prog"),
+        sum_if(F.col("a_rows"), has_act & beyond).alias("rows_beyond_extract"),
+        count_if(has_prog & ~has_act).alias("prog_cells_without_act"),
+        count_if(has_act & ~has_prog).alias("act_cells_without_prog"),
+        F.sum("a_sessions_lt_actives").alias("cells_sessions_lt_actives"),
+        F.sum("a_playtime_gt_24h").alias("cells_playtime_gt_24h"),
+        F.sum("p_users_gt_starts").alias("cells_users_gt_starts"),
+    )
+    bad = (F.col("has_act") == 1) & (F.col("d0").isNull() | (F.col("d0") == 0)
+                                     | (F.col("later") > F.col("d0")))
+    counters = ["act_rows", "prog_rows", "identity_breaks", "negatives", "dup_act", "dup_prog",
+                "rows_beyond_extract", "prog_cells_without_act", "act_cells_without_prog",
+                "cells_sessions_lt_actives", "cells_playtime_gt_24h", "cells_users_gt_starts"]
+
+    # Build x install date.
+    vd = k5.groupBy(S.VERSION, S.INSTALL_DATE).agg(
+        F.bit_or("days_mask").alias("days_mask"),
+        F.max("has_act").alias("has_act"),
+        count_if(bad).alias("bad_cohort_cells"),
+        *[total(c) for c in counters],
+    )
+    last = F.least(F.lit(h), F.datediff(F.lit(extract), d))
+    expected = F.when(last >= 0, _bit(last + 1) - 1).otherwise(F.lit(0).cast("bigint"))
+    missing = F.when(F.col(S.VERSION).isin(*spec.builds) & (F.col("has_act") == 1),
+                     F.bit_count(expected.bitwiseAND(
+                         F.bitwise_not(F.coalesce(F.col("days_mask"), F.lit(0).cast("bigint"))))))
+
+    # Build.
+    per_build = vd.groupBy(S.VERSION).agg(
+        (F.datediff(max_if(d, F.col("has_act") == 1), F.min(F.when(F.col("has_act") == 1, d))) + 1
+         - count_if(F.col("has_act") == 1)).alias("install_date_gaps"),
+        F.sum(missing).alias("missing_version_day_rows"),
+        total("bad_cohort_cells"),
+        *[total(c) for c in counters],
+    )
+    names = counters + ["bad_cohort_cells", "missing_version_day_rows", "install_date_gaps"]
+    one_row = per_build.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+                              for c in names])
+    return one_row.unpivot([], names, "check_name", "n")

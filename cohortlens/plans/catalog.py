@@ -96,10 +96,8 @@ report("censoring_bias")(lambda c: R.censoring_bias(c.act, c.window, c.spec))
 report("version_profile")(lambda c: Q.version_profile(c.act))
 report("integrity_report")(lambda c: Q.integrity_report(c.act, c.prog, c.window.extract, c.spec))
 report("bad_cohort_cells")(lambda c: Q.bad_cohort_cells(c.act))
-report("orphan_prog_cells")(
-    lambda c: Q.orphan_cells(Q.progression_grain(c.prog), Q.activity_grain(c.act)))
-report("orphan_act_cells")(
-    lambda c: Q.orphan_cells(Q.activity_grain(c.act), Q.progression_grain(c.prog)))
+report("orphan_prog_cells")(lambda c: Q.orphan_prog_cells(c.act, c.prog))
+report("orphan_act_cells")(lambda c: Q.orphan_act_cells(c.act, c.prog))
 report("missing_cohort_days")(lambda c: Q.missing_cohort_days(c.act, c.window.extract, c.spec))
 report("duplicate_act_keys")(lambda c: Q.duplicate_keys(c.act, S.KEY6))
 report("extract_day_check")(lambda c: Q.extract_day_check(c.act, c.window.extract, c.spec))

@@ -166,3 +166,11 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         _MATERIALISED[key] = paths
     act_path, prog_path = _MATERIALISED[key]
     return read_activity(spark, act_path), read_progression(spark, prog_path)
+
+
+def fixture_paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Where ``fixture_tables`` wrote the cells for this application."""
+    import os
+
+    fixture_tables(spark, sf_dir)
+    return _MATERIALISED[(spark.sparkContext.applicationId, os.path.abspath(sf_dir))]
