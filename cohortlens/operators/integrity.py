@@ -36,10 +36,14 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def version_profile(act: DataFrame) -> DataFrame:
-    """Q1: per build label: rows, first and last install, day-0 users."""
+def version_profile(act: DataFrame, row_count: str | None = None) -> DataFrame:
+    """Q1: per build label: rows, first and last install, day-0 users.
+
+    ``row_count`` names a column holding cell counts when ``act`` is a
+    rollup rather than the cells themselves."""
+    rows = F.sum(row_count) if row_count else F.count(F.lit(1))
     return act.groupBy(S.VERSION).agg(
-        F.count(F.lit(1)).alias("n_rows"),
+        rows.alias("n_rows"),
         F.min(S.INSTALL_DATE).alias("first_install"),
         F.max(S.INSTALL_DATE).alias("last_install"),
         sum_if(_c(S.ACTIVE), _c(S.COHORT_DAY) == 0).alias("d0_users"),
@@ -111,14 +115,28 @@ def orphan_cells(left_grain: DataFrame, right_grain: DataFrame) -> DataFrame:
             .join(right_grain.select(*S.KEY6), on=S.KEY6, how="left_anti"))
 
 
-def orphan_prog_cells(act: DataFrame, prog: DataFrame) -> DataFrame:
+def orphan_prog_cells(pairs: DataFrame) -> DataFrame:
     """Q9 detail from the grain pairs: progression cells without activity."""
-    return cell_pairs(act, prog).filter(F.col("a_rows").isNull()).select(*S.KEY6)
+    return pairs.filter(F.col("a_rows").isNull()).select(*S.KEY6)
 
 
-def orphan_act_cells(act: DataFrame, prog: DataFrame) -> DataFrame:
+def orphan_act_cells(pairs: DataFrame) -> DataFrame:
     """Q10 detail from the grain pairs: activity cells without progression."""
-    return cell_pairs(act, prog).filter(F.col("p_rows").isNull()).select(*S.KEY6)
+    return pairs.filter(F.col("p_rows").isNull()).select(*S.KEY6)
+
+
+def duplicate_act_keys(pairs: DataFrame) -> DataFrame:
+    """Q5 detail from the grain pairs: activity keys with more than one row."""
+    return pairs.filter(F.col("a_rows") > 1).select(*S.KEY6, F.col("a_rows").alias("n"))
+
+
+def bad_cohort_cells_from_pairs(pairs: DataFrame) -> DataFrame:
+    """Q8 detail from the grain pairs (same rows as ``bad_cohort_cells``)."""
+    has_act, cd = F.col("a_rows").isNotNull(), _c(S.COHORT_DAY)
+    return (pairs.filter(has_act).groupBy(*S.KEY5)
+            .agg(sum_if(F.col("a_users"), cd == 0).alias("d0"),
+                 max_if(F.col("a_users_max"), cd > 0).alias("later"))
+            .filter(F.col("d0").isNull() | (F.col("d0") == 0) | (F.col("later") > F.col("d0"))))
 
 
 def missing_cohort_days(act: DataFrame, extract: dt.date,
@@ -163,22 +181,31 @@ def _quirk_flag(level_seconds: Column, session_seconds: Column) -> Column:
     return level_seconds > session_seconds * F.lit(TIME_TOLERANCE)
 
 
-def playtime_quirk_cells(act: DataFrame, prog: DataFrame) -> DataFrame:
+def _level_seconds(prog: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
+    """Summed level seconds per activity grain key, from the pairs if given."""
+    if pairs is not None:
+        return pairs.filter(F.col("p_rows").isNotNull()).select(*S.KEY6, "level_seconds")
+    return progression_grain(prog).select(*S.KEY6, "level_seconds")
+
+
+def playtime_quirk_cells(act: DataFrame, prog: DataFrame | None = None,
+                         pairs: DataFrame | None = None) -> DataFrame:
     """Q17 detail: activity cells whose summed level seconds exceed their
     session seconds by more than 0.1 %."""
-    p = progression_grain(prog).select(*S.KEY6, "level_seconds")
+    p = _level_seconds(prog, pairs)
     return (act.join(p, on=S.KEY6, how="inner")
             .filter(_quirk_flag(F.col("level_seconds"), _c(S.PLAYTIME))))
 
 
-def playtime_quirk(act: DataFrame, prog: DataFrame) -> DataFrame:
+def playtime_quirk(act: DataFrame, prog: DataFrame | None = None,
+                   pairs: DataFrame | None = None) -> DataFrame:
     """Q17: count of such cells, all cells, mean time ratio, mean actives,
     user-days touched and all user-days.
 
     One left join of every activity row to the progression rollup (unique per
     key, so rows are neither lost nor repeated) and one aggregate: the totals
     and the flagged subset come from the same pass, without a cross join."""
-    p = progression_grain(prog).select(*S.KEY6, "level_seconds")
+    p = _level_seconds(prog, pairs)
     j = act.join(p, on=S.KEY6, how="left")
     flag = _quirk_flag(F.col("level_seconds"), _c(S.PLAYTIME))
     u = _c(S.ACTIVE)
@@ -193,13 +220,20 @@ def playtime_quirk(act: DataFrame, prog: DataFrame) -> DataFrame:
     )
 
 
+def zero_playtime_users(u: Column, pt: Column) -> Column:
+    """Per cell: its active users if it has actives but no playtime, else 0."""
+    return F.when((pt <= 0) & (u > 0), u).otherwise(F.lit(0))
+
+
 def zero_playtime_actives(act: DataFrame, window: AnalysisWindow,
-                          spec: CohortSpec = CohortSpec()) -> DataFrame:
+                          spec: CohortSpec = CohortSpec(),
+                          per_cell: str | None = None) -> DataFrame:
     """Q18: per build, active users in cells with no playtime (crash on
-    open); 0 when there are none."""
-    u, pt = _c(S.ACTIVE), _c(S.PLAYTIME)
+    open); 0 when there are none.  ``per_cell`` names a column already
+    holding ``zero_playtime_users`` sums when ``act`` is a rollup."""
+    value = F.col(per_cell) if per_cell else zero_playtime_users(_c(S.ACTIVE), _c(S.PLAYTIME))
     return comparable(act, window, spec).groupBy(S.VERSION).agg(
-        F.sum(F.when((pt <= 0) & (u > 0), u).otherwise(F.lit(0))).alias("actives_zero_playtime"))
+        F.sum(value).cast("bigint").alias("actives_zero_playtime"))
 
 
 # --- the whole report -------------------------------------------------------
@@ -251,7 +285,13 @@ def cell_pairs(act: DataFrame, prog: DataFrame) -> DataFrame:
 
 def integrity_report(act: DataFrame, prog: DataFrame, extract: dt.date,
                      spec: CohortSpec = CohortSpec()) -> DataFrame:
-    """Q19: every integrity counter (Q2-Q15) as one (check_name, n) row.
+    """Q19: every integrity counter (Q2-Q15) as one (check_name, n) row."""
+    return integrity_from_pairs(cell_pairs(act, prog), extract, spec)
+
+
+def integrity_from_pairs(pairs: DataFrame, extract: dt.date,
+                         spec: CohortSpec = CohortSpec()) -> DataFrame:
+    """Q19 over precomputed grain pairs (see ``cell_pairs``).
 
     One scan of each table feeds one chain of shrinking aggregates:
     grain pairs (KEY6) -> cohort (KEY5) -> build x install date -> build ->
@@ -260,7 +300,6 @@ def integrity_report(act: DataFrame, prog: DataFrame, extract: dt.date,
     generated or joined.
     """
     h = spec.horizon
-    pairs = cell_pairs(act, prog)
     has_act, has_prog = F.col("a_rows").isNotNull(), F.col("p_rows").isNotNull()
     cd, d = _c(S.COHORT_DAY), _c(S.INSTALL_DATE)
     beyond = F.date_add(d, cd.cast("int")) > F.lit(extract)

@@ -1,153 +1,71 @@
 """Named reports over the derived fixture: the ``queries()`` registry.
 
-Every entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame.  The
-fixture cells are built once per application and read back from Parquet
-(``sources.fixture.fixture_tables``); the window is derived once per fixture
-(one single-row action) and passed on as literals.  The SQL twin of each
-entry is ``cohortlens.plans.oracle.ORACLE[name]``.
+Every entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame.  Per
+application and scale the fixture cells are built once and read back from
+Parquet (``sources.fixture.fixture_tables``), the window is derived once,
+and the two shared rollups of ``plans.pipeline`` are materialised once; each
+report then reads whichever of cells or rollups it needs.  The SQL twin of
+each entry is ``cohortlens.plans.oracle.ORACLE[name]``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens import spec as S
-from cohortlens.operators import charts as C
-from cohortlens.operators import engagement as E
-from cohortlens.operators import funnel as FN
-from cohortlens.operators import integrity as Q
-from cohortlens.operators import labels as L
-from cohortlens.operators import mix as M
-from cohortlens.operators import retention as R
-from cohortlens.operators.window import (
-    AnalysisWindow, derive_window, quarantine, window_summary,
-)
 from cohortlens.plans import oracle as O
+from cohortlens.plans.pipeline import Analysis, AnalysisParams, prepare
 from cohortlens.sources.fixture import fixture_tables
 from cohortlens.spec import CohortSpec
 
 SPEC = CohortSpec(base=O.BASE, cand=O.CAND, horizon=O.HORIZON)
 
+# Report parameters for the fixture (its levels run 1..12, its countries are
+# NATION_0..NATION_24); the library defaults are the original analysis's.
+PARAMS = AnalysisParams(
+    patch_label=O.PATCH,
+    slice_value=O.SLICE_COUNTRY,
+    reach_levels=O.REACH_LEVELS,
+    tail_from=O.DRIFT_TAIL_FROM,
+    second_break_level=O.SECOND_BREAK_LEVEL,
+    report_max_level=O.REPORT_MAX_LEVEL,
+    report_min_starts=O.REPORT_MIN_STARTS,
+)
 
-@dataclass
-class Context:
-    spark: SparkSession
-    act: DataFrame
-    prog: DataFrame
-    window: AnalysisWindow
-    spec: CohortSpec = SPEC
-
-
-_WINDOWS: dict[tuple[str, str], AnalysisWindow] = {}
-
-
-def context(spark: SparkSession, sf_dir: str) -> Context:
-    act, prog = fixture_tables(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WINDOWS:
-        _WINDOWS[key] = derive_window(act, SPEC)
-    return Context(spark, act, prog, _WINDOWS[key])
-
-
-Report = Callable[[Context], DataFrame]
-_REPORTS: dict[str, Report] = {}
-
-
-def report(name: str) -> Callable[[Report], Report]:
-    def deco(fn: Report) -> Report:
-        _REPORTS[name] = fn
-        return fn
-    return deco
-
-
-# --- fixture and window -----------------------------------------------------
-
-report("fixture_activity")(lambda c: c.act)
-report("fixture_progression")(lambda c: c.prog)
-report("analysis_window")(lambda c: window_summary(c.spark, c.window, c.spec))
-report("quarantined_cells")(lambda c: quarantine(c.act, c.spec))
-
-# --- retention --------------------------------------------------------------
-
-report("retention_naive")(lambda c: R.retention_naive(c.act, c.spec))
-report("retention_maturity_gate")(lambda c: R.retention_maturity_gate(c.act, c.window, c.spec))
-report("retention_reads")(lambda c: R.retention_reads(c.act, c.window, c.spec))
-report("retention_curve")(lambda c: R.retention_curve(c.act, c.window, c.spec))
-report("retention_spread")(lambda c: R.retention_spread(c.act, c.window, c.spec))
-report("retention_headline")(
-    lambda c: R.retention_headline(R.retention_curve(c.act, c.window, c.spec), c.spec))
-report("retention_z_test")(
-    lambda c: R.retention_z_test(R.retention_curve(c.act, c.window, c.spec), c.spec))
-report("retention_gap_by_cohort")(lambda c: R.retention_gap_by_cohort(c.act, c.window, c.spec))
-report("gap_sign_summary")(
-    lambda c: R.gap_sign_summary(R.retention_gap_by_cohort(c.act, c.window, c.spec)))
-report("retention_slice")(
-    lambda c: R.retention_slice(c.act, c.window, S.COUNTRY, O.SLICE_COUNTRY, c.spec))
-report("retention_slice_curve")(
-    lambda c: R.retention_slice_curve(c.act, c.window, S.COUNTRY, O.SLICE_COUNTRY, c.spec))
-report("censoring_bias")(lambda c: R.censoring_bias(c.act, c.window, c.spec))
-
-
-# --- profile and integrity --------------------------------------------------
-
-report("version_profile")(lambda c: Q.version_profile(c.act))
-report("integrity_report")(lambda c: Q.integrity_report(c.act, c.prog, c.window.extract, c.spec))
-report("bad_cohort_cells")(lambda c: Q.bad_cohort_cells(c.act))
-report("orphan_prog_cells")(lambda c: Q.orphan_prog_cells(c.act, c.prog))
-report("orphan_act_cells")(lambda c: Q.orphan_act_cells(c.act, c.prog))
-report("missing_cohort_days")(lambda c: Q.missing_cohort_days(c.act, c.window.extract, c.spec))
-report("duplicate_act_keys")(lambda c: Q.duplicate_keys(c.act, S.KEY6))
-report("extract_day_check")(lambda c: Q.extract_day_check(c.act, c.window.extract, c.spec))
-report("playtime_quirk_cells")(lambda c: Q.playtime_quirk_cells(c.act, c.prog))
-report("playtime_quirk")(lambda c: Q.playtime_quirk(c.act, c.prog))
-report("zero_playtime_actives")(lambda c: Q.zero_playtime_actives(c.act, c.window, c.spec))
-
-# --- label checks -----------------------------------------------------------
+_ANALYSES: dict[tuple[str, str, bool], Analysis] = {}
 
-report("label_volume_by_month")(lambda c: L.label_volume_by_month(c.act, O.PATCH))
-report("label_behaviour_profile")(lambda c: L.label_behaviour_profile(c.act, c.prog, c.window))
-report("label_predates_parent")(lambda c: L.label_predates_parent(c.act, O.PATCH, O.CAND))
 
+def analysis(spark: SparkSession, sf_dir: str, rollups: bool = True) -> Analysis:
+    key = (spark.sparkContext.applicationId, sf_dir, rollups)
+    if key not in _ANALYSES:
+        act, prog = fixture_tables(spark, sf_dir)
+        _ANALYSES[key] = prepare(spark, act, prog, SPEC, PARAMS, rollups=rollups)
+    return _ANALYSES[key]
 
-# --- mix, funnel, engagement, chart series ----------------------------------
 
-report("mix_balance")(lambda c: M.mix_balance(c.act, c.window, c.spec))
-report("mix_max_gap")(lambda c: M.mix_max_gap(M.mix_balance(c.act, c.window, c.spec)))
+def context(spark: SparkSession, sf_dir: str) -> Analysis:
+    return analysis(spark, sf_dir)
 
 
-def _funnel(c: Context) -> DataFrame:
-    return FN.level_funnel(c.prog, c.window, c.spec)
+def _reports(a: Analysis) -> dict[str, Callable[[], DataFrame]]:
+    out: dict[str, Callable[[], DataFrame]] = {
+        "fixture_activity": lambda: a.act,
+        "fixture_progression": lambda: a.prog,
+    }
+    out.update(a.reports())
+    return out
 
 
-report("level_funnel")(_funnel)
-report("level_funnel_reported")(
-    lambda c: FN.suppress_thin(_funnel(c), c.spec, max_level=O.REPORT_MAX_LEVEL,
-                               min_starts=O.REPORT_MIN_STARTS))
-report("level_time")(lambda c: FN.level_time(c.prog, c.window, c.spec))
-report("level_by_country")(lambda c: FN.level_by_dimension(c.prog, c.window, c.spec))
-report("level_by_cohort")(lambda c: FN.level_by_cohort(c.prog, c.spec.cand))
-report("level_reach")(lambda c: FN.level_reach(c.prog, c.window, c.spec, O.REACH_LEVELS))
-report("drift_summary")(
-    lambda c: FN.drift_summary(_funnel(c), c.spec, tail_from=O.DRIFT_TAIL_FROM))
-report("second_break_test")(
-    lambda c: FN.second_break_test(c.prog, c.window, c.spec, level=O.SECOND_BREAK_LEVEL))
-report("engagement")(lambda c: E.engagement(c.act, c.window, c.spec))
-report("engagement_by_day")(lambda c: E.engagement_by_day(c.act, c.window, c.spec))
-report("retention_chart_series")(
-    lambda c: C.retention_chart_series(R.retention_curve(c.act, c.window, c.spec), c.spec))
-report("funnel_chart_series")(lambda c: C.funnel_chart_series(_funnel(c), c.spec))
+def report_names() -> list[str]:
+    return list(O.ORACLE)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(fn: Report) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: fn(context(spark, sf_dir))
-    return {name: bind(fn) for name, fn in _REPORTS.items()}
+def queries(rollups: bool = True) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: _reports(analysis(spark, sf_dir, rollups))[name]()
+    return {name: bind(name) for name in report_names()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: O.ORACLE[name] for name in _REPORTS if name in O.ORACLE}
-
-
+    return dict(O.ORACLE)

@@ -1,0 +1,222 @@
+"""The whole analysis as one Spark application (what a nightly run does).
+
+1. derive the window (one single-row action);
+2. build three shared intermediates in one pass each and write them to the
+   shared folder (``spark.checkpoint.dir``):
+     act_day    (build, install date, cohort day) -> cells, actives,
+                sessions, playtime, zero-playtime actives
+     prog_level (build, install date, level)      -> starts, completions,
+                failures, users, level seconds
+   Their size is builds x dates x days (or levels) whatever the number of
+   cells, so every report that only splits by build, date, cohort day or
+   level reads a few thousand rows instead of the cells;
+     cell_pairs (activity grain) -> both tables' per-key counts and fault
+                counts, full-outer paired: integrity counters, orphan, dup
+                and bad-cohort lists and the time quirk read it instead of
+                re-aggregating the cells;
+3. the reports that need other dimensions (mix, slices, level by country)
+   read the cells;
+4. all reports are written, independent ones as concurrent Spark jobs.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortlens import spec as S
+from cohortlens.operators import charts as C
+from cohortlens.operators import engagement as E
+from cohortlens.operators import funnel as FN
+from cohortlens.operators import integrity as Q
+from cohortlens.operators import labels as L
+from cohortlens.operators import mix as M
+from cohortlens.operators import retention as R
+from cohortlens.operators.window import AnalysisWindow, derive_window, quarantine, window_summary
+from cohortlens.session import shared_dir
+from cohortlens.spec import CohortSpec
+
+ZERO_PT = "zero_playtime_users"
+CELLS = "n_cells"
+
+
+@dataclass(frozen=True)
+class AnalysisParams:
+    """Report parameters that are not part of the build comparison."""
+    patch_label: str = "11.0.1"
+    slice_column: str = S.COUNTRY
+    slice_value: str = "US"
+    break_level: int = 7
+    time_levels: tuple[int, ...] = (6, 7, 8)
+    reach_levels: tuple[int, ...] = (1, 7, 8, 15, 20)
+    early_levels: tuple[int, int] = (1, 6)
+    late_levels: tuple[int, int] = (8, 24)
+    tail_from: int = 25
+    second_break_level: int = 23
+    report_max_level: int = 24
+    report_min_starts: int | None = None
+    chart_max_level: int = 24
+
+
+def activity_rollup(act: DataFrame) -> DataFrame:
+    """Cells summed by (build, install date, cohort day)."""
+    return act.groupBy(S.VERSION, S.INSTALL_DATE, S.COHORT_DAY).agg(
+        F.count(F.lit(1)).alias(CELLS),
+        F.sum(S.ACTIVE).alias(S.ACTIVE),
+        F.sum(S.SESSIONS).alias(S.SESSIONS),
+        F.sum(S.PLAYTIME).alias(S.PLAYTIME),
+        F.sum(Q.zero_playtime_users(F.col(S.ACTIVE), F.col(S.PLAYTIME))).alias(ZERO_PT),
+    )
+
+
+def progression_rollup(prog: DataFrame) -> DataFrame:
+    """Progression cells summed by (build, install date, level)."""
+    return prog.groupBy(S.VERSION, S.INSTALL_DATE, S.LEVEL).agg(
+        *[F.sum(c).alias(c) for c in (S.STARTED, S.COMPLETED, S.FAILED, S.USERS, S.LEVEL_TIME)])
+
+
+def materialise(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back (cuts lineage)."""
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@dataclass
+class Analysis:
+    spark: SparkSession
+    act: DataFrame
+    prog: DataFrame
+    window: AnalysisWindow
+    act_day: DataFrame
+    prog_level: DataFrame
+    pairs: DataFrame
+    spec: CohortSpec = field(default_factory=CohortSpec)
+    params: AnalysisParams = field(default_factory=AnalysisParams)
+    rolled: bool = True   # act_day / prog_level are rollups (else the cells)
+
+    def reports(self) -> dict[str, Callable[[], DataFrame]]:
+        """Every report as a thunk; rollup-backed where the split allows."""
+        a, p, w, sp, pr = self.act, self.prog, self.window, self.spec, self.params
+        ad, pl, pairs = self.act_day, self.prog_level, self.pairs
+        cells_col = CELLS if self.rolled else None
+        zero_col = ZERO_PT if self.rolled else None
+
+        def funnel() -> DataFrame:
+            return FN.level_funnel(pl, w, sp)
+
+        def curve() -> DataFrame:
+            return R.retention_curve(ad, w, sp)
+
+        return {
+            # window and labels
+            "analysis_window": lambda: window_summary(self.spark, w, sp),
+            "quarantined_cells": lambda: quarantine(a, sp),
+            "version_profile": lambda: Q.version_profile(ad, row_count=cells_col),
+            "label_volume_by_month": lambda: L.label_volume_by_month(ad, pr.patch_label),
+            "label_behaviour_profile": lambda: L.label_behaviour_profile(ad, pl, w, pr.break_level),
+            "label_predates_parent": lambda: L.label_predates_parent(ad, pr.patch_label, sp.cand),
+            # integrity
+            "integrity_report": lambda: Q.integrity_from_pairs(pairs, w.extract, sp),
+            "bad_cohort_cells": lambda: Q.bad_cohort_cells_from_pairs(pairs),
+            "orphan_prog_cells": lambda: Q.orphan_prog_cells(pairs),
+            "orphan_act_cells": lambda: Q.orphan_act_cells(pairs),
+            "missing_cohort_days": lambda: Q.missing_cohort_days(ad, w.extract, sp),
+            "duplicate_act_keys": lambda: Q.duplicate_act_keys(pairs),
+            "extract_day_check": lambda: Q.extract_day_check(ad, w.extract, sp),
+            "playtime_quirk": lambda: Q.playtime_quirk(a, pairs=pairs),
+            "playtime_quirk_cells": lambda: Q.playtime_quirk_cells(a, pairs=pairs),
+            "zero_playtime_actives": lambda: Q.zero_playtime_actives(ad, w, sp, per_cell=zero_col),
+            # retention
+            "retention_naive": lambda: R.retention_naive(ad, sp),
+            "retention_maturity_gate": lambda: R.retention_maturity_gate(ad, w, sp),
+            "retention_reads": lambda: R.retention_reads(ad, w, sp),
+            "retention_curve": curve,
+            "retention_spread": lambda: R.retention_spread(ad, w, sp),
+            "retention_headline": lambda: R.retention_headline(curve(), sp),
+            "retention_z_test": lambda: R.retention_z_test(curve(), sp),
+            "retention_gap_by_cohort": lambda: R.retention_gap_by_cohort(ad, w, sp),
+            "gap_sign_summary": lambda: R.gap_sign_summary(R.retention_gap_by_cohort(ad, w, sp)),
+            "retention_slice": lambda: R.retention_slice(a, w, pr.slice_column, pr.slice_value, sp),
+            "retention_slice_curve": lambda: R.retention_slice_curve(
+                a, w, pr.slice_column, pr.slice_value, sp),
+            "censoring_bias": lambda: R.censoring_bias(ad, w, sp),
+            # mix
+            "mix_balance": lambda: M.mix_balance(a, w, sp),
+            "mix_max_gap": lambda: M.mix_max_gap(M.mix_balance(a, w, sp)),
+            # funnel
+            "level_funnel": funnel,
+            "level_funnel_reported": lambda: FN.suppress_thin(
+                funnel(), sp, max_level=pr.report_max_level, min_starts=pr.report_min_starts),
+            "level_time": lambda: FN.level_time(pl, w, sp, pr.time_levels),
+            "level_by_country": lambda: FN.level_by_dimension(p, w, sp, pr.break_level, S.COUNTRY),
+            "level_by_cohort": lambda: FN.level_by_cohort(pl, sp.cand, pr.break_level),
+            "level_reach": lambda: FN.level_reach(pl, w, sp, pr.reach_levels),
+            "drift_summary": lambda: FN.drift_summary(
+                funnel(), sp, pr.early_levels, pr.late_levels, pr.break_level, pr.tail_from),
+            "second_break_test": lambda: FN.second_break_test(
+                pl, w, sp, pr.second_break_level, pr.late_levels),
+            # engagement
+            "engagement": lambda: E.engagement(ad, w, sp),
+            "engagement_by_day": lambda: E.engagement_by_day(ad, w, sp),
+            # chart series
+            "retention_chart_series": lambda: C.retention_chart_series(curve(), sp),
+            "funnel_chart_series": lambda: C.funnel_chart_series(
+                funnel(), sp, pr.chart_max_level, pr.break_level),
+        }
+
+
+# Reports whose row count grows with the cells: kept out of the long table.
+DETAIL_REPORTS = frozenset({"quarantined_cells", "bad_cohort_cells", "orphan_prog_cells",
+                            "orphan_act_cells", "missing_cohort_days", "duplicate_act_keys",
+                            "playtime_quirk_cells", "level_by_cohort"})
+
+
+def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
+            spec: CohortSpec = CohortSpec(), params: AnalysisParams = AnalysisParams(),
+            work_dir: str | None = None, threads: int = 3, rollups: bool = True) -> Analysis:
+    """Derive the window and materialise the shared intermediates (or, with
+    ``rollups=False``, run every report on the cells)."""
+    window = derive_window(act, spec)
+    if not rollups:
+        return Analysis(spark, act, prog, window, act, prog, Q.cell_pairs(act, prog),
+                        spec, params, rolled=False)
+    work_dir = work_dir or f"{shared_dir(spark)}/cohortlens-run/{uuid.uuid4().hex}"
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        fa = pool.submit(materialise, spark, activity_rollup(act), f"{work_dir}/act_day")
+        fp = pool.submit(materialise, spark, progression_rollup(prog), f"{work_dir}/prog_level")
+        fc = pool.submit(materialise, spark, Q.cell_pairs(act, prog), f"{work_dir}/cell_pairs")
+        act_day, prog_level, pairs = fa.result(), fp.result(), fc.result()
+    return Analysis(spark, act, prog, window, act_day, prog_level, pairs, spec, params)
+
+
+def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir: str,
+                 spec: CohortSpec = CohortSpec(), params: AnalysisParams = AnalysisParams(),
+                 threads: int = 8, only: list[str] | None = None) -> dict[str, str]:
+    """Run every report and write it under ``out_dir``; the small reports are
+    also written as one long metrics table (``out_dir/metrics``).  Returns
+    report name -> path."""
+    analysis = prepare(spark, act, prog, spec, params, work_dir=f"{out_dir}/_rollups")
+    thunks = analysis.reports()
+    names = only or list(thunks)
+    paths = {n: f"{out_dir}/{n}" for n in names}
+
+    def write(name: str) -> None:
+        df = thunks[name]()
+        if name not in DETAIL_REPORTS:
+            df = df.coalesce(1)   # a handful of rows: one file
+        df.write.mode("overwrite").parquet(paths[name])
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        list(pool.map(write, names))
+    small = {n: spark.read.parquet(paths[n]) for n in names if n not in DETAIL_REPORTS}
+    from cohortlens.sources.metrics import write_metrics
+
+    if small:
+        write_metrics(small, f"{out_dir}/metrics")
+        paths["metrics"] = f"{out_dir}/metrics"
+    return paths
