@@ -95,6 +95,20 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+class IntegrityError(RuntimeError):
+    """A check that must be zero is not."""
+
+
+def assert_clean(report: DataFrame, checks: tuple[str, ...] = ("identity_breaks",)) -> None:
+    """Stop the run when any of ``checks`` is non-zero in an integrity
+    report (the report is a handful of rows; this is its only action)."""
+    found = {r["check_name"]: r["n"] for r in
+             report.filter(F.col("check_name").isin(*checks)).collect()}
+    bad = {c: n for c, n in found.items() if n}
+    if bad:
+        raise IntegrityError(f"integrity checks failed: {bad}")
+
+
 def _count_duplicates(grain: DataFrame) -> DataFrame:
     return grain.agg(count_if(F.col("n") > 1).alias("n"))
 

@@ -127,6 +127,7 @@ class Analysis:
             "orphan_act_cells": lambda: Q.orphan_act_cells(pairs),
             "missing_cohort_days": lambda: Q.missing_cohort_days(ad, w.extract, sp),
             "duplicate_act_keys": lambda: Q.duplicate_act_keys(pairs),
+            "duplicate_prog_keys": lambda: Q.duplicate_keys(p, S.KEY7),
             "extract_day_check": lambda: Q.extract_day_check(ad, w.extract, sp),
             "playtime_quirk": lambda: Q.playtime_quirk(a, pairs=pairs),
             "playtime_quirk_cells": lambda: Q.playtime_quirk_cells(a, pairs=pairs),
@@ -170,9 +171,24 @@ class Analysis:
         }
 
 
+REPORT_NAMES = (
+    "analysis_window", "quarantined_cells", "version_profile", "label_volume_by_month",
+    "label_behaviour_profile", "label_predates_parent", "integrity_report", "bad_cohort_cells",
+    "orphan_prog_cells", "orphan_act_cells", "missing_cohort_days", "duplicate_act_keys",
+    "duplicate_prog_keys", "extract_day_check", "playtime_quirk", "playtime_quirk_cells",
+    "zero_playtime_actives", "retention_naive", "retention_maturity_gate", "retention_reads",
+    "retention_curve", "retention_spread", "retention_headline", "retention_z_test",
+    "retention_gap_by_cohort", "gap_sign_summary", "retention_slice", "retention_slice_curve",
+    "censoring_bias", "mix_balance", "mix_max_gap", "level_funnel", "level_funnel_reported",
+    "level_time", "level_by_country", "level_by_cohort", "level_reach", "drift_summary",
+    "second_break_test", "engagement", "engagement_by_day", "retention_chart_series",
+    "funnel_chart_series",
+)
+
 # Reports whose row count grows with the cells: kept out of the long table.
 DETAIL_REPORTS = frozenset({"quarantined_cells", "bad_cohort_cells", "orphan_prog_cells",
                             "orphan_act_cells", "missing_cohort_days", "duplicate_act_keys",
+                            "duplicate_prog_keys",
                             "playtime_quirk_cells", "level_by_cohort"})
 
 
@@ -196,12 +212,16 @@ def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
 
 def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir: str,
                  spec: CohortSpec = CohortSpec(), params: AnalysisParams = AnalysisParams(),
-                 threads: int = 8, only: list[str] | None = None) -> dict[str, str]:
+                 threads: int = 8, only: list[str] | None = None,
+                 fail_on: tuple[str, ...] = ("identity_breaks",)) -> dict[str, str]:
     """Run every report and write it under ``out_dir``; the small reports are
     also written as one long metrics table (``out_dir/metrics``).  Returns
-    report name -> path."""
+    report name -> path.  Raises ``IntegrityError`` before writing anything
+    else when a ``fail_on`` integrity counter is non-zero."""
     analysis = prepare(spark, act, prog, spec, params, work_dir=f"{out_dir}/_rollups")
     thunks = analysis.reports()
+    if fail_on:
+        Q.assert_clean(thunks["integrity_report"](), fail_on)
     names = only or list(thunks)
     paths = {n: f"{out_dir}/{n}" for n in names}
 
