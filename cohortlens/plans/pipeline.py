@@ -39,6 +39,7 @@ from cohortlens.operators import mix as M
 from cohortlens.operators import retention as R
 from cohortlens.operators.window import AnalysisWindow, derive_window, quarantine, window_summary
 from cohortlens.session import shared_dir
+from cohortlens.sources.metrics import long_metrics
 from cohortlens.spec import CohortSpec
 
 ZERO_PT = "zero_playtime_users"
@@ -215,7 +216,8 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
                  threads: int = 8, only: list[str] | None = None,
                  fail_on: tuple[str, ...] = ("identity_breaks",)) -> dict[str, str]:
     """Run every report and write it under ``out_dir``; the small reports are
-    also written as one long metrics table (``out_dir/metrics``).  Returns
+    also written as one long metrics table (``out_dir/metrics``, partitioned
+    by report).  Returns
     report name -> path.  Raises ``IntegrityError`` before writing anything
     else when a ``fail_on`` integrity counter is non-zero."""
     analysis = prepare(spark, act, prog, spec, params, work_dir=f"{out_dir}/_rollups")
@@ -225,18 +227,23 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
     names = only or list(thunks)
     paths = {n: f"{out_dir}/{n}" for n in names}
 
+    metrics_dir = f"{out_dir}/metrics"
+
     def write(name: str) -> None:
         df = thunks[name]()
-        if name not in DETAIL_REPORTS:
-            df = df.coalesce(1)   # a handful of rows: one file
-        df.write.mode("overwrite").parquet(paths[name])
+        if name in DETAIL_REPORTS:
+            df.write.mode("overwrite").parquet(paths[name])
+            return
+        # A handful of rows: one file, and its long form next to it, in the
+        # same thread (one directory per report, so writers never share one).
+        df.coalesce(1).write.mode("overwrite").parquet(paths[name])
+        long = long_metrics(name, spark.read.parquet(paths[name]))
+        if long is not None:
+            (long.drop("report").coalesce(1).write.mode("overwrite")
+             .parquet(f"{metrics_dir}/report={name}"))
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
         list(pool.map(write, names))
-    small = {n: spark.read.parquet(paths[n]) for n in names if n not in DETAIL_REPORTS}
-    from cohortlens.sources.metrics import write_metrics
-
-    if small:
-        write_metrics(small, f"{out_dir}/metrics")
-        paths["metrics"] = f"{out_dir}/metrics"
+    if any(n not in DETAIL_REPORTS for n in names):
+        paths["metrics"] = metrics_dir
     return paths
