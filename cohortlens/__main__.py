@@ -67,7 +67,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.report not in reports:
         print(f"unknown report {args.report!r}; try 'list'", file=sys.stderr)
         return 2
-    reports[args.report]().show(args.rows, truncate=False)
+    from cohortlens.plans.pipeline import presentation_order
+
+    df = reports[args.report]()
+    order = presentation_order(args.report, df)
+    (df.orderBy(*order) if order else df).show(args.rows, truncate=False)
     return 0
 
 

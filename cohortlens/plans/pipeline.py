@@ -186,6 +186,46 @@ REPORT_NAMES = (
     "funnel_chart_series",
 )
 
+# Presentation order of each report (the original's ORDER BY; NULLs last).
+# Reports absent here keep the order they are produced in.
+ORDER: dict[str, tuple[str, ...]] = {
+    "version_profile": (S.VERSION,),
+    "label_volume_by_month": ("ym",),
+    "label_behaviour_profile": (S.VERSION,),
+    "zero_playtime_actives": (S.VERSION,),
+    "retention_naive": (S.VERSION,),
+    "retention_maturity_gate": (S.VERSION,),
+    "retention_reads": ("read_type", "version"),
+    "retention_curve": ("version", "cohort_day"),
+    "retention_spread": (S.VERSION,),
+    "retention_headline": ("cohort_day",),
+    "retention_z_test": ("cohort_day",),
+    "retention_gap_by_cohort": ("install_date",),
+    "retention_slice": ("version",),
+    "retention_slice_curve": ("version", "cohort_day"),
+    "censoring_bias": ("cohort_day",),
+    "level_funnel": (S.LEVEL,),
+    "level_funnel_reported": (S.LEVEL,),
+    "level_time": (S.LEVEL, S.VERSION),
+    "level_by_country": (S.COUNTRY,),
+    "level_by_cohort": ("install_date",),
+    "level_reach": (S.LEVEL,),
+    "engagement": (S.VERSION,),
+    "engagement_by_day": ("cohort_day",),
+    "retention_chart_series": ("version", "cohort_day"),
+    "funnel_chart_series": (S.LEVEL,),
+}
+
+
+def presentation_order(name: str, df: DataFrame) -> list:
+    """Sort expressions for ``name``; mix is by dimension, then base share
+    descending."""
+    if name == "mix_balance":
+        base = [c for c in df.columns if c.startswith("pct_")][0]
+        return [F.col("dim").asc_nulls_last(), F.col(base).desc_nulls_last()]
+    return [F.col(c).asc_nulls_last() for c in ORDER.get(name, ())]
+
+
 # Reports whose row count grows with the cells: kept out of the long table.
 DETAIL_REPORTS = frozenset({"quarantined_cells", "bad_cohort_cells", "orphan_prog_cells",
                             "orphan_act_cells", "missing_cohort_days", "duplicate_act_keys",
@@ -234,9 +274,14 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
         if name in DETAIL_REPORTS:
             df.write.mode("overwrite").parquet(paths[name])
             return
-        # A handful of rows: one file, and its long form next to it, in the
-        # same thread (one directory per report, so writers never share one).
-        df.coalesce(1).write.mode("overwrite").parquet(paths[name])
+        # A handful of rows: one ordered file, and its long form next to it,
+        # in the same thread (one directory per report, so writers never
+        # share one).  Sorting one partition needs no extra job.
+        order = presentation_order(name, df)
+        small = df.coalesce(1)
+        if order:
+            small = small.sortWithinPartitions(*order)
+        small.write.mode("overwrite").parquet(paths[name])
         long = long_metrics(name, spark.read.parquet(paths[name]))
         if long is not None:
             (long.drop("report").coalesce(1).write.mode("overwrite")

@@ -42,3 +42,18 @@ def test_run_analysis_writes_everything(spark, small_cells):
     curve = spark.read.parquet(paths["retention_curve"])
     m = metrics.filter("report = 'retention_curve' AND metric = 'retention_pct'").count()
     assert m == curve.count()
+
+
+def test_written_reports_are_ordered(spark, small_cells):
+    from cohortlens.plans.pipeline import run_analysis
+
+    act, prog = small_cells
+    out = tempfile.mkdtemp(prefix="ordered-", dir="/tmp")
+    paths = run_analysis(spark, act, prog, out, catalog.SPEC, catalog.PARAMS, threads=4,
+                         only=["retention_curve", "level_funnel", "mix_balance"])
+    curve = [(r["version"], r["cohort_day"]) for r in spark.read.parquet(paths["retention_curve"]).collect()]
+    assert curve == sorted(curve)
+    levels = [r["i_level"] for r in spark.read.parquet(paths["level_funnel"]).collect()]
+    assert levels == sorted(levels)
+    mix = [(r["dim"], -r["pct_10_2"]) for r in spark.read.parquet(paths["mix_balance"]).collect()]
+    assert mix == sorted(mix)
