@@ -8,11 +8,14 @@ order key, so the result is deterministic and equal to the SQL text in
 
 Plan shape (what Catalyst is given):
     orders -- project 4 cols --+
-                               +-- join on custkey (shuffle; AQE splits a hot
-    customer -- project 3 cols-+    customer) -- join nation (25 rows: the
-                                    planner's size check broadcasts it)
+                               +-- join on custkey (shuffle join at scale; AQE
+    customer -- project 3 cols-+    splits a hot customer; the planner
+                                    broadcasts customer only when measured small)
     -> explode(sequence(0, least(7, extract - d)))   bounded, <= 8 per order
-    -> attrition filter -> partial aggregate by the cell grain (map-side)
+    -> attrition filter -> partial aggregate by the cell grain (map-side),
+       keyed by integer codes and the nation key
+    -> nation names joined to the *aggregated* rows (25 rows, size-checked
+       broadcast) and codes turned into labels.
 progression additionally explodes <= 12 levels per active day *inside* the
 same codegen stage that feeds the partial aggregate, so the exploded rows are
 never materialised or shuffled.  The extract date is one global MAX (a
@@ -47,31 +50,40 @@ def fixture_extract_date(orders: DataFrame) -> _dt.date:
     return orders.agg(F.max(F.to_date("o_orderdate")).alias("x")).first()["x"]
 
 
+# Build labels and package groups are carried as small integer codes through
+# the explode and the aggregation (hashing ints is cheaper than strings) and
+# turned into their labels on the aggregated rows.
+_V_BASE, _V_CAND, _V_PATCH = 0, 1, 2
+
+
+def _version_label(code):
+    return (F.when(code == _V_BASE, F.lit(FIXTURE_BASE))
+            .when(code == _V_CAND, F.lit(FIXTURE_CAND)).otherwise(F.lit(FIXTURE_PATCH)))
+
+
 def active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, active cohort day): k, d, v, country, network, pkg, cd."""
+    """One row per (order, active cohort day): k, d, v (code), nationkey,
+    network, pkg (code), cd."""
     orders = _read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = _read(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_mktsegment")
-    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     extract = fixture_extract_date(orders)
 
     d = F.to_date("o_orderdate")
     cust = F.col("o_custkey")
-    version = (F.when(cust % 10 == 9, F.lit(FIXTURE_PATCH))
-               .when((cust % 3 == 0) & (d >= F.lit(CAND_FROM)), F.lit(FIXTURE_CAND))
-               .otherwise(F.lit(FIXTURE_BASE)))
+    version = (F.when(cust % 10 == 9, F.lit(_V_PATCH))
+               .when((cust % 3 == 0) & (d >= F.lit(CAND_FROM)), F.lit(_V_CAND))
+               .otherwise(F.lit(_V_BASE)))
     base = (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .join(nation, customer.c_nationkey == nation.n_nationkey)
         .select(
             F.col("o_orderkey").alias("k"),
             d.alias("d"),
             version.alias("v"),
-            F.col("n_name").alias("country"),
+            F.col("c_nationkey").alias("nationkey"),
             F.col("c_mktsegment").alias("network"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("other"))
-             .otherwise(F.lit("store")).alias("pkg"),
+            (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("pkg"),
         )
         .filter(F.col("d") <= F.lit(extract))
     )
@@ -79,31 +91,45 @@ def active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     last_day = F.least(F.lit(MAX_COHORT_DAY), F.datediff(F.lit(extract), F.col("d")))
     days = base.withColumn("cd", F.explode(F.sequence(F.lit(0), last_day)))
     k, cd = F.col("k"), F.col("cd")
-    keep_pct = F.when(F.col("v") == FIXTURE_BASE, 610 - 60 * cd).otherwise(560 - 60 * cd)
+    keep_pct = F.when(F.col("v") == _V_BASE, 610 - 60 * cd).otherwise(560 - 60 * cd)
     return days.filter((cd == 0) | ((k * 7919 + cd * 104729) % 1000 < keep_pct))
 
 
-def activity_cells(days: DataFrame) -> DataFrame:
+def _with_names(spark: SparkSession, sf_dir: str, agg: DataFrame,
+                measures: dict[str, str]) -> DataFrame:
+    """Attach nation names to rows aggregated by nation key.
+
+    Joining after the aggregation equals joining before it: a (key, name)
+    pair present m times in ``nation`` multiplies every count and sum by m,
+    and distinct names stay distinct groups."""
+    nation = _read(spark, sf_dir, "nation")
+    names = nation.groupBy("n_nationkey", "n_name").agg(F.count(F.lit(1)).alias("_m"))
+    j = agg.join(names, agg.nationkey == names.n_nationkey)
+    scaled = [(F.col(c) * F.col("_m")).cast(t).alias(c) for c, t in measures.items()]
+    return j.select(
+        F.col("d").alias(S.INSTALL_DATE), _version_label(F.col("v")).alias(S.VERSION),
+        F.col("n_name").alias(S.COUNTRY), F.col("network").alias(S.NETWORK),
+        F.when(F.col("pkg") == 1, F.lit("other")).otherwise(F.lit("store")).alias(S.PACKAGE),
+        F.col("cd").cast("bigint").alias(S.COHORT_DAY),
+        *([F.col("lv").cast("bigint").alias(S.LEVEL)] if "lv" in agg.columns else []),
+        *scaled,
+    )
+
+
+def activity_cells(days: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     k, cd = F.col("k"), F.col("cd")
-    return (
-        days.groupBy("d", "v", "country", "network", "pkg", "cd")
-        .agg(
-            F.count(F.lit(1)).alias(S.ACTIVE),
-            F.sum(1 + (k + cd) % 4).cast("bigint").alias(S.SESSIONS),
-            F.sum(60 + (k * 31 + cd * 17) % 600).cast("double").alias(S.PLAYTIME),
-        )
-        .select(
-            F.col("d").alias(S.INSTALL_DATE), F.col("v").alias(S.VERSION),
-            F.col("country").alias(S.COUNTRY), F.col("network").alias(S.NETWORK),
-            F.col("pkg").alias(S.PACKAGE), F.col("cd").cast("bigint").alias(S.COHORT_DAY),
-            S.ACTIVE, S.SESSIONS, S.PLAYTIME,
-        )
+    agg = days.groupBy("d", "v", "nationkey", "network", "pkg", "cd").agg(
+        F.count(F.lit(1)).alias(S.ACTIVE),
+        F.sum(1 + (k + cd) % 4).alias(S.SESSIONS),
+        F.sum(60 + (k * 31 + cd * 17) % 600).alias(S.PLAYTIME),
     )
+    return _with_names(spark, sf_dir, agg, {S.ACTIVE: "bigint", S.SESSIONS: "bigint",
+                                            S.PLAYTIME: "double"})
 
 
-def progression_cells(days: DataFrame) -> DataFrame:
+def progression_cells(days: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     k, cd, lv, v = F.col("k"), F.col("cd"), F.col("lv"), F.col("v")
-    broken = (v != FIXTURE_BASE) & (lv == BREAK_LEVEL)
+    broken = (v != _V_BASE) & (lv == BREAK_LEVEL)
     last_level = 1 + (k * 31 + cd * 17) % MAX_LEVEL
     levels = days.withColumn("lv", F.explode(F.sequence(F.lit(1), last_level.cast("int"))))
     done = F.when((k * 53 + lv * 7 + cd * 3) % 100
@@ -114,29 +140,22 @@ def progression_cells(days: DataFrame) -> DataFrame:
                 .withColumn("failed", failed.cast("bigint"))
                 .filter(F.col("done") + F.col("failed") > 0))
     tries = F.col("done") + F.col("failed")
-    return (
-        outcomes.groupBy("d", "v", "country", "network", "pkg", "cd", "lv")
-        .agg(
-            F.sum(tries).alias(S.STARTED),
-            F.sum("done").alias(S.COMPLETED),
-            F.sum("failed").alias(S.FAILED),
-            F.count(F.lit(1)).alias(S.USERS),
-            F.sum(tries * 30).cast("double").alias(S.LEVEL_TIME),
-        )
-        .select(
-            F.col("d").alias(S.INSTALL_DATE), F.col("v").alias(S.VERSION),
-            F.col("country").alias(S.COUNTRY), F.col("network").alias(S.NETWORK),
-            F.col("pkg").alias(S.PACKAGE), F.col("cd").cast("bigint").alias(S.COHORT_DAY),
-            F.col("lv").cast("bigint").alias(S.LEVEL),
-            S.STARTED, S.COMPLETED, S.FAILED, S.USERS, S.LEVEL_TIME,
-        )
+    agg = outcomes.groupBy("d", "v", "nationkey", "network", "pkg", "cd", "lv").agg(
+        F.sum(tries).alias(S.STARTED),
+        F.sum("done").alias(S.COMPLETED),
+        F.sum("failed").alias(S.FAILED),
+        F.count(F.lit(1)).alias(S.USERS),
+        F.sum(tries * 30).alias(S.LEVEL_TIME),
     )
+    return _with_names(spark, sf_dir, agg, {S.STARTED: "bigint", S.COMPLETED: "bigint",
+                                            S.FAILED: "bigint", S.USERS: "bigint",
+                                            S.LEVEL_TIME: "double"})
 
 
 def fixture_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lazy (activity, progression) cells over the tables in ``sf_dir``."""
     days = active_days(spark, sf_dir)
-    return activity_cells(days), progression_cells(days)
+    return activity_cells(days, spark, sf_dir), progression_cells(days, spark, sf_dir)
 
 
 _MATERIALISED: dict[tuple[str, str], tuple[str, str]] = {}
