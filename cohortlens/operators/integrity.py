@@ -144,6 +144,20 @@ def duplicate_act_keys(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("a_rows") > 1).select(*S.KEY6, F.col("a_rows").alias("n"))
 
 
+def duplicate_prog_keys(prog: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Q6 detail: progression keys (KEY7) with more than one row.
+
+    The grain pairs already count duplicated level keys per activity key, so
+    only progression rows under those keys (normally none) are regrouped: a
+    semi join on the flagged keys filters the scan before any shuffle,
+    instead of shuffling every progression row by KEY7.  The join is
+    null-safe because GROUP BY treats NULL key parts as equal."""
+    flagged = pairs.filter(F.col("p_dup_level_keys") > 0).select(*S.KEY6)
+    cond = [prog[c].eqNullSafe(flagged[c]) for c in S.KEY6]
+    suspects = prog.join(flagged, on=cond, how="left_semi")
+    return duplicate_keys(suspects, S.KEY7)
+
+
 def bad_cohort_cells_from_pairs(pairs: DataFrame) -> DataFrame:
     """Q8 detail from the grain pairs (same rows as ``bad_cohort_cells``)."""
     has_act, cd = F.col("a_rows").isNotNull(), _c(S.COHORT_DAY)

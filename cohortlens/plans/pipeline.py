@@ -81,10 +81,19 @@ def progression_rollup(prog: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in (S.STARTED, S.COMPLETED, S.FAILED, S.USERS, S.LEVEL_TIME)])
 
 
-def materialise(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (cuts lineage)."""
+def materialise(spark: SparkSession, df: DataFrame, path: str, cache: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back (cuts lineage).
+
+    ``cache`` keeps the re-read table in executor memory for the reports
+    that follow; only used for the rollups, whose size is bounded by
+    builds x dates x days (or levels).  A lost cached block is re-read from
+    the written files, not recomputed from the cells."""
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    if cache:
+        back = back.cache()
+        back.count()
+    return back
 
 
 @dataclass
@@ -128,7 +137,7 @@ class Analysis:
             "orphan_act_cells": lambda: Q.orphan_act_cells(pairs),
             "missing_cohort_days": lambda: Q.missing_cohort_days(ad, w.extract, sp),
             "duplicate_act_keys": lambda: Q.duplicate_act_keys(pairs),
-            "duplicate_prog_keys": lambda: Q.duplicate_keys(p, S.KEY7),
+            "duplicate_prog_keys": lambda: Q.duplicate_prog_keys(p, pairs),
             "extract_day_check": lambda: Q.extract_day_check(ad, w.extract, sp),
             "playtime_quirk": lambda: Q.playtime_quirk(a, pairs=pairs),
             "playtime_quirk_cells": lambda: Q.playtime_quirk_cells(a, pairs=pairs),
@@ -238,16 +247,17 @@ def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
             work_dir: str | None = None, threads: int = 3, rollups: bool = True) -> Analysis:
     """Derive the window and materialise the shared intermediates (or, with
     ``rollups=False``, run every report on the cells)."""
-    window = derive_window(act, spec)
     if not rollups:
-        return Analysis(spark, act, prog, window, act, prog, Q.cell_pairs(act, prog),
-                        spec, params, rolled=False)
+        return Analysis(spark, act, prog, derive_window(act, spec), act, prog,
+                        Q.cell_pairs(act, prog), spec, params, rolled=False)
     work_dir = work_dir or f"{shared_dir(spark)}/cohortlens-run/{uuid.uuid4().hex}"
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        fa = pool.submit(materialise, spark, activity_rollup(act), f"{work_dir}/act_day")
-        fp = pool.submit(materialise, spark, progression_rollup(prog), f"{work_dir}/prog_level")
+    with ThreadPoolExecutor(max_workers=threads + 1) as pool:
+        fw = pool.submit(derive_window, act, spec)
+        fa = pool.submit(materialise, spark, activity_rollup(act), f"{work_dir}/act_day", True)
+        fp = pool.submit(materialise, spark, progression_rollup(prog), f"{work_dir}/prog_level",
+                         True)
         fc = pool.submit(materialise, spark, Q.cell_pairs(act, prog), f"{work_dir}/cell_pairs")
-        act_day, prog_level, pairs = fa.result(), fp.result(), fc.result()
+        window, act_day, prog_level, pairs = fw.result(), fa.result(), fp.result(), fc.result()
     return Analysis(spark, act, prog, window, act_day, prog_level, pairs, spec, params)
 
 
@@ -257,14 +267,12 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
                  fail_on: tuple[str, ...] = ("identity_breaks",)) -> dict[str, str]:
     """Run every report and write it under ``out_dir``; the small reports are
     also written as one long metrics table (``out_dir/metrics``, partitioned
-    by report).  Returns
-    report name -> path.  Raises ``IntegrityError`` before writing anything
-    else when a ``fail_on`` integrity counter is non-zero."""
+    by report).  Returns report name -> path.  The integrity report is
+    written first; a non-zero ``fail_on`` counter raises ``IntegrityError``
+    before anything else is written."""
     analysis = prepare(spark, act, prog, spec, params, work_dir=f"{out_dir}/_rollups")
     thunks = analysis.reports()
-    if fail_on:
-        Q.assert_clean(thunks["integrity_report"](), fail_on)
-    names = only or list(thunks)
+    names = list(dict.fromkeys((only or list(thunks)) + ["integrity_report"]))
     paths = {n: f"{out_dir}/{n}" for n in names}
 
     metrics_dir = f"{out_dir}/metrics"
@@ -287,8 +295,13 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
             (long.drop("report").coalesce(1).write.mode("overwrite")
              .parquet(f"{metrics_dir}/report={name}"))
 
+    # The integrity report goes first: a failed stop-the-run check must
+    # prevent every other output.
+    write("integrity_report")
+    if fail_on:
+        Q.assert_clean(spark.read.parquet(paths["integrity_report"]), fail_on)
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        list(pool.map(write, names))
+        list(pool.map(write, [n for n in names if n != "integrity_report"]))
     if any(n not in DETAIL_REPORTS for n in names):
         paths["metrics"] = metrics_dir
     return paths

@@ -141,3 +141,16 @@ def test_all_null_measure(spark):
     act = spark.createDataFrame(rows, S.ACTIVITY_SCHEMA)
     out = R.retention_naive(act, SPEC).collect()
     assert all(r["d1"] is None for r in out)
+
+
+def test_duplicate_prog_keys_via_pairs(spark, small_cells):
+    act, prog = small_cells
+    dup_rows = [(D(2001, 7, 4), "10.2", "ZZ", "n", "p", 0, 2, 3, 2, 1, 3, 10.0),
+                (D(2001, 7, 4), "10.2", "ZZ", "n", "p", 0, 2, 3, 2, 1, 3, 10.0),
+                (D(2001, 7, 4), "10.2", None, "n", "p", 0, 2, 3, 2, 1, 3, 10.0),
+                (D(2001, 7, 4), "10.2", None, "n", "p", 0, 2, 3, 2, 1, 3, 10.0)]
+    bad = prog.unionByName(spark.createDataFrame(dup_rows, S.PROGRESSION_SCHEMA))
+    pairs = Q.cell_pairs(act, bad)
+    got = sorted((r[S.COUNTRY] or "", r["n"]) for r in Q.duplicate_prog_keys(bad, pairs).collect())
+    brute = sorted((r[S.COUNTRY] or "", r["n"]) for r in Q.duplicate_keys(bad, S.KEY7).collect())
+    assert got == brute == [("", 2), ("ZZ", 2)]
