@@ -80,7 +80,7 @@ def main() -> None:
 
     import tempfile
 
-    from cohortlens.plans.pipeline import run_analysis
+    from cohortlens.plans.analysis import run_analysis
 
     (act, prog), build_sec = _timed(lambda: fixture.fixture_tables(spark, sf_dir))
     rows = {"act": act.count(), "prog": prog.count()}

@@ -16,7 +16,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from cohortlens.plans.pipeline import AnalysisParams, prepare, run_analysis
+from cohortlens import fixed
+
+from cohortlens.plans.analysis import AnalysisParams, prepare, run_analysis
 from cohortlens.sources.cells import read_activity, read_progression
 from cohortlens.spec import CohortSpec
 
@@ -39,9 +41,9 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--activity", required=True)
         p.add_argument("--progression", required=True)
         p.add_argument("--format", choices=("csv", "parquet"), default="parquet")
-        p.add_argument("--base", default="10.2")
-        p.add_argument("--cand", default="11.0")
-        p.add_argument("--horizon", type=int, default=7)
+        p.add_argument("--base", default=fixed.BASE_BUILD)
+        p.add_argument("--cand", default=fixed.CANDIDATE_BUILD)
+        p.add_argument("--horizon", type=int, default=fixed.HORIZON_DAYS)
         if name == "run":
             p.add_argument("--out", required=True)
             p.add_argument("--threads", type=int, default=8)
@@ -49,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
     args = ap.parse_args(argv)
 
     if args.cmd == "list":
-        from cohortlens.plans.pipeline import REPORT_NAMES
+        from cohortlens.plans.analysis import REPORT_NAMES
 
         print("\n".join(REPORT_NAMES))
         return 0
@@ -67,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.report not in reports:
         print(f"unknown report {args.report!r}; try 'list'", file=sys.stderr)
         return 2
-    from cohortlens.plans.pipeline import presentation_order
+    from cohortlens.plans.analysis import presentation_order
 
     df = reports[args.report]()
     order = presentation_order(args.report, df)

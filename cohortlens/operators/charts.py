@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens import fixed
 from cohortlens import spec as S
 from cohortlens.spec import CohortSpec
 
@@ -20,7 +21,8 @@ def retention_chart_series(curve: DataFrame, spec: CohortSpec = CohortSpec()) ->
 
 
 def funnel_chart_series(funnel: DataFrame, spec: CohortSpec = CohortSpec(),
-                        max_level: int = 24, callout_level: int = 7) -> DataFrame:
+                        max_level: int = fixed.REPORT_MAX_LEVEL,
+                        callout_level: int = fixed.BREAK_LEVEL) -> DataFrame:
     """Chart 2: completion and attempts per user by level up to
     ``max_level``, the break level flagged for the callout."""
     bt, ct = spec.base_tag, spec.cand_tag

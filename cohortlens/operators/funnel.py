@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens import fixed
 from cohortlens import spec as S
 from cohortlens.functions import max_if, pct, ratio, round_scaled, sum_if
 from cohortlens.operators.window import AnalysisWindow, comparable
@@ -62,7 +63,7 @@ def suppress_thin(funnel: DataFrame, spec: CohortSpec = CohortSpec(),
 
 
 def level_time(prog: DataFrame, window: AnalysisWindow, spec: CohortSpec = CohortSpec(),
-               levels: Sequence[int] = (6, 7, 8)) -> DataFrame:
+               levels: Sequence[int] = fixed.TIME_LEVELS) -> DataFrame:
     """level x build: seconds per attempt and per user (0 dp)."""
     base = comparable(prog, window, spec).filter(F.col(S.LEVEL).isin(*levels))
     return base.groupBy(S.LEVEL, S.VERSION).agg(
@@ -72,7 +73,7 @@ def level_time(prog: DataFrame, window: AnalysisWindow, spec: CohortSpec = Cohor
 
 
 def level_by_dimension(prog: DataFrame, window: AnalysisWindow, spec: CohortSpec = CohortSpec(),
-                       level: int = 7, column: str = S.COUNTRY) -> DataFrame:
+                       level: int = fixed.BREAK_LEVEL, column: str = S.COUNTRY) -> DataFrame:
     """one level's completion by the values of one dimension, both builds."""
     base = comparable(prog, window, spec).filter(F.col(S.LEVEL) == level)
     return base.groupBy(column).agg(
@@ -81,7 +82,7 @@ def level_by_dimension(prog: DataFrame, window: AnalysisWindow, spec: CohortSpec
     )
 
 
-def level_by_cohort(prog: DataFrame, build: str, level: int = 7) -> DataFrame:
+def level_by_cohort(prog: DataFrame, build: str, level: int = fixed.BREAK_LEVEL) -> DataFrame:
     """one level's starts and completion per install date for one build,
     over the full history (not windowed)."""
     from cohortlens.spec import label_tag
@@ -94,7 +95,7 @@ def level_by_cohort(prog: DataFrame, build: str, level: int = 7) -> DataFrame:
 
 
 def level_reach(prog: DataFrame, window: AnalysisWindow, spec: CohortSpec = CohortSpec(),
-                levels: Sequence[int] = (1, 7, 8, 15, 20)) -> DataFrame:
+                levels: Sequence[int] = fixed.REACH_LEVELS) -> DataFrame:
     """users seen at each selected level as % of the largest count over
     the selected levels, per build (1 dp).
 
@@ -119,8 +120,10 @@ def _delta(funnel: DataFrame, spec: CohortSpec) -> Column:
 
 
 def drift_summary(funnel: DataFrame, spec: CohortSpec = CohortSpec(),
-                  early: tuple[int, int] = (1, 6), late: tuple[int, int] = (8, 24),
-                  break_level: int = 7, tail_from: int = 25) -> DataFrame:
+                  early: tuple[int, int] = fixed.EARLY_LEVELS,
+                  late: tuple[int, int] = fixed.LATE_LEVELS,
+                  break_level: int = fixed.BREAK_LEVEL,
+                  tail_from: int = fixed.TAIL_FROM_LEVEL) -> DataFrame:
     """F8: mean completion delta over an early and a late level range (1 dp),
     the delta at the break level, and candidate starts from ``tail_from`` on."""
     lv = F.col(S.LEVEL)
@@ -137,7 +140,8 @@ def drift_summary(funnel: DataFrame, spec: CohortSpec = CohortSpec(),
 
 
 def second_break_test(prog: DataFrame, window: AnalysisWindow, spec: CohortSpec = CohortSpec(),
-                      level: int = 23, late: tuple[int, int] = (8, 24)) -> DataFrame:
+                      level: int = fixed.SECOND_BREAK_LEVEL,
+                      late: tuple[int, int] = fixed.LATE_LEVELS) -> DataFrame:
     """is a second level's drop more than the late-level drift?
 
     z of (base completion + drift - candidate completion) at ``level`` with a

@@ -23,13 +23,14 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens import fixed
 from cohortlens import spec as S
 from cohortlens.functions import count_if, max_if, round_scaled, sum_if
 from cohortlens.operators.window import AnalysisWindow, comparable, two_builds
 from cohortlens.spec import CohortSpec
 
-SECONDS_PER_DAY = 86400.0
-TIME_TOLERANCE = 1.001   # level time may exceed session time by 0.1 %
+SECONDS_PER_DAY = fixed.SECONDS_PER_DAY
+TIME_TOLERANCE = fixed.LEVEL_TIME_TOLERANCE   # level time may exceed session time by 0.1 %
 
 
 def _c(name: str) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens import fixed
 from cohortlens import spec as S
 from cohortlens.functions import min_if, pct, round_scaled, sum_if
 from cohortlens.operators.window import AnalysisWindow
@@ -18,12 +19,12 @@ from cohortlens.operators.window import AnalysisWindow
 def label_volume_by_month(act: DataFrame, label: str) -> DataFrame:
     """Q20: day-0 users of one label per calendar month ('yyyy-MM')."""
     return (act.filter(F.col(S.VERSION) == label)
-            .groupBy(F.date_format(S.INSTALL_DATE, "yyyy-MM").alias("ym"))
+            .groupBy(F.date_format(S.INSTALL_DATE, fixed.MONTH_FORMAT).alias("ym"))
             .agg(sum_if(F.col(S.ACTIVE), F.col(S.COHORT_DAY) == 0).alias("d0_users")))
 
 
 def label_behaviour_profile(act: DataFrame, prog: DataFrame, window: AnalysisWindow,
-                            level: int = 7, day: int = 1) -> DataFrame:
+                            level: int = fixed.BREAK_LEVEL, day: int = 1) -> DataFrame:
     """Q21: per build label, maturity-gated DN (1 dp) and all-history
     completion of one level (1 dp), side by side.
 

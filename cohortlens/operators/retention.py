@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens import fixed
 from cohortlens import spec as S
 from cohortlens.functions import (
     count_if, max_if, pct, ratio, round_even, round_scaled, sum_if, two_proportion_z,
@@ -66,8 +67,8 @@ def retention_maturity_gate(act: DataFrame, window: AnalysisWindow,
           for n in spec.days])
 
 
-NAIVE_READ = "naive_censored"
-GATED_READ = "maturity_gate"
+NAIVE_READ = fixed.NAIVE_READ
+GATED_READ = fixed.GATED_READ
 
 
 def retention_reads(act: DataFrame, window: AnalysisWindow,

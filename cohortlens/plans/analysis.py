@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens import fixed
 from cohortlens import spec as S
 from cohortlens.operators import charts as C
 from cohortlens.operators import engagement as E
@@ -49,19 +50,19 @@ CELLS = "n_cells"
 @dataclass(frozen=True)
 class AnalysisParams:
     """Report parameters that are not part of the build comparison."""
-    patch_label: str = "11.0.1"
+    patch_label: str = fixed.PATCH_BUILD
     slice_column: str = S.COUNTRY
-    slice_value: str = "US"
-    break_level: int = 7
-    time_levels: tuple[int, ...] = (6, 7, 8)
-    reach_levels: tuple[int, ...] = (1, 7, 8, 15, 20)
-    early_levels: tuple[int, int] = (1, 6)
-    late_levels: tuple[int, int] = (8, 24)
-    tail_from: int = 25
-    second_break_level: int = 23
-    report_max_level: int = 24
+    slice_value: str = fixed.SLICE_COUNTRY
+    break_level: int = fixed.BREAK_LEVEL
+    time_levels: tuple[int, ...] = fixed.TIME_LEVELS
+    reach_levels: tuple[int, ...] = fixed.REACH_LEVELS
+    early_levels: tuple[int, int] = fixed.EARLY_LEVELS
+    late_levels: tuple[int, int] = fixed.LATE_LEVELS
+    tail_from: int = fixed.TAIL_FROM_LEVEL
+    second_break_level: int = fixed.SECOND_BREAK_LEVEL
+    report_max_level: int = fixed.REPORT_MAX_LEVEL
     report_min_starts: int | None = None
-    chart_max_level: int = 24
+    chart_max_level: int = fixed.REPORT_MAX_LEVEL
 
 
 def activity_rollup(act: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Every entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame.  Per
 application and scale the fixture cells are built once and read back from
 Parquet (``sources.fixture.fixture_tables``), the window is derived once,
-and the two shared rollups of ``plans.pipeline`` are materialised once; each
+and the two shared rollups of ``plans.analysis`` are materialised once; each
 report then reads whichever of cells or rollups it needs.  The SQL twin of
 each entry is ``cohortlens.plans.oracle.ORACLE[name]``.
 """
@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.plans import oracle as O
-from cohortlens.plans.pipeline import Analysis, AnalysisParams, prepare
+from cohortlens.plans.analysis import Analysis, AnalysisParams, prepare
 from cohortlens.sources.fixture import fixture_tables
 from cohortlens.spec import CohortSpec
 

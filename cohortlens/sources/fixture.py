@@ -29,12 +29,13 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens import fixed
 from cohortlens import spec as S
 
 # Fixed values of the fixture (FIXTURES.md section 2); they define the data.
-FIXTURE_BASE = "10.2"
-FIXTURE_CAND = "11.0"
-FIXTURE_PATCH = "11.0.1"
+FIXTURE_BASE = fixed.BASE_BUILD
+FIXTURE_CAND = fixed.CANDIDATE_BUILD
+FIXTURE_PATCH = fixed.PATCH_BUILD
 CAND_FROM = _dt.date(2000, 1, 1)   # candidate build only for installs from here
 MAX_COHORT_DAY = 7
 MAX_LEVEL = 12

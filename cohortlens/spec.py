@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
+from cohortlens import fixed
+
 # Column names of the activity / progression cells.
 INSTALL_DATE = "d_install_date"
 VERSION = "s_app_version"
@@ -69,7 +71,7 @@ PROGRESSION_SCHEMA = T.StructType([
 ])
 
 # Mix dimensions: output name -> cell column.
-DEFAULT_DIMS = (("country", COUNTRY), ("network", NETWORK), ("package", PACKAGE))
+DEFAULT_DIMS = fixed.MIX_DIMENSIONS
 
 
 def label_tag(label: str) -> str:
@@ -87,10 +89,10 @@ class CohortSpec:
     it is mature to that day.
     """
 
-    base: str = "10.2"
-    cand: str = "11.0"
-    horizon: int = 7
-    days: tuple[int, ...] = (1, 3, 7)
+    base: str = fixed.BASE_BUILD
+    cand: str = fixed.CANDIDATE_BUILD
+    horizon: int = fixed.HORIZON_DAYS
+    days: tuple[int, ...] = fixed.HEADLINE_DAYS
     dims: tuple[tuple[str, str], ...] = field(default=DEFAULT_DIMS)
 
     @property

@@ -4,6 +4,6 @@ The analysis this library rebuilds has no streaming input, watermark, state
 or late data; its only notion of time is a batch re-run on each new extract,
 which re-derives the comparison window from the data
 (``cohortlens.operators.window.derive_window``) and reruns every report
-(``cohortlens.plans.pipeline.run_analysis``).  A nightly job is therefore a
+(``cohortlens.plans.analysis.run_analysis``).  A nightly job is therefore a
 scheduled batch, not a Structured Streaming query.
 """

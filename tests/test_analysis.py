@@ -28,7 +28,7 @@ def test_rollups_equal_cells(spark, name):
 
 
 def test_run_analysis_writes_everything(spark, small_cells):
-    from cohortlens.plans.pipeline import DETAIL_REPORTS, run_analysis
+    from cohortlens.plans.analysis import DETAIL_REPORTS, run_analysis
 
     act, prog = small_cells
     out = tempfile.mkdtemp(prefix="analysis-", dir="/tmp")
@@ -45,7 +45,7 @@ def test_run_analysis_writes_everything(spark, small_cells):
 
 
 def test_written_reports_are_ordered(spark, small_cells):
-    from cohortlens.plans.pipeline import run_analysis
+    from cohortlens.plans.analysis import run_analysis
 
     act, prog = small_cells
     out = tempfile.mkdtemp(prefix="ordered-", dir="/tmp")

@@ -12,7 +12,7 @@ from cohortlens import spec as S
 from cohortlens.__main__ import main
 from cohortlens.operators.integrity import IntegrityError
 from cohortlens.plans import catalog
-from cohortlens.plans.pipeline import REPORT_NAMES, prepare, run_analysis
+from cohortlens.plans.analysis import REPORT_NAMES, prepare, run_analysis
 
 
 @pytest.fixture(scope="module")
