@@ -24,8 +24,11 @@ def test_no_nested_loop_or_python(spark, name):
         assert bad not in plan, (name, bad)
 
 
-def test_window_filter_reaches_the_scan(spark):
-    plan = _plan(E.queries()["retention_curve"](spark, SF_SMALL))
+@pytest.mark.parametrize("name,rollups", [("retention_curve", False), ("retention_slice", True)])
+def test_window_filter_reaches_the_scan(spark, name, rollups):
+    from cohortlens.plans import catalog
+
+    plan = _plan(catalog.queries(rollups=rollups)[name](spark, SF_SMALL))
     pushed = [line for line in plan.splitlines() if line.startswith("PushedFilters")]
     schema = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
     assert pushed and schema, plan
