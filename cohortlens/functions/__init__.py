@@ -5,6 +5,7 @@ from cohortlens.functions.exprs import (
     max_if,
     min_if,
     pct,
+    pooled_se,
     ratio,
     round_even,
     round_scaled,
@@ -13,6 +14,6 @@ from cohortlens.functions.exprs import (
 )
 
 __all__ = [
-    "count_if", "max_if", "min_if", "pct", "ratio", "round_even",
+    "count_if", "max_if", "min_if", "pct", "pooled_se", "ratio", "round_even",
     "round_scaled", "sum_if", "two_proportion_z",
 ]

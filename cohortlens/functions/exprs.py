@@ -63,11 +63,17 @@ def count_if(cond: Column) -> Column:
 
 def two_proportion_z(x1: Column | str, n1: Column | str,
                      x2: Column | str, n2: Column | str) -> Column:
-    """Pooled two-proportion z statistic of x1/n1 against x2/n2 (unrounded)."""
+    """Pooled two-proportion z statistic of x1/n1 against x2/n2 (unrounded);
+    NULL when a sample is empty or the pooled variance is not positive."""
     x1, n1, x2, n2 = (_col(c).cast("double") for c in (x1, n1, x2, n2))
     p1 = F.try_divide(x1, n1)
     p2 = F.try_divide(x2, n2)
     pooled = F.try_divide(x1 + x2, n1 + n2)
-    se = F.sqrt(pooled * (F.lit(1.0) - pooled)
-                * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)))
-    return F.try_divide(p1 - p2, se)
+    return F.try_divide(p1 - p2, pooled_se(pooled, n1, n2))
+
+
+def pooled_se(pooled: Column, n1: Column, n2: Column) -> Column:
+    """sqrt(p (1 - p) (1/n1 + 1/n2)); NULL unless the variance is positive."""
+    var = (pooled * (F.lit(1.0) - pooled)
+           * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)))
+    return F.when(var > 0, F.sqrt(var))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import fixed
 from cohortlens import spec as S
-from cohortlens.functions import max_if, pct, ratio, round_scaled, sum_if
+from cohortlens.functions import max_if, pct, pooled_se, ratio, round_scaled, sum_if
 from cohortlens.operators.window import AnalysisWindow, comparable
 from cohortlens.spec import CohortSpec
 
@@ -163,9 +163,7 @@ def second_break_test(prog: DataFrame, window: AnalysisWindow, spec: CohortSpec
         max_if(F.col("st_c"), at).alias("st_c"), max_if(F.col("co_c"), at).alias("co_c"),
     )
     st_b, co_b, st_c, co_c = (F.col(x).cast("double") for x in ("st_b", "co_b", "st_c", "co_c"))
-    pooled = F.try_divide(co_b + co_c, st_b + st_c)
-    se = F.sqrt(pooled * (F.lit(1.0) - pooled)
-                * (F.try_divide(F.lit(1.0), st_b) + F.try_divide(F.lit(1.0), st_c)))
+    se = pooled_se(F.try_divide(co_b + co_c, st_b + st_c), st_b, st_c)
     excess = (F.try_divide(co_b, st_b) + F.col("drift") / F.lit(100.0) - F.try_divide(co_c, st_c))
     return t.select(
         F.lit(level).cast("bigint").alias(S.LEVEL),

@@ -372,9 +372,12 @@ def integrity_from_pairs(pairs: DataFrame, extract: dt.date,
     )
     last = F.least(F.lit(h), F.datediff(F.lit(extract), d))
     expected = F.when(last >= 0, _bit(last + 1) - 1).otherwise(F.lit(0).cast("bigint"))
+    # A NULL install date never matches an expected day (NULL = NULL is not
+    # true), so none of its days count as present.
+    present = F.when(d.isNull(), F.lit(0).cast("bigint")).otherwise(
+        F.coalesce(F.col("days_mask"), F.lit(0).cast("bigint")))
     missing = F.when(F.col(S.VERSION).isin(*spec.builds) & (F.col("has_act") == 1),
-                     F.bit_count(expected.bitwiseAND(
-                         F.bitwise_not(F.coalesce(F.col("days_mask"), F.lit(0).cast("bigint"))))))
+                     F.bit_count(expected.bitwiseAND(F.bitwise_not(present))))
 
     # Build.
     per_build = vd.groupBy(S.VERSION).agg(
