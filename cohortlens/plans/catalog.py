@@ -10,6 +10,7 @@ each entry is ``cohortlens.plans.oracle.ORACLE[name]``.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +35,16 @@ PARAMS = AnalysisParams(
 )
 
 _ANALYSES: dict[tuple[str, str, bool], Analysis] = {}
+_LOCK = threading.Lock()
 
 
 def analysis(spark: SparkSession, sf_dir: str, rollups: bool = True) -> Analysis:
     key = (spark.sparkContext.applicationId, sf_dir, rollups)
-    if key not in _ANALYSES:
-        act, prog = fixture_tables(spark, sf_dir)
-        _ANALYSES[key] = prepare(spark, act, prog, SPEC, PARAMS, rollups=rollups)
-    return _ANALYSES[key]
+    with _LOCK:   # concurrent callers share one window and one set of rollups
+        if key not in _ANALYSES:
+            act, prog = fixture_tables(spark, sf_dir)
+            _ANALYSES[key] = prepare(spark, act, prog, SPEC, PARAMS, rollups=rollups)
+        return _ANALYSES[key]
 
 
 def context(spark: SparkSession, sf_dir: str) -> Analysis:

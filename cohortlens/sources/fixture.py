@@ -25,6 +25,7 @@ single-row action) turned into a literal.
 from __future__ import annotations
 
 import datetime as _dt
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,6 +161,7 @@ def fixture_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 _MATERIALISED: dict[tuple[str, str], tuple[str, str]] = {}
+_LOCK = threading.Lock()
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -177,13 +179,14 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     from cohortlens.sources.cells import read_activity, read_progression
 
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _MATERIALISED:
-        root = f"{shared_dir(spark)}/cohortlens-fixture/{uuid.uuid4().hex}"
-        act, prog = fixture_frames(spark, sf_dir)
-        paths = (f"{root}/activity", f"{root}/progression")
-        for df, path in zip((act, prog), paths):
-            df.sortWithinPartitions(S.INSTALL_DATE).write.mode("overwrite").parquet(path)
-        _MATERIALISED[key] = paths
+    with _LOCK:   # concurrent callers share one build
+        if key not in _MATERIALISED:
+            root = f"{shared_dir(spark)}/cohortlens-fixture/{uuid.uuid4().hex}"
+            act, prog = fixture_frames(spark, sf_dir)
+            paths = (f"{root}/activity", f"{root}/progression")
+            for df, path in zip((act, prog), paths):
+                df.sortWithinPartitions(S.INSTALL_DATE).write.mode("overwrite").parquet(path)
+            _MATERIALISED[key] = paths
     act_path, prog_path = _MATERIALISED[key]
     return read_activity(spark, act_path), read_progression(spark, prog_path)
 

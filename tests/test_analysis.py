@@ -57,3 +57,16 @@ def test_written_reports_are_ordered(spark, small_cells):
     assert levels == sorted(levels)
     mix = [(r["dim"], -r["pct_10_2"]) for r in spark.read.parquet(paths["mix_balance"]).collect()]
     assert mix == sorted(mix)
+
+
+def test_concurrent_queries_share_one_build(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from cohortlens.sources import fixture
+
+    names = ["retention_curve", "level_funnel", "mix_balance", "integrity_report"]
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda n: catalog.queries()[n](spark, SF_SMALL).count(), names))
+    assert all(c > 0 for c in counts)
+    keys = [k for k in fixture._MATERIALISED if k[1].endswith("sf0.001")]
+    assert len(keys) == 1
