@@ -1,17 +1,12 @@
 """Profile and integrity checks (Q1-Q19).
 
-Cost model, per table:
-
-* every *row-level* check of one table is a conditional count inside one
-  global aggregate (one scan, partial aggregate per task, one row shuffled
-  per task);
-* *key-level* checks group by the grain.  The activity grain rollup
-  (``KEY6 -> rows``) serves both the duplicate check and the orphan checks,
-  and the progression rollup (``KEY6 -> rows, level seconds``) serves the
-  orphan checks and the cross-table time check, so each table is shuffled by
-  its grain once per report;
-* all shuffles carry partial aggregates, so a key holding a large share of
-  the rows costs one combined row per task, not its rows.
+Cost model: every counter is derived from ``cell_pairs`` -- each table
+rolled up to the activity grain once (row-level fault counts ride along as
+conditional counts), then paired on it -- followed by a chain of shrinking
+aggregates.  All shuffles carry partial aggregates, so a key holding a large
+share of the rows costs one combined row per task, not its rows.  The detail
+lists (orphans, duplicates, bad cohorts) are filters or small rollups of the
+same pairs.
 
 Counts are 0, never NULL, on clean data.
 """
@@ -51,33 +46,6 @@ def version_profile(act: DataFrame, row_count: str | None = None) -> DataFrame:
     )
 
 
-# --- row-level checks (one pass per table) ----------------------------------
-
-def activity_row_checks(act: DataFrame, extract: dt.date) -> DataFrame:
-    """Q4 (activity part), Q7, Q12, Q13 and the row count, in one aggregate."""
-    u, s, pt = _c(S.ACTIVE), _c(S.SESSIONS), _c(S.PLAYTIME)
-    beyond = F.date_add(_c(S.INSTALL_DATE), _c(S.COHORT_DAY).cast("int")) > F.lit(extract)
-    return act.agg(
-        F.count(F.lit(1)).alias("act_rows"),
-        count_if(F.least(u, s, pt) < 0).alias("negatives"),
-        count_if(beyond).alias("rows_beyond_extract"),
-        count_if(s < u).alias("cells_sessions_lt_actives"),
-        count_if(pt > u * F.lit(SECONDS_PER_DAY)).alias("cells_playtime_gt_24h"),
-    )
-
-
-def progression_row_checks(prog: DataFrame) -> DataFrame:
-    """Q2, Q3, Q4 (progression part), Q14 in one aggregate."""
-    st, co, fa = _c(S.STARTED), _c(S.COMPLETED), _c(S.FAILED)
-    us, pt = _c(S.USERS), _c(S.LEVEL_TIME)
-    return prog.agg(
-        F.count(F.lit(1)).alias("prog_rows"),
-        count_if(st != co + fa).alias("identity_breaks"),
-        count_if(F.least(st, co, fa, us, pt) < 0).alias("negatives"),
-        count_if(us > st).alias("cells_users_gt_starts"),
-    )
-
-
 # --- key-level checks -------------------------------------------------------
 
 def activity_grain(act: DataFrame) -> DataFrame:
@@ -110,10 +78,6 @@ def assert_clean(report: DataFrame, checks: tuple[str, ...] = ("identity_breaks"
         raise IntegrityError(f"integrity checks failed: {bad}")
 
 
-def _count_duplicates(grain: DataFrame) -> DataFrame:
-    return grain.agg(count_if(F.col("n") > 1).alias("n"))
-
-
 def bad_cohort_cells(act: DataFrame) -> DataFrame:
     """Q8 detail: cohorts whose day-0 row is missing or zero, or with a later
     day larger than day 0."""
