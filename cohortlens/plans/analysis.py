@@ -1,22 +1,24 @@
 """The whole analysis as one Spark application (what a nightly run does).
 
 1. derive the window (one single-row action);
-2. build three shared intermediates in one pass each and write them to the
-   shared folder (``spark.checkpoint.dir``):
+2. build three shared intermediates, one pass each, written to the shared
+   folder (``spark.checkpoint.dir``) and read back:
      act_day    (build, install date, cohort day) -> cells, actives,
                 sessions, playtime, zero-playtime actives
-     prog_level (build, install date, level)      -> starts, completions,
+     prog_level (build, install date, level) -> starts, completions,
                 failures, users, level seconds
-   Their size is builds x dates x days (or levels) whatever the number of
-   cells, so every report that only splits by build, date, cohort day or
-   level reads a few thousand rows instead of the cells;
      cell_pairs (activity grain) -> both tables' per-key counts and fault
-                counts, full-outer paired: integrity counters, orphan, dup
-                and bad-cohort lists and the time quirk read it instead of
-                re-aggregating the cells;
-3. the reports that need other dimensions (mix, slices, level by country)
-   read the cells;
-4. all reports are written, independent ones as concurrent Spark jobs.
+                counts, paired by a full outer join
+   The two rollups have builds x dates x days (or levels) rows whatever the
+   number of cells, so every report that only splits by build, date, cohort
+   day or level reads a few thousand rows (cached) instead of the cells.  The
+   integrity counters, orphan / duplicate / bad-cohort lists and the time
+   quirk read the grain pairs instead of re-aggregating the cells;
+3. the reports that need other dimensions (mix, slices, level by country,
+   quarantine) read the cells;
+4. the integrity report is written first (the stop-the-run rule), then all
+   other reports as concurrent Spark jobs, each small one with its slice of
+   the long metrics table.
 """
 
 from __future__ import annotations
