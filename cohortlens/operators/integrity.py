@@ -112,12 +112,12 @@ def duplicate_act_keys(pairs: DataFrame) -> DataFrame:
 def duplicate_prog_keys(prog: DataFrame, pairs: DataFrame) -> DataFrame:
     """Q6 detail: progression keys (KEY7) with more than one row.
 
-    The grain pairs already count duplicated level keys per activity key, so
-    only progression rows under those keys (normally none) are regrouped: a
-    semi join on the flagged keys filters the scan before any shuffle,
-    instead of shuffling every progression row by KEY7.  The join is
-    null-safe because GROUP BY treats NULL key parts as equal."""
-    flagged = pairs.filter(F.col("p_dup_level_keys") > 0).select(*S.KEY6)
+    The grain pairs flag the activity keys that may hold a duplicated level
+    (see ``cell_pairs``), so only progression rows under those keys (normally
+    none) are regrouped: a semi join on the flagged keys filters the scan
+    before any shuffle, instead of shuffling every progression row by KEY7.
+    The join is null-safe because GROUP BY treats NULL key parts as equal."""
+    flagged = pairs.filter(F.col("p_dup_suspect")).select(*S.KEY6)
     cond = [prog[c].eqNullSafe(flagged[c]) for c in S.KEY6]
     suspects = prog.join(flagged, on=cond, how="left_semi")
     return duplicate_keys(suspects, S.KEY7)
@@ -236,16 +236,25 @@ def _bit(k: Column) -> Column:
     return F.pow(F.lit(2), k).cast("bigint")
 
 
+MASK_LEVELS = 30   # levels 0..30 are tracked exactly in a BIGINT bit mask
+
+
 def cell_pairs(act: DataFrame, prog: DataFrame) -> DataFrame:
     """Both tables rolled up to the activity grain and paired on it.
 
-    activity  -> KEY6: rows, summed and max actives, row-level fault counts;
-    progression -> KEY7 (rows per level key, row-level fault counts, seconds)
-                -> KEY6: rows, duplicated level keys, fault counts, seconds.
-    Every shuffle carries partial aggregates (a hot key costs one combined
-    row per task).  Both rollups come out hash-partitioned on KEY6, so the
-    full outer join adds no exchange.  A key present on one side only is an
-    orphan of that side; NULL key parts never match, as in SQL.
+    activity    -> KEY6: rows, summed and max actives, row-level fault counts;
+    progression -> KEY6: rows, fault counts, level seconds, and a flag for
+                   groups that may hold a duplicated level key.
+    Each table is shuffled once, by KEY6, carrying partial aggregates (a hot
+    key costs one combined row per task).  Both rollups come out
+    hash-partitioned on KEY6, so the full outer join adds no exchange.  A
+    key present on one side only is an orphan of that side; NULL key parts
+    never match, as in SQL.
+
+    Duplicate level keys without a KEY7 shuffle: inside a group the levels
+    are distinct exactly when the sum of 2**level equals their bitwise OR.
+    NULL levels, levels outside 0..MASK_LEVELS and an overflowing sum only
+    raise the flag; ``duplicate_prog_keys`` recounts flagged groups exactly.
     """
     u, s, pt = _c(S.ACTIVE), _c(S.SESSIONS), _c(S.PLAYTIME)
     a6 = act.groupBy(*S.KEY6).agg(
@@ -257,32 +266,33 @@ def cell_pairs(act: DataFrame, prog: DataFrame) -> DataFrame:
         count_if(pt > u * F.lit(SECONDS_PER_DAY)).alias("a_playtime_gt_24h"),
     )
     st, co, fa = _c(S.STARTED), _c(S.COMPLETED), _c(S.FAILED)
-    us, lt = _c(S.USERS), _c(S.LEVEL_TIME)
-    p7 = prog.groupBy(*S.KEY7).agg(
-        F.count(F.lit(1)).alias("n7"),
-        count_if(st != co + fa).alias("ib"),
-        count_if(F.least(st, co, fa, us, lt) < 0).alias("neg"),
-        count_if(us > st).alias("ugs"),
-        F.sum(lt).alias("lt"),
-    )
-    p6 = p7.groupBy(*S.KEY6).agg(
-        F.sum("n7").alias("p_rows"),
-        count_if(F.col("n7") > 1).alias("p_dup_level_keys"),
-        F.sum("ib").alias("p_identity_breaks"),
-        F.sum("neg").alias("p_negatives"),
-        F.sum("ugs").alias("p_users_gt_starts"),
-        F.sum("lt").alias("level_seconds"),
+    us, lt, lv = _c(S.USERS), _c(S.LEVEL_TIME), _c(S.LEVEL)
+    level_bit = F.when(lv.between(0, MASK_LEVELS), _bit(lv))
+    p6 = prog.groupBy(*S.KEY6).agg(
+        F.count(F.lit(1)).alias("p_rows"),
+        count_if(st != co + fa).alias("p_identity_breaks"),
+        count_if(F.least(st, co, fa, us, lt) < 0).alias("p_negatives"),
+        count_if(us > st).alias("p_users_gt_starts"),
+        F.sum(lt).alias("level_seconds"),
+        F.try_sum(level_bit).alias("_bits_sum"),
+        F.bit_or(level_bit).alias("_bits_or"),
+        count_if(lv.isNull()).alias("_null_levels"),
+        count_if(lv.isNotNull() & ~lv.between(0, MASK_LEVELS)).alias("_odd_levels"),
     )
+    suspect = (~F.col("_bits_sum").eqNullSafe(F.col("_bits_or"))
+               | (F.col("_null_levels") > 1) | (F.col("_odd_levels") > 0))
+    p6 = p6.withColumn("p_dup_suspect", suspect).drop(
+        "_bits_sum", "_bits_or", "_null_levels", "_odd_levels")
     return a6.join(p6, on=S.KEY6, how="full_outer")
 
 
 def integrity_report(act: DataFrame, prog: DataFrame, extract: dt.date,
                      spec: CohortSpec = CohortSpec()) -> DataFrame:
     """Q19: every integrity counter (Q2-Q15) as one (check_name, n) row."""
-    return integrity_from_pairs(cell_pairs(act, prog), extract, spec)
+    return integrity_from_pairs(cell_pairs(act, prog), prog, extract, spec)
 
 
-def integrity_from_pairs(pairs: DataFrame, extract: dt.date,
+def integrity_from_pairs(pairs: DataFrame, prog: DataFrame, extract: dt.date,
                          spec: CohortSpec = CohortSpec()) -> DataFrame:
     """Q19 over precomputed grain pairs (see ``cell_pairs``).
 
@@ -313,7 +323,6 @@ def integrity_from_pairs(pairs: DataFrame, extract: dt.date,
         (F.coalesce(F.sum("a_negatives"), F.lit(0))
          + F.coalesce(F.sum("p_negatives"), F.lit(0))).alias("negatives"),
         count_if(F.col("a_rows") > 1).alias("dup_act"),
-        F.sum("p_dup_level_keys").alias("dup_prog"),
         sum_if(F.col("a_rows"), has_act & beyond).alias("rows_beyond_extract"),
         count_if(has_prog & ~has_act).alias("prog_cells_without_act"),
         count_if(has_act & ~has_prog).alias("act_cells_without_prog"),
@@ -323,7 +332,7 @@ def integrity_from_pairs(pairs: DataFrame, extract: dt.date,
     )
     bad = (F.col("has_act") == 1) & (F.col("d0").isNull() | (F.col("d0") == 0)
                                      | (F.col("later") > F.col("d0")))
-    counters = ["act_rows", "prog_rows", "identity_breaks", "negatives", "dup_act", "dup_prog",
+    counters = ["act_rows", "prog_rows", "identity_breaks", "negatives", "dup_act",
                 "rows_beyond_extract", "prog_cells_without_act", "act_cells_without_prog",
                 "cells_sessions_lt_actives", "cells_playtime_gt_24h", "cells_users_gt_starts"]
 
@@ -354,4 +363,6 @@ def integrity_from_pairs(pairs: DataFrame, extract: dt.date,
     names = counters + ["bad_cohort_cells", "missing_version_day_rows", "install_date_gaps"]
     one_row = per_build.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
                               for c in names])
-    return one_row.unpivot([], names, "check_name", "n")
+    dup_prog = duplicate_prog_keys(prog, pairs).agg(
+        F.lit("dup_prog").alias("check_name"), F.count(F.lit(1)).alias("n"))
+    return one_row.unpivot([], names, "check_name", "n").unionByName(dup_prog)

@@ -134,7 +134,7 @@ class Analysis:
             "label_behaviour_profile": lambda: L.label_behaviour_profile(ad, pl, w, pr.break_level),
             "label_predates_parent": lambda: L.label_predates_parent(ad, pr.patch_label, sp.cand),
             # integrity
-            "integrity_report": lambda: Q.integrity_from_pairs(pairs, w.extract, sp),
+            "integrity_report": lambda: Q.integrity_from_pairs(pairs, p, w.extract, sp),
             "bad_cohort_cells": lambda: Q.bad_cohort_cells_from_pairs(pairs),
             "orphan_prog_cells": lambda: Q.orphan_prog_cells(pairs),
             "orphan_act_cells": lambda: Q.orphan_act_cells(pairs),

@@ -70,7 +70,9 @@ def dirty_cells(seed: int, n: int = 900):
             co, fa = int(rng.integers(0, 20)), int(rng.integers(0, 10))
             st = co + fa + (1 if rng.random() < 0.03 else 0)      # some identity breaks
             us = max(0, st - int(rng.integers(0, 4))) + (5 if rng.random() < 0.02 else 0)
-            prog.append(row[:6] + (int(lv), st, co, fa, us, float(st * int(rng.integers(20, 200)))))
+            r = rng.random()   # NULL, zero and out-of-mask levels now and then
+            level = None if r < 0.01 else 0 if r < 0.02 else 99 if r < 0.03 else int(lv)
+            prog.append(row[:6] + (level, st, co, fa, us, float(st * int(rng.integers(20, 200)))))
     prog += [(start + dt.timedelta(days=3), "10.2", "NATION_9", "z", "store", 0, 1, 2, 1, 1, 2, 10.0)]
     prog += [prog[i] for i in rng.choice(len(prog), 10)]          # duplicated level keys
     return act, prog

@@ -154,3 +154,19 @@ def test_duplicate_prog_keys_via_pairs(spark, small_cells):
     got = sorted((r[S.COUNTRY] or "", r["n"]) for r in Q.duplicate_prog_keys(bad, pairs).collect())
     brute = sorted((r[S.COUNTRY] or "", r["n"]) for r in Q.duplicate_keys(bad, S.KEY7).collect())
     assert got == brute == [("", 2), ("ZZ", 2)]
+
+
+def test_duplicate_level_flag(spark):
+    """Distinct levels: sum of 2**level equals their OR; anything else flags."""
+    def prog_with(levels, country):
+        return [(D(2001, 1, 1), "10.2", country, "n", "p", 0, lv, 1, 1, 0, 1, 1.0) for lv in levels]
+    rows = (prog_with([1, 2, 3], "clean") + prog_with([1, 2, 2], "dup")
+            + prog_with([None, None], "nulls") + prog_with([None, 4], "one_null")
+            + prog_with([99], "odd") + prog_with([0, 30], "edges"))
+    prog = spark.createDataFrame(rows, S.PROGRESSION_SCHEMA)
+    act = spark.createDataFrame([], S.ACTIVITY_SCHEMA)
+    flags = {r[S.COUNTRY]: r["p_dup_suspect"] for r in Q.cell_pairs(act, prog).collect()}
+    assert flags == {"clean": False, "dup": True, "nulls": True, "one_null": False,
+                     "odd": True, "edges": False}
+    exact = {r[S.COUNTRY] for r in Q.duplicate_prog_keys(prog, Q.cell_pairs(act, prog)).collect()}
+    assert exact == {"dup", "nulls"}
