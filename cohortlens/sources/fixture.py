@@ -27,6 +27,7 @@ from __future__ import annotations
 import datetime as _dt
 import threading
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +64,9 @@ def _version_label(code):
             .when(code == _V_CAND, F.lit(FIXTURE_CAND)).otherwise(F.lit(FIXTURE_PATCH)))
 
 
-def active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, active cohort day): k, d, v (code), nationkey,
-    network, pkg (code), cd."""
+def installs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, _dt.date]:
+    """One row per order: k, d, v (code), nationkey, network, pkg (code);
+    and the extract date (one single-row aggregate)."""
     orders = _read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = _read(spark, sf_dir, "customer").select(
@@ -89,6 +90,11 @@ def active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .filter(F.col("d") <= F.lit(extract))
     )
+    return base, extract
+
+
+def active_days(base: DataFrame, extract: _dt.date) -> DataFrame:
+    """One row per (order, active cohort day): the order columns plus cd."""
     # Cohort days 0 .. min(7, extract - d): at most 8 rows per order.
     last_day = F.least(F.lit(MAX_COHORT_DAY), F.datediff(F.lit(extract), F.col("d")))
     days = base.withColumn("cd", F.explode(F.sequence(F.lit(0), last_day)))
@@ -154,10 +160,16 @@ def progression_cells(days: DataFrame, spark: SparkSession, sf_dir: str) -> Data
                                             S.LEVEL_TIME: "double"})
 
 
+def cells_from(spark: SparkSession, sf_dir: str, base: DataFrame,
+               extract: _dt.date) -> tuple[DataFrame, DataFrame]:
+    """(activity, progression) cells from the joined installs."""
+    days = active_days(base, extract)
+    return activity_cells(days, spark, sf_dir), progression_cells(days, spark, sf_dir)
+
+
 def fixture_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lazy (activity, progression) cells over the tables in ``sf_dir``."""
-    days = active_days(spark, sf_dir)
-    return activity_cells(days, spark, sf_dir), progression_cells(days, spark, sf_dir)
+    return cells_from(spark, sf_dir, *installs(spark, sf_dir))
 
 
 _MATERIALISED: dict[tuple[str, str], tuple[str, str]] = {}
@@ -182,10 +194,18 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     with _LOCK:   # concurrent callers share one build
         if key not in _MATERIALISED:
             root = f"{shared_dir(spark)}/cohortlens-fixture/{uuid.uuid4().hex}"
-            act, prog = fixture_frames(spark, sf_dir)
-            paths = (f"{root}/activity", f"{root}/progression")
-            for df, path in zip((act, prog), paths):
-                df.sortWithinPartitions(S.INSTALL_DATE).write.mode("overwrite").parquet(path)
+            # Both tables start from the same orders x customer join; keep it
+            # for the second write instead of shuffling orders twice.  A lost
+            # cached block is recomputed from the lineage.
+            joined, extract = installs(spark, sf_dir)
+            joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                act, prog = cells_from(spark, sf_dir, joined, extract)
+                paths = (f"{root}/activity", f"{root}/progression")
+                for df, path in zip((act, prog), paths):
+                    df.sortWithinPartitions(S.INSTALL_DATE).write.mode("overwrite").parquet(path)
+            finally:
+                joined.unpersist()
             _MATERIALISED[key] = paths
     act_path, prog_path = _MATERIALISED[key]
     return read_activity(spark, act_path), read_progression(spark, prog_path)
