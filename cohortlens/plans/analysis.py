@@ -84,19 +84,43 @@ def progression_rollup(prog: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in (S.STARTED, S.COMPLETED, S.FAILED, S.USERS, S.LEVEL_TIME)])
 
 
-def materialise(spark: SparkSession, df: DataFrame, path: str, cache: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (cuts lineage).
-
-    ``cache`` keeps the re-read table in executor memory for the reports
-    that follow; only used for the rollups, whose size is bounded by
-    builds x dates x days (or levels).  A lost cached block is re-read from
-    the written files, not recomputed from the cells."""
+def materialise(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back (cuts lineage)."""
     df.write.mode("overwrite").parquet(path)
-    back = spark.read.parquet(path)
-    if cache:
-        back = back.cache()
-        back.count()
-    return back
+    return spark.read.parquet(path)
+
+
+ROLLUP_ROWS_PER_TASK = 2_000_000
+
+
+def rollup_session(spark: SparkSession, rows: int) -> SparkSession:
+    """A child session for reports over the rollups.
+
+    Their input is bounded by builds x dates x days (or levels), so a fixed,
+    small number of shuffle partitions sized from the row count is the right
+    plan at any scale, and run-time re-planning only adds stage barriers.
+    The child shares the SparkContext and its cache; the parent's modifiable
+    SQL settings (time zone, ANSI mode, ...) are copied over."""
+    child = spark.newSession()
+    try:
+        settings = dict(spark.conf.getAll)
+    except Exception:  # older runtimes: keep the SparkConf defaults
+        settings = {}
+    for key, value in settings.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            child.conf.set(key, value)
+    child.conf.set("spark.sql.adaptive.enabled", "false")
+    child.conf.set("spark.sql.shuffle.partitions",
+                   str(max(1, -(-rows // ROLLUP_ROWS_PER_TASK))))
+    return child
+
+
+def _read_cached(spark: SparkSession, path: str) -> DataFrame:
+    """Read a written rollup into executor memory.  A lost cached block is
+    re-read from the files, not recomputed from the cells."""
+    df = spark.read.parquet(path).cache()
+    df.count()
+    return df
 
 
 @dataclass
@@ -254,13 +278,17 @@ def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
         return Analysis(spark, act, prog, derive_window(act, spec), act, prog,
                         Q.cell_pairs(act, prog), spec, params, rolled=False)
     work_dir = work_dir or f"{shared_dir(spark)}/cohortlens-run/{uuid.uuid4().hex}"
+    day_path, level_path = f"{work_dir}/act_day", f"{work_dir}/prog_level"
     with ThreadPoolExecutor(max_workers=threads + 1) as pool:
         fw = pool.submit(derive_window, act, spec)
-        fa = pool.submit(materialise, spark, activity_rollup(act), f"{work_dir}/act_day", True)
-        fp = pool.submit(materialise, spark, progression_rollup(prog), f"{work_dir}/prog_level",
-                         True)
+        fa = pool.submit(materialise, spark, activity_rollup(act), day_path)
+        fp = pool.submit(materialise, spark, progression_rollup(prog), level_path)
         fc = pool.submit(materialise, spark, Q.cell_pairs(act, prog), f"{work_dir}/cell_pairs")
-        window, act_day, prog_level, pairs = fw.result(), fa.result(), fp.result(), fc.result()
+        window, pairs = fw.result(), fc.result()
+        fa.result(), fp.result()
+    rows = max(spark.read.parquet(p).count() for p in (day_path, level_path))
+    small = rollup_session(spark, rows)
+    act_day, prog_level = _read_cached(small, day_path), _read_cached(small, level_path)
     return Analysis(spark, act, prog, window, act_day, prog_level, pairs, spec, params)
 
 
