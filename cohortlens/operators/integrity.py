@@ -132,6 +132,13 @@ def bad_cohort_cells_from_pairs(pairs: DataFrame) -> DataFrame:
             .filter(F.col("d0").isNull() | (F.col("d0") == 0) | (F.col("later") > F.col("d0"))))
 
 
+def rows_beyond_extract(cells: DataFrame, extract: dt.date) -> DataFrame:
+    """Q7 on either table: rows whose install date plus cohort day falls
+    after the extract (an impossible future row).  One global aggregate."""
+    beyond = F.date_add(_c(S.INSTALL_DATE), _c(S.COHORT_DAY).cast("int")) > F.lit(extract)
+    return cells.agg(count_if(beyond).alias("rows_beyond_extract"))
+
+
 def missing_cohort_days(act: DataFrame, extract: dt.date,
                         spec: CohortSpec = CohortSpec()) -> DataFrame:
     """Q11 detail: for each (build, install date) of the two builds, the

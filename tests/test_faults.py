@@ -170,3 +170,12 @@ def test_duplicate_level_flag(spark):
                      "odd": True, "edges": False}
     exact = {r[S.COUNTRY] for r in Q.duplicate_prog_keys(prog, Q.cell_pairs(act, prog)).collect()}
     assert exact == {"dup", "nulls"}
+
+
+def test_rows_beyond_extract_on_either_table(spark, small_cells):
+    act, prog = small_cells
+    w = derive_window(act, SPEC)
+    future_prog = prog.unionByName(spark.createDataFrame(
+        [(D(2001, 7, 31), "10.2", "ZZ", "n", "p", 5, 1, 1, 1, 0, 1, 1.0)], S.PROGRESSION_SCHEMA))
+    assert Q.rows_beyond_extract(act, w.extract).first()[0] == 0
+    assert Q.rows_beyond_extract(future_prog, w.extract).first()[0] == 1
