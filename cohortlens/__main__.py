@@ -46,6 +46,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--horizon", type=int, default=fixed.HORIZON_DAYS)
         if name == "run":
             p.add_argument("--out", required=True)
+            p.add_argument("--out-format", choices=("parquet", "json"), default="parquet")
             p.add_argument("--threads", type=int, default=8)
     sub.add_parser("list")
     args = ap.parse_args(argv)
@@ -60,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     act, prog, spec = _analysis(spark, args)
     if args.cmd == "run":
         paths = run_analysis(spark, act, prog, args.out, spec, AnalysisParams(),
-                             threads=args.threads)
+                             threads=args.threads, out_format=args.out_format)
         for name, path in sorted(paths.items()):
             print(f"{name}\t{path}")
         return 0

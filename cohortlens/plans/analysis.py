@@ -295,12 +295,16 @@ def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
 def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir: str,
                  spec: CohortSpec = CohortSpec(), params: AnalysisParams = AnalysisParams(),
                  threads: int = 8, only: list[str] | None = None,
-                 fail_on: tuple[str, ...] = ("identity_breaks",)) -> dict[str, str]:
+                 fail_on: tuple[str, ...] = ("identity_breaks",),
+                 out_format: str = "parquet") -> dict[str, str]:
     """Run every report and write it under ``out_dir``; the small reports are
     also written as one long metrics table (``out_dir/metrics``, partitioned
     by report).  Returns report name -> path.  The integrity report is
     written first; a non-zero ``fail_on`` counter raises ``IntegrityError``
-    before anything else is written."""
+    before anything else is written.  ``out_format`` is 'parquet' or 'json'
+    (JSON lines, one file per small report)."""
+    if out_format not in ("parquet", "json"):
+        raise ValueError(f"unsupported output format {out_format!r}")
     analysis = prepare(spark, act, prog, spec, params, work_dir=f"{out_dir}/_rollups")
     thunks = analysis.reports()
     names = list(dict.fromkeys((only or list(thunks)) + ["integrity_report"]))
@@ -311,7 +315,7 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
     def write(name: str) -> None:
         df = thunks[name]()
         if name in DETAIL_REPORTS:
-            df.write.mode("overwrite").parquet(paths[name])
+            df.write.mode("overwrite").format(out_format).save(paths[name])
             return
         # A handful of rows: one ordered file, and its long form next to it,
         # in the same thread (one directory per report, so writers never
@@ -320,17 +324,18 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
         small = df.coalesce(1)
         if order:
             small = small.sortWithinPartitions(*order)
-        small.write.mode("overwrite").parquet(paths[name])
-        long = long_metrics(name, spark.read.parquet(paths[name]))
+        small.write.mode("overwrite").format(out_format).save(paths[name])
+        written = spark.read.schema(df.schema).format(out_format).load(paths[name])
+        long = long_metrics(name, written)
         if long is not None:
-            (long.drop("report").coalesce(1).write.mode("overwrite")
-             .parquet(f"{metrics_dir}/report={name}"))
+            (long.drop("report").coalesce(1).write.mode("overwrite").format(out_format)
+             .save(f"{metrics_dir}/report={name}"))
 
     # The integrity report goes first: a failed stop-the-run check must
     # prevent every other output.
     write("integrity_report")
     if fail_on:
-        Q.assert_clean(spark.read.parquet(paths["integrity_report"]), fail_on)
+        Q.assert_clean(spark.read.format(out_format).load(paths["integrity_report"]), fail_on)
     with ThreadPoolExecutor(max_workers=threads) as pool:
         list(pool.map(write, [n for n in names if n != "integrity_report"]))
     if any(n not in DETAIL_REPORTS for n in names):

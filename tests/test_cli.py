@@ -49,6 +49,17 @@ def test_cli_run_writes_reports(csv_cells, capsys):
     assert "integrity_report" in printed and "metrics" in printed
 
 
+def test_cli_run_writes_json(spark, csv_cells, capsys):
+    a, p = csv_cells
+    out = tempfile.mkdtemp(prefix="cli-json-", dir="/tmp")
+    assert main(["run", "--activity", a, "--progression", p, "--format", "csv",
+                 "--out", out, "--out-format", "json", "--threads", "4"]) == 0
+    curve = spark.read.json(os.path.join(out, "retention_curve"))
+    assert curve.count() == 16
+    metrics = spark.read.json(os.path.join(out, "metrics"))
+    assert metrics.filter("report = 'retention_curve'").count() == 16 * 4
+
+
 def test_identity_break_stops_the_run(spark, small_cells):
     act, prog = small_cells
     broken = prog.unionByName(spark.createDataFrame(
