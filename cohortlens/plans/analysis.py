@@ -86,6 +86,7 @@ def progression_rollup(prog: DataFrame) -> DataFrame:
 
 def materialise(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (cuts lineage)."""
+    spark.sparkContext.setJobDescription(f"cohortlens prepare {path.rsplit('/', 1)[-1]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -313,6 +314,7 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
     metrics_dir = f"{out_dir}/metrics"
 
     def write(name: str) -> None:
+        spark.sparkContext.setJobDescription(f"cohortlens report {name}")
         df = thunks[name]()
         if name in DETAIL_REPORTS:
             df.write.mode("overwrite").format(out_format).save(paths[name])
