@@ -179,3 +179,13 @@ def test_rows_beyond_extract_on_either_table(spark, small_cells):
         [(D(2001, 7, 31), "10.2", "ZZ", "n", "p", 5, 1, 1, 1, 0, 1, 1.0)], S.PROGRESSION_SCHEMA))
     assert Q.rows_beyond_extract(act, w.extract).first()[0] == 0
     assert Q.rows_beyond_extract(future_prog, w.extract).first()[0] == 1
+
+
+def test_empty_window_raises(spark):
+    # The candidate's first install is later than extract - horizon.
+    rows = [(D(2001, 1, 1), "10.2", "X", "n", "p", 0, 5, 5, 10.0),
+            (D(2001, 1, 5), "11.0", "X", "n", "p", 0, 5, 5, 10.0),
+            (D(2001, 1, 8), "10.2", "X", "n", "p", 0, 5, 5, 10.0)]
+    act = spark.createDataFrame(rows, S.ACTIVITY_SCHEMA)
+    with pytest.raises(WindowError):
+        derive_window(act, SPEC)

@@ -43,3 +43,21 @@ def test_register_views(spark, small_cells):
     n = spark.sql("SELECT COUNT(*) AS n FROM act WHERE i_cohort_groups = 0").collect()[0]["n"]
     assert n == act.filter("i_cohort_groups = 0").count()
     assert spark.sql("SELECT COUNT(*) FROM prog").collect()[0][0] == prog.count()
+
+
+def test_parquet_timestamp_dates_and_int_counts_are_aligned(spark):
+    from pyspark.sql import functions as F
+
+    d = tempfile.mkdtemp(prefix="cells-ts-", dir="/tmp")
+    raw = spark.createDataFrame(
+        [("2026-04-15 00:00:00", "10.2", "US", "Organic", "other", 0, 10, 12, 600.5)],
+        "d string, v string, c string, n string, p string, cd int, u int, s int, pt double")
+    raw = raw.select(F.to_timestamp("d").alias(S.INSTALL_DATE), F.col("v").alias(S.VERSION),
+                     F.col("c").alias(S.COUNTRY), F.col("n").alias(S.NETWORK),
+                     F.col("p").alias(S.PACKAGE), F.col("cd").alias(S.COHORT_DAY),
+                     F.col("u").alias(S.ACTIVE), F.col("s").alias(S.SESSIONS),
+                     F.col("pt").alias(S.PLAYTIME))
+    raw.write.parquet(os.path.join(d, "act"))
+    act = read_activity(spark, os.path.join(d, "act"))
+    assert act.schema == S.ACTIVITY_SCHEMA
+    assert act.first()[S.INSTALL_DATE] == dt.date(2026, 4, 15)
