@@ -69,3 +69,13 @@ def test_identity_break_stops_the_run(spark, small_cells):
     with pytest.raises(IntegrityError):
         run_analysis(spark, act, broken, out, catalog.SPEC, catalog.PARAMS, threads=2)
     assert not os.path.exists(os.path.join(out, "retention_curve"))
+
+
+def test_other_stop_rules_use_the_integrity_report(spark, small_cells):
+    act, prog = small_cells
+    out = tempfile.mkdtemp(prefix="failon2-", dir="/tmp")
+    with pytest.raises(IntegrityError):
+        run_analysis(spark, act, prog, out, catalog.SPEC, catalog.PARAMS, threads=2,
+                     fail_on=("identity_breaks", "act_cells_without_prog"))
+    assert os.path.exists(os.path.join(out, "integrity_report"))
+    assert not os.path.exists(os.path.join(out, "retention_curve"))
