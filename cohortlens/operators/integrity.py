@@ -220,6 +220,48 @@ def playtime_quirk(act: DataFrame, prog: DataFrame | None = None,
     )
 
 
+def playtime_quirk_from(flagged: DataFrame, totals_from: DataFrame,
+                        row_count: str | None = None) -> DataFrame:
+    """Q17 from already flagged cells (``playtime_quirk_cells``) plus the
+    totals of all cells, taken from ``totals_from`` (the cells, or a rollup
+    whose ``row_count`` column counts them).  Equal to ``playtime_quirk``
+    without a second join of every activity row.
+
+    The two one-row aggregates are stacked and folded with MAX, each column
+    being set in exactly one of them; no cross join."""
+    u = _c(S.ACTIVE)
+    part = flagged.agg(
+        F.count(F.lit(1)).alias("anomalous_cells"),
+        F.lit(None).cast("bigint").alias("total_cells"),
+        F.avg(F.try_divide(F.col("level_seconds"), _c(S.PLAYTIME))).alias("_ratio"),
+        F.avg(u).alias("_actives"),
+        F.sum(u).alias("user_days_touched"),
+        F.lit(None).cast("bigint").alias("user_days_total"),
+    )
+    rows = F.sum(row_count) if row_count else F.count(F.lit(1))
+    whole = totals_from.agg(
+        F.lit(None).cast("bigint").alias("anomalous_cells"),
+        rows.cast("bigint").alias("total_cells"),
+        F.lit(None).cast("double").alias("_ratio"),
+        F.lit(None).cast("double").alias("_actives"),
+        F.lit(None).cast("bigint").alias("user_days_touched"),
+        F.sum(u).cast("bigint").alias("user_days_total"),
+    )
+    both = part.unionByName(whole).agg(
+        F.max("anomalous_cells").alias("anomalous_cells"),
+        F.max("total_cells").alias("total_cells"),
+        F.max("_ratio").alias("_ratio"), F.max("_actives").alias("_actives"),
+        F.max("user_days_touched").alias("user_days_touched"),
+        F.max("user_days_total").alias("user_days_total"),
+    )
+    return both.select(
+        "anomalous_cells", "total_cells",
+        round_scaled("_ratio", 2).alias("avg_ratio"),
+        round_scaled("_actives", 1).alias("avg_cell_actives"),
+        "user_days_touched", "user_days_total",
+    )
+
+
 def zero_playtime_users(u: Column, pt: Column) -> Column:
     """Per cell: its active users if it has actives but no playtime, else 0."""
     return F.when((pt <= 0) & (u > 0), u).otherwise(F.lit(0))

@@ -348,8 +348,23 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
         write("integrity_report")
         Q.assert_clean(spark.read.format(out_format).load(paths["integrity_report"]), fail_on)
         rest = [n for n in names if n != "integrity_report"]
+    # The quirk summary reuses the flagged cells written in the first wave
+    # (and the totals of the cached rollup) instead of joining every
+    # activity row to the pairs a second time.
+    second = []
+    if analysis.rolled and {"playtime_quirk", "playtime_quirk_cells"} <= set(rest):
+        rest = [n for n in rest if n != "playtime_quirk"]
+        second = ["playtime_quirk"]
+        small = analysis.act_day.sparkSession
+        thunks["playtime_quirk"] = lambda: Q.playtime_quirk_from(
+            small.read.schema(flagged_schema).format(out_format)
+            .load(paths["playtime_quirk_cells"]),
+            analysis.act_day, row_count=CELLS)
+        flagged_schema = thunks["playtime_quirk_cells"]().schema
     with ThreadPoolExecutor(max_workers=threads) as pool:
         list(pool.map(write, rest))
+    for name in second:
+        write(name)
     if any(n not in DETAIL_REPORTS for n in names):
         paths["metrics"] = metrics_dir
     return paths

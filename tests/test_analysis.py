@@ -70,3 +70,28 @@ def test_concurrent_queries_share_one_build(spark):
     assert all(c > 0 for c in counts)
     keys = [k for k in fixture._MATERIALISED if k[1].endswith("sf0.001")]
     assert len(keys) == 1
+
+
+def test_quirk_summary_from_flagged_cells_equals_join(spark, small_cells):
+    from cohortlens.operators import integrity as Q
+    from cohortlens.plans.analysis import activity_rollup
+
+    act, prog = small_cells
+    pairs = Q.cell_pairs(act, prog)
+    direct = Q.playtime_quirk(act, pairs=pairs).collect()
+    flagged = Q.playtime_quirk_cells(act, pairs=pairs)
+    via_cells = Q.playtime_quirk_from(flagged, act).collect()
+    via_rollup = Q.playtime_quirk_from(flagged, activity_rollup(act), row_count="n_cells").collect()
+    assert direct == via_cells == via_rollup
+
+
+def test_full_run_quirk_summary_matches_query(spark, small_cells):
+    from cohortlens.plans.analysis import run_analysis
+
+    act, prog = small_cells
+    out = tempfile.mkdtemp(prefix="quirk-run-", dir="/tmp")
+    paths = run_analysis(spark, act, prog, out, catalog.SPEC, catalog.PARAMS, threads=4,
+                         only=["playtime_quirk", "playtime_quirk_cells"])
+    written = spark.read.parquet(paths["playtime_quirk"])
+    expected = catalog.queries()["playtime_quirk"](spark, SF_SMALL)
+    assert _rows(written.select(*expected.columns)) == _rows(expected)
