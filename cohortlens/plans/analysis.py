@@ -348,23 +348,29 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
         write("integrity_report")
         Q.assert_clean(spark.read.format(out_format).load(paths["integrity_report"]), fail_on)
         rest = [n for n in names if n != "integrity_report"]
-    # The quirk summary reuses the flagged cells written in the first wave
-    # (and the totals of the cached rollup) instead of joining every
-    # activity row to the pairs a second time.
+    # Second wave: summaries that can read what the first wave wrote instead
+    # of rescanning cells -- the quirk summary from the flagged cells (and
+    # the totals of the cached rollup), the largest mix gap from the mix.
     second = []
+
+    def written(name: str, session: SparkSession, schema) -> DataFrame:
+        return session.read.schema(schema).format(out_format).load(paths[name])
+
     if analysis.rolled and {"playtime_quirk", "playtime_quirk_cells"} <= set(rest):
-        rest = [n for n in rest if n != "playtime_quirk"]
-        second = ["playtime_quirk"]
         small = analysis.act_day.sparkSession
+        cells_schema = thunks["playtime_quirk_cells"]().schema
         thunks["playtime_quirk"] = lambda: Q.playtime_quirk_from(
-            small.read.schema(flagged_schema).format(out_format)
-            .load(paths["playtime_quirk_cells"]),
-            analysis.act_day, row_count=CELLS)
-        flagged_schema = thunks["playtime_quirk_cells"]().schema
+            written("playtime_quirk_cells", small, cells_schema), analysis.act_day,
+            row_count=CELLS)
+        second.append("playtime_quirk")
+    if {"mix_max_gap", "mix_balance"} <= set(rest):
+        mix_schema = thunks["mix_balance"]().schema
+        thunks["mix_max_gap"] = lambda: M.mix_max_gap(written("mix_balance", spark, mix_schema))
+        second.append("mix_max_gap")
+    rest = [n for n in rest if n not in second]
     with ThreadPoolExecutor(max_workers=threads) as pool:
         list(pool.map(write, rest))
-    for name in second:
-        write(name)
+        list(pool.map(write, second))
     if any(n not in DETAIL_REPORTS for n in names):
         paths["metrics"] = metrics_dir
     return paths

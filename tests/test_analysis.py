@@ -95,3 +95,15 @@ def test_full_run_quirk_summary_matches_query(spark, small_cells):
     written = spark.read.parquet(paths["playtime_quirk"])
     expected = catalog.queries()["playtime_quirk"](spark, SF_SMALL)
     assert _rows(written.select(*expected.columns)) == _rows(expected)
+
+
+def test_full_run_mix_gap_matches_query(spark, small_cells):
+    from cohortlens.plans.analysis import run_analysis
+
+    act, prog = small_cells
+    out = tempfile.mkdtemp(prefix="mix-run-", dir="/tmp")
+    paths = run_analysis(spark, act, prog, out, catalog.SPEC, catalog.PARAMS, threads=4,
+                         only=["mix_balance", "mix_max_gap"])
+    written = spark.read.parquet(paths["mix_max_gap"])
+    expected = catalog.queries()["mix_max_gap"](spark, SF_SMALL)
+    assert _rows(written) == _rows(expected)
