@@ -341,27 +341,24 @@ def integrity_report(act: DataFrame, prog: DataFrame, extract: dt.date,
     return integrity_from_pairs(cell_pairs(act, prog), prog, extract, spec)
 
 
-def integrity_from_pairs(pairs: DataFrame, prog: DataFrame, extract: dt.date,
-                         spec: CohortSpec = CohortSpec()) -> DataFrame:
-    """Q19 over precomputed grain pairs (see ``cell_pairs``).
+COHORT_COUNTERS = ["act_rows", "prog_rows", "identity_breaks", "negatives", "dup_act",
+                   "rows_beyond_extract", "prog_cells_without_act", "act_cells_without_prog",
+                   "cells_sessions_lt_actives", "cells_playtime_gt_24h", "cells_users_gt_starts"]
 
-    One scan of each table feeds one chain of shrinking aggregates:
-    grain pairs (KEY6) -> cohort (KEY5) -> build x install date -> build ->
-    one row.  The expected cohort days of a (build, date) are a bit mask
-    compared with the bit mask of the days present, so no day list is
-    generated or joined.
-    """
+
+def cohort_rollup(pairs: DataFrame, extract: dt.date,
+                  spec: CohortSpec = CohortSpec()) -> DataFrame:
+    """The grain pairs rolled up to cohorts (KEY5): day-0 and largest later
+    actives, a bit mask of the cohort days present, and every counter.
+
+    A cohort holds at most one pair per cohort day, so no group is hot here
+    even when a key of the cells is."""
     h = spec.horizon
     has_act, has_prog = F.col("a_rows").isNotNull(), F.col("p_rows").isNotNull()
     cd, d = _c(S.COHORT_DAY), _c(S.INSTALL_DATE)
     beyond = F.date_add(d, cd.cast("int")) > F.lit(extract)
     day_bit = F.when(has_act & cd.between(0, h), _bit(cd))
-
-    def total(c: str) -> Column:
-        return F.sum(c).alias(c)
-
-    # Cohort level (KEY5).
-    k5 = pairs.groupBy(*S.KEY5).agg(
+    return pairs.groupBy(*S.KEY5).agg(
         sum_if(F.col("a_users"), has_act & (cd == 0)).alias("d0"),
         max_if(F.col("a_users_max"), has_act & (cd > 0)).alias("later"),
         F.bit_or(day_bit).alias("days_mask"),
@@ -379,17 +376,45 @@ def integrity_from_pairs(pairs: DataFrame, prog: DataFrame, extract: dt.date,
         F.sum("a_playtime_gt_24h").alias("cells_playtime_gt_24h"),
         F.sum("p_users_gt_starts").alias("cells_users_gt_starts"),
     )
-    bad = (F.col("has_act") == 1) & (F.col("d0").isNull() | (F.col("d0") == 0)
-                                     | (F.col("later") > F.col("d0")))
-    counters = ["act_rows", "prog_rows", "identity_breaks", "negatives", "dup_act",
-                "rows_beyond_extract", "prog_cells_without_act", "act_cells_without_prog",
-                "cells_sessions_lt_actives", "cells_playtime_gt_24h", "cells_users_gt_starts"]
+
+
+def _is_bad_cohort() -> Column:
+    d0 = F.col("d0")
+    return (F.col("has_act") == 1) & (d0.isNull() | (d0 == 0) | (F.col("later") > d0))
+
+
+def bad_cohort_cells_from_cohorts(cohorts: DataFrame) -> DataFrame:
+    """Q8 detail from the cohort rollup (same rows as ``bad_cohort_cells``)."""
+    return cohorts.filter(_is_bad_cohort()).select(*S.KEY5, "d0", "later")
+
+
+def integrity_from_pairs(pairs: DataFrame, prog: DataFrame, extract: dt.date,
+                         spec: CohortSpec = CohortSpec()) -> DataFrame:
+    """Q19 over precomputed grain pairs (see ``cell_pairs``)."""
+    return integrity_from_cohorts(cohort_rollup(pairs, extract, spec), pairs, prog,
+                                  extract, spec)
+
+
+def integrity_from_cohorts(cohorts: DataFrame, pairs: DataFrame, prog: DataFrame,
+                           extract: dt.date, spec: CohortSpec = CohortSpec()) -> DataFrame:
+    """Q19 from the cohort rollup: build x install date -> build -> one row.
+
+    The expected cohort days of a (build, date) are a bit mask compared with
+    the bit mask of the days present, so no day list is generated or
+    joined.  The duplicated-level count comes from the semi join on the
+    keys the pairs flag (normally empty)."""
+    h = spec.horizon
+    d = _c(S.INSTALL_DATE)
+    counters = COHORT_COUNTERS
+
+    def total(c: str) -> Column:
+        return F.sum(c).alias(c)
 
     # Build x install date.
-    vd = k5.groupBy(S.VERSION, S.INSTALL_DATE).agg(
+    vd = cohorts.groupBy(S.VERSION, S.INSTALL_DATE).agg(
         F.bit_or("days_mask").alias("days_mask"),
         F.max("has_act").alias("has_act"),
-        count_if(bad).alias("bad_cohort_cells"),
+        count_if(_is_bad_cohort()).alias("bad_cohort_cells"),
         *[total(c) for c in counters],
     )
     last = F.least(F.lit(h), F.datediff(F.lit(extract), d))

@@ -9,6 +9,8 @@
                 failures, users, level seconds
      cell_pairs (activity grain) -> both tables' per-key counts and fault
                 counts, paired by a full outer join
+     cohorts    (KEY5 rollup of the pairs) -> day-0 / later actives, days
+                present, every integrity counter
    The two rollups have builds x dates x days (or levels) rows whatever the
    number of cells, so every report that only splits by build, date, cohort
    day or level reads a few thousand rows (cached) instead of the cells.  The
@@ -137,6 +139,12 @@ class Analysis:
     spec: CohortSpec = field(default_factory=CohortSpec)
     params: AnalysisParams = field(default_factory=AnalysisParams)
     rolled: bool = True   # act_day / prog_level are rollups (else the cells)
+    cohorts: DataFrame | None = None   # KEY5 rollup of the pairs (lazy if None)
+
+    def cohort_rollup(self) -> DataFrame:
+        if self.cohorts is None:
+            self.cohorts = Q.cohort_rollup(self.pairs, self.window.extract, self.spec)
+        return self.cohorts
 
     def reports(self) -> dict[str, Callable[[], DataFrame]]:
         """Every report as a thunk; rollup-backed where the split allows."""
@@ -160,8 +168,9 @@ class Analysis:
             "label_behaviour_profile": lambda: L.label_behaviour_profile(ad, pl, w, pr.break_level),
             "label_predates_parent": lambda: L.label_predates_parent(ad, pr.patch_label, sp.cand),
             # integrity
-            "integrity_report": lambda: Q.integrity_from_pairs(pairs, p, w.extract, sp),
-            "bad_cohort_cells": lambda: Q.bad_cohort_cells_from_pairs(pairs),
+            "integrity_report": lambda: Q.integrity_from_cohorts(
+                self.cohort_rollup(), pairs, p, w.extract, sp),
+            "bad_cohort_cells": lambda: Q.bad_cohort_cells_from_cohorts(self.cohort_rollup()),
             "orphan_prog_cells": lambda: Q.orphan_prog_cells(pairs),
             "orphan_act_cells": lambda: Q.orphan_act_cells(pairs),
             "missing_cohort_days": lambda: Q.missing_cohort_days(ad, w.extract, sp),
@@ -288,10 +297,15 @@ def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
         fc = pool.submit(materialise, spark, Q.cell_pairs(act, prog), f"{work_dir}/cell_pairs")
         window, pairs = fw.result(), fc.result()
         fa.result(), fp.result()
+    # The cohort rollup (KEY5) of the pairs feeds the integrity counters and
+    # the bad-cohort list; built once, after the pairs and the window.
+    cohorts = materialise(spark, Q.cohort_rollup(pairs, window.extract, spec),
+                          f"{work_dir}/cohorts")
     rows = max(spark.read.parquet(p).count() for p in (day_path, level_path))
     small = rollup_session(spark, rows)
     act_day, prog_level = _read_cached(small, day_path), _read_cached(small, level_path)
-    return Analysis(spark, act, prog, window, act_day, prog_level, pairs, spec, params)
+    return Analysis(spark, act, prog, window, act_day, prog_level, pairs, spec, params,
+                    cohorts=cohorts)
 
 
 def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir: str,
