@@ -123,15 +123,6 @@ def duplicate_prog_keys(prog: DataFrame, pairs: DataFrame) -> DataFrame:
     return duplicate_keys(suspects, S.KEY7)
 
 
-def bad_cohort_cells_from_pairs(pairs: DataFrame) -> DataFrame:
-    """Q8 detail from the grain pairs (same rows as ``bad_cohort_cells``)."""
-    has_act, cd = F.col("a_rows").isNotNull(), _c(S.COHORT_DAY)
-    return (pairs.filter(has_act).groupBy(*S.KEY5)
-            .agg(sum_if(F.col("a_users"), cd == 0).alias("d0"),
-                 max_if(F.col("a_users_max"), cd > 0).alias("later"))
-            .filter(F.col("d0").isNull() | (F.col("d0") == 0) | (F.col("later") > F.col("d0"))))
-
-
 def rows_beyond_extract(cells: DataFrame, extract: dt.date) -> DataFrame:
     """Q7 on either table: rows whose install date plus cohort day falls
     after the extract (an impossible future row).  One global aggregate."""
