@@ -10,7 +10,8 @@
      cell_pairs (activity grain) -> both tables' per-key counts and fault
                 counts, paired by a full outer join
      cohorts    (KEY5 rollup of the pairs) -> day-0 / later actives, days
-                present, every integrity counter
+                present, every integrity counter; built on first use (in a
+                full run: alongside the first wave of reports)
    The two rollups have builds x dates x days (or levels) rows whatever the
    number of cells, so every report that only splits by build, date, cohort
    day or level reads a few thousand rows (cached) instead of the cells.  The
@@ -26,6 +27,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -139,12 +141,19 @@ class Analysis:
     spec: CohortSpec = field(default_factory=CohortSpec)
     params: AnalysisParams = field(default_factory=AnalysisParams)
     rolled: bool = True   # act_day / prog_level are rollups (else the cells)
-    cohorts: DataFrame | None = None   # KEY5 rollup of the pairs (lazy if None)
+    work_dir: str | None = None        # where shared intermediates are written
+    cohorts: DataFrame | None = None   # KEY5 rollup of the pairs, built on first use
+    _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def cohort_rollup(self) -> DataFrame:
-        if self.cohorts is None:
-            self.cohorts = Q.cohort_rollup(self.pairs, self.window.extract, self.spec)
-        return self.cohorts
+        """The cohort (KEY5) rollup of the grain pairs, built once: written to
+        the shared folder when there is one, else kept lazy."""
+        with self._lock:
+            if self.cohorts is None:
+                rollup = Q.cohort_rollup(self.pairs, self.window.extract, self.spec)
+                self.cohorts = (materialise(self.spark, rollup, f"{self.work_dir}/cohorts")
+                                if self.work_dir else rollup)
+            return self.cohorts
 
     def reports(self) -> dict[str, Callable[[], DataFrame]]:
         """Every report as a thunk; rollup-backed where the split allows."""
@@ -297,15 +306,11 @@ def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
         fc = pool.submit(materialise, spark, Q.cell_pairs(act, prog), f"{work_dir}/cell_pairs")
         window, pairs = fw.result(), fc.result()
         fa.result(), fp.result()
-    # The cohort rollup (KEY5) of the pairs feeds the integrity counters and
-    # the bad-cohort list; built once, after the pairs and the window.
-    cohorts = materialise(spark, Q.cohort_rollup(pairs, window.extract, spec),
-                          f"{work_dir}/cohorts")
     rows = max(spark.read.parquet(p).count() for p in (day_path, level_path))
     small = rollup_session(spark, rows)
     act_day, prog_level = _read_cached(small, day_path), _read_cached(small, level_path)
     return Analysis(spark, act, prog, window, act_day, prog_level, pairs, spec, params,
-                    cohorts=cohorts)
+                    work_dir=work_dir)
 
 
 def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir: str,
@@ -377,13 +382,21 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
             written("playtime_quirk_cells", small, cells_schema), analysis.act_day,
             row_count=CELLS)
         second.append("playtime_quirk")
+    first_jobs = []
+    cohort_users = [n for n in ("integrity_report", "bad_cohort_cells") if n in rest]
+    if analysis.rolled and cohort_users:
+        first_jobs.append(analysis.cohort_rollup)   # built alongside the first wave
+        second += cohort_users
     if {"mix_max_gap", "mix_balance"} <= set(rest):
         mix_schema = thunks["mix_balance"]().schema
         thunks["mix_max_gap"] = lambda: M.mix_max_gap(written("mix_balance", spark, mix_schema))
         second.append("mix_max_gap")
     rest = [n for n in rest if n not in second]
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        list(pool.map(write, rest))
+        jobs = [pool.submit(job) for job in first_jobs]
+        jobs += [pool.submit(write, n) for n in rest]
+        for job in jobs:
+            job.result()
         list(pool.map(write, second))
     if any(n not in DETAIL_REPORTS for n in names):
         paths["metrics"] = metrics_dir
