@@ -47,7 +47,8 @@ def main(argv: list[str] | None = None) -> int:
         if name == "run":
             p.add_argument("--out", required=True)
             p.add_argument("--out-format", choices=("parquet", "json"), default="parquet")
-            p.add_argument("--threads", type=int, default=8)
+            p.add_argument("--threads", type=int, default=16,
+                           help="concurrent report jobs (small jobs: more than cores helps)")
     sub.add_parser("list")
     args = ap.parse_args(argv)
 

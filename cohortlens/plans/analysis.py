@@ -315,7 +315,7 @@ def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
 
 def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir: str,
                  spec: CohortSpec = CohortSpec(), params: AnalysisParams = AnalysisParams(),
-                 threads: int = 8, only: list[str] | None = None,
+                 threads: int = 16, only: list[str] | None = None,
                  fail_on: tuple[str, ...] = ("identity_breaks",),
                  out_format: str = "parquet") -> dict[str, str]:
     """Run every report and write it under ``out_dir``; the small reports are
