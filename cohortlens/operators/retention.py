@@ -25,6 +25,7 @@ from cohortlens.operators.window import AnalysisWindow, comparable, two_builds
 from cohortlens.spec import CohortSpec
 
 
+# Short column accessors: actives, cohort day, install date, build label.
 def _u() -> Column:
     return F.col(S.ACTIVE)
 
@@ -185,7 +186,8 @@ def retention_gap_by_cohort(act: DataFrame, window: AnalysisWindow,
     """Per install date, candidate DN minus base DN in points (1 dp);
     NULL when a build has no cohort that date.  One aggregate by date."""
     def rate(label: str) -> Column:
-        return ratio(sum_if(_u(), (_v() == label) & (_cd() == day)), sum_if(_u(), (_v() == label) & (_cd() == 0)))
+        build = _v() == label
+        return ratio(sum_if(_u(), build & (_cd() == day)), sum_if(_u(), build & (_cd() == 0)))
 
     return comparable(act, window, spec).groupBy(S.INSTALL_DATE).agg(
         round_scaled(F.lit(100.0) * (rate(spec.cand) - rate(spec.base)), 1)
@@ -232,15 +234,19 @@ def censoring_bias(act: DataFrame, window: AnalysisWindow,
     corrected matched-window rate and the base build's matched-window rate.
     One global aggregate over the two builds, unfolded into one row per day."""
     inwin = _d().between(F.lit(window.start), F.lit(window.end)) & (_cd() <= spec.horizon)
+    everything = F.lit(True)
+
+    def rate(label: str, n: int, where: Column) -> Column:
+        build = (_v() == label) & where
+        return round_scaled(pct(sum_if(_u(), build & (_cd() == n)),
+                                sum_if(_u(), build & (_cd() == 0))), 2)
+
     aggs = []
     for n in spec.days:
         aggs += [
-            round_scaled(pct(sum_if(_u(), (_v() == spec.cand) & (_cd() == n)),
-                             sum_if(_u(), (_v() == spec.cand) & (_cd() == 0))), 2).alias(f"naive_{n}"),
-            round_scaled(pct(sum_if(_u(), (_v() == spec.cand) & (_cd() == n) & inwin),
-                             sum_if(_u(), (_v() == spec.cand) & (_cd() == 0) & inwin)), 2).alias(f"corr_{n}"),
-            round_scaled(pct(sum_if(_u(), (_v() == spec.base) & (_cd() == n) & inwin),
-                             sum_if(_u(), (_v() == spec.base) & (_cd() == 0) & inwin)), 2).alias(f"ref_{n}"),
+            rate(spec.cand, n, everything).alias(f"naive_{n}"),
+            rate(spec.cand, n, inwin).alias(f"corr_{n}"),
+            rate(spec.base, n, inwin).alias(f"ref_{n}"),
         ]
     wide = two_builds(act, spec).agg(*aggs)
     rows = F.array(*[
