@@ -97,9 +97,24 @@ def _close(a, b) -> bool:
     return True
 
 
-@pytest.fixture(scope="module", params=[7, 19])
+def skewed_cells(seed: int):
+    """Dirty cells where one activity key (and its progression rows) holds a
+    third of all rows."""
+    act, prog = dirty_cells(seed)
+    hot = next(r for r in act if r[1] == "10.2" and r[0] is not None and r[5] == 0)
+    act += [hot] * (len(act) // 2)
+    hot_prog = [r for r in prog if r[:6] == hot[:6]][:1] or \
+        [hot[:6] + (3, 2, 1, 1, 2, 60.0)]
+    prog += hot_prog * (len(prog) // 2)
+    return act, prog
+
+
+@pytest.fixture(scope="module", params=["seed7", "seed19", "hotkey"])
 def dirty(request, spark):
-    act_rows, prog_rows = dirty_cells(request.param)
+    if request.param == "hotkey":
+        act_rows, prog_rows = skewed_cells(3)
+    else:
+        act_rows, prog_rows = dirty_cells(int(request.param[4:]))
     act = spark.createDataFrame(act_rows, S.ACTIVITY_SCHEMA)
     prog = spark.createDataFrame(prog_rows, S.PROGRESSION_SCHEMA)
     con = duckdb.connect()
