@@ -61,3 +61,25 @@ def test_parquet_timestamp_dates_and_int_counts_are_aligned(spark):
     act = read_activity(spark, os.path.join(d, "act"))
     assert act.schema == S.ACTIVITY_SCHEMA
     assert act.first()[S.INSTALL_DATE] == dt.date(2026, 4, 15)
+
+
+def test_write_metrics_long_form(spark, small_cells):
+    from cohortlens.operators import retention as R
+    from cohortlens.operators.window import derive_window
+    from cohortlens.sources.metrics import write_metrics
+    from cohortlens.spec import CohortSpec
+
+    act, _ = small_cells
+    spec = CohortSpec()
+    w = derive_window(act, spec)
+    reports = {"retention_curve": R.retention_curve(act, w, spec),
+               "retention_naive": R.retention_naive(act, spec)}
+    out = os.path.join(tempfile.mkdtemp(prefix="metrics-", dir="/tmp"), "m")
+    write_metrics(reports, out)
+    long = spark.read.parquet(out)
+    assert long.columns == ["report", "keys", "metric", "value"]
+    # curve: 16 rows x 4 numeric columns; naive: 2 builds x 3 days
+    assert long.filter("report = 'retention_curve'").count() == 16 * 4
+    row = long.filter("report = 'retention_naive' AND metric = 'd1' AND keys['s_app_version'] = '10.2'")
+    expected = R.retention_naive(act, spec).filter("s_app_version = '10.2'").first()["d1"]
+    assert row.first()["value"] == expected
