@@ -3,8 +3,9 @@
 Every entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame.  Per
 application and scale the fixture cells are built once and read back from
 Parquet (``sources.fixture.fixture_tables``), the window is derived once,
-and the two shared rollups of ``plans.analysis`` are materialised once; each
-report then reads whichever of cells or rollups it needs.  The SQL twin of
+and the shared intermediates of ``plans.analysis`` (two rollups, grain pairs,
+cohort rollup) are materialised once; each report then reads whichever of
+cells or intermediates it needs.  The SQL twin of
 each entry is ``cohortlens.plans.oracle.ORACLE[name]``.
 """
 
