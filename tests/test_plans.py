@@ -74,3 +74,23 @@ def test_hash_shuffles_carry_partial_aggregates(spark, name):
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     initial = plan.split("+- == Initial Plan ==")[-1]
     assert _exchanges_without_partial_aggregate(initial) == [], name
+
+
+def test_date_partitioned_cells_are_pruned(spark, small_cells):
+    import os
+    import tempfile
+
+    from cohortlens.operators import retention as R
+    from cohortlens.operators.window import derive_window
+    from cohortlens.sources.cells import read_activity, write_cells
+    from cohortlens.spec import CohortSpec
+
+    act, _ = small_cells
+    spec = CohortSpec()
+    path = os.path.join(tempfile.mkdtemp(prefix="pruned-", dir="/tmp"), "act")
+    write_cells(act.filter("d_install_date >= date'2001-06-01'"), path)
+    cells = read_activity(spark, path)
+    w = derive_window(cells, spec)
+    plan = _plan(R.retention_curve(cells, w, spec))
+    part = [line for line in plan.splitlines() if line.startswith("PartitionFilters")]
+    assert part and "d_install_date" in part[0], plan
