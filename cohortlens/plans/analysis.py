@@ -114,7 +114,10 @@ def rollup_session(spark: SparkSession, rows: int) -> SparkSession:
         settings = {}
     for key, value in settings.items():
         if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
-            child.conf.set(key, value)
+            try:
+                child.conf.set(key, value)
+            except Exception:  # a setting the runtime refuses to copy keeps its default
+                pass
     child.conf.set("spark.sql.adaptive.enabled", "false")
     child.conf.set("spark.sql.shuffle.partitions",
                    str(max(1, -(-rows // ROLLUP_ROWS_PER_TASK))))
