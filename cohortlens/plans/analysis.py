@@ -370,10 +370,12 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
         write("integrity_report")
         Q.assert_clean(spark.read.format(out_format).load(paths["integrity_report"]), fail_on)
         rest = [n for n in names if n != "integrity_report"]
-    # Second wave: summaries that can read what the first wave wrote instead
-    # of rescanning cells -- the quirk summary from the flagged cells (and
-    # the totals of the cached rollup), the largest mix gap from the mix.
-    second = []
+    # Dependent reports read what another job wrote instead of rescanning
+    # cells: the quirk summary reads the flagged cells (and the totals of
+    # the cached rollup), the largest mix gap reads the mix, and the
+    # integrity counters and bad-cohort list read the cohort rollup.  Each
+    # starts as soon as its own parents are done.
+    parents: dict[str, list[str]] = {}
 
     def written(name: str, session: SparkSession, schema) -> DataFrame:
         return session.read.schema(schema).format(out_format).load(paths[name])
@@ -384,23 +386,35 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
         thunks["playtime_quirk"] = lambda: Q.playtime_quirk_from(
             written("playtime_quirk_cells", small, cells_schema), analysis.act_day,
             row_count=CELLS)
-        second.append("playtime_quirk")
-    first_jobs = []
-    cohort_users = [n for n in ("integrity_report", "bad_cohort_cells") if n in rest]
-    if analysis.rolled and cohort_users:
-        first_jobs.append(analysis.cohort_rollup)   # built alongside the first wave
-        second += cohort_users
+        parents["playtime_quirk"] = ["playtime_quirk_cells"]
     if {"mix_max_gap", "mix_balance"} <= set(rest):
         mix_schema = thunks["mix_balance"]().schema
         thunks["mix_max_gap"] = lambda: M.mix_max_gap(written("mix_balance", spark, mix_schema))
-        second.append("mix_max_gap")
-    rest = [n for n in rest if n not in second]
+        parents["mix_max_gap"] = ["mix_balance"]
+    cohort_users = [n for n in ("integrity_report", "bad_cohort_cells") if n in rest]
+    if analysis.rolled and cohort_users:
+        for n in cohort_users:
+            parents[n] = ["_cohorts"]
+
+    def after(name: str, futures: dict) -> None:
+        for parent in parents[name]:
+            futures[parent].result()
+        write(name)
+
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        jobs = [pool.submit(job) for job in first_jobs]
-        jobs += [pool.submit(write, n) for n in rest]
-        for job in jobs:
-            job.result()
-        list(pool.map(write, second))
+        # Parents are queued before dependents and the pool runs jobs in
+        # order, so a waiting dependent never holds up one of its parents.
+        futures = {}
+        if any(parents[n] == ["_cohorts"] for n in parents):
+            futures["_cohorts"] = pool.submit(analysis.cohort_rollup)
+        for n in rest:
+            if n not in parents:
+                futures[n] = pool.submit(write, n)
+        for n in rest:
+            if n in parents:
+                futures[n] = pool.submit(after, n, futures)
+        for future in futures.values():
+            future.result()
     if any(n not in DETAIL_REPORTS for n in names):
         paths["metrics"] = metrics_dir
     return paths
