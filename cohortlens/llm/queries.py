@@ -40,7 +40,7 @@ WITH items AS (
   SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark
 ), windows AS (
   SELECT item, unnest(CASE WHEN len(w) = 0 THEN []
-    ELSE list_transform(range(0, greatest(len(w) - 9, 1)), k -> array_to_string(w[k + 1 : k + 10], ' ')) END) AS win,
+    ELSE list_transform(range(0, greatest(len(w) - 9, 1)), lambda k: array_to_string(w[k + 1 : k + 10], ' ')) END) AS win,
     least(len(w), 10) AS size
   FROM items
 ), sizes AS (SELECT DISTINCT size FROM windows WHERE size > 0),
