@@ -33,9 +33,13 @@ from cohortlens.llm.shared import written
 
 PER_CLASS = 2500
 TERMS = 1024
-LEAST_Z = 4.0
+#: A term's least evidence (log likelihood ratio of its label counts against the sample's share)
+#: and least ratio of its rates under the two labels.
+LEAST_EVIDENCE = 18.0
+LEAST_RATIO = 3.0
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST_BLOCKS = 6
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 _U = np.uint64
@@ -95,17 +99,20 @@ class Index:
         """Exact k nearest examples with a positive cosine: (positions, cosines)."""
         bound = q @ self.block_max[at]
         order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1]:
-                break
-            lo = self.edges[b]
-            cos = q @ self.weight[at, lo : lo + BLOCK]
-            pos = np.flatnonzero(cos > 0) + lo
-            pos = pos[pos != skip]
-            all_at, all_cos = np.concatenate([best_at, pos]), np.concatenate([best, cos[pos - lo]])
-            top = np.lexsort((all_at, -all_cos))[:k]
-            best_at, best = all_at[top], all_cos[top]
+        # the most promising blocks set the k-th cosine; of the rest, only blocks that may reach it are read
+        while len(order):
+            some = order[:FIRST_BLOCKS] if not len(best) else order
+            cols = np.concatenate([np.arange(self.edges[b], min(self.edges[b] + BLOCK, len(self.label))) for b in np.sort(some)])
+            cos = q @ self.weight[np.ix_(at, cols)]
+            ok = (cos > 0) & (cols != skip)
+            best_at, best = np.concatenate([best_at, cols[ok]]), np.concatenate([best, cos[ok]])
+            top = np.lexsort((best_at, -best))[:k]
+            best_at, best = best_at[top], best[top]
+            order = order[len(some) :]
+            if len(best) == k:
+                order = order[bound[order] >= best[-1]]
         return best_at, best
 
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
@@ -182,11 +189,13 @@ def fit(
     seen = written(texts.mapInArrow(count, "i long, y int, f long, tf long"), "toxicity-terms")
     examples = texts.select("i", "y").orderBy("i").toPandas()
     m1, m0 = max(1, int((examples.y == 1).sum())), max(1, int((examples.y == 0).sum()))
-    p1, p0, p = F.col("n1") / m1, (F.col("df") - F.col("n1")) / m0, F.col("df") / (m1 + m0)
-    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / m1 + 1 / m0) + F.lit(1e-12))
+    p1, p0 = F.col("n1") / m1, (F.col("df") - F.col("n1")) / m0
+    part = lambda n, share: F.when(n > 0, n * F.log(n / (F.col("df") * share))).otherwise(0.0)
+    evidence = part(F.col("n1"), m1 / (m1 + m0)) + part(F.col("df") - F.col("n1"), m0 / (m1 + m0))
+    ratio = (F.greatest(p1, p0) + 0.5 / (m1 + m0)) / (F.least(p1, p0) + 0.5 / (m1 + m0))
     vocab = (
         seen.groupBy("f").agg(F.count("*").alias("df"), F.sum("y").alias("n1")).where("df >= 3")
-        .where(F.abs(z) >= LEAST_Z).orderBy(F.desc(F.abs(z)), "f").limit(n_terms).select("f", "df")
+        .where((evidence >= LEAST_EVIDENCE) & (ratio >= LEAST_RATIO)).orderBy(F.desc(evidence), "f").limit(n_terms).select("f", "df")
     )
     chosen = vocab.toPandas()
     vectors = seen.join(F.broadcast(docs.sparkSession.createDataFrame(chosen[["f"]], "f long")), "f").select("i", "f", "tf").toPandas()
