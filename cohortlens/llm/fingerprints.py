@@ -121,12 +121,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), _bucket(spark, docs, "doc_id").alias("bucket"))
-    first = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))  # a row per range
+    first = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))  # a row per range: 65,536 at most
     order = Window.orderBy(F.desc("bucket"))
     follows = first.select(
         "doc_id", F.col("bucket").alias("of"), F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to")
     )
-    heads = rows.join(follows, (F.col("bucket") == F.col("of")) & rows.doc_id.eqNullSafe(follows.doc_id)).select(rows.doc_id, "text", "to")
+    heads = rows.join(F.broadcast(follows), (F.col("bucket") == F.col("of")) & rows.doc_id.eqNullSafe(follows.doc_id)).select(rows.doc_id, "text", "to")
     heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("to").orderBy(F.desc(F.xxhash64("text")), F.desc("text")))).where("r = 1")
     both = rows.withColumn("extra", F.lit(0)).unionByName(heads.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("extra")))
     by_id = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")), F.desc("text"))
