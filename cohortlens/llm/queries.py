@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontaminate, fingerprints, lang_id, mixing, secret_scan, token_counts, toxicity
+from cohortlens.llm import decontaminate, fingerprints, lang_id, mixing, secret_scan, set_join, token_counts, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -24,6 +24,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.document_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
