@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontaminate, fingerprints, lang_id, mixing, secret_scan, set_join, token_counts, toxicity
+from cohortlens.llm import decontaminate, fingerprints, lang_id, mixing, repeats, secret_scan, set_join, token_counts, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -40,6 +40,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_mix(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 

@@ -14,8 +14,10 @@ A document's set is its distinct word shingles.  Two sets link when
   among those with an equal min-hash, and is verified against it.  Sets linked
   to one pivot have their answer already, so pairs among them are skipped in
   every list; only pairs from different pivots become candidates.
-* Candidates pass an exact upper bound from counts per hash bucket, then the
-  whole sets are intersected.
+* Candidates pass exact upper bounds from counts per hash bucket, coarse ones and
+  then finer ones.  Each set's likeliest candidate is verified by whole sets;
+  of the other pairs, those whose answer follows (their sets are connected
+  already) are skipped, and the rest is verified.
 
 Lists of very frequent shingles are split into parts that are compared pair by
 pair in separate tasks.  The order, the pivots and the filters only decide what
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import text as X
+from cohortlens.llm.bloom import bit_table, member
 from cohortlens.llm.components import components
 from cohortlens.llm.shared import written
 
@@ -47,26 +50,38 @@ MINHASHES = 8
 FREQUENT = 100_000
 BUCKET_ENTRIES = 400_000
 SPLIT = 20_000
-BLOOM_BITS = 25
 _U = np.uint64
-_TOP = _U(1 << 63)
+#: Shingles are 47-bit hashes: only collisions within one pair of sets could matter.
+_BITS = 47
+_TOP = _U(1 << _BITS)
 
 
 def shingle_sets(run: X.Run, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes (63 bits) of each row of a run."""
+    """Sorted distinct shingle hashes of each row of a run."""
     w = X.words(run, X.NON_SPACE)
-    grams = X.combine(w.hash, shingle) >> _U(1)
+    grams = X.combine(w.hash, shingle) >> _U(64 - _BITS)
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         if b - a >= shingle:
             out.append(np.unique(grams[a : b - shingle + 1]))
         elif b > a:
-            out.append(X.combine(w.hash[a:b] + _U(b - a), b - a) >> _U(1))
+            out.append(X.combine(w.hash[a:b] + _U(b - a), b - a) >> _U(64 - _BITS))
         else:
             out.append(np.zeros(0, _U))
     return out
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Six bytes a value."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(_U).ravel()
+
+
 def needed(n1, n2):
     """Least intersection of linked sets of these sizes."""
     return -((-NUM * (n1 + n2)) // (NUM + DEN))
@@ -114,7 +129,7 @@ def _sets_table(docs: DataFrame, shared) -> DataFrame:
                     f1.append(int(s.sum(dtype=_U).view(np.int64)))
                     f2.append(int(m.sum(dtype=_U).view(np.int64)))
                     p = len(s) - (-(-NUM * len(s) // DEN)) + 1 if len(s) else 0
-                    prefix.append(np.sort(_order(s, frequent, rank))[:p].tobytes())
+                    prefix.append(pack(np.sort(_order(s, frequent, rank))[:p]))
                     sketch.append(np.minimum(np.bincount((s & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
                     sig.append([int(x) for x in (m[:, None] * salts).min(0).view(np.int64)] if len(s) > 3 else [])
                 yield pa.RecordBatch.from_arrays(
@@ -137,116 +152,138 @@ def _pivots(reps: DataFrame) -> DataFrame:
     return best.select(F.col("id").alias("a"), F.negative(F.col("lead")["neg"]).alias("b")).where("a != b")
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bit table of the ids' hashes; of one size whatever their number."""
-
-    def bits(batches):
-        table = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-        for batch in batches:
-            _set_bits(table, batch.column(0).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["bits"])
-
-    table = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    for row in ids.coalesce(16).mapInArrow(bits, "bits binary").toLocalIterator():
-        table |= np.frombuffer(row.bits, np.uint8)
-    return table
-
-
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (X.mix(ids.astype(np.int64).view(_U)) >> _U(64 - BLOOM_BITS)).astype(np.int64)
-
-
-def _set_bits(table: np.ndarray, ids: np.ndarray) -> None:
-    at = _slot(ids)
-    np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+def _possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may link by size and by the small sketches of all sets."""
     slim = reps.select("id", "n", "sketch")
     of = lambda s: slim.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     joined = pairs.join(of("a"), "a").join(of("b"), "b").where(F.greatest("na", "nb") * NUM <= F.least("na", "nb") * DEN)
 
     def bound(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             na, nb = (c[x].to_numpy(zero_copy_only=False) for x in ("na", "nb"))
             sa, sb = (np.frombuffer(b"".join(c[x].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for x in ("sa", "sb"))
-            ok = na + nb - np.abs(sa - sb).sum(1) >= 2 * needed(na, nb)
-            yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(ok)), c["b"].filter(pa.array(ok))], names=["a", "b"])
+            ok = pa.array(na + nb - np.abs(sa - sb).sum(1) >= 2 * needed(na, nb), pa.bool_())
+            yield pa.RecordBatch.from_arrays([c["a"].filter(ok), c["b"].filter(ok)], names=["a", "b"])
 
-    left = written(joined.mapInArrow(bound, "a long, b long"), "set-join-candidates")
-    ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long")
 
-    def sets(batches):
+
+def _of_pairs(pairs: DataFrame, docs: DataFrame, make) -> DataFrame:
+    """``pairs`` with ``make(set)`` of either side as p and q.  Only documents in pairs (and the
+    few that the bit table can't tell from them) send anything."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(ids))
+
+    def send(batches):
         table = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            at = _slot(ids)
-            batch = batch.filter(pa.array(((table[at >> 3] >> (at & 7)) & 1).astype(bool)))
+            batch = batch.filter(pa.array(member(table, batch.column(0).to_numpy(zero_copy_only=False)), pa.bool_()))
             for run in X.chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(run.lo, run.hi - run.lo), pa.array([s.tobytes() for s in shingle_sets(run)], pa.binary())], names=["id", "s"]
-                )
+                sent = pa.array([make(s) for s in shingle_sets(run)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(run.lo, run.hi - run.lo), sent], names=["id", "s"])
+
+    sent = docs.where("id is not null").mapInArrow(send, "id long, s binary")
+    return pairs.join(sent.withColumnsRenamed({"id": "a", "s": "p"}), "a").join(sent.withColumnsRenamed({"id": "b", "s": "q"}), "b").select("a", "b", "p", "q")
+
 
-    whole = docs.where("id is not null").mapInArrow(sets, "id long, s binary").join(ids, "id", "left_semi")
-    whole = written(whole, "set-join-sets")
+def fine_sketch(s: np.ndarray) -> bytes:
+    """Counts in about as many buckets as the set has elements (a power of two, 4096 at most), after its size."""
+    size = 1 << min(12, max(4, len(s).bit_length() - 1))
+    counts = np.bincount((s & _U(size - 1)).astype(np.int64), minlength=size)
+    return len(s).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def fine_bound(p: bytes, q: bytes) -> float:
+    """Upper bound of the Jaccard similarity from two fine sketches, or -1 if it is below the threshold."""
+    n1, n2 = int.from_bytes(p[:8], "little"), int.from_bytes(q[:8], "little")
+    x, y = (np.frombuffer(v, np.uint8, offset=8).astype(np.int32) for v in (p, q))
+    size = min(len(x), len(y))
+    both = (n1 + n2 - int(np.abs(x.reshape(-1, size).sum(0) - y.reshape(-1, size).sum(0)).sum())) // 2
+    return both / max(1, n1 + n2 - both) if both >= needed(n1, n2) else -1.0
+
+
+def _likely(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, bound) of the pairs that may link by their fine sketches."""
+
+    def bound(batches):
+        for batch in batches:
+            c = np.array([fine_bound(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], float)
+            ok = pa.array(c >= 0, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(c[c >= 0])], names=["a", "b", "bound"])
+
+    return _of_pairs(pairs, docs, fine_sketch).mapInArrow(bound, "a long, b long, bound double")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets link."""
 
     def exact(batches):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
+                p, q = unpack(x.as_buffer()), unpack(y.as_buffer())
                 ok.append(len(np.intersect1d(p, q, assume_unique=True)) >= needed(len(p), len(q)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    both = left.join(whole.withColumnsRenamed({"id": "a", "s": "p"}), "a").join(whole.withColumnsRenamed({"id": "b", "s": "q"}), "b")
-    return both.select("a", "b", "p", "q").mapInArrow(exact, "a long, b long")
+    return _of_pairs(pairs, docs, pack).mapInArrow(exact, "a long, b long")
+
+
+#: An index entry: shingle, set, its pivot and size, the shingle's place in it, and the parts of a split list.
+ENTRY = np.dtype([("h", "u8"), ("id", "i8"), ("lab", "i8"), ("n", "i4"), ("pos", "i4"), ("part", "i4"), ("own", "i4")])
+
+
+def pack_entries(e: np.ndarray) -> bytes:
+    """Entries column by column, so that repeated and near values compress in the shuffle."""
+    ids = np.diff(e["id"], prepend=0)
+    return b"".join([pack(e["h"]), ids.tobytes(), (e["lab"] - e["id"]).tobytes(), *(e[c].tobytes() for c in ("n", "pos", "part", "own"))])
+
+
+def unpack_entries(data: pa.Buffer) -> np.ndarray:
+    n = len(data) // (6 + 8 + 8 + 16)
+    e, at = np.zeros(n, ENTRY), 6 * n
+    e["h"] = unpack(data[:at])
+    e["id"] = np.cumsum(np.frombuffer(data, np.int64, n, at))
+    e["lab"] = np.frombuffer(data, np.int64, n, at + 8 * n) + e["id"]
+    for k, c in enumerate(("n", "pos", "part", "own")):
+        e[c] = np.frombuffer(data, np.int32, n, at + 16 * n + 4 * n * k)
+    return e
 
 
 def _entries(reps: DataFrame, shared, buckets: int, split: int = SPLIT) -> DataFrame:
     """Index entries packed by bucket of the shingle: one row per batch and bucket."""
 
-    def pack(batches):
-        frequent, count = shared.value  # by rank
+    def index(batches):
+        _, count = shared.value  # of frequent shingles, by rank
         parts = np.maximum(1, -(-count // split))
         for batch in batches:
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            own = [np.frombuffer(v.as_buffer(), _U) for v in batch.column(3)]
+            own = [unpack(v.as_buffer()) for v in batch.column(3)]
             size = np.array([len(x) for x in own], np.int64)
             if not size.sum():
                 continue
             doc = np.repeat(np.arange(len(own)), size)
-            pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
             e = np.zeros(len(doc), ENTRY)
-            e["h"], e["pos"] = np.concatenate(own), pos
-            e["id"], e["lab"], e["n"] = batch.column(0).to_numpy(zero_copy_only=False)[doc], batch.column(2).to_numpy(zero_copy_only=False)[doc], n[doc]
+            e["h"], e["pos"] = np.concatenate(own), np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+            for k, c in enumerate(("id", "n", "lab")):
+                e[c] = batch.column(k).to_numpy(zero_copy_only=False)[doc]
             often = e["h"] >= _TOP
             k = np.ones(len(e), np.int64)
             k[often] = parts[(e["h"][often] - _TOP).astype(np.int64)]
-            hot = k > 1
-            pieces = [e[~hot]]
-            for x, kk in zip(e[hot], k[hot], strict=True):  # to every pair of parts that holds this entry's part
-                own_part = int(X.mix(np.array([x["id"]], np.int64).view(_U))[0] % _U(kk))
+            pieces = [e[k == 1]]
+            for x, kk in zip(e[k > 1], k[k > 1], strict=True):  # to every pair of parts that holds this entry's part
+                mine = int(X.mix(np.array([x["id"]], np.int64).view(_U))[0] % _U(kk))
                 more = np.repeat(x[None], kk)
-                more["part"] = [1 + min(own_part, j) * kk + max(own_part, j) if j != own_part else -1 - j for j in range(kk)]
-                more["own"] = own_part
+                more["part"] = [1 + min(mine, j) * kk + max(mine, j) if j != mine else -1 - j for j in range(kk)]
+                more["own"] = mine
                 pieces.append(more)
             e = np.concatenate(pieces)
-            b = (X.mix(e["h"] + e["part"].astype(_U) * _U(0x9E3779B97F4A7C15)) % _U(buckets)).astype(np.int64)
+            b = (X.mix(e["h"] + e["part"].astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15)) % _U(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             e, b = e[order], b[order]
             cut = np.flatnonzero(np.diff(b)) + 1
-            first = np.r_[0, cut]
-            yield pa.RecordBatch.from_arrays([pa.array(b[first]), pa.array([x.tobytes() for x in np.split(e, cut)], pa.binary())], names=["b", "e"])
-
-    return reps.select("id", "n", "lab", "prefix").where("n > 3").mapInArrow(pack, "b long, e binary")
+            yield pa.RecordBatch.from_arrays([pa.array(b[np.r_[0, cut]]), pa.array([pack_entries(x) for x in np.split(e, cut)], pa.binary())], names=["b", "e"])
 
-
-ENTRY = np.dtype([("h", "u8"), ("id", "i8"), ("lab", "i8"), ("n", "i4"), ("pos", "i4"), ("part", "i4"), ("own", "i4")])
+    return reps.select("id", "n", "lab", "prefix").where("n > 3").mapInArrow(index, "b long, e binary")
 
 
 def list_pairs(e: np.ndarray) -> np.ndarray:
@@ -283,7 +320,7 @@ def list_pairs(e: np.ndarray) -> np.ndarray:
 
 def _candidates(entries: DataFrame) -> DataFrame:
     def pairs(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(v.as_buffer(), ENTRY) for v in table.column("e").combine_chunks()])
+        e = np.concatenate([unpack_entries(v.as_buffer()) for v in table.column("e")])
         got = list_pairs(e)
         return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
 
@@ -303,14 +340,25 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(classes, "set-join-classes")
     reps = sets.join(classes.select(F.col("rep").alias("id"), *same), ["id", *same], "left_semi").dropDuplicates(["id", *same])
     slim = written(reps.select("id", "n", "sketch", "sig"), "set-join-reps")
-    stars = written(_linked(_pivots(slim), slim, docs), "set-join-stars")
-    labelled = reps.join(stars.withColumnsRenamed({"a": "id", "b": "pivot"}), "id", "left").withColumn("lab", F.coalesce("pivot", "id"))
+    stars = written(_linked(written(_possible(_pivots(slim), slim), "set-join-pivots"), docs), "set-join-stars")
+    labels = components(stars.withColumnsRenamed({"a": "u", "b": "v"})).withColumnsRenamed({"node": "id", "component": "lab"})
+    labelled = reps.join(labels, "id", "left").withColumn("lab", F.coalesce("lab", "id"))
     total = slim.agg(F.sum(F.col("n") / F.lit(DEN) + 1)).first()[0] or 0
     buckets = max(16, int(total / BUCKET_ENTRIES) + 1)
     freq = spark.sparkContext.broadcast((frequent, count))
-    candidates = written(_candidates(_entries(labelled, freq, buckets, split)), "set-join-pairs")
-    links = stars.unionByName(_linked(candidates, slim, docs))
-    found = components(links.withColumnsRenamed({"a": "u", "b": "v"}))
+    pairs = _possible(_candidates(_entries(labelled, freq, buckets, split)), slim)
+    likely = written(_likely(written(pairs, "set-join-pairs"), docs), "set-join-likely")
+    # each set's likeliest partner first; then only pairs whose answer does not follow from those
+    each = likely.select(F.col("a").alias("id"), "a", "b", "bound").unionByName(likely.select(F.col("b").alias("id"), "a", "b", "bound"))
+    first = each.groupBy("id").agg(F.max(F.struct("bound", F.negative("a").alias("x"), F.negative("b").alias("y"))).alias("m"))
+    first = first.select(F.negative(F.col("m")["x"]).alias("a"), F.negative(F.col("m")["y"]).alias("b")).distinct()
+    first = written(first, "set-join-first")
+    links = written(stars.unionByName(_linked(first, docs)), "set-join-links")
+    so_far = components(links.withColumnsRenamed({"a": "u", "b": "v"}))
+    of = lambda s: so_far.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+    rest = likely.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = rest.join(first, ["a", "b"], "left_anti")
+    found = components(links.unionByName(_linked(written(rest, "set-join-rest"), docs)).withColumnsRenamed({"a": "u", "b": "v"}))
     out = sets.select("id", *same).join(classes, same, "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
