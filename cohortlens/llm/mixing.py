@@ -132,7 +132,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ca
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns of ``docs`` with mx_size, source_size, target and copies (0 to 2) of every document."""
-    carry = docs.columns if carry is None else carry
+    own = {"mx_key", "mx_size", "mx_bucket", "mx_draw", "mx_id", "mx_rank", "whole", "left", "copies", "source_size", "target"}
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in own]  # equally named columns are replaced
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
     drawn = F.xxhash64(F.lit(seed), F.col(id_col))
     rows = docs.select(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontaminate, fingerprints, lang_id, mixing, repeats, secret_scan, set_join, token_counts, toxicity
+from cohortlens.llm import decontaminate, fingerprints, lang_id, mixing, repeats, secret_scan, set_join, token_counts, toxicity, wrappers
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -24,6 +24,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.document_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.link_components(table(spark, sf_dir, "documents"))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.llm import decontaminate as decontamination
+from cohortlens.llm import mixing, secret_scan, set_join
 from cohortlens.llm import toxicity as toxic
 from cohortlens.llm.shared import written
 
@@ -14,14 +16,36 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest id stays."""
+    return set_join.drop_near_duplicates(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go from the texts; a document that is mostly such passages goes."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("toxicity", toxicity), ("decontaminate", decontaminate)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; every document stays."""
+    return secret_scan.redact_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with their size, their source's target and the number of copies."""
+    rows = mixing.mix(docs).where("copies > 0")
+    return rows.withColumnsRenamed({"mx_size": "size"}).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("secrets", secrets),
+    ("mix_sources", mix_sources),
+]
 
-#: A fitted classifier decides in the first stage, which SQL can't express.
+#: A fitted classifier decides in the first stage, which SQL can't express; the tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
