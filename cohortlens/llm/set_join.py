@@ -48,6 +48,7 @@ SKETCH = 64
 MINHASHES = 8
 #: At most so many shingles are ordered last; the bound of that broadcast.
 FREQUENT = 100_000
+COUNTED_AT_ONCE = 1_000_000
 BUCKET_ENTRIES = 400_000
 SPLIT = 20_000
 _U = np.uint64
@@ -90,14 +91,24 @@ def needed(n1, n2):
 def _frequent(docs: DataFrame) -> np.ndarray:
     """At most ``FREQUENT`` shingles of high document frequency, rarest first.
 
-    Every task counts all its documents' shingles and reports those frequent among them."""
+    Every task counts all its documents' shingles, a million at a time, and reports those
+    frequent among them."""
+
+    def frequent(sets):
+        value, n = np.unique(np.concatenate([*sets, np.zeros(0, _U)]), return_counts=True)
+        some = n >= max(4, len(sets) // 250)
+        return pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["h", "n"])
 
     def count(batches):
+        sets, size = [], 0
         for batch in batches:
-            sets = [s for run in X.chunks(batch.column(0)) for s in shingle_sets(run)]
-            value, n = np.unique(np.concatenate([*sets, np.zeros(0, _U)]), return_counts=True)
-            some = n >= max(4, len(sets) // 1000)
-            yield pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["h", "n"])
+            for run in X.chunks(batch.column(0)):
+                more = shingle_sets(run)
+                sets, size = sets + more, size + sum(map(len, more))
+                if size > COUNTED_AT_ONCE:
+                    yield frequent(sets)
+                    sets, size = [], 0
+        yield frequent(sets)
 
     total = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = total.where("n >= 64").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
