@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm import text as X
+from cohortlens.llm.shared import bounded_batches
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -190,6 +191,7 @@ def matches(
     """``docs`` with ``dc_words`` (word count), ``dc_spans`` (merged word spans that are hit)
     and ``dc_items`` (sorted ids of items with occurring windows).  With ``removed``, also a
     column of that name: the text without the hit spans' bytes."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     dropped = [c for c in ("dc_words", "dc_spans", "dc_items") if c in docs.columns]
     out = docs.drop(*dropped).withColumns(

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm import text as X
-from cohortlens.llm.shared import written
+from cohortlens.llm.shared import bounded_batches, written
 
 DOCS_PER_LANG = 2000
 PROFILE = 8000
@@ -121,6 +121,7 @@ class Model:
 
 def fit(labelled: DataFrame, text_col: str, lang_col: str, docs_per_lang: int = DOCS_PER_LANG, profile: int = PROFILE, bits: int = BITS) -> Model:
     """Fit on about ``docs_per_lang`` documents of each language of ``labelled``."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t is not null")
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)

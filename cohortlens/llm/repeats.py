@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm import text as X
 from cohortlens.llm.bloom import bit_table, member
-from cohortlens.llm.shared import written
+from cohortlens.llm.shared import bounded_batches, written
 
 LENGTH = 400
 WINDOW = 128
@@ -185,6 +185,7 @@ def covered(ranges: list[dict], length: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; ``kept`` is binary and null where nothing goes."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
     ranges = written(repeated_starts(rows, length), "repeats-ranges")

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.llm.shared import bounded_batches
+
 KINDS = ("assign", "access", "hex", "named")
 THRESHOLD = 0.5
 #: Weights of name parts that make a target sensitive.
@@ -121,6 +123,7 @@ def with_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret
     """``docs`` with an array of (kind, start, end, score) per text; an equally named column is replaced.
 
     With ``redacted``, also a column of that name: the text with every span replaced by ``mask``."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(out_col, *([redacted] if redacted else []))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 

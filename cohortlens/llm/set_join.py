@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm import text as X
 from cohortlens.llm.bloom import bit_table, member
 from cohortlens.llm.components import components
-from cohortlens.llm.shared import written
+from cohortlens.llm.shared import bounded_batches, written
 
 SHINGLE = 5
 #: Jaccard threshold as numerator and denominator: 0.8.
@@ -340,6 +340,7 @@ def _candidates(entries: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; lists over ``split`` entries are compared in parts."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent, count = _frequent(docs)

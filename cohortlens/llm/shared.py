@@ -27,3 +27,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of at most 1,000 rows, so that a task holds few of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > 1000:
+        spark.conf.set(key, "1000")

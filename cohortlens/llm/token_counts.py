@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.llm.shared import bounded_batches
+
 MEMO_SIZE = 400_000
 
 #: White space, and the numerals beyond ASCII digits, among the characters below U+0530.
@@ -92,6 +94,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", o
 
     ``tokenizer_path`` is a file of the ``tokenizers`` library with byte-level
     pre-tokens, read on the driver; its fixed size bounds the broadcast."""
+    bounded_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     model = json.loads(spec)

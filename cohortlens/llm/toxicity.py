@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm import text as X
-from cohortlens.llm.shared import written
+from cohortlens.llm.shared import bounded_batches, written
 
 PER_CLASS = 2500
 TERMS = 1024
@@ -161,6 +161,7 @@ def fit(
     n_terms: int = TERMS,
 ) -> Index:
     """Index of at most ``per_class`` distinct texts of each label; ``labels`` holds (id, 0/1)."""
+    bounded_batches(docs.sparkSession)
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     lab = lab.groupBy("i").agg(F.max("y").alias("y"))
     n = {r.y: r.n for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}

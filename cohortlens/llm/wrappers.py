@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from cohortlens.llm.bloom import bit_table, member
-from cohortlens.llm.shared import written
+from cohortlens.llm.shared import bounded_batches, written
 
 SAMPLE = 6
 LEAST = 3
@@ -302,6 +302,7 @@ def _infer_host(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("rid", F.xxhash64("page_id", "url"))
     wrappers = written(host_wrappers(rows).select("host", "template"), "wrappers")
