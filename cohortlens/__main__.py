@@ -19,13 +19,18 @@ from pyspark.sql import SparkSession
 from cohortlens import fixed
 
 from cohortlens.plans.analysis import AnalysisParams, prepare, run_analysis
-from cohortlens.sources.cells import read_activity, read_progression
+from cohortlens.sources.cells import read_activity, read_progression, write_cells
 from cohortlens.spec import CohortSpec
 
 
 def _analysis(spark: SparkSession, args: argparse.Namespace) -> tuple:
     act = read_activity(spark, args.activity, args.format)
     prog = read_progression(spark, args.progression, args.format)
+    if args.cmd == "run" and args.format == "csv":   # read each CSV once
+        for name, df in (("activity", act), ("progression", prog)):
+            write_cells(df, f"{args.out}/cells/{name}")
+        act = read_activity(spark, f"{args.out}/cells/activity")
+        prog = read_progression(spark, f"{args.out}/cells/progression")
     spec = CohortSpec(base=args.base, cand=args.cand, horizon=args.horizon)
     return act, prog, spec
 

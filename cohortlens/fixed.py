@@ -11,8 +11,8 @@ PATCH_BUILD = "11.0.1"
 HORIZON_DAYS = 7
 HEADLINE_DAYS = (1, 3, 7)
 MONTH_FORMAT = "yyyy-MM"
-NAIVE_READ = "naive_censored"
-GATED_READ = "maturity_gate"
+NAIVE_READ = "naive_censored (do not ship)"
+GATED_READ = "maturity_gate (full history)"
 MIX_DIMENSIONS = (("country", "s_country"),
                   ("network", "s_acquisition_network"),
                   ("package", "s_installing_pckg_group"))

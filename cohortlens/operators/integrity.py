@@ -73,6 +73,9 @@ def assert_clean(report: DataFrame, checks: tuple[str, ...] = ("identity_breaks"
     report (the report is a handful of rows; this is its only action)."""
     found = {r["check_name"]: r["n"] for r in
              report.filter(F.col("check_name").isin(*checks)).collect()}
+    unknown = [c for c in checks if c not in found]
+    if unknown:
+        raise ValueError(f"unknown integrity checks: {unknown}")
     bad = {c: n for c, n in found.items() if n}
     if bad:
         raise IntegrityError(f"integrity checks failed: {bad}")
@@ -272,10 +275,19 @@ def zero_playtime_actives(act: DataFrame, window: AnalysisWindow,
 # --- the whole report -------------------------------------------------------
 
 def _bit(k: Column) -> Column:
-    """2**k as BIGINT (exact for the small day numbers used here)."""
+    """2**k as BIGINT (exact for k up to 60)."""
     return F.pow(F.lit(2), k).cast("bigint")
 
 
+DAYS_PER_MASK = 60   # cohort days per BIGINT mask; a horizon takes as many masks as it needs
+
+
+def _masks(spec: CohortSpec) -> list[tuple[str, int]]:
+    """(column, first cohort day) of each mask of the days 0 .. horizon."""
+    return [(f"days_mask_{k}", k * DAYS_PER_MASK)
+            for k in range(spec.horizon // DAYS_PER_MASK + 1)]
+
+
 MASK_LEVELS = 30   # levels 0..30 are tracked exactly in a BIGINT bit mask
 
 
@@ -340,7 +352,7 @@ COHORT_COUNTERS = ["act_rows", "prog_rows", "identity_breaks", "negatives", "dup
 def cohort_rollup(pairs: DataFrame, extract: dt.date,
                   spec: CohortSpec = CohortSpec()) -> DataFrame:
     """The grain pairs rolled up to cohorts (KEY5): day-0 and largest later
-    actives, a bit mask of the cohort days present, and every counter.
+    actives, bit masks of the cohort days present, and every counter.
 
     A cohort holds at most one pair per cohort day, so no group is hot here
     even when a key of the cells is."""
@@ -348,11 +360,14 @@ def cohort_rollup(pairs: DataFrame, extract: dt.date,
     has_act, has_prog = F.col("a_rows").isNotNull(), F.col("p_rows").isNotNull()
     cd, d = _c(S.COHORT_DAY), _c(S.INSTALL_DATE)
     beyond = F.date_add(d, cd.cast("int")) > F.lit(extract)
-    day_bit = F.when(has_act & cd.between(0, h), _bit(cd))
+
+    def days(first: int) -> Column:
+        last = min(h, first + DAYS_PER_MASK - 1)
+        return F.bit_or(F.when(has_act & cd.between(first, last), _bit(cd - first)))
     return pairs.groupBy(*S.KEY5).agg(
         sum_if(F.col("a_users"), has_act & (cd == 0)).alias("d0"),
         max_if(F.col("a_users_max"), has_act & (cd > 0)).alias("later"),
-        F.bit_or(day_bit).alias("days_mask"),
+        *[days(first).alias(name) for name, first in _masks(spec)],
         F.max(F.when(has_act, F.lit(1))).alias("has_act"),
         F.sum("a_rows").alias("act_rows"),
         F.sum("p_rows").alias("prog_rows"),
@@ -403,19 +418,24 @@ def integrity_from_cohorts(cohorts: DataFrame, pairs: DataFrame, prog: DataFrame
 
     # Build x install date.
     vd = cohorts.groupBy(S.VERSION, S.INSTALL_DATE).agg(
-        F.bit_or("days_mask").alias("days_mask"),
+        *[F.bit_or(name).alias(name) for name, _ in _masks(spec)],
         F.max("has_act").alias("has_act"),
         count_if(_is_bad_cohort()).alias("bad_cohort_cells"),
         *[total(c) for c in counters],
     )
     last = F.least(F.lit(h), F.datediff(F.lit(extract), d))
-    expected = F.when(last >= 0, _bit(last + 1) - 1).otherwise(F.lit(0).cast("bigint"))
-    # A NULL install date never matches an expected day (NULL = NULL is not
-    # true), so none of its days count as present.
-    present = F.when(d.isNull(), F.lit(0).cast("bigint")).otherwise(
-        F.coalesce(F.col("days_mask"), F.lit(0).cast("bigint")))
-    missing = F.when(F.col(S.VERSION).isin(*spec.builds) & (F.col("has_act") == 1),
-                     F.bit_count(expected.bitwiseAND(F.bitwise_not(present))))
+
+    def missing_of(name: str, first: int) -> Column:
+        n = F.least(last - first + 1, F.lit(DAYS_PER_MASK))
+        expected = F.when(n > 0, _bit(n) - 1).otherwise(F.lit(0).cast("bigint"))
+        # A NULL install date never matches an expected day (NULL = NULL is not
+        # true), so none of its days count as present.
+        present = F.when(d.isNull(), F.lit(0).cast("bigint")).otherwise(
+            F.coalesce(F.col(name), F.lit(0).cast("bigint")))
+        return F.bit_count(expected.bitwiseAND(F.bitwise_not(present)))
+
+    absent = sum((missing_of(*m) for m in _masks(spec)), F.lit(0))
+    missing = F.when(F.col(S.VERSION).isin(*spec.builds) & (F.col("has_act") == 1), absent)
 
     # Build.
     per_build = vd.groupBy(S.VERSION).agg(

@@ -1,9 +1,8 @@
 """Reading and writing the cohort-cell tables (A1-A4).
 
-The reference re-scans its CSVs in every report.  Here CSV is read once with
-an explicit schema and written as Parquet partitioned by install date, so the
-window filter of every report becomes partition pruning plus row-group
-pushdown.
+CSV is read by the names in its header.  Write it once as Parquet partitioned
+by install date (``write_cells``), and the window filter of every report
+becomes partition pruning plus row-group pushdown.
 """
 
 from __future__ import annotations
@@ -17,11 +16,16 @@ from cohortlens import spec as S
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
     if fmt == "csv":
-        return (spark.read.schema(schema)
-                .option("header", True)
-                .option("mode", "FAILFAST")
-                .option("dateFormat", "yyyy-MM-dd")
-                .csv(path))
+        # Columns go by the header's names: their order is free, further ones are ignored.
+        options = {"header": True, "mode": "FAILFAST", "dateFormat": "yyyy-MM-dd"}
+        header = spark.read.options(**options).csv(path).columns
+        missing = [f.name for f in schema.fields if f.name not in header]
+        if missing:
+            raise ValueError(f"{path}: columns missing: {missing}")
+        of = {f.name: f.dataType for f in schema.fields}
+        as_written = T.StructType([T.StructField(c, of.get(c, T.StringType())) for c in header])
+        df = spark.read.schema(as_written).options(**options, enforceSchema=False).csv(path)
+        return df.select(*[f.name for f in schema.fields])
     if fmt == "parquet":
         df = spark.read.parquet(path)
         # Parquet keeps its own types; align them to the declared schema

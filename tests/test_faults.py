@@ -189,3 +189,19 @@ def test_empty_window_raises(spark):
     act = spark.createDataFrame(rows, S.ACTIVITY_SCHEMA)
     with pytest.raises(WindowError):
         derive_window(act, SPEC)
+
+
+@pytest.mark.parametrize("horizon", [7, 59, 60, 61, 62, 63, 90, 365])
+def test_missing_days_agree_with_the_detail_at_any_horizon(spark, small_cells, horizon):
+    act, prog = small_cells
+    spec = CohortSpec(horizon=horizon)
+    gaps = act.filter("not (i_cohort_groups = 0 and day(d_install_date) % 5 = 0)")
+    extract = D(2001, 12, 31)
+    n = {r.check_name: r.n for r in Q.integrity_report(gaps, prog, extract, spec).collect()}
+    assert n["missing_version_day_rows"] == Q.missing_cohort_days(gaps, extract, spec).count()
+
+
+def test_unknown_check_name_raises(spark):
+    report = spark.createDataFrame([("identity_breaks", 0)], "check_name string, n long")
+    with pytest.raises(ValueError, match="identity_break"):
+        Q.assert_clean(report, ("identity_break",))

@@ -23,6 +23,23 @@ def test_csv_labels_stay_strings(spark):
     assert act.collect()[0][S.INSTALL_DATE] == dt.date(2026, 4, 15)
 
 
+def test_csv_columns_go_by_name(spark):
+    import pytest
+
+    d = tempfile.mkdtemp(prefix="cells-csv-", dir="/tmp")
+    row = dict(zip(S.ACTIVITY_SCHEMA.fieldNames(),
+                   ("2026-04-15", "10.2", "US", "Organic", "other", "0", "10", "12", "600.5"), strict=True))
+    names = [*reversed(row), "extra"]
+    for file, columns in (("permuted.csv", names), ("short.csv", names[1:])):
+        with open(os.path.join(d, file), "w") as f:
+            f.write(",".join(columns) + "\n" + ",".join({**row, "extra": "x"}[c] for c in columns) + "\n")
+    got = read_activity(spark, os.path.join(d, "permuted.csv"), fmt="csv")
+    assert got.schema == S.ACTIVITY_SCHEMA
+    assert tuple(got.first()) == (dt.date(2026, 4, 15), "10.2", "US", "Organic", "other", 0, 10, 12, 600.5)
+    with pytest.raises(ValueError, match=names[0]):
+        read_activity(spark, os.path.join(d, "short.csv"), fmt="csv")
+
+
 def test_parquet_roundtrip_partitioned(spark, small_cells):
     act, prog = small_cells
     d = tempfile.mkdtemp(prefix="cells-pq-", dir="/tmp")
