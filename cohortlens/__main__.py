@@ -12,6 +12,7 @@ keep the defaults of ``AnalysisParams``.  On a cluster, submit with
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import sys
 
 from pyspark.sql import SparkSession
@@ -51,6 +52,8 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--horizon", type=int, default=fixed.HORIZON_DAYS)
         if name == "run":
             p.add_argument("--out", required=True)
+            p.add_argument("--expected-extract", type=dt.date.fromisoformat, metavar="YYYY-MM-DD",
+                           help="stop unless the extract date derived from the data is this one")
             p.add_argument("--out-format", choices=("parquet", "json"), default="parquet")
             p.add_argument("--threads", type=int, default=16,
                            help="concurrent report jobs (small jobs: more than cores helps)")
@@ -67,7 +70,8 @@ def main(argv: list[str] | None = None) -> int:
     act, prog, spec = _analysis(spark, args)
     if args.cmd == "run":
         paths = run_analysis(spark, act, prog, args.out, spec, AnalysisParams(),
-                             threads=args.threads, out_format=args.out_format)
+                             threads=args.threads, out_format=args.out_format,
+                             expected_extract=args.expected_extract)
         for name, path in sorted(paths.items()):
             print(f"{name}\t{path}")
         return 0

@@ -112,18 +112,33 @@ def duplicate_act_keys(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("a_rows") > 1).select(*S.KEY6, F.col("a_rows").alias("n"))
 
 
-def duplicate_prog_keys(prog: DataFrame, pairs: DataFrame) -> DataFrame:
+#: At most so many flagged keys (six short values each) are broadcast.
+BROADCAST_KEYS = 100_000
+
+
+def flagged_keys(pairs: DataFrame) -> DataFrame:
+    """Activity keys under which a level may be duplicated (see ``cell_pairs``)."""
+    return pairs.filter(F.col("p_dup_suspect")).select(*S.KEY6)
+
+
+def duplicate_prog_keys(prog: DataFrame, pairs: DataFrame, n_flagged: int | None = None
+                        ) -> DataFrame:
     """Q6 detail: progression keys (KEY7) with more than one row.
 
-    The grain pairs flag the activity keys that may hold a duplicated level
-    (see ``cell_pairs``), so only progression rows under those keys (normally
-    none) are regrouped: a semi join on the flagged keys filters the scan
-    before any shuffle, instead of shuffling every progression row by KEY7.
-    The join is null-safe because GROUP BY treats NULL key parts as equal."""
-    flagged = pairs.filter(F.col("p_dup_suspect")).select(*S.KEY6)
+    Only progression rows under the keys that the grain pairs flag (normally
+    none) are regrouped, by a semi join, instead of shuffling every row by
+    KEY7.  The join is null-safe because GROUP BY treats NULL key parts as
+    equal.  With ``n_flagged``, ``pairs`` is the written table of
+    ``flagged_keys`` and its row count: none means that progression is not
+    read at all, up to ``BROADCAST_KEYS`` are broadcast, so that progression
+    is filtered before any shuffle, and beyond that both sides are shuffled."""
+    if n_flagged == 0:
+        return duplicate_keys(prog.filter(F.lit(False)), S.KEY7)
+    flagged = flagged_keys(pairs) if n_flagged is None else pairs
     cond = [prog[c].eqNullSafe(flagged[c]) for c in S.KEY6]
-    suspects = prog.join(flagged, on=cond, how="left_semi")
-    return duplicate_keys(suspects, S.KEY7)
+    if n_flagged is not None and n_flagged <= BROADCAST_KEYS:
+        flagged = F.broadcast(flagged)
+    return duplicate_keys(prog.join(flagged, on=cond, how="left_semi"), S.KEY7)
 
 
 def rows_beyond_extract(cells: DataFrame, extract: dt.date) -> DataFrame:
@@ -288,10 +303,18 @@ def _masks(spec: CohortSpec) -> list[tuple[str, int]]:
             for k in range(spec.horizon // DAYS_PER_MASK + 1)]
 
 
-MASK_LEVELS = 30   # levels 0..30 are tracked exactly in a BIGINT bit mask
+LEVELS_PER_MASK = 60   # levels per BIGINT mask; the level range takes as many masks as it needs
+MAX_LEVEL_MASKS = 20   # wider ranges (1,200 levels, or a stray value) are recounted beyond these
 
 
-def cell_pairs(act: DataFrame, prog: DataFrame) -> DataFrame:
+def level_range(prog: DataFrame) -> tuple[int, int]:
+    """Smallest and largest level of the progression cells: one single-row action on one column."""
+    row = prog.agg(F.min(S.LEVEL).alias("lo"), F.max(S.LEVEL).alias("hi")).first()
+    return (0, 0) if row["lo"] is None else (row["lo"], row["hi"])
+
+
+def cell_pairs(act: DataFrame, prog: DataFrame,
+               levels: tuple[int, int] | None = None) -> DataFrame:
     """Both tables rolled up to the activity grain and paired on it.
 
     activity    -> KEY6: rows, summed and max actives, row-level fault counts;
@@ -305,9 +328,15 @@ def cell_pairs(act: DataFrame, prog: DataFrame) -> DataFrame:
 
     Duplicate level keys without a KEY7 shuffle: inside a group the levels
     are distinct exactly when the sum of 2**level equals their bitwise OR.
-    NULL levels, levels outside 0..MASK_LEVELS and an overflowing sum only
-    raise the flag; ``duplicate_prog_keys`` recounts flagged groups exactly.
+    ``levels`` (by default ``level_range``) sets how many masks of
+    ``LEVELS_PER_MASK`` levels are kept.  A second NULL level, levels beyond
+    the last mask and an overflowing sum only raise the flag;
+    ``duplicate_prog_keys`` recounts flagged groups exactly.
     """
+    lo, hi = levels or level_range(prog)
+    masks = [(f"_{k}", lo + k * LEVELS_PER_MASK)
+             for k in range(min(MAX_LEVEL_MASKS, (hi - lo) // LEVELS_PER_MASK + 1))]
+    beyond = masks[-1][1] + LEVELS_PER_MASK
     u, s, pt = _c(S.ACTIVE), _c(S.SESSIONS), _c(S.PLAYTIME)
     a6 = act.groupBy(*S.KEY6).agg(
         F.count(F.lit(1)).alias("a_rows"),
@@ -319,22 +348,25 @@ def cell_pairs(act: DataFrame, prog: DataFrame) -> DataFrame:
     )
     st, co, fa = _c(S.STARTED), _c(S.COMPLETED), _c(S.FAILED)
     us, lt, lv = _c(S.USERS), _c(S.LEVEL_TIME), _c(S.LEVEL)
-    level_bit = F.when(lv.between(0, MASK_LEVELS), _bit(lv))
+
+    def level_bit(first: int) -> Column:
+        return F.when(lv.between(first, first + LEVELS_PER_MASK - 1), _bit(lv - first))
     p6 = prog.groupBy(*S.KEY6).agg(
         F.count(F.lit(1)).alias("p_rows"),
         count_if(st != co + fa).alias("p_identity_breaks"),
         count_if(F.least(st, co, fa, us, lt) < 0).alias("p_negatives"),
         count_if(us > st).alias("p_users_gt_starts"),
         F.sum(lt).alias("level_seconds"),
-        F.try_sum(level_bit).alias("_bits_sum"),
-        F.bit_or(level_bit).alias("_bits_or"),
+        *[F.try_sum(level_bit(first)).alias(f"_bits_sum{k}") for k, first in masks],
+        *[F.bit_or(level_bit(first)).alias(f"_bits_or{k}") for k, first in masks],
         count_if(lv.isNull()).alias("_null_levels"),
-        count_if(lv.isNotNull() & ~lv.between(0, MASK_LEVELS)).alias("_odd_levels"),
+        count_if((lv < lo) | (lv >= beyond)).alias("_odd_levels"),
     )
-    suspect = (~F.col("_bits_sum").eqNullSafe(F.col("_bits_or"))
-               | (F.col("_null_levels") > 1) | (F.col("_odd_levels") > 0))
+    suspect = (F.col("_null_levels") > 1) | (F.col("_odd_levels") > 0)
+    for k, _ in masks:
+        suspect = suspect | ~F.col(f"_bits_sum{k}").eqNullSafe(F.col(f"_bits_or{k}"))
     p6 = p6.withColumn("p_dup_suspect", suspect).drop(
-        "_bits_sum", "_bits_or", "_null_levels", "_odd_levels")
+        "_null_levels", "_odd_levels", *[f"_bits_{x}{k}" for k, _ in masks for x in ("sum", "or")])
     return a6.join(p6, on=S.KEY6, how="full_outer")
 
 
@@ -402,13 +434,14 @@ def integrity_from_pairs(pairs: DataFrame, prog: DataFrame, extract: dt.date,
 
 
 def integrity_from_cohorts(cohorts: DataFrame, pairs: DataFrame, prog: DataFrame,
-                           extract: dt.date, spec: CohortSpec = CohortSpec()) -> DataFrame:
+                           extract: dt.date, spec: CohortSpec = CohortSpec(),
+                           duplicates: DataFrame | None = None) -> DataFrame:
     """Q19 from the cohort rollup: build x install date -> build -> one row.
 
     The expected cohort days of a (build, date) are a bit mask compared with
     the bit mask of the days present, so no day list is generated or
-    joined.  The duplicated-level count comes from the semi join on the
-    keys the pairs flag (normally empty)."""
+    joined.  The duplicated-level count reads ``duplicates``, the result of
+    ``duplicate_prog_keys`` (computed from the pairs when not given)."""
     h = spec.horizon
     d = _c(S.INSTALL_DATE)
     counters = COHORT_COUNTERS
@@ -448,6 +481,8 @@ def integrity_from_cohorts(cohorts: DataFrame, pairs: DataFrame, prog: DataFrame
     names = counters + ["bad_cohort_cells", "missing_version_day_rows", "install_date_gaps"]
     one_row = per_build.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
                               for c in names])
-    dup_prog = duplicate_prog_keys(prog, pairs).agg(
+    if duplicates is None:
+        duplicates = duplicate_prog_keys(prog, pairs)
+    dup_prog = duplicates.agg(
         F.lit("dup_prog").alias("check_name"), F.count(F.lit(1)).alias("n"))
     return one_row.unpivot([], names, "check_name", "n").unionByName(dup_prog)

@@ -2,13 +2,13 @@
 
 Day-0 share of every value of every dimension per build, and the absolute
 gap between builds.  The dimensions are unpivoted from one scan (no UNION of
-one scan per dimension); the per-(dimension, value) rollup is small, so the
-per-dimension totals are a window over it.
+one scan per dimension).  The totals are one row per dimension, joined back to
+the (dimension, value) rollup, so no task holds all values of a dimension.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import spec as S
@@ -32,10 +32,11 @@ def mix_balance(act: DataFrame, window: AnalysisWindow,
     per_val = long.groupBy("dim", "val").agg(
         sum_if(u, v == spec.base).alias("u_base"),
         sum_if(u, v == spec.cand).alias("u_cand"))
-    by_dim = Window.partitionBy("dim")
-    shares = (per_val
-              .withColumn("p_base", pct("u_base", F.sum("u_base").over(by_dim)))
-              .withColumn("p_cand", pct("u_cand", F.sum("u_cand").over(by_dim))))
+    totals = per_val.groupBy("dim").agg(F.sum("u_base").alias("all_base"),
+                                        F.sum("u_cand").alias("all_cand"))
+    shares = (per_val.join(F.broadcast(totals), "dim")   # one row per entry of spec.dims
+              .withColumn("p_base", pct("u_base", F.col("all_base")))
+              .withColumn("p_cand", pct("u_cand", F.col("all_cand"))))
     return shares.select(
         "dim", "val",
         round_scaled("p_base", 1).alias(f"pct_{spec.base_tag}"),

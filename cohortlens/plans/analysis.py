@@ -27,6 +27,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import threading
 import uuid
 from collections.abc import Callable
@@ -96,34 +97,6 @@ def materialise(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-ROLLUP_ROWS_PER_TASK = 2_000_000
-
-
-def rollup_session(spark: SparkSession, rows: int) -> SparkSession:
-    """A child session for reports over the rollups.
-
-    Their input is bounded by builds x dates x days (or levels), so a fixed,
-    small number of shuffle partitions sized from the row count is the right
-    plan at any scale, and run-time re-planning only adds stage barriers.
-    The child shares the SparkContext and its cache; the parent's modifiable
-    SQL settings (time zone, ANSI mode, ...) are copied over."""
-    child = spark.newSession()
-    try:
-        settings = dict(spark.conf.getAll)
-    except Exception:  # older runtimes: keep the SparkConf defaults
-        settings = {}
-    for key, value in settings.items():
-        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
-            try:
-                child.conf.set(key, value)
-            except Exception:  # a setting the runtime refuses to copy keeps its default
-                pass
-    child.conf.set("spark.sql.adaptive.enabled", "false")
-    child.conf.set("spark.sql.shuffle.partitions",
-                   str(max(1, -(-rows // ROLLUP_ROWS_PER_TASK))))
-    return child
-
-
 def _read_cached(spark: SparkSession, path: str) -> DataFrame:
     """Read a written rollup into executor memory.  A lost cached block is
     re-read from the files, not recomputed from the cells."""
@@ -146,6 +119,7 @@ class Analysis:
     rolled: bool = True   # act_day / prog_level are rollups (else the cells)
     work_dir: str | None = None        # where shared intermediates are written
     cohorts: DataFrame | None = None   # KEY5 rollup of the pairs, built on first use
+    duplicates: DataFrame | None = None   # duplicated progression keys, counted on first use
     _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def cohort_rollup(self) -> DataFrame:
@@ -158,6 +132,21 @@ class Analysis:
                                 if self.work_dir else rollup)
             return self.cohorts
 
+    def duplicate_prog_keys(self) -> DataFrame:
+        """Duplicated progression keys, recounted once: the flagged keys are
+        written first, and their number decides how progression is filtered."""
+        with self._lock:
+            if self.duplicates is None:
+                if not self.work_dir:
+                    return Q.duplicate_prog_keys(self.prog, self.pairs)
+                flagged = materialise(self.spark, Q.flagged_keys(self.pairs),
+                                      f"{self.work_dir}/flagged_keys")
+                n = flagged.count()
+                found = Q.duplicate_prog_keys(self.prog, flagged, n)
+                self.duplicates = (materialise(self.spark, found, f"{self.work_dir}/dup_prog")
+                                   if n else found)
+            return self.duplicates
+
     def reports(self) -> dict[str, Callable[[], DataFrame]]:
         """Every report as a thunk; rollup-backed where the split allows."""
         a, p, w, sp, pr = self.act, self.prog, self.window, self.spec, self.params
@@ -173,7 +162,7 @@ class Analysis:
 
         return {
             # window and labels
-            "analysis_window": lambda: window_summary(self.spark, w, sp),
+            "analysis_window": lambda: window_summary(ad, w, sp),
             "quarantined_cells": lambda: quarantine(a, sp),
             "version_profile": lambda: Q.version_profile(ad, row_count=cells_col),
             "label_volume_by_month": lambda: L.label_volume_by_month(ad, pr.patch_label),
@@ -181,13 +170,13 @@ class Analysis:
             "label_predates_parent": lambda: L.label_predates_parent(ad, pr.patch_label, sp.cand),
             # integrity
             "integrity_report": lambda: Q.integrity_from_cohorts(
-                self.cohort_rollup(), pairs, p, w.extract, sp),
+                self.cohort_rollup(), pairs, p, w.extract, sp, self.duplicate_prog_keys()),
             "bad_cohort_cells": lambda: Q.bad_cohort_cells_from_cohorts(self.cohort_rollup()),
             "orphan_prog_cells": lambda: Q.orphan_prog_cells(pairs),
             "orphan_act_cells": lambda: Q.orphan_act_cells(pairs),
             "missing_cohort_days": lambda: Q.missing_cohort_days(ad, w.extract, sp),
             "duplicate_act_keys": lambda: Q.duplicate_act_keys(pairs),
-            "duplicate_prog_keys": lambda: Q.duplicate_prog_keys(p, pairs),
+            "duplicate_prog_keys": self.duplicate_prog_keys,
             "extract_day_check": lambda: Q.extract_day_check(ad, w.extract, sp),
             "playtime_quirk": lambda: Q.playtime_quirk(a, pairs=pairs),
             "playtime_quirk_cells": lambda: Q.playtime_quirk_cells(a, pairs=pairs),
@@ -288,30 +277,28 @@ def presentation_order(name: str, df: DataFrame) -> list:
 # Reports whose row count grows with the cells: kept out of the long table.
 DETAIL_REPORTS = frozenset({"quarantined_cells", "bad_cohort_cells", "orphan_prog_cells",
                             "orphan_act_cells", "missing_cohort_days", "duplicate_act_keys",
-                            "duplicate_prog_keys",
-                            "playtime_quirk_cells", "level_by_cohort"})
+                            "duplicate_prog_keys", "playtime_quirk_cells"})
 
 
 def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
             spec: CohortSpec = CohortSpec(), params: AnalysisParams = AnalysisParams(),
-            work_dir: str | None = None, threads: int = 3, rollups: bool = True) -> Analysis:
+            work_dir: str | None = None, threads: int = 3, rollups: bool = True,
+            expected_extract: dt.date | None = None) -> Analysis:
     """Derive the window and materialise the shared intermediates (or, with
     ``rollups=False``, run every report on the cells)."""
     if not rollups:
-        return Analysis(spark, act, prog, derive_window(act, spec), act, prog,
+        return Analysis(spark, act, prog, derive_window(act, spec, expected_extract), act, prog,
                         Q.cell_pairs(act, prog), spec, params, rolled=False)
     work_dir = work_dir or f"{shared_dir(spark)}/cohortlens-run/{uuid.uuid4().hex}"
     day_path, level_path = f"{work_dir}/act_day", f"{work_dir}/prog_level"
     with ThreadPoolExecutor(max_workers=threads + 1) as pool:
-        fw = pool.submit(derive_window, act, spec)
+        fw = pool.submit(derive_window, act, spec, expected_extract)
         fa = pool.submit(materialise, spark, activity_rollup(act), day_path)
         fp = pool.submit(materialise, spark, progression_rollup(prog), level_path)
         fc = pool.submit(materialise, spark, Q.cell_pairs(act, prog), f"{work_dir}/cell_pairs")
         window, pairs = fw.result(), fc.result()
         fa.result(), fp.result()
-    rows = max(spark.read.parquet(p).count() for p in (day_path, level_path))
-    small = rollup_session(spark, rows)
-    act_day, prog_level = _read_cached(small, day_path), _read_cached(small, level_path)
+    act_day, prog_level = _read_cached(spark, day_path), _read_cached(spark, level_path)
     return Analysis(spark, act, prog, window, act_day, prog_level, pairs, spec, params,
                     work_dir=work_dir)
 
@@ -320,16 +307,19 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
                  spec: CohortSpec = CohortSpec(), params: AnalysisParams = AnalysisParams(),
                  threads: int = 16, only: list[str] | None = None,
                  fail_on: tuple[str, ...] = ("identity_breaks",),
-                 out_format: str = "parquet") -> dict[str, str]:
+                 out_format: str = "parquet",
+                 expected_extract: dt.date | None = None) -> dict[str, str]:
     """Run every report and write it under ``out_dir``; the small reports are
     also written as one long metrics table (``out_dir/metrics``, partitioned
     by report).  Returns report name -> path.  A non-zero ``fail_on``
-    counter raises ``IntegrityError`` before any other report is written.
+    counter raises ``IntegrityError`` before any other report is written, an
+    extract date other than ``expected_extract`` raises ``WindowError`` before
+    anything is.  Shared intermediates go to the shared folder.
     ``out_format`` is 'parquet' or 'json' (JSON lines, one file per small
     report)."""
     if out_format not in ("parquet", "json"):
         raise ValueError(f"unsupported output format {out_format!r}")
-    analysis = prepare(spark, act, prog, spec, params, work_dir=f"{out_dir}/_rollups")
+    analysis = prepare(spark, act, prog, spec, params, expected_extract=expected_extract)
     thunks = analysis.reports()
     names = list(dict.fromkeys((only or list(thunks)) + ["integrity_report"]))
     paths = {n: f"{out_dir}/{n}" for n in names}
@@ -415,6 +405,8 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
                 futures[n] = pool.submit(after, n, futures)
         for future in futures.values():
             future.result()
+    for rollup in (analysis.act_day, analysis.prog_level):
+        rollup.unpersist()
     if any(n not in DETAIL_REPORTS for n in names):
         paths["metrics"] = metrics_dir
     return paths

@@ -107,3 +107,18 @@ def test_full_run_mix_gap_matches_query(spark, small_cells):
     written = spark.read.parquet(paths["mix_max_gap"])
     expected = catalog.queries()["mix_max_gap"](spark, SF_SMALL)
     assert _rows(written) == _rows(expected)
+
+
+def test_unexpected_extract_stops_before_any_output(spark, small_cells):
+    import datetime as dt
+    import os
+
+    from cohortlens.operators.window import WindowError
+    from cohortlens.plans.analysis import run_analysis
+
+    act, prog = small_cells
+    out = tempfile.mkdtemp(prefix="analysis-", dir="/tmp")
+    with pytest.raises(WindowError):
+        run_analysis(spark, act, prog, out, catalog.SPEC, catalog.PARAMS,
+                     expected_extract=dt.date(1999, 1, 1))
+    assert os.listdir(out) == []

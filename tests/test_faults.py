@@ -165,13 +165,28 @@ def test_duplicate_level_flag(spark):
             + prog_with([99], "odd") + prog_with([0, 30], "edges"))
     prog = spark.createDataFrame(rows, S.PROGRESSION_SCHEMA)
     act = spark.createDataFrame([], S.ACTIVITY_SCHEMA)
-    flags = {r[S.COUNTRY]: r["p_dup_suspect"] for r in Q.cell_pairs(act, prog).collect()}
+    pairs = Q.cell_pairs(act, prog, levels=(0, 30))   # a level beyond the masks is recounted
+    flags = {r[S.COUNTRY]: r["p_dup_suspect"] for r in pairs.collect()}
     assert flags == {"clean": False, "dup": True, "nulls": True, "one_null": False,
                      "odd": True, "edges": False}
+    flags = {r[S.COUNTRY]: r["p_dup_suspect"] for r in Q.cell_pairs(act, prog).collect()}
+    assert flags["odd"] is False and flags["dup"] is True   # the derived range covers it
     exact = {r[S.COUNTRY] for r in Q.duplicate_prog_keys(prog, Q.cell_pairs(act, prog)).collect()}
     assert exact == {"dup", "nulls"}
 
 
+def test_many_levels_flag_no_clean_group(spark):
+    def prog_with(levels, country):
+        return [(D(2001, 1, 1), "10.2", country, "n", "p", 0, lv, 1, 1, 0, 1, 1.0) for lv in levels]
+    rows = (prog_with(range(1, 501), "clean") + prog_with([*range(1, 501), 437], "dup")
+            + prog_with([-3, 59, 60, 500], "edges"))
+    prog = spark.createDataFrame(rows, S.PROGRESSION_SCHEMA)
+    pairs = Q.cell_pairs(spark.createDataFrame([], S.ACTIVITY_SCHEMA), prog)
+    flags = {r[S.COUNTRY]: r["p_dup_suspect"] for r in pairs.collect()}
+    assert flags == {"clean": False, "dup": True, "edges": False}
+    assert [r[S.LEVEL] for r in Q.duplicate_prog_keys(prog, pairs).collect()] == [437]
+
+
 def test_rows_beyond_extract_on_either_table(spark, small_cells):
     act, prog = small_cells
     w = derive_window(act, SPEC)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as E
+from cohortlens.plans import catalog
 from conftest import SF_SMALL
 
+QUERIES = catalog.queries()   # the training-data queries are tested in their own folder
+
 FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
              "ArrowEvalPython", "PythonUDF")
 
@@ -17,17 +19,15 @@ def _plan(df) -> str:
     return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_nested_loop_or_python(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     for bad in FORBIDDEN:
         assert bad not in plan, (name, bad)
 
 
 @pytest.mark.parametrize("name,rollups", [("retention_curve", False), ("retention_slice", True)])
 def test_window_filter_reaches_the_scan(spark, name, rollups):
-    from cohortlens.plans import catalog
-
     plan = _plan(catalog.queries(rollups=rollups)[name](spark, SF_SMALL))
     pushed = [line for line in plan.splitlines() if line.startswith("PushedFilters")]
     schema = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
@@ -39,10 +39,28 @@ def test_window_filter_reaches_the_scan(spark, name, rollups):
     assert "i_count_sessions" not in schema[0] and "f_playtime" not in schema[0]
 
 
-def test_integrity_report_reuses_grain_rollups(spark):
-    plan = _plan(E.queries()["integrity_report"](spark, SF_SMALL))
-    # The activity grain rollup feeds both the duplicate and the orphan checks.
-    assert "ReusedExchange" in plan or "AdaptiveSparkPlan" in plan
+def test_clean_progression_is_not_shuffled_for_duplicates(spark, small_cells):
+    """The plan used at scale: nothing is small enough for a broadcast by size."""
+    from cohortlens.operators import integrity as Q
+    from cohortlens.plans.analysis import prepare
+
+    act, prog = small_cells
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        clean = prepare(spark, act, prog, catalog.SPEC, catalog.PARAMS).duplicate_prog_keys()
+        plan = _plan(clean)
+        assert clean.count() == 0
+        assert "Scan parquet" not in plan and "Join" not in plan, plan
+        bad = prog.unionByName(prog.orderBy(*prog.columns).limit(3))
+        found = prepare(spark, act, bad, catalog.SPEC, catalog.PARAMS)
+        assert sorted(found.duplicate_prog_keys().collect()) == sorted(
+            Q.duplicate_keys(bad, Q.S.KEY7).collect())
+        few = Q.flagged_keys(found.pairs)
+        plan = _plan(Q.duplicate_prog_keys(bad, few, few.count()))
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 # Reports that join raw rows on purpose (AQE's skew join splits a hot key).
@@ -66,11 +84,11 @@ def _exchanges_without_partial_aggregate(plan: str) -> list[str]:
     return bad
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - RAW_ROW_SHUFFLES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - RAW_ROW_SHUFFLES))
 def test_hash_shuffles_carry_partial_aggregates(spark, name):
     """Skew safety: a key holding a large share of the rows is combined
     map-side before it is shuffled, in every aggregate-only report."""
-    df = E.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     initial = plan.split("+- == Initial Plan ==")[-1]
     assert _exchanges_without_partial_aggregate(initial) == [], name

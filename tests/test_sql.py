@@ -37,3 +37,15 @@ def test_sql_equals_dataframe(spark, small_cells, name):
     assert _rows(got) == _rows(expected)
     plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_slice_value_is_bound_not_pasted(spark, small_cells):
+    act, prog = small_cells
+    register(spark, act, prog)
+    w = derive_window(act, SPEC)
+    got = sql_report(spark, "retention_slice_curve", w, SPEC, "s_country", "Cote d'Ivoire")
+    assert got.count() == 0
+    plan = spark._jvm.PythonSQLUtils.explainString(
+        sql_report(spark, "retention_reads", w, SPEC)._jdf.queryExecution(), "simple")
+    initial = plan.split("+- == Initial Plan ==")[-1]
+    assert initial.count("Scan ") == 1, plan   # both reads come from one scan
