@@ -10,6 +10,9 @@ A document's set is its distinct word shingles.  Two sets link when
 * Index-level skipping: a list is sorted by set size; an entry is compared only
   with the block of sizes that can reach the threshold, and a pair whose
   positions leave too few shingles is skipped.
+* A pair is found in the list of its first common shingle.  Entries carry minima
+  of their set's earlier shingles; where those of two entries are equal, both sets
+  hold that shingle, so a later list skips the pair.
 * Answer-level skipping: every set first takes a pivot, the most central set
   among those with an equal min-hash, and is verified against it.  Sets linked
   to one pivot have their answer already, so pairs among them are skipped in
@@ -51,6 +54,8 @@ FREQUENT = 100_000
 COUNTED_AT_ONCE = 1_000_000
 BUCKET_ENTRIES = 400_000
 SPLIT = 20_000
+#: Minima kept of the shingles before an entry's own.
+SEEN = 3
 _U = np.uint64
 #: Shingles are 47-bit hashes: only collisions within one pair of sets could matter.
 _BITS = 47
@@ -240,20 +245,32 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return _of_pairs(pairs, docs, pack).mapInArrow(exact, "a long, b long")
 
 
-#: An index entry: shingle, set, its pivot and size, the shingle's place in it, and the parts of a split list.
-ENTRY = np.dtype([("h", "u8"), ("id", "i8"), ("lab", "i8"), ("n", "i4"), ("pos", "i4"), ("part", "i4"), ("own", "i4")])
+#: An index entry: shingle, set, its pivot and size, the shingle's place in it, the parts of a split list, and what came before.
+ENTRY = np.dtype([("h", "u8"), ("id", "i8"), ("lab", "i8"), ("n", "i4"), ("pos", "i4"), ("part", "i4"), ("own", "i4"), ("seen", "u8", (SEEN,))])
+_PLACES = _U((1 << (_BITS + 1)) - 1)
+_SEEN_SALTS = (X.mix(np.arange(101, 101 + SEEN, dtype=_U)) | _U(1))[:, None]
+
+
+def seen_before(places: np.ndarray) -> np.ndarray:
+    """For each place of a prefix, the least of the earlier places under each of ``SEEN``
+    permutations (products with odd numbers modulo 2^48, so that equal minima are one
+    shingle); 0 for the first place, which nothing precedes."""
+    least = np.minimum.accumulate((places[None] * _SEEN_SALTS) & _PLACES, axis=1)
+    return np.concatenate([np.zeros((SEEN, min(1, len(places))), _U), least[:, :-1]], axis=1).T
 
 
 def pack_entries(e: np.ndarray) -> bytes:
     """Entries column by column, so that repeated and near values compress in the shuffle."""
     ids = np.diff(e["id"], prepend=0)
-    return b"".join([pack(e["h"]), ids.tobytes(), (e["lab"] - e["id"]).tobytes(), *(e[c].tobytes() for c in ("n", "pos", "part", "own"))])
+    return b"".join([pack(e["h"]), *(pack(e["seen"][:, k]) for k in range(SEEN)), ids.tobytes(), (e["lab"] - e["id"]).tobytes(), *(e[c].tobytes() for c in ("n", "pos", "part", "own"))])
 
 
 def unpack_entries(data: pa.Buffer) -> np.ndarray:
-    n = len(data) // (6 + 8 + 8 + 16)
-    e, at = np.zeros(n, ENTRY), 6 * n
-    e["h"] = unpack(data[:at])
+    n = len(data) // (6 + 6 * SEEN + 8 + 8 + 16)
+    e, at = np.zeros(n, ENTRY), 6 * n * (1 + SEEN)
+    e["h"] = unpack(data[: 6 * n])
+    for k in range(SEEN):
+        e["seen"][:, k] = unpack(data[6 * n * (1 + k) : 6 * n * (2 + k)])
     e["id"] = np.cumsum(np.frombuffer(data, np.int64, n, at))
     e["lab"] = np.frombuffer(data, np.int64, n, at + 8 * n) + e["id"]
     for k, c in enumerate(("n", "pos", "part", "own")):
@@ -275,6 +292,7 @@ def _entries(reps: DataFrame, shared, buckets: int, split: int = SPLIT) -> DataF
             doc = np.repeat(np.arange(len(own)), size)
             e = np.zeros(len(doc), ENTRY)
             e["h"], e["pos"] = np.concatenate(own), np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+            e["seen"] = np.concatenate([seen_before(x) for x in own])
             for k, c in enumerate(("id", "n", "lab")):
                 e[c] = batch.column(k).to_numpy(zero_copy_only=False)[doc]
             often = e["h"] >= _TOP
@@ -298,7 +316,8 @@ def _entries(reps: DataFrame, shared, buckets: int, split: int = SPLIT) -> DataF
 
 
 def list_pairs(e: np.ndarray) -> np.ndarray:
-    """Distinct candidate pairs (low id, high id) of a bucket's lists."""
+    """Distinct candidate pairs (low id, high id) of a bucket's lists, without those that
+    the list of an earlier common shingle has."""
     e = e[np.lexsort((e["n"], e["part"], e["h"]))]
     new = np.r_[True, (e["h"][1:] != e["h"][:-1]) | (e["part"][1:] != e["part"][:-1])]
     first = np.flatnonzero(new)
@@ -308,7 +327,7 @@ def list_pairs(e: np.ndarray) -> np.ndarray:
     if not len(e):
         return np.zeros((0, 2), np.int64)
     group = np.cumsum(np.r_[True, (e["h"][1:] != e["h"][:-1]) | (e["part"][1:] != e["part"][:-1])])
-    n, pos, lab, ident = e["n"].astype(np.int64), e["pos"].astype(np.int64), e["lab"], e["id"]
+    n, pos, lab, ident, seen = e["n"].astype(np.int64), e["pos"].astype(np.int64), e["lab"], e["id"], e["seen"]
     cross = e["part"] > 0
     rest = n - pos
     found = [np.zeros((0, 2), np.int64)]
@@ -321,7 +340,9 @@ def list_pairs(e: np.ndarray) -> np.ndarray:
         ok = (lab[at] != lab[j]) & (np.minimum(rest[at], rest[j]) >= needed(n[at], n[j]))
         if cross.any():  # within pairs of two parts, only entries of different parts meet
             ok &= ~cross[at] | (e["own"][at] != e["own"][j])
-        x, y = ident[at[ok]], ident[j[ok]]
+        left, right = at[ok], j[ok]
+        fresh = ~((seen[left] == seen[right]) & (seen[left] != 0)).any(1)
+        x, y = ident[left[fresh]], ident[right[fresh]]
         found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         if sum(map(len, found)) > 2_000_000:
             found = [np.unique(np.concatenate(found), axis=0)]

@@ -152,6 +152,26 @@ def test_split_lists_give_the_same_pairs():
     assert parts == whole and len(whole) > 100
 
 
+def test_set_join_lists_skip_pairs_of_earlier_shingles():
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.choice(1 << 47, 60, replace=False)).astype(np.uint64)
+    sets = [np.sort(rng.choice(base, 50, replace=False)) for _ in range(25)]
+    entries = np.concatenate([np.zeros(30, set_join.ENTRY) for _ in sets])
+    for k, s in enumerate(sets):
+        e = entries[30 * k : 30 * k + 30]
+        e["h"], e["id"], e["lab"], e["n"], e["pos"] = s[:30], k, k, 50, np.arange(30)
+        e["seen"] = set_join.seen_before(s[:30])
+    lists = [set_join.unpack_entries(memoryview(set_join.pack_entries(entries[entries["h"] == h]))) for h in base]
+    found = [[tuple(p) for p in set_join.list_pairs(e)] for e in lists if len(e)]
+    bare = entries.copy()
+    bare["seen"] = 0
+    plain = [[tuple(p) for p in set_join.list_pairs(bare[bare["h"] == h])] for h in base if (bare["h"] == h).any()]
+    linked = {(a, b) for a in range(25) for b in range(a + 1, 25) if len(np.intersect1d(sets[a], sets[b])) >= set_join.needed(50, 50)}
+    assert linked <= {p for ps in found for p in ps} == {p for ps in plain for p in ps}
+    assert 3 * sum(map(len, found)) < sum(map(len, plain))
+    assert set_join.seen_before(np.zeros(0, np.uint64)).shape == (0, set_join.SEEN)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)]
