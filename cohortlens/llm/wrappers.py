@@ -8,8 +8,8 @@ with it: differing texts become slots, tags that only one side has become
 optional.  Texts that stay the same on all aligned pages are template text.
 
 A page's main text is what its article (or main, or body) holds without
-boilerplate elements (by tag, role and class) and, outside an article, without
-the wrapper's template text.
+boilerplate elements (by tag, role and class) and without the wrapper's template
+text, inside an article and outside.
 
 Wrappers come from at most ``SAMPLE`` pages a host, picked by salted hashes, and
 only their skeletons (tags and text hashes) travel.  Every page is extracted
@@ -244,7 +244,7 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
 
     for kind, tag, names, text in tokens(html):
         if kind == "text":
-            if not skip and (depth or not region) and (region or not template or text_key("/".join(stack[-6:]), text) not in template):
+            if not skip and (depth or not region) and (not template or text_key("/".join(stack[-6:]), text) not in template):
                 now.append(text)
             continue
         if kind == "start":

@@ -184,6 +184,13 @@ def test_components(spark):
     assert got == {v: c for v, c in name.items() if v not in alone}
 
 
+def test_html_wrapper_decides_inside_articles(spark):
+    page = "<body><article><h1>{0} title</h1><div class='zq7'>Read our {1} today</div><p>{0} first<p>{0} second<p class='kx'>Spread the word</p></article></body>"
+    rows = [(k, f"http://a.example/{k}", page.format(w, "terms")) for k, w in enumerate(("red", "blue", "green", "grey"))]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"{w} title\n\n{w} first\n\n{w} second" for w in ("red", "blue", "green", "grey")}
+
+
 def test_toxicity(spark, rows, docs, empty):
     rng = random.Random(5)
     plain = [" ".join(rng.choice(["sun", "tree", "river", "stone", "bird"]) + str(rng.randint(0, 50)) for _ in range(20)) for _ in range(120)]
