@@ -54,12 +54,32 @@ BLOCK = frozenset(
 )
 BOILERPLATE = frozenset("nav footer aside form head button select label dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widget|footer|site-header|masthead"
-    r"|topbar|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|social|related|recommended|comments?|respond|replies"
-    r"|pagination|pager)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words of class names of boilerplate, and words that say nothing beside them: a name is
+#: boilerplate if it has one of the first and no other word ("post-comments", not "has-sidebar").
+NAMED = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer masthead topbar"
+    " cookie cookies consent notice alert popup modal newsletter subscribe signup login share social related recommended comment comments respond replies"
+    " pagination pager".split()
 )
+NEUTRAL = frozenset(
+    "area article articles bar block body bottom box button buttons container entry form group header icon icons inner item items left link links list main media"
+    " page panel post posts primary right secondary section site slot stories sub text title top unit widgets wrap wrapper".split()
+)
+#: Words of an article's own class names that make it a comment or a teaser of another page.
+OTHERS = frozenset("ad ads advert advertisement comment comments promo recommended related replies reply respond sponsored teaser widget".split())
+CLOSES_P = BLOCK - frozenset("body caption dd dt html li tbody td tfoot th thead tr".split())
+#: Start tags that end open elements (HTML's optional end tags), and the elements that stop the search.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl"})),
+    **dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table"})),
+    "tr": ({"tr"}, {"tbody", "thead", "tfoot", "table"}),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "caption", "tr"}, {"table"})),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+}
+_P_SCOPE = frozenset("html table td th caption button object marquee".split())
+_PASSED = frozenset("address div p".split())
 
 
 def tokens(html: str):
@@ -73,16 +93,57 @@ def tokens(html: str):
             yield ("end" if m["end"] else "start"), tag, names, ""
 
 
+def _named(name: str, words: frozenset[str]) -> bool:
+    parts = [x for x in re.split(r"[_-]+", name.lower()) if x]
+    return any(x in words for x in parts) and all(x in words or x in NEUTRAL or x.isdigit() for x in parts)
+
+
 def boilerplate(tag: str, names: str, depth: int) -> bool:
-    """Whether a start tag opens an element that holds no main text; ``depth``: enclosing articles."""
+    """Whether a start tag opens an element that holds no main text; ``depth``: enclosing articles and mains."""
     if tag in BOILERPLATE or tag == "header" and not depth:
         return True
-    for part in names.split(" "):
-        if part.startswith("role=") and part[5:].lower() in ROLES:
-            return True
-    if not names or tag in ("html", "body", "article", "main"):
+    if not names or tag in ("html", "body", "main"):
         return False
-    return bool(NAMED.search(re.sub(r"\b(class|id|role)=", " ", names)) or tag == "div" and re.search(r"=header(?:$|\s)", names))
+    words, kind = OTHERS if tag == "article" else NAMED, ""
+    for part in names.split():
+        if part.startswith(("class=", "id=", "role=")):
+            kind, _, part = part.partition("=")
+        if kind == "role":
+            if part.lower() in ROLES:
+                return True
+        elif _named(part, words) or tag == "div" and part == "header":
+            return True
+    return False
+
+
+def start(stack: list[str], tag: str) -> None:
+    """Open an element on the stack of open elements, after the ends that its start tag implies."""
+    if tag in CLOSES_P:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k] == "p":
+                del stack[k:]
+                break
+            if stack[k] in _P_SCOPE:
+                break
+    ends, stops = IMPLIED.get(tag, ((), ()))
+    for k in range(len(stack) - 1, -1, -1) if ends else ():
+        if stack[k] in ends:
+            del stack[k:]
+            break
+        if stack[k] in stops or tag in ("li", "dt", "dd") and stack[k] in BLOCK and stack[k] not in _PASSED:
+            break
+    if tag not in VOID:
+        stack.append(tag)
+
+
+def end(stack: list[str], tag: str) -> None:
+    """Close the innermost open element of that tag; inline end tags do not reach out of a block, nor others out of a table cell."""
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k] == tag:
+            del stack[k:]
+            return
+        if tag not in BLOCK and stack[k] in BLOCK or stack[k] in ("td", "th") and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "body", "html"):
+            return
 
 
 def text_key(path: str, text: str) -> int:
@@ -100,15 +161,10 @@ def _paths(html: str):
                 yield kind, "/".join(stack[-6:]), text
             continue
         if kind == "start":
-            if tag == "p" and stack and stack[-1] == "p":
-                stack.pop()
-            if tag not in VOID:
-                stack.append(tag)
+            start(stack, tag)
             yield kind, f"<{tag} {names}>" if names else f"<{tag}>", ""
         else:
-            if tag in stack:
-                while stack.pop() != tag:
-                    pass
+            end(stack, tag)
             yield kind, f"</{tag}>", ""
 
 
@@ -228,48 +284,55 @@ def infer(streams: list[list[str]]) -> Wrapper | None:
 
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Main text of a page: blocks in page order joined by two line feeds."""
-    regions = {t for k, t, n, _ in tokens(html) if k == "start" and t in ("article", "main") and not boilerplate(t, n, 0)}
-    region = "article" if "article" in regions else "main" if "main" in regions else ""
-    blocks: list[str] = []
+    """Main text of a page: blocks in page order joined by two line feeds.
+
+    It is what the articles hold; what main holds, if most of its text is outside its articles; or what
+    body holds without either.  Boilerplate elements end where the stack of open elements ends them."""
+    blocks: list[tuple[bool, bool, str]] = []  # in an article, in main
     now: list[str] = []
     stack: list[str] = []
-    depth = skip = 0
-    skipping = ""
+    regions: list[tuple[int, str]] = []  # open articles and mains: place in the stack, tag
+    skip = -1  # place of the open boilerplate element
+    found = False  # an article or main outside boilerplate
 
     def flush():
         if block := " ".join(unescape("".join(now)).split()):
-            blocks.append(block)
+            inside = {t for _, t in regions}
+            blocks.append(("article" in inside, "main" in inside, block))
         now.clear()
 
     for kind, tag, names, text in tokens(html):
         if kind == "text":
-            if not skip and (depth or not region) and (not template or text_key("/".join(stack[-6:]), text) not in template):
+            if skip < 0 and (not template or text_key("/".join(stack[-6:]), text) not in template):
                 now.append(text)
             continue
-        if kind == "start":
-            if tag == "p" and stack and stack[-1] == "p":
-                stack.pop()
-            if tag not in VOID:
-                stack.append(tag)
-        elif tag in stack:
-            while stack.pop() != tag:
-                pass
-        if skip:
-            if tag == skipping and tag not in VOID:
-                skip += 1 if kind == "start" else -1
-            continue
-        if tag in BLOCK:
+        if skip < 0 and tag in BLOCK:
+            flush()
+        (start if kind == "start" else end)(stack, tag)
+        opened = kind == "start" and tag not in VOID
+        held = len(stack) - opened  # what was open before and still is
+        if skip >= held:
+            skip = -1
+        if regions and regions[-1][0] >= held:
             flush()
-        elif tag == "br":
+            while regions and regions[-1][0] >= held:
+                regions.pop()
+        if skip >= 0:
+            continue
+        if tag == "br":
             now.append(" ")
-        if kind == "start" and tag not in VOID and boilerplate(tag, names, depth):
+        if opened and boilerplate(tag, names, len(regions)):
             flush()
-            skip, skipping = 1, tag
-        elif region and tag == region:
-            depth = max(0, depth + (1 if kind == "start" else -1))
+            skip = held
+        elif opened and tag in ("article", "main"):
+            regions.append((held, tag))
+            found = True
     flush()
-    return "\n\n".join(blocks)
+    size = lambda wanted: sum(len(b) for a, m, b in blocks if wanted(a, m))
+    main, both = size(lambda _, m: m), size(lambda a, m: a and m)
+    if main and 2 * both < main:
+        return "\n\n".join(b for _, m, b in blocks if m)
+    return "\n\n".join(b for a, _, b in blocks if a or not found)
 
 
 def host_of(url):

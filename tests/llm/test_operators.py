@@ -191,6 +191,23 @@ def test_html_wrapper_decides_inside_articles(spark):
     assert {r.text for r in got} == {f"{w} title\n\n{w} first\n\n{w} second" for w in ("red", "blue", "green", "grey")}
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<main><p>Long main text of the page<aside><article>teaser</article></aside></main>", "Long main text of the page"),
+        ("<main><p>Long main text of the page</p><article class=comment>me too</article></main>", "Long main text of the page"),
+        ("<main><p>Long main text of the page</p><article>more</article></main>", "Long main text of the page\n\nmore"),
+        ("<div class='content has-sidebar'><article><p>kept</article><div class='sidebar-left'>out</div></div>", "kept"),
+        ("<div class='no-sidebar'><article><div class=with-comments>kept</div></article></div>", "kept"),
+        ("<article><p class=notice>out<p>one<ul><li class=share>out<li>two</ul><p>three<div class='social-share'>out</article><footer>f", "one\n\ntwo\n\nthree"),
+        ("<article><table><tr><td class=ad>out<td>one<tr><td>two</table><dl><dt class=promo>out<dd>three</dl></article>", "one\n\ntwo\n\nthree"),
+        ("<article><div>one<b>two</div></b><p>three</p></article>", "onetwo\n\nthree"),
+    ],
+)
+def test_html_regions_and_skipping(body, want):
+    assert wrappers.main_text(f"<html><body>{body}</body></html>") == want
+
+
 def test_toxicity(spark, rows, docs, empty):
     rng = random.Random(5)
     plain = [" ".join(rng.choice(["sun", "tree", "river", "stone", "bird"]) + str(rng.randint(0, 50)) for _ in range(20)) for _ in range(120)]
