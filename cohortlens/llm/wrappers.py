@@ -5,40 +5,52 @@ streams: tags, text slots, repeated groups ``( )+`` and optional groups
 ``( )?``.  Adjacent equal groups of a stream are folded into repeated groups;
 the wrapper starts as the first stream, and every further stream is aligned
 with it: differing texts become slots, tags that only one side has become
-optional.  Texts that stay the same on all aligned pages are template text.
+optional.  A text on more than half of the pages that have its place is template
+text, and so are the texts that alternate there, if repeating texts fill more than
+half; ``LEAST`` pages (two on a host of two) that are no near copies of each other
+must hold it.
 
 A page's main text is what its article (or main, or body) holds without
 boilerplate elements (by tag, role and class) and without the wrapper's template
 text, inside an article and outside.
 
-Wrappers come from at most ``SAMPLE`` pages a host, picked by salted hashes, and
-only their skeletons (tags and text hashes) travel.  Every page is extracted
-whole.
+Wrappers come from all distinct pages of a host, and only their skeletons (tags and
+text hashes) travel: groups of about ``BATCH`` are aligned, equal structures first,
+and their wrappers again, until a host has one.  A place keeps its frequent texts by
+Misra-Gries counts with bounded error, so a wrapper's size does not follow the number
+of pages.  Long streams are aligned in segments, whole.  Every page is extracted whole.
 
-Defined cases: null and empty html give an empty text; hosts with under
-``LEAST`` sampled pages have an empty wrapper; null urls share one host name;
-repeated pages count once in a sample and are each extracted.
+Defined cases: null and empty html give an empty text; hosts with one distinct page
+have no template text, as nothing tells it from the page's own; null urls share one
+host name; repeated pages count once in a wrapper and are each extracted.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
+from bisect import bisect_left
 from difflib import SequenceMatcher
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from cohortlens.llm.bloom import bit_table, member
 from cohortlens.llm.shared import bounded_batches, written
 
-SAMPLE = 6
 LEAST = 3
 LONGEST_GROUP = 12
-LONGEST_STREAM = 3000
+#: Skeletons or wrappers aligned at a time.
+BATCH = 64
+#: Texts counted at a place, as a multiple of those on one page; counts err by at most a 40th of the pages.
+COUNTED = 40
+#: Words kept of a page for telling near copies, and the share of equal words that makes one.
+SKETCH, ALIKE = 32, 0.9
+#: Longer stretches without a common anchor are aligned in segments of this length.
+SEGMENT = 400
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"""
@@ -152,8 +164,11 @@ def text_key(path: str, text: str) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+_DIGITS = re.compile(r"\d+")
+
+
 def _paths(html: str):
-    """Tokens with the path of open elements; blank texts are left out."""
+    """Tokens with the path of open elements; blank texts, inline tags without names and optional end tags are left out."""
     stack: list[str] = []
     for kind, tag, names, text in tokens(html):
         if kind == "text":
@@ -162,64 +177,95 @@ def _paths(html: str):
             continue
         if kind == "start":
             start(stack, tag)
-            yield kind, f"<{tag} {names}>" if names else f"<{tag}>", ""
+            if names or tag in BLOCK:
+                yield kind, f"<{tag} {_DIGITS.sub('0', names)}>" if names else f"<{tag}>", ""
         else:
             end(stack, tag)
-            yield kind, f"</{tag}>", ""
+            if tag in BLOCK and tag != "p" and tag not in IMPLIED:
+                yield kind, f"</{tag}>", ""
 
 
 def skeleton(html: str) -> list[str]:
     """A page's token stream: tags, and ``#`` with the key of each text."""
-    out = []
-    for kind, what, text in _paths(html):
-        out.append(f"#{text_key(what, text)}" if kind == "text" else what)
-        if len(out) >= LONGEST_STREAM:
-            break
-    return out
+    return [f"#{text_key(what, text)}" if kind == "text" else what for kind, what, text in _paths(html)]
+
+
+def sketch(text: str) -> tuple[int, ...]:
+    """The ``SKETCH`` least word hashes of a text."""
+    return tuple(sorted({zlib.crc32(w.encode("utf-8", "replace")) for w in text.split()})[:SKETCH])
+
+
+def alike(p: tuple[int, ...], q: tuple[int, ...]) -> bool:
+    """Whether two sketches are those of near copies."""
+    both = sorted({*p, *q})[:SKETCH]
+    return len({*p}.intersection(q, both)) >= ALIKE * len(both)
 
 
 class Node:
-    """A wrapper item: a tag, a text (its keys, None for a slot) or a repeated group."""
+    """A wrapper item: a tag, a text (its keys with page counts and unlike pages) or a repeated group."""
 
-    __slots__ = ("inner", "key", "optional", "pages", "texts")
+    __slots__ = ("inner", "key", "lost", "mass", "optional", "pages", "texts")
 
     def __init__(self, key, texts=None, inner=None):
         self.key, self.texts, self.inner, self.pages, self.optional = key, texts, inner, 1, False
+        self.mass = self.lost = 0  # texts counted, and the most that any count misses
 
     def merge(self, other: Node) -> Node:
+        """The same item of other pages."""
+        self.pages += other.pages
+        self.optional |= other.optional
         if self.inner:
             for a, b in zip(self.inner, other.inner, strict=True):
                 a.merge(b)
-        elif self.key == "T" and self.texts != other.texts:
-            self.texts = None
-        self.pages += other.pages
+        elif self.key == "T":
+            for key, (n, marks) in other.texts.items():
+                m, have = self.texts.get(key, (0, ()))
+                for mark in marks:
+                    if len(have) < LEAST and not any(alike(mark, x) for x in have):
+                        have = (*have, mark)
+                self.texts[key] = (m + n, have)
+            self.mass, self.lost = self.mass + other.mass, self.lost + other.lost
+            most = COUNTED * -(-self.mass // self.pages)
+            if len(self.texts) > most:
+                least = sorted((n for n, _ in self.texts.values()), reverse=True)[most]
+                self.texts = {k: (n - least, marks) for k, (n, marks) in self.texts.items() if n > least}
+                self.lost += least
         return self
 
     def fold(self, other: Node) -> Node:
-        """Another repetition on the same page: texts line up one after the other."""
+        """Another repetition on the same page: its texts join."""
         if self.inner:
             for a, b in zip(self.inner, other.inner, strict=True):
                 a.fold(b)
         elif self.key == "T":
-            self.texts = (*self.texts, *other.texts)
+            self.texts.update(other.texts)
+            self.mass = len(self.texts)
         return self
 
 
-def folded(stream: list[str]) -> list[Node]:
-    """The stream with adjacent equal groups folded into repeated groups, short groups first."""
-    nodes = [Node("T", (int(t[1:]),)) if t[0] == "#" else Node(t) for t in stream]
+def folded(stream: list[str], mark: tuple[int, ...]) -> list[Node]:
+    """The stream with adjacent equal groups folded into repeated groups, short groups first; texts side by side are one item."""
+    nodes: list[Node] = []
+    for t in stream:
+        node = Node("T", {int(t[1:]): (1, (mark,))}) if t[0] == "#" else Node(t)
+        node.mass = int(node.key == "T")
+        if node.key == "T" and nodes and nodes[-1].key == "T":
+            nodes[-1].fold(node)
+        else:
+            nodes.append(node)
     for size in range(1, LONGEST_GROUP + 1):
+        keys = [n.key for n in nodes]
         out, i = [], 0
         while i < len(nodes):
-            keys = [n.key for n in nodes[i : i + size]]
-            unit, j = nodes[i : i + size], i + size
-            while len(unit) == size and [n.key for n in nodes[j : j + size]] == keys:
-                for a, b in zip(unit, nodes[j : j + size], strict=True):
-                    a.fold(b)
-                j += size
-            if j > i + size:
+            j = i + size
+            if j < len(nodes) and keys[i] == keys[j] and keys[i:j] == keys[j : j + size]:
+                unit = nodes[i:j]
+                while keys[j : j + size] == keys[i : i + size]:
+                    for a, b in zip(unit, nodes[j : j + size], strict=True):
+                        a.fold(b)
+                    j += size
                 single = size == 1 and unit[0].inner
-                out.append(unit[0] if single else Node(("+", *keys), inner=unit))
+                out.append(unit[0] if single else Node(("+", *keys[i : i + size]), inner=unit))
                 i = j
             else:
                 out.append(nodes[i])
@@ -228,34 +274,95 @@ def folded(stream: list[str]) -> list[Node]:
     return nodes
 
 
+def _matching(a: list, b: list, x: int = 0, y: int = 0):
+    """(place in a, place in b) of matching keys: common ends, then anchors that both sides have once,
+    then what is between them, in segments if long."""
+    lo = 0
+    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
+        yield x + lo, y + lo
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    tail = [(x + len(a) - k, y + len(b) - k) for k in range(hi, 0, -1)]
+    a, b, x, y = a[lo : len(a) - hi], b[lo : len(b) - hi], x + lo, y + lo
+    if a and b:
+        if max(len(a), len(b)) <= SEGMENT:
+            for i, j, n in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
+                yield from ((x + i + k, y + j + k) for k in range(n))
+        else:
+            cuts = _anchors(a, b)
+            if not cuts:
+                parts = -(-max(len(a), len(b)) // SEGMENT)
+                cuts = [(len(a) * k // parts, len(b) * k // parts) for k in range(1, parts)]
+            for (i, j), (k, m) in zip([(0, 0), *cuts], [*cuts, (len(a), len(b))], strict=True):
+                yield from _matching(a[i:k], b[j:m], x + i, y + j)
+    yield from tail
+
+
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of keys that both sides have exactly once, rising on both sides."""
+    once = [{}, {}]
+    for places, keys in zip(once, (a, b), strict=True):
+        for i, k in enumerate(keys):
+            places[k] = -1 if k in places else i
+    pairs = [(i, once[1][k]) for k, i in once[0].items() if i >= 0 and once[1].get(k, -1) >= 0]
+    ends: list[int] = []  # patience: least last place of a rising run of each length
+    runs: list[tuple] = []
+    for i, j in sorted(pairs):
+        at = bisect_left(ends, j)
+        run = ((i, j), runs[at - 1] if at else None)
+        ends[at:], runs[at:] = [j, *ends[at + 1 :]], [run, *runs[at + 1 :]]
+    out, run = [], runs[-1] if runs else None
+    while run:
+        out.append(run[0])
+        run = run[1]
+    return out[::-1]
+
+
 class Wrapper:
-    def __init__(self, stream: list[str]):
-        self.nodes, self.pages = folded(stream), 1
-
-    def align(self, stream: list[str]) -> None:
-        """Resolve the mismatches between the wrapper and one more page."""
-        page, out = folded(stream), []
-        match = SequenceMatcher(None, [n.key for n in self.nodes], [n.key for n in page], autojunk=False)
-        for op, a, b, c, d in match.get_opcodes():
-            if op == "equal":
-                out += [x.merge(y) for x, y in zip(self.nodes[a:b], page[c:d], strict=True)]
-            else:
-                for n in [*self.nodes[a:b], *page[c:d]]:
-                    n.optional = True
-                    out.append(n)
-        self.nodes, self.pages = out, self.pages + 1
+    def __init__(self, stream: list[str], mark: tuple[int, ...]):
+        self.nodes, self.pages = folded(stream, mark), 1
+
+    def keys(self) -> list:
+        return [n.key for n in self.nodes]
+
+    def align(self, other: Wrapper) -> None:
+        """Resolve the mismatches between the wrapper and that of other pages."""
+        out: list[Node] = []
+        a = b = 0
+        for i, j in [*_matching(self.keys(), other.keys()), (len(self.nodes), len(other.nodes))]:
+            for n in [*self.nodes[a:i], *other.nodes[b:j]]:
+                n.optional = True
+                out.append(n)
+            if i < len(self.nodes):
+                out.append(self.nodes[i].merge(other.nodes[j]))
+            a, b = i + 1, j + 1
+        self.nodes, self.pages = out, self.pages + other.pages
 
     def template(self) -> set[int]:
-        """Keys of the texts that are equal on every page that has them, ``LEAST`` pages at least."""
+        """Keys of the texts that repeat on most pages that have their place, or alternate there."""
+        need = min(LEAST, self.pages)
+        total: dict[int, list] = {}
+        out: set[int] = set()
 
-        def walk(nodes):
+        def walk(nodes, single):
             for n in nodes:
                 if n.inner:
-                    yield from walk(n.inner)
-                elif n.key == "T" and n.texts and n.pages >= LEAST:
-                    yield from n.texts
-
-        return set(walk(self.nodes))
+                    walk(n.inner, False)
+                elif n.key == "T":
+                    often = 0
+                    for key, (count, marks) in n.texts.items():
+                        seen = total.setdefault(key, [0, 0, ()])
+                        seen[0], seen[1] = seen[0] + count + n.lost, seen[1] + n.pages
+                        seen[2] = (*seen[2], *(m for m in marks if not any(alike(m, x) for x in seen[2])))
+                        often += count * (len(marks) >= need)
+                    if single and n.mass == n.pages and 2 * often > n.pages:
+                        out.update(k for k, (_, marks) in n.texts.items() if len(marks) >= need)
+
+        if need > 1:
+            walk(self.nodes, True)
+        return out | {k for k, (count, pages, marks) in total.items() if 2 * count > pages and len(marks) >= need}
 
     def pattern(self) -> str:
         """The wrapper as a union-free regular expression."""
@@ -266,21 +373,32 @@ class Wrapper:
                 if n.optional != was:
                     out += "(" if n.optional else ")?"
                     was = n.optional
-                out += f"({show(n.inner)})+" if n.inner else n.key if n.key != "T" else "#TEXT" if n.texts else "#SLOT"
+                out += f"({show(n.inner)})+" if n.inner else n.key if n.key != "T" else "#TEXT" if len(n.texts) == 1 and not n.lost else "#SLOT"
             return out + (")?" if was else "")
 
         return show(self.nodes)
 
+    def packed(self) -> bytes:
+        return zlib.compress(pickle.dumps(self, pickle.HIGHEST_PROTOCOL), 1)
+
+
+def merged(wrappers: list[Wrapper]) -> Wrapper:
+    """One wrapper of all: equal structures first, then the others, the most frequent one first."""
+    equal: dict[tuple, Wrapper] = {}
+    for w in wrappers:
+        if (first := equal.setdefault(tuple(w.keys()), w)) is not w:
+            first.align(w)
+    order = sorted(equal.items(), key=lambda x: (-x[1].pages, repr(x[0])))
+    out = order[0][1]
+    for _, w in order[1:]:
+        out.align(w)
+    return out
+
 
 def infer(streams: list[list[str]]) -> Wrapper | None:
     """Wrapper of a host's token streams, equal streams once; None without any."""
     distinct = sorted({tuple(s) for s in streams if s})
-    if not distinct:
-        return None
-    wrapper = Wrapper(list(distinct[0]))
-    for s in distinct[1:]:
-        wrapper.align(list(s))
-    return wrapper
+    return merged([Wrapper(list(s), (k,)) for k, s in enumerate(distinct)]) if distinct else None
 
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -339,35 +457,46 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, template, pattern) of every host of ``pages`` (rid, host, html)."""
-    picks = [F.min(F.struct(F.xxhash64(F.lit(k), "rid"), "rid")).alias(f"p{k}") for k in range(SAMPLE)]
-    chosen = pages.groupBy("host").agg(*picks, F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    ids = written(chosen.select(F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.rid") for k in range(SAMPLE))))).alias("rid")), "wrapper-sample")
-    shared = pages.sparkSession.sparkContext.broadcast(bit_table(ids))
+def host_wrappers(pages: DataFrame, batch_size: int = BATCH) -> DataFrame:
+    """(host, template, pattern) of every host of ``pages`` (host, html)."""
 
-    def streams(batches):
+    def single(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(member(shared.value, batch.column(0).to_numpy(zero_copy_only=False)), pa.bool_()))
-            got = [skeleton(v.as_py() or "") for v in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.string()))], names=["rid", "host", "stream"])
-
-    sampled = pages.select("rid", "host", "html").mapInArrow(streams, "rid long, host string, stream array<string>")
-    sampled = sampled.join(ids, "rid", "left_semi").dropDuplicates(["rid"])
-    return sampled.groupBy("host").applyInPandas(_infer_host, "host string, template array<long>, pattern string")
-
+            out: dict[tuple, bytes] = {}
+            for host, html in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
+                stream = skeleton(html)
+                if stream and (key := (host, text_key("", "\n".join(stream)))) not in out:
+                    out[key] = Wrapper(stream, sketch(main_text(html))).packed()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in out], pa.string()), pa.array([k for _, k in out], pa.int64()), pa.array(list(out.values()), pa.binary())], names=["host", "k", "w"]
+            )
+
+    def together(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("k").to_pylist(), table.column("w").to_pylist(), strict=True))
+        whole = rows[0][1] if len(rows) == 1 else merged([pickle.loads(zlib.decompress(w)) for _, w in rows]).packed()
+        return pa.table({"host": table.column("host")[:1], "k": pa.array([rows[0][0]], pa.int64()), "w": pa.array([whole], pa.binary())})
+
+    def learned(batches):
+        for batch in batches:
+            got = [pickle.loads(zlib.decompress(w)) for w in batch.column(1).to_pylist()]
+            template = pa.array([sorted(w.template()) for w in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), template, pa.array([w.pattern() for w in got], pa.string())], names=["host", "template", "pattern"])
 
-def _infer_host(pdf: pd.DataFrame) -> pd.DataFrame:
-    wrapper = infer([list(s) for s in pdf.stream])
-    template = sorted(wrapper.template()) if wrapper and wrapper.pages >= LEAST else []
-    return pd.DataFrame({"host": [pdf.host.iloc[0]], "template": [template], "pattern": [wrapper.pattern() if wrapper else ""]})
+    kind = "host string, k long, w binary"
+    found = written(pages.select("host", "html").mapInArrow(single, kind).dropDuplicates(["host", "k"]), "wrapper-pages")
+    while True:  # each round leaves about one wrapper of ``batch_size``
+        n = written(found.groupBy("host").agg(F.count("*").alias("n")), "wrapper-counts")
+        if (n.agg(F.max("n")).first()[0] or 0) <= 1:
+            return found.select("host", "w").mapInArrow(learned, "host string, template array<long>, pattern string")
+        part = F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / batch_size)).alias("part")
+        found = written(found.join(n, "host").select("host", "k", "w", part).groupBy("host", "part").applyInArrow(together, kind), "wrapper-round")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("rid", F.xxhash64("page_id", "url"))
+    rows = rows.withColumn("host", host_of(F.col("url")))
     wrappers = written(host_wrappers(rows).select("host", "template"), "wrappers")
     kind = pages.schema[id_col].dataType.simpleString()
 

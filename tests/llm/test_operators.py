@@ -191,6 +191,29 @@ def test_html_wrapper_decides_inside_articles(spark):
     assert {r.text for r in got} == {f"{w} title\n\n{w} first\n\n{w} second" for w in ("red", "blue", "green", "grey")}
 
 
+def test_html_wrappers_of_all_layouts_and_long_pages(spark):
+    rng, rows = random.Random(5), []
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    want = {}
+    for k in range(200):  # 20 layouts with their own notices, long pages with a line after 3,000 tokens
+        own = [text(20), text(9)] if k % 20 else [text(3) for _ in range(1600)]
+        body = "".join(f"<p>{x}</p>" for x in own)
+        rows.append((k, f"http://a.example/{k}", f"<body><div class=x{'abcdefghijklmnopqrst'[k % 20]}>Layout {k % 20} says</div>{body}<h6>The end line</h6></body>"))
+        want[k] = "\n\n".join(own)
+    for k in (900, 901):  # a host of two pages
+        rows.append((k, "http://b.example/", f"<article><div class=zq>Two pages only</div><p>{text(15)}</p></article>"))
+        want[k] = rows[-1][2].split("<p>")[1].split("</p>")[0]
+    same = text(30)
+    for k in range(910, 914):  # near copies and copies are no evidence
+        rows.append((k, "http://c.example/", f"<article><p>{same}</p><p>{k if k < 913 else 910}</p></article>"))
+        want[k] = f"{same}\n\n{k if k < 913 else 910}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in wrappers.extract(pages).collect()} == want
+    hosts = pages.select(wrappers.host_of(F.col("url")).alias("host"), "html")
+    few, all_at_once = ({r.host: set(r.template) for r in wrappers.host_wrappers(hosts, n).collect()} for n in (5, 1000))
+    assert few == all_at_once and len(few["a.example"]) == 21
+
+
 @pytest.mark.parametrize(
     ("body", "want"),
     [
