@@ -1,18 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 A bounded, documented sample of labelled texts (``per_class`` of each label)
-becomes the example set.  Terms are words and word beginnings; the vocabulary
-is the ``terms`` of them most associated with the label over the sample.  The
-examples' TF-IDF vectors go into an inverted index cut into blocks of
-examples, with each term's largest weight per block; a text's nearest examples
-come from the blocks in order of their bounds, and a block whose bound can't
-reach the k-th best cosine is skipped, so the result is exact.  The neighbours
-vote with weights that fall with distance and undo the sampling by class; an
-isotonic fit on leave-one-out votes turns the vote into a calibrated score.
-The nearest examples are returned as evidence.
-
-Defined cases: null and empty texts, and texts without any vocabulary term,
-have no neighbours and get the calibrated rate of such examples; ties in
+becomes the example set.  Terms are words and word beginnings; every term that two
+examples hold is indexed, whatever its labels.  A term's evidence (log likelihood
+ratio of its label counts) raises its TF-IDF weight and never drops it.  A text is
+compared with all examples that share a term with it, by inverted lists (the lists
+of frequent terms are columns of a matrix), so the result is exact.  The neighbours
+vote with weights that fall with distance and undo the sampling by class, a toxic
+one by the part of its cosine that rests on evidence; an isotonic fit on
+leave-one-out votes turns the vote into a calibrated score.  The nearest examples
+are returned as evidence.
+
+Defined cases: null and empty texts, and texts without any indexed term,
+have no neighbours and get the calibrated rate of such examples (of a vote of 0
+without any); ties in
 cosine go to the example that comes first in the index; without labelled
 examples of both classes every score is the share of label 1 (0 without any);
 repeated rows get equal scores.
@@ -32,14 +33,16 @@ from cohortlens.llm import text as X
 from cohortlens.llm.shared import bounded_batches, written
 
 PER_CLASS = 2500
-TERMS = 1024
-#: A term's least evidence (log likelihood ratio of its label counts against the sample's share)
-#: and least ratio of its rates under the two labels.
-LEAST_EVIDENCE = 18.0
-LEAST_RATIO = 3.0
+#: Examples that hold a term for it to be indexed.
+LEAST_DF = 2
+#: Evidence (log likelihood ratio of a term's label counts against the sample's share) that counts in full,
+#: and the weight of a term without any.
+FULL_EVIDENCE = 18.0
+NO_EVIDENCE = 0.05
 NEIGHBOURS = 15
-BLOCK = 64
-FIRST_BLOCKS = 6
+#: Terms of more than a DENSE-th of the examples are matrix columns; queries multiplied at a time.
+DENSE = 10
+TOGETHER = 32
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 _U = np.uint64
@@ -60,11 +63,14 @@ def terms(run: X.Run) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Examples as columns of ``weight`` (terms x examples), cut into blocks of ``BLOCK``."""
+    """Examples' unit vectors as inverted lists: term ``t`` has ``of[first[t]:first[t + 1]]`` with their weights."""
 
     vocab: np.ndarray  # sorted term hashes
-    idf: np.ndarray
-    weight: np.ndarray
+    idf: np.ndarray  # with the evidence weight
+    sure: np.ndarray  # evidence of each term, 0 to 1
+    first: np.ndarray
+    of: np.ndarray
+    value: np.ndarray
     label: np.ndarray
     example: np.ndarray  # evidence ids
     class_weight: tuple[float, float]
@@ -73,14 +79,25 @@ class Index:
     no_terms: float = 0.0
 
     def __post_init__(self):
-        n = self.weight.shape[1]
-        self.edges = np.arange(0, n, BLOCK)
-        self.block_max = np.maximum.reduceat(self.weight, self.edges, axis=1) if n else np.zeros((len(self.vocab), 0), np.float32)
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.vocab >> _U(44)).astype(np.int64)] = True
+        self.df = np.diff(self.first)
+        often = np.flatnonzero(self.df > len(self.label) / DENSE)
+        self.column = np.full(len(self.vocab), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(self.label)), np.float32)
+        for k, t in enumerate(often):
+            self.dense[k, self.of[self.first[t] : self.first[t + 1]]] = self.value[self.first[t] : self.first[t + 1]]
+
+    @property
+    def weight(self) -> np.ndarray:
+        """The whole matrix (terms x examples), for small indexes."""
+        out = np.zeros((len(self.vocab), len(self.label)), np.float32)
+        out[np.repeat(np.arange(len(self.vocab)), self.df), self.of] = self.value
+        return out
 
     def vectors(self, run: X.Run):
-        """(row, term positions, unit weights) of the rows that hold a vocabulary term."""
+        """(row, term positions, unit weights) of the rows that hold an indexed term."""
         row, h = terms(run)
         near = self.known[(h >> _U(44)).astype(np.int64)]
         row, h = row[near], h[near]
@@ -95,30 +112,54 @@ class Index:
                 q = (1 + np.log(n)) * self.idf[t]
                 yield int(r[0]), t, q / np.linalg.norm(q)
 
-    def nearest(self, at: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Exact k nearest examples with a positive cosine: (positions, cosines)."""
-        bound = q @ self.block_max[at]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        # the most promising blocks set the k-th cosine; of the rest, only blocks that may reach it are read
-        while len(order):
-            some = order[:FIRST_BLOCKS] if not len(best) else order
-            cols = np.concatenate([np.arange(self.edges[b], min(self.edges[b] + BLOCK, len(self.label))) for b in np.sort(some)])
-            cos = q @ self.weight[np.ix_(at, cols)]
-            ok = (cos > 0) & (cols != skip)
-            best_at, best = np.concatenate([best_at, cols[ok]]), np.concatenate([best, cos[ok]])
-            top = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[top], best[top]
-            order = order[len(some) :]
-            if len(best) == k:
-                order = order[bound[order] >= best[-1]]
-        return best_at, best
-
-    def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
+    def _lists(self, at: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and products of the lists of these terms."""
+        n = self.df[at]
+        where = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.of[where], self.value[where] * np.repeat(q, n)
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skip: list[int] | None = None):
+        """For each query (term positions, weights), its exact k nearest examples with a positive cosine:
+        (positions, cosines, parts of the cosines that rest on evidence)."""
+        for lo in range(0, len(queries), TOGETHER):
+            some = queries[lo : lo + TOGETHER]
+            wide = np.zeros((len(some), len(self.dense)), np.float32)
+            for i, (at, q) in enumerate(some):
+                often = self.column[at] >= 0
+                wide[i, self.column[at[often]]] = q[often]
+            rough = wide @ self.dense
+            for i, (at, q) in enumerate(some):
+                rare = self.column[at] < 0
+                cos = rough[i] + np.bincount(*self._lists(at[rare], q[rare]), len(self.label))
+                if skip is not None:
+                    cos[skip[lo + i]] = 0
+                # the products of frequent terms are single precision: whatever may be among the k is summed again
+                least = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
+                cols = np.flatnonzero((cos >= least - 1e-5) & (cos > 0))
+                yield self._exact(at, q, cols, k)
+
+    def _exact(self, at, q, cols, k):
+        often = self.column[at] >= 0
+        block = self.dense[np.ix_(self.column[at[often]], cols)].astype(float)
+        cos, part = q[often] @ block, (q * self.sure[at])[often] @ block
+        t, w = at[~often], q[~often]
+        of, product = self._lists(t, w)
+        place = np.full(len(self.label), -1)
+        place[cols] = np.arange(len(cols))
+        ok = place[of] >= 0
+        here, product = place[of[ok]], product[ok]
+        cos = cos + np.bincount(here, product, len(cols))
+        part = part + np.bincount(here, product * np.repeat(self.sure[t], self.df[t])[ok], len(cols))
+        top = np.lexsort((cols, -cos))[:k]
+        return cols[top], cos[top], part[top]
+
+    def nearest(self, at: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return next(self.nearest_of([(at, q)], k))
+
+    def vote(self, at: np.ndarray, cos: np.ndarray, part: np.ndarray) -> float:
         y = self.label[at]
         w = np.where(y == 1, self.class_weight[1], self.class_weight[0]) / (1.05 - np.minimum(cos, 1))
-        return float((w * y).sum() / w.sum())
+        return float((w * y * part / cos).sum() / w.sum())
 
     def score(self, vote: float) -> float:
         if self.steps is None:
@@ -129,17 +170,18 @@ class Index:
     def calibrate(self) -> None:
         """Leave-one-out votes of the examples, then a weighted isotonic fit."""
         votes, weights, labels, none = [], [], [], np.zeros(2)
-        for i in range(self.weight.shape[1]):
-            at = np.flatnonzero(self.weight[:, i])
+        row = np.repeat(np.arange(len(self.vocab)), self.df)
+        order = np.lexsort((row, self.of))
+        cut = np.cumsum(np.bincount(self.of, minlength=len(self.label)))[:-1]
+        vectors = list(zip(np.split(row[order], cut), np.split(self.value[order].astype(float), cut), strict=True)) if len(self.label) else []
+        for i, near in enumerate(self.nearest_of(vectors, skip=list(range(len(vectors))))):
             cw, y = self.class_weight[self.label[i]], self.label[i]
-            near = self.nearest(at, self.weight[at, i].astype(float), skip=i) if len(at) else (at, at)
             if len(near[0]):
                 votes.append(self.vote(*near))
                 weights.append(cw)
                 labels.append(y)
             else:
                 none[y] += cw
-        self.no_terms = float(none[1] / none.sum()) if none.sum() else self.base
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # vote sum, label sum, weight: adjacent violators are pooled
         for i in order:
@@ -149,6 +191,7 @@ class Index:
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
         if pools:
             self.steps = (np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools]))
+        self.no_terms = float(none[1] / none.sum()) if none.sum() else self.score(0.0) if pools else self.base
 
 
 def fit(
@@ -158,59 +201,72 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     per_class: int = PER_CLASS,
-    n_terms: int = TERMS,
 ) -> Index:
     """Index of at most ``per_class`` distinct texts of each label; ``labels`` holds (id, 0/1)."""
     bounded_batches(docs.sparkSession)
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     lab = lab.groupBy("i").agg(F.max("y").alias("y"))
     n = {r.y: r.n for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    base = n1 / (n0 + n1) if n else 0.0
+    n0, n1_all = n.get(0, 0), n.get(1, 0)
+    base = n1_all / (n0 + n1_all) if n else 0.0
     drawn = F.xxhash64(F.lit("toxicity"), "i")
     parts = [lab.where(F.col("y") == y).orderBy(drawn, "i").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * per_class rows
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(ids, "i")
-    texts = texts.groupBy("t").agg(F.min("i").alias("i"), F.max("y").alias("y"))
+    texts = written(texts.groupBy("t").agg(F.min("i").alias("i"), F.max("y").alias("y")), "toxicity-examples")
+
+    def found(run):
+        """(row, term, count), by row."""
+        row, h = terms(run)
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (h[1:] != h[:-1])]) if len(row) else np.zeros(0, np.int64)
+        return row[first], h[first], np.diff(np.r_[first, len(row)])
 
     def count(batches):
         for batch in batches:
-            i, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            y = batch.column(2).to_numpy(zero_copy_only=False)
             for run in X.chunks(batch.column(0)):
-                row, h = terms(run)
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (h[1:] != h[:-1])]) if len(row) else np.zeros(0, np.int64)
-                tf = np.diff(np.r_[first, len(row)])
-                of = run.lo + row[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(i[of]), pa.array(y[of].astype(np.int32)), pa.array(h[first].view(np.int64)), pa.array(tf.astype(np.int64))], names=["i", "y", "f", "tf"]
-                )
-
-    seen = written(texts.mapInArrow(count, "i long, y int, f long, tf long"), "toxicity-terms")
+                row, h, _ = found(run)
+                yield pa.RecordBatch.from_arrays([pa.array(y[run.lo + row].astype(np.int32)), pa.array(h.view(np.int64))], names=["y", "f"])
+
     examples = texts.select("i", "y").orderBy("i").toPandas()
-    m1, m0 = max(1, int((examples.y == 1).sum())), max(1, int((examples.y == 0).sum()))
-    p1, p0 = F.col("n1") / m1, (F.col("df") - F.col("n1")) / m0
-    part = lambda n, share: F.when(n > 0, n * F.log(n / (F.col("df") * share))).otherwise(0.0)
-    evidence = part(F.col("n1"), m1 / (m1 + m0)) + part(F.col("df") - F.col("n1"), m0 / (m1 + m0))
-    ratio = (F.greatest(p1, p0) + 0.5 / (m1 + m0)) / (F.least(p1, p0) + 0.5 / (m1 + m0))
-    vocab = (
-        seen.groupBy("f").agg(F.count("*").alias("df"), F.sum("y").alias("n1")).where("df >= 3")
-        .where((evidence >= LEAST_EVIDENCE) & (ratio >= LEAST_RATIO)).orderBy(F.desc(evidence), "f").limit(n_terms).select("f", "df")
-    )
-    chosen = vocab.toPandas()
-    vectors = seen.join(F.broadcast(docs.sparkSession.createDataFrame(chosen[["f"]], "f long")), "f").select("i", "f", "tf").toPandas()
-    hashes = chosen.f.to_numpy(np.int64).view(_U)
+    m1, m0 = int((examples.y == 1).sum()), int((examples.y == 0).sum())
+    n = max(1, m1 + m0)
+    seen = texts.mapInArrow(count, "y int, f long").groupBy("f").agg(F.count("*").alias("df"), F.sum("y").alias("n1")).where(F.col("df") >= LEAST_DF).toArrow()
+    hashes = seen.column("f").to_numpy().view(_U)
     order = np.argsort(hashes)
-    hashes, idf = hashes[order], 1 + np.log((1 + len(examples)) / (1 + chosen.df.to_numpy(float)[order]))
-    weight = np.zeros((len(hashes), len(examples)), np.float32)
-    if len(vectors):
-        term = np.searchsorted(hashes, vectors.f.to_numpy(np.int64).view(_U))
-        weight[term, np.searchsorted(examples.i.to_numpy(), vectors.i.to_numpy())] = (1 + np.log(vectors.tf)) * idf[term]
-    weight /= np.maximum(np.linalg.norm(weight, axis=0), 1e-12)
-    key = weight.argmax(0) if len(hashes) else np.zeros(len(examples), int)  # examples with the same leading term share blocks
-    order = np.lexsort((examples.i.to_numpy(), key))
-    index = Index(hashes, idf, weight[:, order], examples.y.to_numpy(int)[order], examples.i.to_numpy()[order], (n0 / m0, n1 / m1), base)
+    hashes, df, n1 = hashes[order], seen.column("df").to_numpy()[order].astype(float), seen.column("n1").to_numpy()[order].astype(float)
+    part = lambda k, share: np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum(df * share, 1e-12)), 0.0)
+    sure = np.clip((part(n1, m1 / n) + part(df - n1, m0 / n)) / FULL_EVIDENCE, 0, 1)
+    idf = (1 + np.log((1 + n) / (1 + df))) * (NO_EVIDENCE + sure)
+    shared = docs.sparkSession.sparkContext.broadcast(hashes)
+
+    def place(batches):
+        vocab = shared.value
+        for batch in batches:
+            i = batch.column(1)
+            for run in X.chunks(batch.column(0)):
+                row, h, tf = found(run)
+                at = np.searchsorted(vocab, h)
+                at[at == len(vocab)] = 0
+                ok = vocab[at] == h if len(vocab) else np.zeros(len(h), bool)
+                cut = np.searchsorted(row[ok], np.arange(1, run.hi - run.lo))
+                sent = [pa.array([x.astype(np.int32).tobytes() for x in np.split(v[ok], cut)], pa.binary()) for v in (at, tf)]
+                yield pa.RecordBatch.from_arrays([i.slice(run.lo, run.hi - run.lo), *sent], names=["i", "at", "tf"])
+
+    sent = texts.mapInArrow(place, "i long, at binary, tf binary").toArrow().sort_by("i")  # at most 2 * per_class rows
+    row, at, tf = [], [], []
+    for k, (a, b) in enumerate(zip(sent.column("at").to_pylist(), sent.column("tf").to_pylist(), strict=True)):
+        at.append(np.frombuffer(a, np.int32))
+        w = (1 + np.log(np.frombuffer(b, np.int32))) * idf[at[-1]]
+        tf.append((w / max(np.linalg.norm(w), 1e-12)).astype(np.float32))
+        row.append(np.full(len(w), k, np.int32))
+    row, at, value = (np.concatenate([*v, np.zeros(0, kind)]).astype(kind) for v, kind in ((row, np.int32), (at, np.int32), (tf, np.float32)))
+    order = np.argsort(at, kind="stable")
+    first = np.r_[0, np.cumsum(np.bincount(at, minlength=len(hashes)))].astype(np.int64)
+    class_weight = (n0 / max(1, m0), n1_all / max(1, m1))
+    index = Index(hashes, idf, sure, first, row[order], value[order], examples.y.to_numpy(int), examples.i.to_numpy(), class_weight, base)
     index.no_terms = base
     index.calibrate()
     return index
@@ -228,10 +284,10 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", score_col: str
             scores = np.full(batch.num_rows, index.no_terms)
             evidence: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for run in X.chunks(batch.column(batch.schema.get_field_index(text_col))):
-                for row, at, q in index.vectors(run):
-                    near, cos = index.nearest(at, q)
+                vectors = list(index.vectors(run))
+                for (row, _, _), (near, cos, part) in zip(vectors, index.nearest_of([(at, q) for _, at, q in vectors]), strict=True):
                     if len(near):
-                        scores[run.lo + row] = index.score(index.vote(near, cos))
+                        scores[run.lo + row] = index.score(index.vote(near, cos, part))
                         evidence[run.lo + row] = [
                             {"example": int(index.example[a]), "label": int(index.label[a]), "cosine": round(float(c), 6)} for a, c in zip(near[:3], cos[:3], strict=True)
                         ]

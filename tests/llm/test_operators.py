@@ -253,6 +253,19 @@ def test_toxicity(spark, rows, docs, empty):
     assert toxicity.drop_toxic(docs, none).columns == docs.columns
 
 
+def test_toxicity_learns_rare_words(spark):
+    rng = random.Random(6)
+    plain = [" ".join(f"{rng.choice(['sun', 'tree', 'river'])}{rng.randint(0, 40)}" for _ in range(12)) for _ in range(400)]
+    rare = [f"{c}zq{c}q" for c in "abcdefgh"]  # each word in four toxic examples: half of the sample is toxic, so its evidence is 2.8
+    texts = [(i, p + (" " + rare[i // 2 % 8] if i < 64 and i % 2 else "")) for i, p in enumerate(plain[:64])]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(64)], "doc_id long, toxic int")
+    index = toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    new = [(i, plain[100 + i] + (" " + rare[i % 8] if i % 2 else "")) for i in range(40)]
+    got = by_id(toxicity.score(spark.createDataFrame(new, "doc_id long, text string"), index))
+    assert all(len(r.evidence) for r in got.values())  # every text has neighbours
+    assert all((r.score >= toxicity.THRESHOLD) == k % 2 for k, r in got.items())
+
+
 def test_token_counts(rows, docs, empty):
     from tokenizers import Tokenizer
 
