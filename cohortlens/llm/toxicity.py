@@ -82,6 +82,10 @@ class Index:
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.vocab >> _U(44)).astype(np.int64)] = True
         self.df = np.diff(self.first)
+        order = np.argsort(self.of, kind="stable")  # the vectors by example
+        self.term, self.own = np.repeat(np.arange(len(self.vocab), dtype=np.int32), self.df)[order], self.value[order]
+        self.ends = np.r_[0, np.cumsum(np.bincount(self.of, minlength=len(self.label)))].astype(np.int64)
+        self.query = np.zeros(len(self.vocab))  # scratch
         often = np.flatnonzero(self.df > len(self.label) / DENSE)
         self.column = np.full(len(self.vocab), -1, np.int32)
         self.column[often] = np.arange(len(often))
@@ -139,17 +143,17 @@ class Index:
                 yield self._exact(at, q, cols, k)
 
     def _exact(self, at, q, cols, k):
-        often = self.column[at] >= 0
-        block = self.dense[np.ix_(self.column[at[often]], cols)].astype(float)
-        cos, part = q[often] @ block, (q * self.sure[at])[often] @ block
-        t, w = at[~often], q[~often]
-        of, product = self._lists(t, w)
-        place = np.full(len(self.label), -1)
-        place[cols] = np.arange(len(cols))
-        ok = place[of] >= 0
-        here, product = place[of[ok]], product[ok]
-        cos = cos + np.bincount(here, product, len(cols))
-        part = part + np.bincount(here, product * np.repeat(self.sure[t], self.df[t])[ok], len(cols))
+        """Cosines of these examples from their own vectors, in double precision."""
+        self.query[at] = q
+        spans = list(zip(self.ends[cols].tolist(), self.ends[cols + 1].tolist(), strict=True))
+        if not spans:
+            self.query[at] = 0
+            return cols, np.zeros(0), np.zeros(0)
+        term = np.concatenate([self.term[a:b] for a, b in spans])
+        product = self.query[term] * np.concatenate([self.own[a:b] for a, b in spans])
+        self.query[at] = 0
+        starts = np.cumsum([0, *(b - a for a, b in spans[:-1])])
+        cos, part = np.add.reduceat(product, starts), np.add.reduceat(product * self.sure[term], starts)
         top = np.lexsort((cols, -cos))[:k]
         return cols[top], cos[top], part[top]
 
@@ -170,10 +174,7 @@ class Index:
     def calibrate(self) -> None:
         """Leave-one-out votes of the examples, then a weighted isotonic fit."""
         votes, weights, labels, none = [], [], [], np.zeros(2)
-        row = np.repeat(np.arange(len(self.vocab)), self.df)
-        order = np.lexsort((row, self.of))
-        cut = np.cumsum(np.bincount(self.of, minlength=len(self.label)))[:-1]
-        vectors = list(zip(np.split(row[order], cut), np.split(self.value[order].astype(float), cut), strict=True)) if len(self.label) else []
+        vectors = [(self.term[a:b], self.own[a:b].astype(float)) for a, b in zip(self.ends[:-1], self.ends[1:], strict=True)]
         for i, near in enumerate(self.nearest_of(vectors, skip=list(range(len(vectors))))):
             cw, y = self.class_weight[self.label[i]], self.label[i]
             if len(near[0]):
