@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontaminate, fingerprints, lang_id, mixing, repeats, secret_scan, set_join, token_counts, toxicity, wrappers
+from cohortlens.llm import (
+    decontaminate, fim, fingerprints, lang_id, mixing, repeats, secret_scan, set_join, sharding, token_counts, toxicity, whitening, wrappers,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKENIZER_FOLDER = "/opt/tokenizers"
@@ -56,6 +58,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.document_fim(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.embedding_whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(table(spark, sf_dir, "documents"))
+
+
 _AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"regexp_extract_all(" + _AZ + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -86,10 +100,72 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
 """
 
 
+_UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+_OP11 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNIT}') AS u,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(u[1:i], '') AS p, array_to_string(u[i + 1:j], '') AS m, array_to_string(u[j + 1:n], '') AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+_CRC_STEP = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+
+
+def _crc_of_byte(c: str) -> str:
+    """CRC-32 of a byte, bit by bit: the polynomial 0xEDB88320 = 3988292384 where the lowest bit is set."""
+    return f"list_reduce(range(0, 8), lambda c, k: {_CRC_STEP}, {c})"
+
+
+def _feistel(x: str) -> str:
+    left, right = f"({x} % a)", f"({x} // a)"
+    h = lambda v, m: f"(CAST('0x' || md5('{sharding.SEED}:' || k || ':' || {v})[1:12] AS BIGINT) % {m})"
+    return f"CASE WHEN k % 2 = 0 THEN ({left} + {h(right, 'a')}) % a + a * {right} ELSE {left} + a * (({right} + {h(left, 'b')}) % b) END"
+
+
+def _pass(x: str) -> str:
+    return f"list_reduce(range(0, {sharding.ROUNDS}), lambda x, k: {_feistel('x')}, {x})"
+
+
+_OP13 = f"""
+WITH RECURSIVE bytes AS (SELECT list({_crc_of_byte('b')} ORDER BY b) AS crcs FROM range(0, 256) r(b)),
+d AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
+    xor(4294967295, list_reduce(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' '),
+      lambda c, byte: CASE WHEN byte = '' THEN c ELSE xor(c >> 8, crcs[xor(c & 255, CAST('0x' || byte AS BIGINT)) + 1]) END, 4294967295)) AS text_crc32
+  FROM (SELECT doc_id, text FROM documents) AS documents, bytes
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || text_crc32 || ':'
+      || CAST(doc_id IS NULL AS INT) || ':0:0')) - 1 AS r FROM d
+), halves AS (
+  SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT count(*) AS n, greatest(1, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS a FROM documents)
+), walk AS (
+  SELECT r, n, a, b, {_pass('r')} AS x FROM numbered, halves
+  UNION ALL SELECT r, n, a, b, {_pass('x')} FROM walk WHERE x >= n
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % 40 AS INTEGER) AS shard, x // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM numbered JOIN walk USING (r) WHERE x < n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": _OP10}
+    return {"op10_decontaminate": _OP10, "op11_fill_in_middle": _OP11, "op13_sharding": _OP13}
