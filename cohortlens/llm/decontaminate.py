@@ -1,10 +1,14 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
 The benchmark's items, as sequences of normalised words, go into suffix
-automata, one per block of at most ``block_words`` words, so what is broadcast
-at a time is bounded whatever the benchmark's size.  Documents stream through
-each automaton in a narrow pass: no shuffle, no join, and a hot source or a
-common passage costs no more than any other rows.
+automata, one per block of about ``block_words`` words (a longer item is in a block
+with what else falls there).  Items are dealt to blocks by their hash, so Spark
+reads the benchmark a block at a time and what is broadcast is bounded whatever its
+size; a worker builds a block's automaton once for all its tasks.  A benchmark of
+one block takes one narrow pass over the documents: no shuffle, no join, and a hot
+source or a common passage costs no more than any other rows.  With more, each
+block's hits, of the rows that have any, are a written table of its own, and the
+union of them is joined to the documents by row.
 
 A window is ``window`` consecutive words of an item; an item of fewer words
 (but not none) is a window as a whole.  Every document word inside an
@@ -17,14 +21,17 @@ and decides.
 
 Defined cases: null and empty texts have no words and no hits; an empty
 benchmark hits nothing; repeated document rows each get their own result;
-repeated items with one id count once; columns of the documents beyond those
+repeated items with one id count once; items with a null id count like others, as one
+item, whose id is not listed; null and empty items have no windows; columns of the documents beyond those
 asked for are carried or dropped by name, never mixed up with the results.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from itertools import pairwise
+from functools import reduce
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm import text as X
-from cohortlens.llm.shared import bounded_batches
+from cohortlens.llm.shared import bounded_batches, written
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -44,12 +51,12 @@ _SPANS = "array<struct<start:bigint,end:bigint>>"
 class Automaton:
     """Generalised suffix automaton over word hashes, with the items of each window."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.window = window
-        self.of_window: dict[tuple[int, ...], set[str]] = {}
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        self.of_window: dict[tuple[int, ...], set[str | None]] = {}
+        self.short: dict[int, list[tuple[int, str | None]]] = {}
         kept = [(i, w) for i, w in items if w]
         for _, seq in kept:
             last = 0
@@ -109,10 +116,10 @@ class Automaton:
                 state, matched = nxt[state][word], matched + 1
             yield end, matched, state
 
-    def hits(self, seq: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, seq: list[int]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Word spans inside occurrences of windows, and the items they are from."""
         spans: list[tuple[int, int]] = []
-        found: set[str] = set()
+        found: set[str | None] = set()
         for end, matched, state in self.stream(seq):
             if matched >= self.window:
                 spans.append((end - matched, end))
@@ -154,23 +161,17 @@ def candidates(w: X.Words, auto: Automaton) -> Iterator[tuple[int, int, int]]:
         yield int(w.row[part[0]]), int(part[0]), int(part[-1]) + m
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of at most ``block_words`` words (a longer item is a block of its own)."""
-    block: list[tuple[str, str]] = []
-    size = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null")
-    for row in rows.toLocalIterator():
-        n = len(row.t.split()) + 1
-        if block and size + n > block_words:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in blocks of about ``block_words`` words, by the hash of id and text."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
+    words = rows.agg(F.sum(F.size(F.split("t", r"\s+")) + 1)).first()[0]  # no fewer than the items' words
+    n = -(-(words or 0) // block_words)
+    for k in range(n):
+        if block := [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).sort("i", "t").collect()]:
             yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += n
-    if block:
-        yield block
 
 
-def _automaton(block: list[tuple[str, str]], window: int) -> Automaton:
+def _automaton(block: list[tuple[str | None, str]], window: int) -> Automaton:
     items = []
     for item, txt in block:
         (run,) = X.chunks(pa.array([txt]))
@@ -178,6 +179,23 @@ def _automaton(block: list[tuple[str, str]], window: int) -> Automaton:
     return Automaton(items, window)
 
 
+_built: dict[str, Automaton] = {}  # the block last used by this Python worker
+
+
+def _automaton_of(key: str, block: list[tuple[str | None, str]], window: int) -> Automaton:
+    if key not in _built:
+        _built.clear()
+        _built[key] = _automaton(block, window)
+    return _built[key]
+
+
+def _shared(spark, block: list[tuple[str | None, str]], window: int):
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, block, window))
+
+
+_OWN = ("dc_words", "dc_spans", "dc_items", "dc_row")
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -189,63 +207,72 @@ def matches(
     removed: str | None = None,
 ) -> DataFrame:
     """``docs`` with ``dc_words`` (word count), ``dc_spans`` (merged word spans that are hit)
-    and ``dc_items`` (sorted ids of items with occurring windows).  With ``removed``, also a
-    column of that name: the text without the hit spans' bytes."""
+    and ``dc_items`` (sorted ids of items with occurring windows, a null id first).  With
+    ``removed``, also a column of that name: the text without the hit spans' bytes."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    dropped = [c for c in ("dc_words", "dc_spans", "dc_items") if c in docs.columns]
-    out = docs.drop(*dropped).withColumns(
-        {"dc_words": F.lit(0).cast("long"), "dc_spans": F.array().cast(_SPANS), "dc_items": F.array().cast("array<string>")}
-    )
-    for block in item_blocks(benchmark, item_id, item_text, block_words):
-        shared = spark.sparkContext.broadcast((block, window))
-        out = out.mapInArrow(_pass(shared, text_col, None), out.schema)
-    last = T.StructType([*out.schema.fields, *([T.StructField(removed, T.StringType())] if removed else [])])
-    return out.mapInArrow(_pass(None, text_col, removed), last)
-
+    docs = docs.drop(*(c for c in _OWN if c in docs.columns))
+    blank = {"dc_spans": F.array().cast(_SPANS), "dc_items": F.array().cast("array<string>")}
+    blocks = item_blocks(benchmark, item_id, item_text, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        rows = docs.withColumns(blank)
+        return _passed(rows, _shared(spark, first, window) if first else None, text_col, removed)
+    docs = written(docs, "decontaminate").withColumn("dc_row", F.monotonically_increasing_id())
+    texts = docs.select("dc_row", F.col(text_col).alias("text")).withColumns(blank)
+    hits = []
+    for block in chain((first, second), blocks):
+        shared = _shared(spark, block, window)
+        found = _passed(texts, shared, "text", None).where(F.size("dc_spans") > 0).select("dc_row", "dc_spans", "dc_items")
+        hits.append(written(found, "hits"))
+        shared.destroy()
+    per_row = reduce(DataFrame.unionByName, hits).groupBy("dc_row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in blank))  # a document's own hits
+    rows = docs.join(per_row, "dc_row", "left").withColumns({c: F.coalesce(c, v) for c, v in blank.items()})
+    return _passed(rows.drop("dc_row"), None, text_col, removed)
+
+
+def _passed(rows: DataFrame, shared, text_col: str, removed: str | None) -> DataFrame:
+    """One pass: the spans and items that rows have, with those of a block's automaton, and the words counted."""
+    fields = [*rows.schema.fields, T.StructField("dc_words", T.LongType()), *([T.StructField(removed, T.StringType())] if removed else [])]
+    names = [f.name for f in fields]
 
-def _pass(shared, text_col: str, removed: str | None):
     def run_pass(batches):
-        auto = _automaton(*shared.value) if shared else None
+        auto = _automaton_of(*shared.value) if shared else None
         for batch in batches:
-            spans = batch.column(batch.schema.get_field_index("dc_spans")).to_pylist()
-            items = batch.column(batch.schema.get_field_index("dc_items")).to_pylist()
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            spans = [[(s["start"], s["end"]) for s in x] for x in batch.column("dc_spans").to_pylist()]
+            items = [set(x) for x in batch.column("dc_items").to_pylist()]
+            texts = batch.column(text_col)
             counts = np.zeros(len(spans), np.int64)
             kept: list[str | None] = [None] * len(spans)
             for run in X.chunks(texts):
                 w = X.words(run, X.ALNUM)
                 counts[run.lo : run.hi] = w.count
-                if auto:
-                    for row, a, b in candidates(w, auto):
-                        got, found = auto.hits(w.hash[a:b].tolist())
-                        base, k = a - int(w.first[row]), run.lo + row
-                        spans[k] = [*spans[k], *({"start": x + base, "end": y + base} for x, y in got)]
-                        items[k] = [*items[k], *found]
-                elif removed:
-                    for row in range(run.hi - run.lo):
-                        if texts[run.lo + row].is_valid:
-                            kept[run.lo + row] = _without(run, w, row, spans[run.lo + row])
+                for row, a, b in candidates(w, auto) if auto else ():
+                    got, found = auto.hits(w.hash[a:b].tolist())
+                    base = a - int(w.first[row])
+                    spans[run.lo + row] += [(x + base, y + base) for x, y in got]
+                    items[run.lo + row] |= found
+                for row in range(run.hi - run.lo):
+                    k = run.lo + row
+                    spans[k] = merged(spans[k])
+                    if removed and texts[k].is_valid:
+                        kept[k] = _without(run, w, row, spans[k]) if spans[k] else texts[k].as_py()
             cols = {
                 "dc_words": pa.array(counts),
-                "dc_spans": pa.array(
-                    [[{"start": a, "end": b} for a, b in merged((s["start"], s["end"]) for s in x)] for x in spans],
-                    pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
-                ),
-                "dc_items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
+                "dc_spans": pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                "dc_items": pa.array([sorted(x, key=lambda i: (i is not None, i)) for x in items], pa.list_(pa.string())),
+                removed: pa.array(kept, pa.string()),
             }
-            names = [*batch.schema.names, *([removed] if removed and not auto else [])]
-            cols |= {removed: pa.array(kept, pa.string())} if removed and not auto else {}
-            yield pa.RecordBatch.from_arrays([cols[n] if n in cols else batch.column(i) for i, n in enumerate(names)], names=names)
+            yield pa.RecordBatch.from_arrays([cols[c] if c in cols else batch.column(c) for c in names], names=names)
 
-    return run_pass
+    return rows.mapInArrow(run_pass, T.StructType(fields))
 
 
-def _without(run: X.Run, w: X.Words, row: int, spans: list[dict]) -> str:
+def _without(run: X.Run, w: X.Words, row: int, spans: list[tuple[int, int]]) -> str:
     """The row's text without the bytes from each span's first word to its last one's end."""
     first, at = int(w.first[row]), int(run.off[row])
     cuts = [at]
-    for a, b in merged((s["start"], s["end"]) for s in spans):
+    for a, b in spans:
         cuts += [int(w.start[first + a]), int(w.end[first + b - 1])]
     cuts.append(int(run.off[row + 1]))
     return b"".join(run.raw[a:b].tobytes() for a, b in list(pairwise(cuts))[::2]).decode("utf-8", "replace")

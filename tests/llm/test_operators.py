@@ -389,3 +389,28 @@ def test_decontamination(spark, rows, docs, empty):
     assert clean <= kept.keys() and all(kept[r[0]].text == r[1] for r in rows if r[0] in clean)
     assert decontaminate.contamination(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
+
+
+@pytest.mark.parametrize("block", [200_000, 30])
+def test_decontamination_keeps_items_without_an_id(spark, rows, block):
+    """Null and repeated ids, null and empty items: equal to the query's SQL, in one block and in many."""
+    import duckdb
+
+    from cohortlens.llm.queries import _OP10
+
+    texts = [t for _, t, *_ in rows if t and 12 <= len(words(t)) < 200]
+    items = [(None, texts[0]), (None, texts[1]), ("b", texts[2]), ("b", texts[3]), ("a", None), ("c", ""), (None, "One two"), ("d", " ".join(words(texts[4])[3:15]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [r for r in rows if len(words(r[1])) < 1000]  # the SQL copies a text's words for every window
+    mine = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, decontaminate.contamination(mine, bench, block_words=block).collect()))
+    con = duckdb.connect()
+    con.register("documents", mine.toArrow())
+    con.register("benchmark", bench.toArrow())
+    names = ", ".join(["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    assert got == sorted(con.sql(f"SELECT {names} FROM ({_OP10})").fetchall())
+    assert sum(r[2] > 0 for r in got) >= 6
+    kept = {r.doc_id: r.text for r in decontaminate.decontaminate(mine, bench, max_coverage=1.0, block_words=block).collect()}
+    of = dict((r[0], r[1]) for r in rows)
+    assert len(kept) == len(of) and all(kept[r[0]] == of[r[0]] for r in got if not r[2])
+    assert all(len(words(kept[r[0]])) <= len(words(of[r[0]])) for r in got)
