@@ -206,6 +206,28 @@ def playtime_quirk_cells(act: DataFrame, prog: DataFrame | None = None,
             .filter(_quirk_flag(F.col("level_seconds"), _c(S.PLAYTIME))))
 
 
+def quirk_cells_from_pairs(pairs: DataFrame, act: DataFrame,
+                           n_duplicated: int) -> DataFrame:
+    """Q17 detail from the grain pairs, without a join of the activity rows.
+
+    A key that one activity row has holds that row's measures in its sums, so
+    the quirk is a filter of the pairs.  Only rows under keys that more than
+    one row has (``n_duplicated`` such keys, normally none) are read from the
+    activity cells, by a join to those keys, broadcast up to
+    ``BROADCAST_KEYS`` of them."""
+    both = pairs.filter(F.col("p_rows").isNotNull())
+    single = both.filter(F.col("a_rows") == 1).select(
+        *S.KEY6, F.col("a_users").alias(S.ACTIVE), F.col("a_sessions").alias(S.SESSIONS),
+        F.col("a_playtime").alias(S.PLAYTIME), "level_seconds")
+    cells = single
+    if n_duplicated:
+        keys = both.filter(F.col("a_rows") > 1).select(*S.KEY6, "level_seconds")
+        if n_duplicated <= BROADCAST_KEYS:
+            keys = F.broadcast(keys)
+        cells = single.unionByName(act.join(keys, on=S.KEY6, how="inner"))
+    return cells.filter(_quirk_flag(F.col("level_seconds"), _c(S.PLAYTIME)))
+
+
 def playtime_quirk(act: DataFrame, prog: DataFrame | None = None,
                    pairs: DataFrame | None = None) -> DataFrame:
     """Q17: count of such cells, all cells, mean time ratio, mean actives,
@@ -317,7 +339,8 @@ def cell_pairs(act: DataFrame, prog: DataFrame,
                levels: tuple[int, int] | None = None) -> DataFrame:
     """Both tables rolled up to the activity grain and paired on it.
 
-    activity    -> KEY6: rows, summed and max actives, row-level fault counts;
+    activity    -> KEY6: rows, summed and max actives, summed sessions and
+                   playtime, row-level fault counts;
     progression -> KEY6: rows, fault counts, level seconds, and a flag for
                    groups that may hold a duplicated level key.
     Each table is shuffled once, by KEY6, carrying partial aggregates (a hot
@@ -342,6 +365,8 @@ def cell_pairs(act: DataFrame, prog: DataFrame,
         F.count(F.lit(1)).alias("a_rows"),
         F.sum(u).alias("a_users"),
         F.max(u).alias("a_users_max"),
+        F.sum(s).alias("a_sessions"),
+        F.sum(pt).alias("a_playtime"),
         count_if(F.least(u, s, pt) < 0).alias("a_negatives"),
         count_if(s < u).alias("a_sessions_lt_actives"),
         count_if(pt > u * F.lit(SECONDS_PER_DAY)).alias("a_playtime_gt_24h"),

@@ -21,7 +21,6 @@ def mix_balance(act: DataFrame, window: AnalysisWindow,
                 spec: CohortSpec = CohortSpec()) -> DataFrame:
     """M1: dim, val, base share (1 dp), candidate share (1 dp), absolute gap
     (2 dp, from the unrounded shares)."""
-    v, u = F.col(S.VERSION), F.col(S.ACTIVE)
     day0 = comparable(act, window, spec).filter(F.col(S.COHORT_DAY) == 0)
     long = day0.select(
         S.VERSION, S.ACTIVE,
@@ -29,6 +28,22 @@ def mix_balance(act: DataFrame, window: AnalysisWindow,
             F.struct(F.lit(name).alias("dim"), F.col(col).alias("val"))
             for name, col in spec.dims])).alias("dv"),
     ).select(S.VERSION, S.ACTIVE, "dv.dim", "dv.val")
+    return _shares(long, spec)
+
+
+def mix_balance_from_cube(cube: DataFrame, window: AnalysisWindow,
+                          spec: CohortSpec = CohortSpec()) -> DataFrame:
+    """M1 from the dimension cube (``plans.analysis.activity_cube``), whose rows are
+    already per dimension value: no unpivot and no scan of the cells."""
+    names = [name for name, _ in spec.dims]
+    day0 = comparable(cube, window, spec).filter(
+        (F.col(S.COHORT_DAY) == 0) & F.col("dim").isin(*names))
+    return _shares(day0.select(S.VERSION, S.ACTIVE, "dim", "val"), spec)
+
+
+def _shares(long: DataFrame, spec: CohortSpec) -> DataFrame:
+    """Shares of every (dim, val), from rows (build, actives, dim, val)."""
+    v, u = F.col(S.VERSION), F.col(S.ACTIVE)
     per_val = long.groupBy("dim", "val").agg(
         sum_if(u, v == spec.base).alias("u_base"),
         sum_if(u, v == spec.cand).alias("u_cand"))

@@ -3,10 +3,12 @@
 1. derive the window (one single-row action);
 2. build three shared intermediates, one pass each, written to the shared
    folder (``spark.checkpoint.dir``) and read back:
-     act_day    (build, install date, cohort day) -> cells, actives,
-                sessions, playtime, zero-playtime actives
-     prog_level (build, install date, level) -> starts, completions,
-                failures, users, level seconds
+     act_cube   (build, install date, cohort day) x (all cells, or one value of
+                one dimension) -> cells, actives, sessions, playtime,
+                zero-playtime actives; its part for all cells is act_day
+     prog_cube  (build, install date, level) x (all cells, or one country) ->
+                starts, completions, failures, users, level seconds; its part
+                for all cells is prog_level
      cell_pairs (activity grain) -> both tables' per-key counts and fault
                 counts, paired by a full outer join
      cohorts    (KEY5 rollup of the pairs) -> day-0 / later actives, days
@@ -17,8 +19,11 @@
    day or level reads a few thousand rows (cached) instead of the cells.  The
    integrity counters, orphan / duplicate / bad-cohort lists and the time
    quirk read the grain pairs instead of re-aggregating the cells;
-3. the reports that need other dimensions (mix, slices, level by country,
-   quarantine) read the cells;
+   The cubes are GROUPING SETS aggregates: one scan of each table, partial
+   aggregates before the shuffle, written by dimension;
+3. mix, slices and level by country read their dimension's part of the cubes;
+   the quarantine list (and a slice by a column that is no dimension) reads the
+   cells;
 4. the stop-the-run rule is checked first (identity breaks from the grain
    pairs; other counters from the integrity report written first), then all
    other reports as concurrent Spark jobs, each small one with its slice of
@@ -33,6 +38,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +54,7 @@ from cohortlens.operators import mix as M
 from cohortlens.operators import retention as R
 from cohortlens.operators.window import AnalysisWindow, derive_window, quarantine, window_summary
 from cohortlens.session import shared_dir
-from cohortlens.sources.metrics import long_metrics
+from cohortlens.sources.metrics import long_metrics, typed_metrics
 from cohortlens.spec import CohortSpec
 
 ZERO_PT = "zero_playtime_users"
@@ -73,21 +79,68 @@ class AnalysisParams:
     chart_max_level: int = fixed.REPORT_MAX_LEVEL
 
 
-def activity_rollup(act: DataFrame) -> DataFrame:
-    """Cells summed by (build, install date, cohort day)."""
-    return act.groupBy(S.VERSION, S.INSTALL_DATE, S.COHORT_DAY).agg(
+def _activity_sums() -> list:
+    return [
         F.count(F.lit(1)).alias(CELLS),
         F.sum(S.ACTIVE).alias(S.ACTIVE),
         F.sum(S.SESSIONS).alias(S.SESSIONS),
         F.sum(S.PLAYTIME).alias(S.PLAYTIME),
         F.sum(Q.zero_playtime_users(F.col(S.ACTIVE), F.col(S.PLAYTIME))).alias(ZERO_PT),
-    )
+    ]
+
+
+def _progression_sums() -> list:
+    return [F.sum(c).alias(c) for c in (S.STARTED, S.COMPLETED, S.FAILED, S.USERS, S.LEVEL_TIME)]
+
+
+def activity_rollup(act: DataFrame) -> DataFrame:
+    """Cells summed by (build, install date, cohort day)."""
+    return act.groupBy(S.VERSION, S.INSTALL_DATE, S.COHORT_DAY).agg(*_activity_sums())
 
 
 def progression_rollup(prog: DataFrame) -> DataFrame:
     """Progression cells summed by (build, install date, level)."""
-    return prog.groupBy(S.VERSION, S.INSTALL_DATE, S.LEVEL).agg(
-        *[F.sum(c).alias(c) for c in (S.STARTED, S.COMPLETED, S.FAILED, S.USERS, S.LEVEL_TIME)])
+    return prog.groupBy(S.VERSION, S.INSTALL_DATE, S.LEVEL).agg(*_progression_sums())
+
+
+ALL_CELLS = "all cells"   # the cube's rows over every value of every dimension
+
+
+def _cube(cells: DataFrame, keys: list[str], dims: tuple[tuple[str, str], ...],
+          sums: list) -> DataFrame:
+    """GROUPING SETS: ``keys`` alone, and ``keys`` with each dimension alone, as rows
+    (dim, val, keys, sums).  ``dim`` is read from the grouping bits, so a NULL
+    value of a dimension keeps its own row, apart from the total."""
+    columns = [c for _, c in dims]
+    sets = [[F.col(k) for k in keys]] + [[F.col(k) for k in [*keys, c]] for c in columns]
+    grouped = cells.groupingSets(sets, *[F.col(c) for c in [*keys, *columns]]).agg(
+        *sums, *[F.grouping(c).alias(f"_without_{k}") for k, c in enumerate(columns)])
+    dim, val = F.lit(ALL_CELLS), F.lit(None).cast("string")
+    for k, (name, c) in enumerate(dims):
+        dim = F.when(F.col(f"_without_{k}") == 0, F.lit(name)).otherwise(dim)
+        val = F.when(F.col(f"_without_{k}") == 0, F.col(c)).otherwise(val)
+    measures = [c for c in grouped.columns
+                if c not in keys and c not in columns and not c.startswith("_without_")]
+    return grouped.select(dim.alias("dim"), val.alias("val"), *keys, *measures)
+
+
+def activity_cube(act: DataFrame, spec: CohortSpec = CohortSpec()) -> DataFrame:
+    """Activity by (build, install date, cohort day), over all cells and by one dimension at a time."""
+    return _cube(act, [S.VERSION, S.INSTALL_DATE, S.COHORT_DAY], spec.dims, _activity_sums())
+
+
+LEVEL_DIMS = (("country", S.COUNTRY),)   # dimensions that level reports are split by
+
+
+def progression_cube(prog: DataFrame) -> DataFrame:
+    """Progression by (build, install date, level), over all cells and by country."""
+    return _cube(prog, [S.VERSION, S.INSTALL_DATE, S.LEVEL], LEVEL_DIMS, _progression_sums())
+
+
+def cube_part(cube: DataFrame, dim: str, column: str | None = None) -> DataFrame:
+    """One dimension's rows of a cube, its values named ``column`` (none for all cells)."""
+    part = cube.filter(F.col("dim") == dim).drop("dim")
+    return part.withColumnRenamed("val", column) if column else part.drop("val")
 
 
 def materialise(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
@@ -97,12 +150,19 @@ def materialise(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _read_cached(spark: SparkSession, path: str) -> DataFrame:
-    """Read a written rollup into executor memory.  A lost cached block is
-    re-read from the files, not recomputed from the cells."""
-    df = spark.read.parquet(path).cache()
-    df.count()
-    return df
+def materialise_cube(spark: SparkSession, cube: DataFrame, path: str) -> DataFrame:
+    """Write a cube to the shared folder, a directory per dimension, and read it back."""
+    spark.sparkContext.setJobDescription(f"cohortlens prepare {path.rsplit('/', 1)[-1]}")
+    cube.write.mode("overwrite").partitionBy("dim").parquet(path)
+    return spark.read.schema(cube.schema).parquet(path)
+
+
+def _cached(rollup: DataFrame) -> DataFrame:
+    """A written rollup in executor memory.  A lost cached block is re-read
+    from the files, not recomputed from the cells."""
+    rollup = rollup.cache()
+    rollup.count()
+    return rollup
 
 
 @dataclass
@@ -118,8 +178,11 @@ class Analysis:
     params: AnalysisParams = field(default_factory=AnalysisParams)
     rolled: bool = True   # act_day / prog_level are rollups (else the cells)
     work_dir: str | None = None        # where shared intermediates are written
+    act_cube: DataFrame | None = None    # by dimension (else reports read the cells)
+    prog_cube: DataFrame | None = None
     cohorts: DataFrame | None = None   # KEY5 rollup of the pairs, built on first use
     duplicates: DataFrame | None = None   # duplicated progression keys, counted on first use
+    n_duplicated: int | None = None    # activity keys with more than one row
     _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def cohort_rollup(self) -> DataFrame:
@@ -147,10 +210,32 @@ class Analysis:
                                    if n else found)
             return self.duplicates
 
+    def quirk_cells(self) -> DataFrame:
+        """Cells whose level seconds exceed their session seconds, from the
+        pairs; activity rows are read only under duplicated keys, if any."""
+        with self._lock:
+            if self.n_duplicated is None:
+                self.n_duplicated = self.pairs.filter(F.col("a_rows") > 1).count()
+        return Q.quirk_cells_from_pairs(self.pairs, self.act, self.n_duplicated)
+
+    def _activity_by(self, column: str) -> DataFrame:
+        """Activity that keeps build, date, cohort day and ``column``: the cube's part, else the cells."""
+        name = next((n for n, c in self.spec.dims if c == column), None)
+        if self.act_cube is None or name is None:
+            return self.act
+        return cube_part(self.act_cube, name, column)
+
+    def _mix(self) -> DataFrame:
+        if self.act_cube is None:
+            return M.mix_balance(self.act, self.window, self.spec)
+        return M.mix_balance_from_cube(self.act_cube, self.window, self.spec)
+
     def reports(self) -> dict[str, Callable[[], DataFrame]]:
         """Every report as a thunk; rollup-backed where the split allows."""
         a, p, w, sp, pr = self.act, self.prog, self.window, self.spec, self.params
         ad, pl, pairs = self.act_day, self.prog_level, self.pairs
+        by_country = p if self.prog_cube is None else cube_part(self.prog_cube, "country", S.COUNTRY)
+        sliced = self._activity_by(pr.slice_column)
         cells_col = CELLS if self.rolled else None
         zero_col = ZERO_PT if self.rolled else None
 
@@ -178,8 +263,11 @@ class Analysis:
             "duplicate_act_keys": lambda: Q.duplicate_act_keys(pairs),
             "duplicate_prog_keys": self.duplicate_prog_keys,
             "extract_day_check": lambda: Q.extract_day_check(ad, w.extract, sp),
-            "playtime_quirk": lambda: Q.playtime_quirk(a, pairs=pairs),
-            "playtime_quirk_cells": lambda: Q.playtime_quirk_cells(a, pairs=pairs),
+            "playtime_quirk": lambda: (
+                Q.playtime_quirk_from(self.quirk_cells(), ad, row_count=CELLS) if self.rolled
+                else Q.playtime_quirk(a, pairs=pairs)),
+            "playtime_quirk_cells": lambda: (
+                self.quirk_cells() if self.rolled else Q.playtime_quirk_cells(a, pairs=pairs)),
             "zero_playtime_actives": lambda: Q.zero_playtime_actives(ad, w, sp, per_cell=zero_col),
             # retention
             "retention_naive": lambda: R.retention_naive(ad, sp),
@@ -191,19 +279,19 @@ class Analysis:
             "retention_z_test": lambda: R.retention_z_test(curve(), sp),
             "retention_gap_by_cohort": lambda: R.retention_gap_by_cohort(ad, w, sp),
             "gap_sign_summary": lambda: R.gap_sign_summary(R.retention_gap_by_cohort(ad, w, sp)),
-            "retention_slice": lambda: R.retention_slice(a, w, pr.slice_column, pr.slice_value, sp),
+            "retention_slice": lambda: R.retention_slice(sliced, w, pr.slice_column, pr.slice_value, sp),
             "retention_slice_curve": lambda: R.retention_slice_curve(
-                a, w, pr.slice_column, pr.slice_value, sp),
+                sliced, w, pr.slice_column, pr.slice_value, sp),
             "censoring_bias": lambda: R.censoring_bias(ad, w, sp),
             # mix
-            "mix_balance": lambda: M.mix_balance(a, w, sp),
-            "mix_max_gap": lambda: M.mix_max_gap(M.mix_balance(a, w, sp)),
+            "mix_balance": self._mix,
+            "mix_max_gap": lambda: M.mix_max_gap(self._mix()),
             # funnel
             "level_funnel": funnel,
             "level_funnel_reported": lambda: FN.suppress_thin(
                 funnel(), sp, max_level=pr.report_max_level, min_starts=pr.report_min_starts),
             "level_time": lambda: FN.level_time(pl, w, sp, pr.time_levels),
-            "level_by_country": lambda: FN.level_by_dimension(p, w, sp, pr.break_level, S.COUNTRY),
+            "level_by_country": lambda: FN.level_by_dimension(by_country, w, sp, pr.break_level, S.COUNTRY),
             "level_by_cohort": lambda: FN.level_by_cohort(pl, sp.cand, pr.break_level),
             "level_reach": lambda: FN.level_reach(pl, w, sp, pr.reach_levels),
             "drift_summary": lambda: FN.drift_summary(
@@ -265,6 +353,52 @@ ORDER: dict[str, tuple[str, ...]] = {
 }
 
 
+# What names a row of each small report in the typed metrics; its other columns are metrics.
+METRIC_KEYS: dict[str, tuple[str, ...]] = {
+    "analysis_window": (),
+    "version_profile": (S.VERSION,),
+    "label_volume_by_month": ("ym",),
+    "label_behaviour_profile": (S.VERSION,),
+    "label_predates_parent": ("label", "parent"),
+    "integrity_report": ("check_name",),
+    "extract_day_check": (),
+    "playtime_quirk": (),
+    "zero_playtime_actives": (S.VERSION,),
+    "retention_naive": (S.VERSION,),
+    "retention_maturity_gate": (S.VERSION,),
+    "retention_reads": ("read_type", "version"),
+    "retention_curve": ("version", "cohort_day"),
+    "retention_spread": (S.VERSION,),
+    "retention_headline": ("day_label", "cohort_day"),
+    "retention_z_test": ("day_label", "cohort_day"),
+    "retention_gap_by_cohort": ("install_date",),
+    "gap_sign_summary": (),
+    "retention_slice": ("version",),
+    "retention_slice_curve": ("version", "cohort_day"),
+    "censoring_bias": ("day_label", "cohort_day"),
+    "mix_balance": ("dim", "val"),
+    "mix_max_gap": (),
+    "level_funnel": (S.LEVEL,),
+    "level_funnel_reported": (S.LEVEL,),
+    "level_time": (S.LEVEL, S.VERSION),
+    "level_by_country": (S.COUNTRY,),
+    "level_by_cohort": ("install_date",),
+    "level_reach": (S.LEVEL,),
+    "drift_summary": (),
+    "second_break_test": (),
+    "engagement": (S.VERSION,),
+    "engagement_by_day": ("cohort_day",),
+    "retention_chart_series": ("version", "cohort_day"),
+    "funnel_chart_series": (S.LEVEL,),
+}
+
+
+def metrics_table(reports: dict[str, DataFrame]) -> DataFrame:
+    """The typed metrics of small reports in one table (see ``typed_metrics``)."""
+    parts = [typed_metrics(n, df, METRIC_KEYS[n]) for n, df in reports.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def presentation_order(name: str, df: DataFrame) -> list:
     """Sort expressions for ``name``; mix is by dimension, then base share
     descending."""
@@ -290,17 +424,16 @@ def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
         return Analysis(spark, act, prog, derive_window(act, spec, expected_extract), act, prog,
                         Q.cell_pairs(act, prog), spec, params, rolled=False)
     work_dir = work_dir or f"{shared_dir(spark)}/cohortlens-run/{uuid.uuid4().hex}"
-    day_path, level_path = f"{work_dir}/act_day", f"{work_dir}/prog_level"
     with ThreadPoolExecutor(max_workers=threads + 1) as pool:
         fw = pool.submit(derive_window, act, spec, expected_extract)
-        fa = pool.submit(materialise, spark, activity_rollup(act), day_path)
-        fp = pool.submit(materialise, spark, progression_rollup(prog), level_path)
+        fa = pool.submit(materialise_cube, spark, activity_cube(act, spec), f"{work_dir}/act_cube")
+        fp = pool.submit(materialise_cube, spark, progression_cube(prog), f"{work_dir}/prog_cube")
         fc = pool.submit(materialise, spark, Q.cell_pairs(act, prog), f"{work_dir}/cell_pairs")
         window, pairs = fw.result(), fc.result()
-        fa.result(), fp.result()
-    act_day, prog_level = _read_cached(spark, day_path), _read_cached(spark, level_path)
+        act_cube, prog_cube = fa.result(), fp.result()
+    act_day, prog_level = (_cached(cube_part(c, ALL_CELLS)) for c in (act_cube, prog_cube))
     return Analysis(spark, act, prog, window, act_day, prog_level, pairs, spec, params,
-                    work_dir=work_dir)
+                    work_dir=work_dir, act_cube=act_cube, prog_cube=prog_cube)
 
 
 def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir: str,

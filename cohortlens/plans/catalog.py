@@ -15,10 +15,14 @@ import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortlens.operators import integrity as Q
 from cohortlens.plans import oracle as O
-from cohortlens.plans.analysis import Analysis, AnalysisParams, prepare
+from cohortlens.plans.analysis import METRIC_KEYS, Analysis, AnalysisParams, metrics_table, prepare
+from cohortlens.sources.faults import with_faults
 from cohortlens.sources.fixture import fixture_tables
+from cohortlens.sources.metrics import keys_text
 from cohortlens.spec import CohortSpec
 
 SPEC = CohortSpec(base=O.BASE, cand=O.CAND, horizon=O.HORIZON)
@@ -35,7 +39,7 @@ PARAMS = AnalysisParams(
     report_min_starts=O.REPORT_MIN_STARTS,
 )
 
-_ANALYSES: dict[tuple[str, str, bool], Analysis] = {}
+_ANALYSES: dict[tuple[str, str, bool | str], Analysis] = {}
 _LOCK = threading.Lock()
 
 
@@ -48,6 +52,30 @@ def analysis(spark: SparkSession, sf_dir: str, rollups: bool = True) -> Analysis
         return _ANALYSES[key]
 
 
+def faulty_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    """The analysis of the fixture cells with planted faults (``sources.faults``)."""
+    key = (spark.sparkContext.applicationId, sf_dir, "faults")
+    with _LOCK:
+        if key not in _ANALYSES:
+            act, prog = with_faults(*fixture_tables(spark, sf_dir))
+            _ANALYSES[key] = prepare(spark, act, prog, SPEC, PARAMS)
+        return _ANALYSES[key]
+
+
+def metrics_long(a: Analysis) -> DataFrame:
+    """Every metric of every small report, typed, keys as one text."""
+    reports = a.reports()
+    table = metrics_table({n: reports[n]() for n in METRIC_KEYS})
+    return table.withColumn("keys", keys_text(F.col("keys")))
+
+
+def rows_beyond_extract(a: Analysis) -> DataFrame:
+    """Q7 on both tables: table_name, rows_beyond_extract."""
+    both = [Q.rows_beyond_extract(cells, a.window.extract).select(F.lit(name).alias("table_name"), "rows_beyond_extract")
+            for name, cells in (("activity", a.act), ("progression", a.prog))]
+    return both[0].unionByName(both[1])
+
+
 def context(spark: SparkSession, sf_dir: str) -> Analysis:
     return analysis(spark, sf_dir)
 
@@ -58,6 +86,14 @@ def _reports(a: Analysis) -> dict[str, Callable[[], DataFrame]]:
         "fixture_progression": lambda: a.prog,
     }
     out.update(a.reports())
+    out["metrics_long"] = lambda: metrics_long(a)
+    return out
+
+
+def _faulty_reports(a: Analysis) -> dict[str, Callable[[], DataFrame]]:
+    reports = a.reports()
+    out = {f"faulty_{n}": reports[n] for n in O.FAULTY}
+    out["faulty_rows_beyond_extract"] = lambda: rows_beyond_extract(a)
     return out
 
 
@@ -67,6 +103,8 @@ def report_names() -> list[str]:
 
 def queries(rollups: bool = True) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
+        if name.startswith("faulty_"):
+            return lambda spark, sf_dir: _faulty_reports(faulty_analysis(spark, sf_dir))[name]()
         return lambda spark, sf_dir: _reports(analysis(spark, sf_dir, rollups))[name]()
     return {name: bind(name) for name in report_names()}
 
