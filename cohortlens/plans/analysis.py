@@ -441,7 +441,8 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
                  threads: int = 16, only: list[str] | None = None,
                  fail_on: tuple[str, ...] = ("identity_breaks",),
                  out_format: str = "parquet",
-                 expected_extract: dt.date | None = None) -> dict[str, str]:
+                 expected_extract: dt.date | None = None,
+                 analysis: Analysis | None = None) -> dict[str, str]:
     """Run every report and write it under ``out_dir``; the small reports are
     also written as one long metrics table (``out_dir/metrics``, partitioned
     by report).  Returns report name -> path.  A non-zero ``fail_on``
@@ -449,10 +450,10 @@ def run_analysis(spark: SparkSession, act: DataFrame, prog: DataFrame, out_dir:
     extract date other than ``expected_extract`` raises ``WindowError`` before
     anything is.  Shared intermediates go to the shared folder.
     ``out_format`` is 'parquet' or 'json' (JSON lines, one file per small
-    report)."""
+    report).  ``analysis`` is one prepared already (a nightly run's)."""
     if out_format not in ("parquet", "json"):
         raise ValueError(f"unsupported output format {out_format!r}")
-    analysis = prepare(spark, act, prog, spec, params, expected_extract=expected_extract)
+    analysis = analysis or prepare(spark, act, prog, spec, params, expected_extract=expected_extract)
     thunks = analysis.reports()
     names = list(dict.fromkeys((only or list(thunks)) + ["integrity_report"]))
     paths = {n: f"{out_dir}/{n}" for n in names}

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import integrity as Q
 from cohortlens.plans import oracle as O
-from cohortlens.plans.analysis import METRIC_KEYS, Analysis, AnalysisParams, metrics_table, prepare
+from cohortlens.plans.analysis import (
+    METRIC_KEYS, REPORT_NAMES, Analysis, AnalysisParams, metrics_table, prepare)
 from cohortlens.sources.faults import with_faults
 from cohortlens.sources.fixture import fixture_tables
 from cohortlens.sources.metrics import keys_text
@@ -98,6 +99,12 @@ def _faulty_reports(a: Analysis) -> dict[str, Callable[[], DataFrame]]:
 
 
 def report_names() -> list[str]:
+    """The reports of an analysis and the cells they read."""
+    return ["fixture_activity", "fixture_progression", *REPORT_NAMES]
+
+
+def query_names() -> list[str]:
+    """Every registered query: the reports, the metrics, and the checks over planted faults."""
     return list(O.ORACLE)
 
 
@@ -106,7 +113,7 @@ def queries(rollups: bool = True) -> dict[str, Callable[[SparkSession, str], Dat
         if name.startswith("faulty_"):
             return lambda spark, sf_dir: _faulty_reports(faulty_analysis(spark, sf_dir))[name]()
         return lambda spark, sf_dir: _reports(analysis(spark, sf_dir, rollups))[name]()
-    return {name: bind(name) for name in report_names()}
+    return {name: bind(name) for name in query_names()}
 
 
 def oracle_sql() -> dict[str, str]:

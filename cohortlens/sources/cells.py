@@ -57,8 +57,17 @@ def write_cells(df: DataFrame, path: str, mode: str = "overwrite",
 
     ``rebalance`` lets AQE split a date that holds a large share of the rows
     into several files and merge small dates, instead of one task per date.
+
+    Mode 'dates' replaces the dates that ``df`` holds and leaves the files of
+    all others as they are: for late cohort days, ``df`` being all cells of the
+    dates they belong to.  Writing the same cells again gives the same table.
     """
-    if partition_by:
+    if mode == "dates":
+        if not partition_by:
+            raise ValueError("mode 'dates' needs cells partitioned by date")
+        (df.hint("rebalance", partition_by).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
+    elif partition_by:
         (df.hint("rebalance", partition_by)
          .write.mode(mode).partitionBy(partition_by).parquet(path))
     else:
