@@ -12,6 +12,7 @@ each entry is ``cohortlens.plans.oracle.ORACLE[name]``.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ from cohortlens.operators import integrity as Q
 from cohortlens.plans import oracle as O
 from cohortlens.plans.analysis import (
     METRIC_KEYS, REPORT_NAMES, Analysis, AnalysisParams, metrics_table, prepare)
-from cohortlens.sources.faults import with_faults
+from cohortlens.plans.sql import function_call, register_functions
+from cohortlens.session import shared_dir
+from cohortlens.sources.cells import quarantine_counts, read_activity_checked, register
+from cohortlens.sources.faults import csv_with_bad_records, with_faults
 from cohortlens.sources.fixture import fixture_tables
 from cohortlens.sources.metrics import keys_text
 from cohortlens.spec import CohortSpec
@@ -77,17 +81,43 @@ def rows_beyond_extract(a: Analysis) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+_CSV: dict[tuple[str, str], str] = {}
+
+
+def csv_cells(a: Analysis, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, quarantine) read from CSV files of the fixture's activity with bad records (written once)."""
+    key = (a.spark.sparkContext.applicationId, sf_dir)
+    with _LOCK:
+        if key not in _CSV:
+            path = f"{shared_dir(a.spark)}/cohortlens-fixture/{uuid.uuid4().hex}/csv"
+            csv_with_bad_records(a.act).write.option("header", True).csv(path)
+            _CSV[key] = path
+    return read_activity_checked(a.spark, _CSV[key])
+
+
+def sql_function(a: Analysis, name: str) -> DataFrame:
+    """A standalone report, called as a SQL table function over the registered cells."""
+    with _LOCK:   # views and functions are the session's
+        register(a.spark, a.act, a.prog)
+        register_functions(a.spark, a.window, a.spec, prefix="cohortlens_")
+        return a.spark.sql(function_call(name, a.window, a.spec, a.params.slice_value, prefix="cohortlens_"))
+
+
 def context(spark: SparkSession, sf_dir: str) -> Analysis:
     return analysis(spark, sf_dir)
 
 
-def _reports(a: Analysis) -> dict[str, Callable[[], DataFrame]]:
+def _reports(a: Analysis, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
     out: dict[str, Callable[[], DataFrame]] = {
         "fixture_activity": lambda: a.act,
         "fixture_progression": lambda: a.prog,
     }
     out.update(a.reports())
     out["metrics_long"] = lambda: metrics_long(a)
+    out["csv_activity"] = lambda: csv_cells(a, sf_dir)[0]
+    out["csv_quarantine"] = lambda: quarantine_counts(csv_cells(a, sf_dir)[1])
+    for name in O.SQL_FUNCTIONS:
+        out[f"sql_{name}"] = lambda name=name: sql_function(a, name)
     return out
 
 
@@ -112,7 +142,7 @@ def queries(rollups: bool = True) -> dict[str, Callable[[SparkSession, str], Dat
     def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
         if name.startswith("faulty_"):
             return lambda spark, sf_dir: _faulty_reports(faulty_analysis(spark, sf_dir))[name]()
-        return lambda spark, sf_dir: _reports(analysis(spark, sf_dir, rollups))[name]()
+        return lambda spark, sf_dir: _reports(analysis(spark, sf_dir, rollups), sf_dir)[name]()
     return {name: bind(name) for name in query_names()}
 
 

@@ -44,6 +44,60 @@ def read_progression(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
     return _read(spark, path, S.PROGRESSION_SCHEMA, fmt)
 
 
+#: Why a record is quarantined.
+MALFORMED, NO_KEY = "malformed", "missing key"
+_RECORD = "_record"
+
+
+def _read_checked(spark: SparkSession, path: str, schema: T.StructType,
+                  keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(cells, quarantine) of CSV files: one bad record doesn't stop the run.
+
+    Malformed records (a value that isn't of its column's type, a wrong number
+    of fields) and records without a part of their key go to the quarantine,
+    with the file, the text of a malformed record, the reason, and whatever of
+    their columns could be read.  The cells are the rest.  Both are filters of
+    one lazy scan.  The reader converts, and so checks, only the columns that
+    are asked for; the reason depends on all of the file's, so a record is bad
+    for every report or for none."""
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path}: columns missing: {missing}")
+    of = {f.name: f.dataType for f in schema.fields}
+    fields = [T.StructField(c, of.get(c, T.StringType())) for c in header]
+    df = (spark.read.schema(T.StructType([*fields, T.StructField(_RECORD, T.StringType())]))
+          .options(header=True, mode="PERMISSIVE", dateFormat="yyyy-MM-dd", enforceSchema=False,
+                   columnNameOfCorruptRecord=_RECORD).csv(path))
+    names = [f.name for f in schema.fields]
+    nulls = sum((F.col(f"`{c}`").isNull().cast("int") for c in header), F.lit(0))
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    reason = F.when(F.col(_RECORD).isNotNull() & (nulls >= 0), MALFORMED).when(no_key, NO_KEY)
+    marked = df.select(*names, F.col(_RECORD).alias("record"), reason.alias("reason"),
+                       F.col("_metadata.file_path").alias("file"))
+    cells = marked.filter(F.col("reason").isNull()).select(*names)
+    return cells, marked.filter(F.col("reason").isNotNull())
+
+
+def read_activity_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Activity cells of CSV files, and the records that are none (A1)."""
+    return _read_checked(spark, path, S.ACTIVITY_SCHEMA, S.KEY6)
+
+
+def read_progression_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Progression cells of CSV files, and the records that are none (A2)."""
+    return _read_checked(spark, path, S.PROGRESSION_SCHEMA, S.KEY7)
+
+
+def quarantine_counts(quarantine: DataFrame) -> DataFrame:
+    """Quarantined records by reason, as rows of the integrity report: check_name, n (0 for none)."""
+    counts = quarantine.agg(*[F.count(F.when(F.col("reason") == r, 1)).alias(f"{r.replace(' ', '_')}_records")
+                              for r in (MALFORMED, NO_KEY)])
+    return counts.unpivot([], counts.columns, "check_name", "n")
+
+
 def register(spark: SparkSession, act: DataFrame, prog: DataFrame,
              names: tuple[str, str] = ("act", "prog")) -> None:
     """Name the two relations for SQL users (A3)."""

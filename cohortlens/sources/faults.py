@@ -83,3 +83,19 @@ def with_progression_faults(prog: DataFrame) -> DataFrame:
 
 def with_faults(act: DataFrame, prog: DataFrame) -> tuple[DataFrame, DataFrame]:
     return with_activity_faults(act), with_progression_faults(prog)
+
+
+# Fault codes of CSV records: a word for a number, a date that is none, a fraction
+# for a whole number, an empty key.
+WORD, NO_DATE, FRACTION, EMPTY_KEY = 21, 22, 23, 24
+
+
+def csv_with_bad_records(act: DataFrame) -> DataFrame:
+    """Activity cells as text columns, some records bad by the rule of their keys."""
+    code = F.coalesce(fault_code(), F.lit(0))
+    text = {c: F.col(c).cast("string") for c in act.columns}
+    text[S.PLAYTIME] = F.when(code == WORD, "n/a").otherwise(text[S.PLAYTIME])
+    text[S.INSTALL_DATE] = F.when(code == NO_DATE, "some day").otherwise(text[S.INSTALL_DATE])
+    text[S.SESSIONS] = F.when(code == FRACTION, F.concat(text[S.SESSIONS], F.lit(".5"))).otherwise(text[S.SESSIONS])
+    text[S.COUNTRY] = F.when(code != EMPTY_KEY, text[S.COUNTRY])
+    return act.select(*[text[c].alias(c) for c in act.columns])
