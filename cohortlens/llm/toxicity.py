@@ -79,19 +79,22 @@ class Index:
     no_terms: float = 0.0
 
     def __post_init__(self):
-        self.known = np.zeros(1 << 20, bool)
-        self.known[(self.vocab >> _U(44)).astype(np.int64)] = True
+        # Terms by the first 20 bits of their hash: each range of the sorted hashes is a few long.
+        self.bucket = np.searchsorted(self.vocab >> _U(44), np.arange((1 << 20) + 1, dtype=_U)).astype(np.int32)
+        self.longest = int(np.diff(self.bucket).max())
+        self.padded = np.r_[self.vocab, np.zeros(self.longest + 1, _U)]
         self.df = np.diff(self.first)
+        self.wide_of, self.upto = self.of.astype(np.int64), np.arange(1 << 18)  # as numpy's sums by place want them
         order = np.argsort(self.of, kind="stable")  # the vectors by example
         self.term, self.own = np.repeat(np.arange(len(self.vocab), dtype=np.int32), self.df)[order], self.value[order]
         self.ends = np.r_[0, np.cumsum(np.bincount(self.of, minlength=len(self.label)))].astype(np.int64)
-        self.query = np.zeros(len(self.vocab))  # scratch
+        self.slot = np.full(len(self.label), -1, np.int32)  # scratch: places of the examples looked at
         often = np.flatnonzero(self.df > len(self.label) / DENSE)
         self.column = np.full(len(self.vocab), -1, np.int32)
         self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), len(self.label)), np.float32)
+        self.dense = np.zeros((len(self.label), len(often)), np.float32)
         for k, t in enumerate(often):
-            self.dense[k, self.of[self.first[t] : self.first[t + 1]]] = self.value[self.first[t] : self.first[t + 1]]
+            self.dense[self.of[self.first[t] : self.first[t + 1]], k] = self.value[self.first[t] : self.first[t + 1]]
 
     @property
     def weight(self) -> np.ndarray:
@@ -103,11 +106,15 @@ class Index:
     def vectors(self, run: X.Run):
         """(row, term positions, unit weights) of the rows that hold an indexed term."""
         row, h = terms(run)
-        near = self.known[(h >> _U(44)).astype(np.int64)]
-        row, h = row[near], h[near]
-        at = np.searchsorted(self.vocab, h)
-        at[at == len(self.vocab)] = 0
-        ok = self.vocab[at] == h if len(self.vocab) else np.zeros(len(h), bool)
+        b = (h >> _U(44)).astype(np.int32)
+        first, end = self.bucket[b], self.bucket[b + 1]
+        near = first < end
+        row, h, first, end = row[near], h[near], first[near], end[near]
+        at, ok = first.astype(np.int64), np.zeros(len(h), bool)
+        for k in range(self.longest):
+            here = (self.padded[first + k] == h) & (first + k < end)
+            at[here] = first[here] + k
+            ok |= here
         key, tf = np.unique(row[ok] * len(self.vocab) + at[ok], return_counts=True)
         row, at = key // max(len(self.vocab), 1), key % max(len(self.vocab), 1)
         cut = np.flatnonzero(np.diff(row)) + 1
@@ -119,41 +126,45 @@ class Index:
     def _lists(self, at: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Examples and products of the lists of these terms."""
         n = self.df[at]
-        where = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.of[where], self.value[where] * np.repeat(q, n)
+        ends = np.cumsum(n)
+        where = np.repeat(self.first[at] - (ends - n), n)
+        where += self.upto[: len(where)] if len(where) <= len(self.upto) else np.arange(len(where))
+        return self.wide_of.take(where, mode="clip"), self.value.take(where, mode="clip") * np.repeat(q, n)
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skip: list[int] | None = None):
         """For each query (term positions, weights), its exact k nearest examples with a positive cosine:
         (positions, cosines, parts of the cosines that rest on evidence)."""
         for lo in range(0, len(queries), TOGETHER):
             some = queries[lo : lo + TOGETHER]
-            wide = np.zeros((len(some), len(self.dense)), np.float32)
+            wide = np.zeros((len(some), self.dense.shape[1]), np.float32)
             for i, (at, q) in enumerate(some):
                 often = self.column[at] >= 0
                 wide[i, self.column[at[often]]] = q[often]
-            rough = wide @ self.dense
+            rough = wide @ self.dense.T
             for i, (at, q) in enumerate(some):
                 rare = self.column[at] < 0
-                cos = rough[i] + np.bincount(*self._lists(at[rare], q[rare]), len(self.label))
+                of, product = self._lists(at[rare], q[rare])
+                sums = np.bincount(of, product, len(self.label))
+                cos = rough[i] + sums
                 if skip is not None:
                     cos[skip[lo + i]] = 0
                 # the products of frequent terms are single precision: whatever may be among the k is summed again
                 least = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
                 cols = np.flatnonzero((cos >= least - 1e-5) & (cos > 0))
-                yield self._exact(at, q, cols, k)
-
-    def _exact(self, at, q, cols, k):
-        """Cosines of these examples from their own vectors, in double precision."""
-        self.query[at] = q
-        spans = list(zip(self.ends[cols].tolist(), self.ends[cols + 1].tolist(), strict=True))
-        if not spans:
-            self.query[at] = 0
-            return cols, np.zeros(0), np.zeros(0)
-        term = np.concatenate([self.term[a:b] for a, b in spans])
-        product = self.query[term] * np.concatenate([self.own[a:b] for a, b in spans])
-        self.query[at] = 0
-        starts = np.cumsum([0, *(b - a for a, b in spans[:-1])])
-        cos, part = np.add.reduceat(product, starts), np.add.reduceat(product * self.sure[term], starts)
+                yield self._exact(at, q, rare, of, product, sums, cols, k)
+
+    def _exact(self, at, q, rare, of, product, sums, cols, k):
+        """Cosines of these examples, and the parts that rest on evidence, in double precision: the lists'
+        products as they are, those of frequent terms again."""
+        often = at[~rare]
+        mine = self.dense[cols][:, self.column[often]].astype(np.float64)
+        cos = sums[cols] + mine @ q[~rare]
+        part = mine @ (q[~rare] * self.sure[often])
+        self.slot[cols] = np.arange(len(cols))
+        here = np.flatnonzero(self.slot[of] >= 0)
+        term = at[rare][np.searchsorted(np.cumsum(self.df[at[rare]]), here, side="right")]
+        part += np.bincount(self.slot[of[here]], product[here] * self.sure[term], len(cols))
+        self.slot[cols] = -1
         top = np.lexsort((cols, -cos))[:k]
         return cols[top], cos[top], part[top]
 
