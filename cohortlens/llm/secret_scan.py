@@ -4,22 +4,30 @@ Three base patterns find assignments to sensitive names, access keys and long
 hexadecimal strings.  Beyond them, a lexer reads source and configuration
 syntax (``name = "literal"``, ``"name": "literal"``, ``name: literal``,
 ``export NAME=literal``, ``name := literal``) into name-literal pairs, joins
-literals added with ``+``, and propagates constants: in ``a = "..."`` and then
-``password = a`` the literal of ``a`` belongs to ``password`` too.  A literal is
+literals and known names added with ``+``, and propagates constants: in ``a = "..."``
+and then ``password = a`` the literal of ``a`` belongs to ``password`` too, in
+``a = b = "..."`` and ``a: str = "..."`` the literal belongs to both names.  An unquoted value ends at a blank, a
+quote, a bracket or the next name that takes a value by ``=`` (``?auth=x&key=y``); a
+constant counts once in a value, however often it is added.  A literal is
 scored by the sensitivity of its target names and by how much it looks like a
 random string; those over ``THRESHOLD`` are added as kind ``named`` unless a base
 span covers them.
 
-Defined cases: null and empty texts have no spans; spans are in code points,
-end exclusive; repeated rows each get their own spans; every text is read
-whole.
+Defined cases: null and empty texts have no spans; an empty table gives no rows;
+spans are in code points, end exclusive; spans that start at one place are ordered
+by kind as listed, then by end; repeated rows each get their own spans; further
+columns stay, and one named like an output column is replaced.  Every text is read
+whole, in time about linear in its length: names are tried at their first character
+only, and every stretch of an unquoted value is read once.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,18 +43,22 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9,
     "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authkey": 0.9, "auth": 0.7, "bearer": 0.8, "signature": 0.6, "key": 0.6,
 }
-PLACEHOLDER = re.compile(r"(?i)change|example|placeholder|dummy|sample|your[-_ ]?|xxx|\*\*\*|todo|none|null|true|false|<.*>|\$\{.*\}|\{\{.*\}\}")
+PLACEHOLDER = re.compile(r"(?i)change|example|placeholder|dummy|sample|your[-_ ]?|xxx|\*\*\*|todo|none|null|true|false")
+TEMPLATES = (("<", ">"), ("${", "}"), ("{{", "}}"))
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAME_HINT = re.compile(r"pass|pwd|secret|token|key|credential|auth|bearer|signature")
-_TARGET = re.compile(r"""(["']?)([A-Za-z_][A-Za-z0-9_.\-]*)\1[ \t]*(?:=>|:=|=(?![=>])|:(?![:/]))[ \t]*""")
-_LITERAL = re.compile(r'''"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`''')
-_PLUS = re.compile(r"[ \t]*\+[ \t]*")
-_IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?![A-Za-z0-9_(\[.+/=-])")
-_BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>]+""")
+_NAME = r"""(["']?)(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)\1"""
+_TARGET = re.compile(_NAME + r"[ \t]*+(?:=>|:=|=(?![=>])|:(?![:/]))[ \t]*+")
+_CHAIN = re.compile(_NAME + r"""(?:[ \t]++(?:=>|:=|=(?![=>]))|(?:=>|:=|=(?![=>]))(?=[^\s,;#)}\]>]))""")
+_INNER = re.compile(_NAME + r"""(?:=>|:=|=(?![=>]))(?=[^\s"'`,;#(){}\[\]<>])""")
+_LITERAL = re.compile(r"""\"((?:[^"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`""")
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
+_IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*+(?![(\[./=-])")
+_BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>]++""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -59,7 +71,7 @@ def sensitivity(name: str) -> float:
 
 def strength(literal: str) -> float:
     """0 to 1: how much a literal looks like a generated secret."""
-    if len(literal) < 8 or PLACEHOLDER.search(literal) or " " in literal:
+    if len(literal) < 8 or " " in literal or PLACEHOLDER.search(literal) or any(0 <= literal.find(a) < literal.rfind(b) for a, b in TEMPLATES):
         return 0.0
     n = len(literal)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
@@ -71,29 +83,39 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
     """Name-literal pairs of a text in order, constants propagated: (name, value, spans of its literals)."""
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     out = []
-    at = 0
+    names: list[str] = []  # targets of the next value
+    at = run = 0  # ``run``: end of the unquoted run that was read last
     while m := _TARGET.search(text, at):
-        pos, value, spans = m.end(), "", []
+        names.append(m[2])
+        pos, value, spans, at = m.end(), "", [], m.end()
+        if _CHAIN.match(text, pos):  # a further target, or the type of this one: the value follows it
+            continue
         while True:
             if lit := _LITERAL.match(text, pos):
                 g = lit.lastindex or 1
                 value, pos = value + lit[g], lit.end()
                 spans = [*spans, lit.span(g)]
+                at = pos
             elif (ref := _IDENT.match(text, pos)) and ref[0] in known:
-                value, pos = value + known[ref[0]][0], ref.end()
-                spans = [*spans, *known[ref[0]][1]]
-            elif not spans and (bare := _BARE.match(text, pos)):
-                value, spans, pos = bare[0], [bare.span()], bare.end()
+                more, pos = known[ref[0]], ref.end()
+                if not {*more[1]}.intersection(spans):
+                    value, spans = value + more[0], [*spans, *more[1]]
+            elif not spans and (pos < run or (bare := _BARE.match(text, pos))):
+                run = run if pos < run else bare.end()
+                inner = _INNER.search(text, pos, run + 1)
+                at = inner.start() if inner and inner.end() <= run else run
+                cut = at - (pos < at < run and text[at - 1] in "&?|")
+                value, spans = text[pos:cut], [(pos, cut)] * (cut > pos)
                 break
             else:
                 break
             if not (plus := _PLUS.match(text, pos)):
                 break
             pos = plus.end()
-        if spans:
-            known[m[2]] = (value, spans)
-            out.append((m[2], value, spans))
-        at = max(m.end(), pos if spans and text[m.end() : m.end() + 1] in "\"'`" else m.end())
+        for name in names if spans else ():
+            known[name] = (value, spans)
+            out.append((name, value, spans))
+        names = []
     return out
 
 
@@ -107,13 +129,18 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
         found += [("access", *m.span(), 1.0) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span(), 1.0) for m in _HEX.finditer(text)]
     if ("=" in text or ":" in text) and _NAME_HINT.search(low):
-        base = [(a, b) for _, a, b, _ in found]
+        base = sorted((a, b) for _, a, b, _ in found)
+        starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
         named: dict[tuple[int, int], float] = {}
+        strengths: dict[str, float] = {}
         for name, value, spans in pairs(text):
             if weight := sensitivity(name):
-                score = round(weight * strength(value), 6)
+                if value not in strengths:
+                    strengths[value] = strength(value)
+                score = round(weight * strengths[value], 6)
                 for a, b in spans:
-                    if score >= THRESHOLD and not any(x < b and a < y for x, y in base):
+                    before = bisect_left(starts, b)
+                    if score >= THRESHOLD and not (before and reach[before - 1] > a):
                         named[a, b] = max(score, named.get((a, b), 0.0))
         found += [("named", a, b, s) for (a, b), s in named.items() if b > a]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
