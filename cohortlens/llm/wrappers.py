@@ -22,7 +22,11 @@ of pages.  Long streams are aligned in segments, whole.  Every page is extracted
 
 Defined cases: null and empty html give an empty text; hosts with one distinct page
 have no template text, as nothing tells it from the page's own; null urls share one
-host name; repeated pages count once in a wrapper and are each extracted.
+host name; repeated pages and ids count once in a wrapper and are each extracted; an
+empty table gives no rows; further columns are left out, so none can clash.  Broken
+pages are read in linear time: a ``<`` that begins no tag, or a tag without an end, is text.
+A text's place is named by the six innermost open elements; repeats of groups of up to
+``LONGEST_GROUP`` items are folded, longer ones stay side by side.
 """
 
 from __future__ import annotations
@@ -52,12 +56,11 @@ SKETCH, ALIKE = 32, 0.9
 #: Longer stretches without a common anchor are aligned in segments of this length.
 SEGMENT = 400
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"""
-    r"""|<(?P<raw>script|style|noscript|textarea|template|svg|iframe|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<text>[^<]+|<)""",
-    re.IGNORECASE | re.DOTALL,
-)
+_MARK = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+))", re.IGNORECASE)
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_QUOTE_OR_END = re.compile(r"[>\"']")
+#: Elements whose content is no markup, left out whole.
+RAW = {t: re.compile(rf"</{t}\s*+>", re.IGNORECASE) for t in "script style noscript textarea template svg iframe title".split()}
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -92,17 +95,77 @@ IMPLIED = {
 }
 _P_SCOPE = frozenset("html table td th caption button object marquee".split())
 _PASSED = frozenset("address div p".split())
+_CELL_ENDS = frozenset("td th tr tbody thead tfoot table body html".split())
+#: What an end tag does not reach out of, by whether its tag is a block and ends table cells.
+_BOUNDS = {(False, False): ("#block", "td", "th"), (True, False): ("td", "th"), (True, True): (), (False, True): ("#block",)}
+#: A tag with the groups that it is in: blocks, blocks that end the search for an open item, bounds of a paragraph's search.
+_GROUPS = {
+    t: (t, *(g for g, of in (("#block", BLOCK), ("#strict", BLOCK - _PASSED), ("#scope", _P_SCOPE)) if t in of)) for t in BLOCK | _P_SCOPE
+}
 
 
 def tokens(html: str):
-    """(kind, tag, names, text): kind is start, end or text; raw elements and comments are left out."""
-    for m in _TOKEN.finditer(html):
-        if m["text"]:
-            yield "text", "", "", m["text"]
-        elif m["tag"]:
-            tag = m["tag"].lower()
-            names = "" if m["end"] or not m["attrs"] else " ".join(f"{k.lower()}={a or b or c}" for k, a, b, c in _ATTR.findall(m["attrs"]))
-            yield ("end" if m["end"] else "start"), tag, names, ""
+    """(kind, tag, names, text): kind is start, end or text; raw elements and comments are left out.
+
+    A ``<`` that begins no tag, or one whose end is never found, is text.  Time is linear in the page."""
+    places: list[int] = []  # all quotes and tag ends, from the first tag without an end on
+    lost: set[int] = set()
+    last = html.rfind(">")
+    at = 0
+    while at < len(html):
+        mark = html.find("<", at)
+        if mark != at:
+            yield "text", "", "", html[at : mark if mark >= 0 else len(html)]
+            if mark < 0:
+                return
+        m = _MARK.match(html, mark)
+        if m and m["comment"]:
+            close = html.find("-->", m.end())
+            at = close + 3 if close >= 0 else len(html)
+            continue
+        close = -1
+        if m and m.end() <= last:
+            if m["other"]:
+                close = html.find(">", m.end())
+            elif not places and (rest := _REST.match(html, m.end())):
+                close = rest.end() - 1
+            else:
+                places = places or [q.start() for q in _QUOTE_OR_END.finditer(html)]
+                close = _tag_end(html, places, lost, m.end())
+        if close < 0:
+            yield "text", "", "", "<"
+            at = mark + 1
+            continue
+        at = close + 1
+        if m["other"]:
+            continue
+        tag = m["tag"].lower()
+        if m["end"]:
+            yield "end", tag, "", ""
+        elif tag in RAW:
+            after = RAW[tag].search(html, at)
+            at = after.end() if after else len(html)
+        else:
+            names = "" if close == m.end() else " ".join(f"{k.lower()}={a or b or c}" for k, a, b, c in _ATTR.findall(html, m.end(), close))
+            yield "start", tag, names, ""
+
+
+def _tag_end(html: str, places: list[int], lost: set[int], at: int) -> int:
+    """Place of the ``>`` that ends the tag whose name ends at ``at``, quoted ones passed over; -1 without one.
+
+    ``places`` are all quotes and ``>``; ``lost`` gathers the quotes from which no end is found, so each is tried once."""
+    seen = []
+    k = bisect_left(places, at)
+    while k < len(places) and (place := places[k]) not in lost:
+        if html[place] == ">":
+            return place
+        seen.append(place)
+        close = html.find(html[place], place + 1)
+        if close < 0:
+            break
+        k = bisect_left(places, close + 1)
+    lost.update(seen)
+    return -1
 
 
 def _named(name: str, words: frozenset[str]) -> bool:
@@ -128,34 +191,50 @@ def boilerplate(tag: str, names: str, depth: int) -> bool:
     return False
 
 
-def start(stack: list[str], tag: str) -> None:
-    """Open an element on the stack of open elements, after the ends that its start tag implies."""
-    if tag in CLOSES_P:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k] == "p":
-                del stack[k:]
-                break
-            if stack[k] in _P_SCOPE:
-                break
-    ends, stops = IMPLIED.get(tag, ((), ()))
-    for k in range(len(stack) - 1, -1, -1) if ends else ():
-        if stack[k] in ends:
-            del stack[k:]
-            break
-        if stack[k] in stops or tag in ("li", "dt", "dd") and stack[k] in BLOCK and stack[k] not in _PASSED:
-            break
-    if tag not in VOID:
-        stack.append(tag)
-
-
-def end(stack: list[str], tag: str) -> None:
-    """Close the innermost open element of that tag; inline end tags do not reach out of a block, nor others out of a table cell."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k] == tag:
-            del stack[k:]
-            return
-        if tag not in BLOCK and stack[k] in BLOCK or stack[k] in ("td", "th") and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "body", "html"):
-            return
+class Open(list):
+    """The stack of open elements, with the places of each tag and of the groups of tags that bound a search."""
+
+    def __init__(self):
+        super().__init__()
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these tags or groups; -1 without one."""
+        place = -1
+        for name in names:
+            if (at := self.places.get(name)) and at[-1] > place:
+                place = at[-1]
+        return place
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while 0 <= place < len(self):
+            tag = self.pop()
+            for name in _GROUPS.get(tag) or (tag,):
+                self.places[name].pop()
+
+    def start(self, tag: str) -> None:
+        """Open an element, after the ends that its start tag implies."""
+        if tag in CLOSES_P and self.places.get("p") and (p := self.last("p")) > self.last("#scope"):
+            self.cut(p)
+        if tag in IMPLIED:
+            ends, stops = IMPLIED[tag]
+            place = self.last(*ends)
+            if place >= 0 and place >= self.last(*stops, *(("#strict",) if tag in ("li", "dt", "dd") else ())):
+                self.cut(place)
+        if tag not in VOID:
+            for name in _GROUPS.get(tag) or (tag,):
+                if name in self.places:
+                    self.places[name].append(len(self))
+                else:
+                    self.places[name] = [len(self)]
+            self.append(tag)
+
+    def end(self, tag: str) -> None:
+        """Close the innermost open element of that tag; inline end tags do not reach out of a block, nor others out of a table cell."""
+        place = self.last(tag)
+        if place == len(self) - 1 or place >= 0 and place >= self.last(*_BOUNDS[tag in BLOCK, tag in _CELL_ENDS]):
+            self.cut(place)
 
 
 def text_key(path: str, text: str) -> int:
@@ -169,18 +248,18 @@ _DIGITS = re.compile(r"\d+")
 
 def _paths(html: str):
     """Tokens with the path of open elements; blank texts, inline tags without names and optional end tags are left out."""
-    stack: list[str] = []
+    stack = Open()
     for kind, tag, names, text in tokens(html):
         if kind == "text":
             if text.strip():
                 yield kind, "/".join(stack[-6:]), text
             continue
         if kind == "start":
-            start(stack, tag)
+            stack.start(tag)
             if names or tag in BLOCK:
                 yield kind, f"<{tag} {_DIGITS.sub('0', names)}>" if names else f"<{tag}>", ""
         else:
-            end(stack, tag)
+            stack.end(tag)
             if tag in BLOCK and tag != "p" and tag not in IMPLIED:
                 yield kind, f"</{tag}>", ""
 
@@ -408,15 +487,15 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
     body holds without either.  Boilerplate elements end where the stack of open elements ends them."""
     blocks: list[tuple[bool, bool, str]] = []  # in an article, in main
     now: list[str] = []
-    stack: list[str] = []
+    stack = Open()
     regions: list[tuple[int, str]] = []  # open articles and mains: place in the stack, tag
+    inside = {"article": 0, "main": 0}  # open ones of each
     skip = -1  # place of the open boilerplate element
     found = False  # an article or main outside boilerplate
 
     def flush():
         if block := " ".join(unescape("".join(now)).split()):
-            inside = {t for _, t in regions}
-            blocks.append(("article" in inside, "main" in inside, block))
+            blocks.append((inside["article"] > 0, inside["main"] > 0, block))
         now.clear()
 
     for kind, tag, names, text in tokens(html):
@@ -426,7 +505,7 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
             continue
         if skip < 0 and tag in BLOCK:
             flush()
-        (start if kind == "start" else end)(stack, tag)
+        (stack.start if kind == "start" else stack.end)(tag)
         opened = kind == "start" and tag not in VOID
         held = len(stack) - opened  # what was open before and still is
         if skip >= held:
@@ -434,7 +513,7 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
         if regions and regions[-1][0] >= held:
             flush()
             while regions and regions[-1][0] >= held:
-                regions.pop()
+                inside[regions.pop()[1]] -= 1
         if skip >= 0:
             continue
         if tag == "br":
@@ -444,6 +523,7 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
             skip = held
         elif opened and tag in ("article", "main"):
             regions.append((held, tag))
+            inside[tag] += 1
             found = True
     flush()
     size = lambda wanted: sum(len(b) for a, m, b in blocks if wanted(a, m))
