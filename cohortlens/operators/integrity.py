@@ -14,6 +14,8 @@ Counts are 0, never NULL, on clean data.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -325,14 +327,19 @@ def _masks(spec: CohortSpec) -> list[tuple[str, int]]:
             for k in range(spec.horizon // DAYS_PER_MASK + 1)]
 
 
-LEVELS_PER_MASK = 60   # levels per BIGINT mask; the level range takes as many masks as it needs
-MAX_LEVEL_MASKS = 20   # wider ranges (1,200 levels, or a stray value) are recounted beyond these
+LEVELS_PER_MASK = 60   # levels per BIGINT mask, a block
+MAX_LEVEL_MASKS = 20   # blocks with a mask, those with most rows; keys with levels of others are recounted
 
 
-def level_range(prog: DataFrame) -> tuple[int, int]:
-    """Smallest and largest level of the progression cells: one single-row action on one column."""
-    row = prog.agg(F.min(S.LEVEL).alias("lo"), F.max(S.LEVEL).alias("hi")).first()
-    return (0, 0) if row["lo"] is None else (row["lo"], row["hi"])
+def level_blocks(prog: DataFrame) -> list[int]:
+    """First levels of the blocks of ``LEVELS_PER_MASK`` levels that hold most progression rows, at
+    most ``MAX_LEVEL_MASKS``: one action on one column, partially aggregated to a row per block.
+
+    A stray level far from the others has a block of its own; it takes no mask from theirs."""
+    block = F.floor(F.col(S.LEVEL).cast("long") / LEVELS_PER_MASK)
+    sizes = prog.where(F.col(S.LEVEL).isNotNull()).groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.orderBy(F.desc("n"), "block").limit(MAX_LEVEL_MASKS).collect()
+    return sorted(r["block"] * LEVELS_PER_MASK for r in most) or [0]
 
 
 def cell_pairs(act: DataFrame, prog: DataFrame,
@@ -351,15 +358,14 @@ def cell_pairs(act: DataFrame, prog: DataFrame,
 
     Duplicate level keys without a KEY7 shuffle: inside a group the levels
     are distinct exactly when the sum of 2**level equals their bitwise OR.
-    ``levels`` (by default ``level_range``) sets how many masks of
-    ``LEVELS_PER_MASK`` levels are kept.  A second NULL level, levels beyond
-    the last mask and an overflowing sum only raise the flag;
+    The masks are those of ``level_blocks``, or run from the first to the last
+    of ``levels``, if given.  A second NULL level, levels of no mask and an
+    overflowing sum only raise the flag of their own group;
     ``duplicate_prog_keys`` recounts flagged groups exactly.
     """
-    lo, hi = levels or level_range(prog)
-    masks = [(f"_{k}", lo + k * LEVELS_PER_MASK)
-             for k in range(min(MAX_LEVEL_MASKS, (hi - lo) // LEVELS_PER_MASK + 1))]
-    beyond = masks[-1][1] + LEVELS_PER_MASK
+    firsts = (list(range(levels[0], levels[1] + 1, LEVELS_PER_MASK))[:MAX_LEVEL_MASKS] if levels
+              else level_blocks(prog))
+    masks = [(f"_{k}", first) for k, first in enumerate(firsts)]
     u, s, pt = _c(S.ACTIVE), _c(S.SESSIONS), _c(S.PLAYTIME)
     a6 = act.groupBy(*S.KEY6).agg(
         F.count(F.lit(1)).alias("a_rows"),
@@ -374,8 +380,13 @@ def cell_pairs(act: DataFrame, prog: DataFrame,
     st, co, fa = _c(S.STARTED), _c(S.COMPLETED), _c(S.FAILED)
     us, lt, lv = _c(S.USERS), _c(S.LEVEL_TIME), _c(S.LEVEL)
 
+    def in_mask(first: int) -> Column:
+        return lv.between(first, first + LEVELS_PER_MASK - 1)
+
     def level_bit(first: int) -> Column:
-        return F.when(lv.between(first, first + LEVELS_PER_MASK - 1), _bit(lv - first))
+        return F.when(in_mask(first), _bit(lv - first))
+
+    masked = reduce(or_, (in_mask(first) for _, first in masks))
     p6 = prog.groupBy(*S.KEY6).agg(
         F.count(F.lit(1)).alias("p_rows"),
         count_if(st != co + fa).alias("p_identity_breaks"),
@@ -385,7 +396,7 @@ def cell_pairs(act: DataFrame, prog: DataFrame,
         *[F.try_sum(level_bit(first)).alias(f"_bits_sum{k}") for k, first in masks],
         *[F.bit_or(level_bit(first)).alias(f"_bits_or{k}") for k, first in masks],
         count_if(lv.isNull()).alias("_null_levels"),
-        count_if((lv < lo) | (lv >= beyond)).alias("_odd_levels"),
+        count_if(~masked).alias("_odd_levels"),
     )
     suspect = (F.col("_null_levels") > 1) | (F.col("_odd_levels") > 0)
     for k, _ in masks:

@@ -220,3 +220,26 @@ def test_unknown_check_name_raises(spark):
     report = spark.createDataFrame([("identity_breaks", 0)], "check_name string, n long")
     with pytest.raises(ValueError, match="identity_break"):
         Q.assert_clean(report, ("identity_break",))
+
+
+@pytest.mark.parametrize("stray", [-1_000_000, 2_000_000_000])
+def test_stray_level_flags_at_most_its_own_group(spark, stray):
+    def prog_with(levels, country):
+        return [(D(2001, 1, 1), "10.2", country, "n", "p", 0, lv, 1, 1, 0, 1, 1.0) for lv in levels]
+    rows = prog_with([1, 2, 3, 700], "clean") + prog_with([1, 2, 2], "dup") + prog_with([1, stray], "stray")
+    act = spark.createDataFrame([], S.ACTIVITY_SCHEMA)
+    prog = spark.createDataFrame(rows, S.PROGRESSION_SCHEMA)
+    flags = {r[S.COUNTRY]: r["p_dup_suspect"] for r in Q.cell_pairs(act, prog).collect()}
+    assert flags == {"clean": False, "dup": True, "stray": False}   # the stray block has a mask of its own
+    # more blocks than masks: those with most rows keep theirs, other groups are recounted exactly
+    far = [r for k in range(30) for r in prog_with([stray + 60 * k * (1 if stray < 0 else -1)] * (k == 7) +
+                                                   [stray + 60 * k * (1 if stray < 0 else -1)], f"far{k}")]
+    many = spark.createDataFrame(rows + prog_with([1, 2, 3, 700], "clean2") + far, S.PROGRESSION_SCHEMA)
+    pairs = Q.cell_pairs(act, many)
+    flags = {r[S.COUNTRY]: r["p_dup_suspect"] for r in pairs.collect()}
+    assert not flags["clean"] and not flags["clean2"] and flags["dup"]
+    assert sum(flags.values()) < len(flags)
+    exact = {r[S.COUNTRY] for r in Q.duplicate_prog_keys(many, pairs).collect()}
+    assert exact == {"dup", "far7"}
+    empty = spark.createDataFrame([], S.PROGRESSION_SCHEMA)
+    assert Q.cell_pairs(act, empty).count() == 0 and Q.level_blocks(empty) == [0]
