@@ -3,11 +3,12 @@
 Documents are counted by source and exact size.  Each source's target is its
 share by weight of ``share`` times all sizes; no target exceeds ``cap`` times the
 source's size, and what is cut off is shared again by weight.  A source whose
-target reaches its size is taken whole first; of the remaining budget, what is beyond
-``WINDOW`` words is taken in proportion from every size's count, and bounded-knapsack
-dynamic programming over sizes and left-over counts fits the rest to the largest sum
-that they reach below it.  Where rounding down leaves more than ``DP_BUDGET`` words,
-largest documents go first until the rest is below that.
+target reaches its size is taken whole first; for the remaining budget every
+size's count is taken in proportion, and bounded-knapsack dynamic programming
+over sizes and left-over counts fits the rest to the largest sum that they reach below
+it.  So a source whose target is under its size takes each document at most once, and
+one of a few documents may stay further from its target.  Where rounding down leaves
+more than ``DP_BUDGET`` words, largest documents go first until the rest is below that.
 The chosen number of documents of each size is then drawn by a seeded hash of
 the document id.
 
@@ -34,8 +35,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 BUCKETS = 4096
-#: Words that are always left to the dynamic programme, and the most that it holds.
-WINDOW = 1 << 14
 DP_BUDGET = 1 << 16
 
 
@@ -45,14 +44,13 @@ def words_of(text: Column) -> Column:
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each size to take (0..count) so that their sum comes close below ``budget``;
-    up to ``WINDOW``, and wherever the start leaves no more than ``DP_BUDGET``, the rest is the largest reachable one."""
+    """How many of each size to take (0..count) so that their sum comes closest below ``budget``."""
     total = int((sizes * counts).sum())
     if budget <= 0 or total <= 0:
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.copy()
-    take = np.floor(counts * (max(0, budget - WINDOW) / total)).astype(np.int64)
+    take = np.floor(counts * (budget / total)).astype(np.int64)
     rest = budget - int((take * sizes).sum())
     if rest < 0:  # rounding of very large products
         take[:] = 0
