@@ -100,6 +100,60 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
 """
 
 
+_OP4 = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_AZ}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' ')))) END AS s
+  FROM words
+), classes AS (
+  SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s
+), members AS (
+  SELECT rep, len(s) AS n, unnest(s) AS shingle FROM classes
+), pairs AS (
+  SELECT x.rep AS a, y.rep AS b FROM members x JOIN members y ON x.shingle = y.shingle AND x.rep < y.rep
+  GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+  SELECT rep AS node, rep AS root FROM classes
+  UNION SELECT b, root FROM reach JOIN links ON a = node
+), least_root AS (
+  SELECT node, min(root) AS component FROM reach GROUP BY node
+)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least_root ON node = rep
+"""
+
+_OP8 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), sized AS (
+  SELECT *, CAST(octet_length(b) AS BIGINT) AS n FROM d
+), starts AS (
+  SELECT r, k, md5(b[k + 1 : k + {repeats.LENGTH}]) AS h FROM (SELECT r, b, unnest(range(0, n - {repeats.LENGTH - 1})) AS k FROM sized)
+), again AS (
+  SELECT r, k FROM starts WHERE h IN (SELECT h FROM starts GROUP BY h HAVING count(*) > 1)
+), fresh AS (
+  SELECT r, k, CASE WHEN k <= lag(k) OVER (PARTITION BY r ORDER BY k) + {repeats.LENGTH} THEN 0 ELSE 1 END AS begins FROM again
+), runs AS (
+  SELECT r, k, sum(begins) OVER (PARTITION BY r ORDER BY k) AS run FROM fresh
+), spans AS (
+  SELECT r, min(k) AS lo, max(k) + {repeats.LENGTH} AS hi FROM runs GROUP BY r, run
+), removed AS (
+  SELECT r, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, max(hi) AS last FROM spans GROUP BY r
+), pieces AS (
+  SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS a, lo AS z FROM spans
+  UNION ALL SELECT r, coalesce(last, 0), n FROM sized LEFT JOIN removed USING (r)
+), kept AS (
+  SELECT r, string_agg(CASE WHEN a < z THEN hex(b[a + 1 : z]) ELSE '' END, '' ORDER BY a, z) AS k FROM pieces JOIN sized USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM sized JOIN kept USING (r) LEFT JOIN removed USING (r)
+"""
+
+
 _UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 
 _OP11 = f"""
@@ -168,4 +222,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": _OP10, "op11_fill_in_middle": _OP11, "op13_sharding": _OP13}
+    return {"op4_ngram_jaccard": _OP4, "op8_repeats": _OP8, "op10_decontaminate": _OP10, "op11_fill_in_middle": _OP11, "op13_sharding": _OP13}
