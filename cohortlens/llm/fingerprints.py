@@ -1,18 +1,21 @@
 """Document fingerprints: a homomorphic multiset hash, in DataFrame functions only.
 
-A text is cut into passages (paragraphs, cut further at sentence and clause
-ends, each with its closing mark).  Every passage is hashed to a wide vector:
+A text is cut into passages: paragraphs, cut further at sentence and clause ends
+of any script, each with its closing mark.  A passage over ``LONGEST`` characters
+is cut by its content: after words whose hash is 0 modulo ``WORDS``, and what is
+still longer (no spaces) after characters whose hash is 0 modulo ``CHARACTERS``, so
+that texts without punctuation share passages, too.  Every passage is hashed to a wide vector:
 64 small lanes, and ``WIDE`` lanes of 31 bits.  A fingerprint is the
 sum of its passages' vectors, lane by lane, modulo 2^16 and 2^31.  Order does
 not matter, equal multisets of passages have equal fingerprints, and adding or
 removing a passage adds or subtracts its vector (``combine``).
 
-The small lanes add a passage's weight (its length in eights of characters, at
-most ``HEAVIEST``) where its hash has a one, and double as a sketch: twice a lane
-minus the total weight is a random-sign sum, so the normalised inner product of
-two fingerprints estimates how much of the texts' passages they share, without
-the short phrases that all texts have.  ``likeness`` is that
-estimate cut to 0..1, and exactly 1 for equal fingerprints.
+The small lanes add a passage's weight (the whole root of its length, at most
+``HEAVIEST``) where its hash has a one, and double as a sketch: twice a lane minus
+the total weight is a random-sign sum, so the normalised inner product of two
+fingerprints estimates which share of the texts' characters lies in common
+passages.  ``likeness`` is that estimate cut to 0..1, and exactly 1 for equal
+fingerprints.
 
 A text's passages are summed in segments of 2^11, whose packed sums can't
 overflow; segments are unpacked before they are added up, so texts may be of
@@ -30,20 +33,38 @@ from pyspark.sql import functions as F
 
 WIDE = 8
 SEGMENT_BITS = 11
-HEAVIEST = 15
-PASSAGE_END = r"(?<=[\n.!?,;:|])"
+#: 2^11 passages of this weight stay below 2^16.
+HEAVIEST = 31
+LONGEST = 80
+WORDS = 8
+CHARACTERS = 16
+PASSAGE_END = r"(?<=[\n.!?,;:|…。．｡！？，、､；：।॥؟،؛۔።፣])"
+WORD_END = r"(?<=\s)(?=\S)"
+#: Marks a cut inside a long passage and stays in it.
+_CUT = "\x1f"
 _ONES = 0x0001000100010001
 _PAIR = 0x0000FFFF0000FFFF
 
 
+def _cut(passage: Column, unit_end: str, share: int) -> Column:
+    """The passage cut after the units whose hash is 0 modulo ``share``."""
+    marked = F.transform(F.split(passage, unit_end), lambda u: F.when(F.pmod(F.xxhash64(u), F.lit(share)) == 0, F.concat(u, F.lit(_CUT))).otherwise(u))
+    return F.split(F.array_join(marked, ""), f"(?<={_CUT})")
+
+
+def _cut_long(pieces: Column, cut) -> Column:
+    return F.flatten(F.transform(pieces, lambda p: F.when(F.char_length(p) <= LONGEST, F.array(p)).otherwise(cut(p))))
+
+
 def passages(text: Column) -> Column:
-    return F.split(text, PASSAGE_END)
+    by_words = _cut_long(F.split(text, PASSAGE_END), lambda p: _cut(p, WORD_END, WORDS))
+    return _cut_long(by_words, lambda p: _cut(p, "", CHARACTERS))
 
 
 def _packed_sums() -> list[Column]:
     """Per segment: 16 sums of 4 packed small lanes, ``WIDE`` sums of 31-bit lanes, the total weight."""
     h = F.xxhash64(F.lit(0), F.col("piece"))
-    weight = F.least(F.shiftright(F.char_length("piece"), 3), F.lit(HEAVIEST)).cast("long")
+    weight = F.least(F.floor(F.sqrt(F.char_length("piece").cast("double"))), F.lit(HEAVIEST)).cast("long")
     bits = [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES)) * weight).alias(f"b{k}") for k in range(16)]
     wide = [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(k + 1), F.col("piece")), 33)).alias(f"w{k}") for k in range(WIDE)]
     return [*bits, *wide, F.sum(weight).alias("n")]

@@ -363,6 +363,36 @@ def test_fingerprints(spark, rows, docs, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_scripts_and_short_items(spark):
+    """Two thirds of a text stay: its likeness to the edited text tells so in any script, with and without marks."""
+    rng = random.Random(5)
+    of = lambda low, n: "".join(chr(low + rng.randrange(60)) for _ in range(n))
+    english = lambda end: end.join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400))
+    kinds = {
+        "unpunctuated": lambda: english(" "),
+        "an item a line": lambda: english("\n"),
+        "han": lambda: of(0x4E00, 1500),
+        "han with marks": lambda: "。".join(of(0x4E00, 15) for _ in range(80)),
+        "devanagari": lambda: "। ".join(" ".join(of(0x0915, 5) for _ in range(8)) for _ in range(40)),
+        "one long value": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(3000)),
+    }
+    rows = [(2 * k + c, name, make()) for k, (name, make) in enumerate(kinds.items()) for c in range(2)]
+    names = {i: name for i, name, _ in rows}
+    got = fingerprints.edited_fingerprints(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()
+    for r in got:
+        assert r.near_edited >= 0.35, (names[r.doc_id], r.near_edited)
+        assert r.near_next <= 0.35 or r.near_next < r.near_edited, (names[r.doc_id], r.near_next)
+
+
+def test_passages_keep_every_character(spark):
+    rng = random.Random(6)
+    texts = ["", "a", "a. b", "\x1f", "x" * 500, "😀" * 300, " " * 200, "word " * 90, "".join(rng.choice("ab .\n\x1fé😀") for _ in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", fingerprints.passages(F.col("t")).alias("p")).collect():
+        assert "".join(r.p).replace("\x1f", "") == r.t.replace("\x1f", "")
+        assert all(p.count("\x1f") <= 1 or "\x1f" in r.t for p in r.p)
+
+
 def test_decontamination(spark, rows, docs, empty):
     items = [(1, rows[3][1]), (2, "one two"), (3, None), (4, " .. "), (5, " ".join((rows[7][1] or "").split()[:14])), (5, rows[7][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
