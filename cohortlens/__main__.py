@@ -27,11 +27,14 @@ from cohortlens import fixed
 from cohortlens.plans.analysis import AnalysisParams, prepare, run_analysis
 from cohortlens.sources.cells import (
     read_activity, read_activity_checked, read_progression, read_progression_checked, write_cells)
+from cohortlens.sources.partitions import window_from_partitions
 from cohortlens.spec import CohortSpec
 
 
 def _analysis(spark: SparkSession, args: argparse.Namespace) -> tuple:
+    """(activity, progression, spec, window); the window of Parquet cells comes from their folders."""
     act = read_activity(spark, args.activity, args.format)
+    stored = args.activity if args.format == "parquet" else None
     prog = read_progression(spark, args.progression, args.format)
     if args.cmd == "run" and args.format == "csv":   # read each CSV once
         if args.bad_records == "quarantine":
@@ -41,10 +44,12 @@ def _analysis(spark: SparkSession, args: argparse.Namespace) -> tuple:
                 bad.write.mode("overwrite").parquet(f"{args.out}/quarantine/{name}")
         for name, df in (("activity", act), ("progression", prog)):
             write_cells(df, f"{args.out}/cells/{name}")
-        act = read_activity(spark, f"{args.out}/cells/activity")
+        stored = f"{args.out}/cells/activity"
+        act = read_activity(spark, stored)
         prog = read_progression(spark, f"{args.out}/cells/progression")
     spec = CohortSpec(base=args.base, cand=args.cand, horizon=args.horizon)
-    return act, prog, spec
+    expected = getattr(args, "expected_extract", None)
+    return act, prog, spec, window_from_partitions(spark, stored, spec, expected) if stored else None
 
 
 _TUPLES = {f.name for f in fields(AnalysisParams) if isinstance(f.default, tuple)}
@@ -135,10 +140,11 @@ def main(argv: list[str] | None = None) -> int:
                                 out_format=args.out_format)
         print(f"{run.run_id}\tread {len(done.read)} of {len(done.dates)} install dates")
         return 0
-    act, prog, spec = _analysis(spark, args)
+    act, prog, spec, window = _analysis(spark, args)
     if args.cmd == "run":
         options = {"threads": args.threads, "out_format": args.out_format,
-                   "expected_extract": args.expected_extract}
+                   "analysis": prepare(spark, act, prog, spec, _params(args), window=window,
+                                       expected_extract=args.expected_extract)}
         if args.publish:
             from cohortlens.plans.runs import published_run
 
@@ -149,7 +155,7 @@ def main(argv: list[str] | None = None) -> int:
         for name, path in sorted(paths.items()):
             print(f"{name}\t{path}")
         return 0
-    analysis = prepare(spark, act, prog, spec, _params(args), rollups=False)
+    analysis = prepare(spark, act, prog, spec, _params(args), rollups=False, window=window)
     reports = analysis.reports()
     if args.report not in reports:
         print(f"unknown report {args.report!r}; try 'list'", file=sys.stderr)

@@ -417,22 +417,22 @@ DETAIL_REPORTS = frozenset({"quarantined_cells", "bad_cohort_cells", "orphan_pro
 def prepare(spark: SparkSession, act: DataFrame, prog: DataFrame,
             spec: CohortSpec = CohortSpec(), params: AnalysisParams = AnalysisParams(),
             work_dir: str | None = None, threads: int = 3, rollups: bool = True,
-            expected_extract: dt.date | None = None) -> Analysis:
-    """Derive the window and materialise the shared intermediates (or, with
-    ``rollups=False``, run every report on the cells)."""
+            expected_extract: dt.date | None = None, window: AnalysisWindow | None = None) -> Analysis:
+    """Derive the window (unless it is given) and materialise the shared
+    intermediates (or, with ``rollups=False``, run every report on the cells)."""
     if not rollups:
-        return Analysis(spark, act, prog, derive_window(act, spec, expected_extract), act, prog,
+        return Analysis(spark, act, prog, window or derive_window(act, spec, expected_extract), act, prog,
                         Q.cell_pairs(act, prog), spec, params, rolled=False)
     work_dir = work_dir or f"{shared_dir(spark)}/cohortlens-run/{uuid.uuid4().hex}"
     with ThreadPoolExecutor(max_workers=threads + 1) as pool:
-        fw = pool.submit(derive_window, act, spec, expected_extract)
+        fw = pool.submit(lambda: window or derive_window(act, spec, expected_extract))
         fa = pool.submit(materialise_cube, spark, activity_cube(act, spec), f"{work_dir}/act_cube")
         fp = pool.submit(materialise_cube, spark, progression_cube(prog), f"{work_dir}/prog_cube")
         fc = pool.submit(materialise, spark, Q.cell_pairs(act, prog), f"{work_dir}/cell_pairs")
-        window, pairs = fw.result(), fc.result()
+        found, pairs = fw.result(), fc.result()
         act_cube, prog_cube = fa.result(), fp.result()
     act_day, prog_level = (_cached(cube_part(c, ALL_CELLS)) for c in (act_cube, prog_cube))
-    return Analysis(spark, act, prog, window, act_day, prog_level, pairs, spec, params,
+    return Analysis(spark, act, prog, found, act_day, prog_level, pairs, spec, params,
                     work_dir=work_dir, act_cube=act_cube, prog_cube=prog_cube)
 
 

@@ -24,10 +24,11 @@ from cohortlens.plans.analysis import (
     METRIC_KEYS, REPORT_NAMES, Analysis, AnalysisParams, metrics_table, prepare)
 from cohortlens.plans.sql import function_call, register_functions
 from cohortlens.session import shared_dir
-from cohortlens.sources.cells import quarantine_counts, read_activity_checked, register
+from cohortlens.sources.cells import quarantine_counts, read_activity_checked, register, write_cells
 from cohortlens.sources.faults import csv_with_bad_records, with_faults
 from cohortlens.sources.fixture import fixture_tables
 from cohortlens.sources.metrics import keys_text
+from cohortlens.sources.partitions import window_from_partitions
 from cohortlens.spec import CohortSpec
 
 SPEC = CohortSpec(base=O.BASE, cand=O.CAND, horizon=O.HORIZON)
@@ -95,6 +96,22 @@ def csv_cells(a: Analysis, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return read_activity_checked(a.spark, _CSV[key])
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def listed_window(a: Analysis, sf_dir: str) -> DataFrame:
+    """P1 and P2 of the fixture's activity stored by install date (written once): the bounds from the folders."""
+    key = (a.spark.sparkContext.applicationId, sf_dir)
+    with _LOCK:
+        if key not in _STORED:
+            path = f"{shared_dir(a.spark)}/cohortlens-fixture/{uuid.uuid4().hex}/by-date"
+            write_cells(a.act, path)
+            _STORED[key] = path
+    w = window_from_partitions(a.spark, _STORED[key], a.spec)
+    row = (w.extract, w.start, w.end, w.horizon, w.rule(a.spec))
+    return a.spark.createDataFrame([row], "extract_date date, win_start date, win_end date, horizon_days long, rule string")
+
+
 def sql_function(a: Analysis, name: str) -> DataFrame:
     """A standalone report, called as a SQL table function over the registered cells."""
     with _LOCK:   # views and functions are the session's
@@ -114,6 +131,7 @@ def _reports(a: Analysis, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
     }
     out.update(a.reports())
     out["metrics_long"] = lambda: metrics_long(a)
+    out["analysis_window_listed"] = lambda: listed_window(a, sf_dir)
     out["csv_activity"] = lambda: csv_cells(a, sf_dir)[0]
     out["csv_quarantine"] = lambda: quarantine_counts(csv_cells(a, sf_dir)[1])
     for name in O.SQL_FUNCTIONS:
