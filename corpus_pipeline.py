@@ -1,4 +1,12 @@
-"""The training-data pipeline: stages over ``documents``, each a call of one operator."""
+"""The training-data pipeline: stages over ``documents``, each a call of one operator.
+
+Defined cases, of every stage: rows with a null, empty or wordless text stay
+(the mix takes a share of its sources' rows of every size, 0 too); rows without an id are never
+duplicates of others and stay; rows of one id are judged one by one by their texts, but count as
+one document among near duplicates; all columns of the input are returned, whatever
+their names, and the mix replaces those that are named like its own; an empty table
+gives no rows.  Ties are broken by the smallest id.
+"""
 
 from __future__ import annotations
 
@@ -32,8 +40,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their size, their source's target and the number of copies."""
-    rows = mixing.mix(docs).where("copies > 0")
+    """Documents that the mix takes, with their size, their source's target, copies and words taken
+    (equally named columns of ``docs`` are replaced)."""
+    rows = mixing.mix(docs.drop("size", "taken")).where("copies > 0")
     return rows.withColumnsRenamed({"mx_size": "size"}).withColumn("taken", F.col("copies") * F.col("size"))
 
 
