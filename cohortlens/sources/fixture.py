@@ -20,6 +20,11 @@ progression additionally explodes <= 12 levels per active day *inside* the
 same codegen stage that feeds the partial aggregate, so the exploded rows are
 never materialised or shuffled.  The extract date is one global MAX (a
 single-row action) turned into a literal.
+
+``fixture_tables`` deals the joined installs out by ranges of their cohort
+(``dealt_by_cohort``) before the explode, so both aggregates run where the
+installs are, a task holds the cells of a bounded number of installs whatever
+the input, and each file holds a short range of install dates.
 """
 
 from __future__ import annotations
@@ -42,6 +47,8 @@ CAND_FROM = _dt.date(2000, 1, 1)   # candidate build only for installs from here
 MAX_COHORT_DAY = 7
 MAX_LEVEL = 12
 BREAK_LEVEL = 7
+COHORT = ["d", "v", "nationkey", "network", "pkg"]   # what the cells of an install share
+INSTALLS_PER_TASK = 30_000   # each has at most 8 activity rows and 96 progression rows
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,6 +174,15 @@ def cells_from(spark: SparkSession, sf_dir: str, base: DataFrame,
     return activity_cells(days, spark, sf_dir), progression_cells(days, spark, sf_dir)
 
 
+def dealt_by_cohort(base: DataFrame) -> DataFrame:
+    """Installs in ranges of (date, build, nation, network, package), about ``INSTALLS_PER_TASK`` each.
+
+    All cells of an install have its cohort, so neither aggregate shuffles the
+    exploded rows, and the number of tasks grows with the installs."""
+    tasks = max(base.sparkSession.sparkContext.defaultParallelism, -(-base.count() // INSTALLS_PER_TASK))
+    return base.repartitionByRange(tasks, *COHORT)
+
+
 def fixture_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lazy (activity, progression) cells over the tables in ``sf_dir``."""
     return cells_from(spark, sf_dir, *installs(spark, sf_dir))
@@ -200,7 +216,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
             joined, extract = installs(spark, sf_dir)
             joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                act, prog = cells_from(spark, sf_dir, joined, extract)
+                act, prog = cells_from(spark, sf_dir, dealt_by_cohort(joined), extract)
                 paths = (f"{root}/activity", f"{root}/progression")
                 for df, path in zip((act, prog), paths):
                     df.sortWithinPartitions(S.INSTALL_DATE).write.mode("overwrite").parquet(path)
