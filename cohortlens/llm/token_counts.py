@@ -5,7 +5,9 @@ Offline, on the driver, every vocabulary string is proved or refuted: it is a
 tokenizer encodes that piece as that single id.  A text is then split into
 pre-tokens; each one that is a whole token counts one by a table lookup, and
 only the rest goes through the tokenizer's merges, each distinct one once per
-worker (the memo is bounded and starts again when full).
+worker (the memo is bounded and starts again when full).  A piece is merged by
+the tokenizer's model alone, its bytes spelled as the byte-level pre-tokenizer
+spells them: splitting it again and the encoding's offsets cost more than the merges.
 
 The splitter's pattern runs in Python's ``re`` for texts whose characters all
 lie in ranges where its classes are known to agree with the tokenizer's own
@@ -39,6 +41,9 @@ _OTHER = rf"(?:[^\w{_SPACE}]|_)"
 SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?{_LETTER}+| ?{_DIGIT}+| ?{_OTHER}+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Beyond these, texts are split by the tokenizer itself.
 UNCOMMON = re.compile("[^\x00-ԯ]")
+#: The character that byte-level tokenizers write for each byte: itself if it is visible, else the next from U+0100 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SPELLED = {b: b if b in _VISIBLE else 0x100 + k for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)) + _VISIBLE)}
 
 
 class Counter:
@@ -63,8 +68,9 @@ class Counter:
             return sum(map(self.memo.__getitem__, pre))
         except KeyError:
             rest = [p for p in set(pre) if p not in self.memo]
-        for p, enc in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.memo[p] = len(enc.ids)
+        merge = self.tokenizer.model.tokenize
+        for p in rest:
+            self.memo[p] = len(merge(p.encode().decode("latin-1").translate(SPELLED)))
         return sum(map(self.memo.__getitem__, pre))
 
     def count(self, text: str) -> int:
