@@ -116,8 +116,8 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         yield frequent(sets)
 
     total = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = total.where("n >= 64").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    return top.h.to_numpy(np.int64).view(_U)[::-1].copy(), top.n.to_numpy(np.int64)[::-1].copy()
+    top = total.where("n >= 64").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    return top.column("h").to_numpy().view(_U)[::-1].copy(), top.column("n").to_numpy()[::-1].copy()
 
 
 def _order(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:

@@ -9,7 +9,8 @@ of frequent terms are columns of a matrix), so the result is exact.  The neighbo
 vote with weights that fall with distance and undo the sampling by class, a toxic
 one by the part of its cosine that rests on evidence; an isotonic fit on
 leave-one-out votes turns the vote into a calibrated score.  The nearest examples
-are returned as evidence.
+are returned as evidence.  The driver holds the lists alone; what the search derives
+from them is made in the tasks, which also compute the leave-one-out votes.
 
 Defined cases: null and empty texts, and texts without any indexed term,
 have no neighbours and get the calibrated rate of such examples (of a vote of 0
@@ -21,11 +22,11 @@ repeated rows get equal scores.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,9 +62,15 @@ def terms(run: X.Run) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hashes)
 
 
+#: What ``Index`` derives from its fields, on first use.
+_DERIVED = frozenset({"bucket", "longest", "padded", "df", "wide_of", "upto", "slot", "column", "dense"})
+
+
 @dataclass
 class Index:
-    """Examples' unit vectors as inverted lists: term ``t`` has ``of[first[t]:first[t + 1]]`` with their weights."""
+    """Examples' unit vectors as inverted lists: term ``t`` has ``of[first[t]:first[t + 1]]`` with their weights.
+
+    Only these fields are sent; the search's own tables are made from them where it runs."""
 
     vocab: np.ndarray  # sorted term hashes
     idf: np.ndarray  # with the evidence weight
@@ -78,16 +85,22 @@ class Index:
     steps: tuple[np.ndarray, np.ndarray] | None = None  # isotonic: vote bounds, scores
     no_terms: float = 0.0
 
-    def __post_init__(self):
+    def __getstate__(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def __getattr__(self, name: str):
+        if name not in _DERIVED or "vocab" not in self.__dict__:
+            raise AttributeError(name)
+        self._derive()
+        return self.__dict__[name]
+
+    def _derive(self) -> None:
         # Terms by the first 20 bits of their hash: each range of the sorted hashes is a few long.
         self.bucket = np.searchsorted(self.vocab >> _U(44), np.arange((1 << 20) + 1, dtype=_U)).astype(np.int32)
         self.longest = int(np.diff(self.bucket).max())
         self.padded = np.r_[self.vocab, np.zeros(self.longest + 1, _U)]
         self.df = np.diff(self.first)
         self.wide_of, self.upto = self.of.astype(np.int64), np.arange(1 << 18)  # as numpy's sums by place want them
-        order = np.argsort(self.of, kind="stable")  # the vectors by example
-        self.term, self.own = np.repeat(np.arange(len(self.vocab), dtype=np.int32), self.df)[order], self.value[order]
-        self.ends = np.r_[0, np.cumsum(np.bincount(self.of, minlength=len(self.label)))].astype(np.int64)
         self.slot = np.full(len(self.label), -1, np.int32)  # scratch: places of the examples looked at
         often = np.flatnonzero(self.df > len(self.label) / DENSE)
         self.column = np.full(len(self.vocab), -1, np.int32)
@@ -182,18 +195,26 @@ class Index:
         bounds, values = self.steps
         return float(np.interp(vote, bounds, values))
 
-    def calibrate(self) -> None:
-        """Leave-one-out votes of the examples, then a weighted isotonic fit."""
+    def votes_without(self, own: np.ndarray) -> np.ndarray:
+        """The votes of these examples with each left out of its own search; NaN for one without neighbours."""
+        wanted = np.flatnonzero(np.isin(self.of, own))
+        order = wanted[np.lexsort((wanted, self.of[wanted]))]  # the vectors by example, terms in order
+        term, value = np.searchsorted(self.first, order, side="right") - 1, self.value[order].astype(float)
+        ends = np.searchsorted(self.of[order], own, side="right")
+        starts = np.searchsorted(self.of[order], own, side="left")
+        vectors = [(term[a:b], value[a:b]) for a, b in zip(starts, ends, strict=True)]
+        return np.array([self.vote(*near) if len(near[0]) else np.nan for near in self.nearest_of(vectors, skip=own.tolist())], float)
+
+    def calibrate(self, left_out: np.ndarray) -> None:
+        """A weighted isotonic fit of the examples' leave-one-out votes."""
         votes, weights, labels, none = [], [], [], np.zeros(2)
-        vectors = [(self.term[a:b], self.own[a:b].astype(float)) for a, b in zip(self.ends[:-1], self.ends[1:], strict=True)]
-        for i, near in enumerate(self.nearest_of(vectors, skip=list(range(len(vectors))))):
-            cw, y = self.class_weight[self.label[i]], self.label[i]
-            if len(near[0]):
-                votes.append(self.vote(*near))
-                weights.append(cw)
+        for y, vote in zip(self.label.tolist(), left_out.tolist(), strict=True):
+            if vote == vote:
+                votes.append(vote)
+                weights.append(self.class_weight[y])
                 labels.append(y)
             else:
-                none[y] += cw
+                none[y] += self.class_weight[y]
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # vote sum, label sum, weight: adjacent violators are pooled
         for i in order:
@@ -206,6 +227,22 @@ class Index:
         self.no_terms = float(none[1] / none.sum()) if none.sum() else self.score(0.0) if pools else self.base
 
 
+def left_out_votes(spark: SparkSession, index: Index) -> np.ndarray:
+    """The leave-one-out vote of every example, computed in tasks."""
+    shared = spark.sparkContext.broadcast(index)
+    n = len(index.label)
+
+    def vote(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.votes_without(own))], names=["id", "vote"])
+
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, n // TOGETHER))
+    got = spark.range(0, n, 1, tasks).mapInArrow(vote, "id long, vote double").toArrow().sort_by("id")
+    shared.destroy()
+    return got.column("vote").to_numpy()
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -242,8 +279,9 @@ def fit(
                 row, h, _ = found(run)
                 yield pa.RecordBatch.from_arrays([pa.array(y[run.lo + row].astype(np.int32)), pa.array(h.view(np.int64))], names=["y", "f"])
 
-    examples = texts.select("i", "y").orderBy("i").toPandas()
-    m1, m0 = int((examples.y == 1).sum()), int((examples.y == 0).sum())
+    examples = texts.select("i", "y").orderBy("i").toArrow()
+    ids, label = examples.column("i").to_numpy(), examples.column("y").to_numpy().astype(int)
+    m1, m0 = int((label == 1).sum()), int((label == 0).sum())
     n = max(1, m1 + m0)
     seen = texts.mapInArrow(count, "y int, f long").groupBy("f").agg(F.count("*").alias("df"), F.sum("y").alias("n1")).where(F.col("df") >= LEAST_DF).toArrow()
     hashes = seen.column("f").to_numpy().view(_U)
@@ -269,18 +307,20 @@ def fit(
 
     sent = texts.mapInArrow(place, "i long, at binary, tf binary").toArrow().sort_by("i")  # at most 2 * per_class rows
     row, at, tf = [], [], []
-    for k, (a, b) in enumerate(zip(sent.column("at").to_pylist(), sent.column("tf").to_pylist(), strict=True)):
-        at.append(np.frombuffer(a, np.int32))
-        w = (1 + np.log(np.frombuffer(b, np.int32))) * idf[at[-1]]
+    for k, (a, b) in enumerate(zip(sent.column("at"), sent.column("tf"), strict=True)):
+        at.append(np.frombuffer(a.as_buffer(), np.int32))
+        w = (1 + np.log(np.frombuffer(b.as_buffer(), np.int32))) * idf[at[-1]]
         tf.append((w / max(np.linalg.norm(w), 1e-12)).astype(np.float32))
         row.append(np.full(len(w), k, np.int32))
     row, at, value = (np.concatenate([*v, np.zeros(0, kind)]).astype(kind) for v, kind in ((row, np.int32), (at, np.int32), (tf, np.float32)))
+    sent = a = b = None  # one copy at a time
     order = np.argsort(at, kind="stable")
     first = np.r_[0, np.cumsum(np.bincount(at, minlength=len(hashes)))].astype(np.int64)
     class_weight = (n0 / max(1, m0), n1_all / max(1, m1))
-    index = Index(hashes, idf, sure, first, row[order], value[order], examples.y.to_numpy(int), examples.i.to_numpy(), class_weight, base)
+    index = Index(hashes, idf, sure, first, row[order], value[order], label, ids, class_weight, base)
+    del row, at, value, order
     index.no_terms = base
-    index.calibrate()
+    index.calibrate(left_out_votes(docs.sparkSession, index))
     return index
 
 

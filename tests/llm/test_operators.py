@@ -444,3 +444,46 @@ def test_decontamination_keeps_items_without_an_id(spark, rows, block):
     of = dict((r[0], r[1]) for r in rows)
     assert len(kept) == len(of) and all(kept[r[0]] == of[r[0]] for r in got if not r[2])
     assert all(len(words(kept[r[0]])) <= len(words(of[r[0]])) for r in got)
+
+
+def test_token_counts_merge_by_the_model():
+    """Rare pieces go through the merges alone, whatever their bytes: no whole encoding of each."""
+    from tokenizers import Tokenizer
+
+    with open(f"{TOKENIZER_FOLDER}/{TOKENIZER}", encoding="utf-8") as f:
+        spec = f.read()
+    counter, tok = token_counts.Counter(spec, frozenset()), Tokenizer.from_str(spec)
+
+    class Merges:
+        model, pre_tokenizer = tok.model, tok.pre_tokenizer
+
+    counter.tokenizer = Merges
+    texts = ["".join(map(chr, range(0x20, 0x180))), "\x00\x1f\x7f\x80\xad\xa0", "queauxè 漢字😀՘ n'est-ce  pas\n\n", "<|endoftext|>x<|endoftext|>"]
+    for s in texts:
+        assert counter.count(s) == len(tok.encode(s, add_special_tokens=False).ids), s
+
+
+def test_toxicity_index_is_lean_on_the_driver(spark):
+    """The driver makes and sends the lists alone; the search's tables and the leave-one-out votes are the tasks'."""
+    import pickle
+
+    texts = [(k, f"{'vile' if k % 2 else 'kind'} words {k % 7} and {k % 5} more" if k % 11 else None if k % 2 else "") for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int")
+    index = toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    assert not {"dense", "wide_of", "bucket", "padded"} & set(vars(index))
+    assert index.steps is not None
+    whole = toxicity.left_out_votes(spark, index)
+    own = np.arange(len(index.label))
+    assert "dense" not in pickle.loads(pickle.dumps(index)).__dict__
+    assert np.array_equal(index.votes_without(own), whole, equal_nan=True)
+    weight = index.weight.astype(float)
+    for i in range(0, len(own), 9):  # by the whole matrix
+        cos = weight[:, i] @ weight
+        cos[i] = 0
+        near = np.lexsort((own, -cos))[: toxicity.NEIGHBOURS]
+        near = near[cos[near] > 0]
+        if not len(near):  # a text without terms
+            assert np.isnan(whole[i])
+            continue
+        part = (weight[:, i] * index.sure) @ weight[:, near]
+        assert abs(index.vote(near, cos[near], part) - whole[i]) < 1e-4
