@@ -47,6 +47,7 @@ from cohortlens.llm.shared import bounded_batches, written
 SHINGLE = 5
 #: Jaccard threshold as numerator and denominator: 0.8.
 NUM, DEN = 4, 5
+#: Least number of counts in a coarse sketch.
 SKETCH = 64
 MINHASHES = 8
 #: At most so many shingles are ordered last; the bound of that broadcast.
@@ -93,6 +94,28 @@ def needed(n1, n2):
     return -((-NUM * (n1 + n2)) // (NUM + DEN))
 
 
+def counts(s: np.ndarray, size: int) -> bytes:
+    """The set's elements by their last bits, counted up to 255."""
+    return np.minimum(np.bincount((s & _U(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def coarse_size(n: int) -> int:
+    """Buckets of a coarse sketch: with more than about eight elements in each, unlike sets look alike."""
+    return max(SKETCH, 1 << min(12, max(0, n.bit_length() - 3)))
+
+
+def sketches_meet(na: np.ndarray, nb: np.ndarray, sa: list[bytes], sb: list[bytes]) -> np.ndarray:
+    """Whether sets of these sizes and coarse sketches may link; the longer sketch of a pair is folded to the shorter."""
+    la, lb = (np.array(list(map(len, s)), np.int64) for s in (sa, sb))
+    ok = np.zeros(len(na), bool)
+    for x, y in {*zip(la.tolist(), lb.tolist(), strict=True)}:
+        these = np.flatnonzero((la == x) & (lb == y))
+        for at in np.array_split(these, -(-len(these) * max(x, y) // 1_000_000)):
+            p, q = (np.frombuffer(b"".join([s[i] for i in at]), np.uint8).reshape(len(at), -1, min(x, y)).sum(1, dtype=np.int32) for s in (sa, sb))
+            ok[at] = na[at] + nb[at] - np.abs(p - q).sum(1) >= 2 * needed(na[at], nb[at])
+    return ok
+
+
 def _frequent(docs: DataFrame) -> np.ndarray:
     """At most ``FREQUENT`` shingles of high document frequency, rarest first.
 
@@ -101,7 +124,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
     def frequent(sets):
         value, n = np.unique(np.concatenate([*sets, np.zeros(0, _U)]), return_counts=True)
-        some = n >= max(4, len(sets) // 250)
+        some = n >= 4
         return pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["h", "n"])
 
     def count(batches):
@@ -146,7 +169,7 @@ def _sets_table(docs: DataFrame, shared) -> DataFrame:
                     f2.append(int(m.sum(dtype=_U).view(np.int64)))
                     p = len(s) - (-(-NUM * len(s) // DEN)) + 1 if len(s) else 0
                     prefix.append(pack(np.sort(_order(s, frequent, rank))[:p]))
-                    sketch.append(np.minimum(np.bincount((s & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
+                    sketch.append(counts(s, coarse_size(len(s))))
                     sig.append([int(x) for x in (m[:, None] * salts).min(0).view(np.int64)] if len(s) > 3 else [])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(run.lo, run.hi - run.lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
@@ -178,8 +201,7 @@ def _possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         for batch in batches:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             na, nb = (c[x].to_numpy(zero_copy_only=False) for x in ("na", "nb"))
-            sa, sb = (np.frombuffer(b"".join(c[x].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for x in ("sa", "sb"))
-            ok = pa.array(na + nb - np.abs(sa - sb).sum(1) >= 2 * needed(na, nb), pa.bool_())
+            ok = pa.array(sketches_meet(na, nb, c["sa"].to_pylist(), c["sb"].to_pylist()), pa.bool_())
             yield pa.RecordBatch.from_arrays([c["a"].filter(ok), c["b"].filter(ok)], names=["a", "b"])
 
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a long, b long")
@@ -205,9 +227,7 @@ def _of_pairs(pairs: DataFrame, docs: DataFrame, make) -> DataFrame:
 
 def fine_sketch(s: np.ndarray) -> bytes:
     """Counts in about as many buckets as the set has elements (a power of two, 4096 at most), after its size."""
-    size = 1 << min(12, max(4, len(s).bit_length() - 1))
-    counts = np.bincount((s & _U(size - 1)).astype(np.int64), minlength=size)
-    return len(s).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return len(s).to_bytes(8, "little") + counts(s, 1 << min(12, max(4, len(s).bit_length() - 1)))
 
 
 def fine_bound(p: bytes, q: bytes) -> float:
@@ -259,10 +279,19 @@ def seen_before(places: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((SEEN, min(1, len(places))), _U), least[:, :-1]], axis=1).T
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers byte by byte, all lowest bytes first: the high bytes of small ones compress whatever stands beside them."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(data, kind: type, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel()
+
+
 def pack_entries(e: np.ndarray) -> bytes:
     """Entries column by column, so that repeated and near values compress in the shuffle."""
     ids = np.diff(e["id"], prepend=0)
-    return b"".join([pack(e["h"]), *(pack(e["seen"][:, k]) for k in range(SEEN)), ids.tobytes(), (e["lab"] - e["id"]).tobytes(), *(e[c].tobytes() for c in ("n", "pos", "part", "own"))])
+    return b"".join([pack(e["h"]), *(pack(e["seen"][:, k]) for k in range(SEEN)), planes(ids), planes(e["lab"] - e["id"]), *(planes(e[c]) for c in ("n", "pos", "part", "own"))])
 
 
 def unpack_entries(data: pa.Buffer) -> np.ndarray:
@@ -271,10 +300,11 @@ def unpack_entries(data: pa.Buffer) -> np.ndarray:
     e["h"] = unpack(data[: 6 * n])
     for k in range(SEEN):
         e["seen"][:, k] = unpack(data[6 * n * (1 + k) : 6 * n * (2 + k)])
-    e["id"] = np.cumsum(np.frombuffer(data, np.int64, n, at))
-    e["lab"] = np.frombuffer(data, np.int64, n, at + 8 * n) + e["id"]
+    e["id"] = np.cumsum(from_planes(data[at : at + 8 * n], np.int64, n))
+    e["lab"] = from_planes(data[at + 8 * n : at + 16 * n], np.int64, n) + e["id"]
+    at += 16 * n
     for k, c in enumerate(("n", "pos", "part", "own")):
-        e[c] = np.frombuffer(data, np.int32, n, at + 16 * n + 4 * n * k)
+        e[c] = from_planes(data[at + 4 * n * k : at + 4 * n * (k + 1)], np.int32, n)
     return e
 
 

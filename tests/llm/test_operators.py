@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,35 @@ def test_components(spark):
     assert got == {v: c for v, c in name.items() if v not in alone}
 
 
+def test_set_join_coarse_sketches_tell_long_sets_apart():
+    rng = np.random.default_rng(9)
+    shared = rng.choice(1 << 47, 40_000, replace=False).astype(np.uint64)
+    sets = [shared[lo : lo + n] for lo in (0, 150, 900, 20_000) for n in (3, 300, 2000, 2300, 9000, 19_000)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    n = np.array([len(s) for s in sets])
+    sketch = [set_join.counts(s, set_join.coarse_size(len(s))) for s in sets]
+    a, b = np.array(pairs).T
+    ok = set_join.sketches_meet(n[a], n[b], [sketch[i] for i in a], [sketch[i] for i in b])
+    both = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in pairs])
+    linked = both >= set_join.needed(n[a], n[b])
+    assert linked.any() and not (linked & ~ok).any()  # no link is lost
+    alike = np.maximum(n[a], n[b]) * set_join.NUM <= np.minimum(n[a], n[b]) * set_join.DEN
+    assert not ok[(both == 0) & alike & (n[a] > 1000)].any()  # 64 counts let all of these pass
+    assert not len(set_join.sketches_meet(n[:0], n[:0], [], []))
+
+
+def test_set_join_entries_stay_small_in_many_buckets():
+    rng = np.random.default_rng(4)
+    e = np.zeros(30, set_join.ENTRY)
+    e["h"], e["id"], e["n"], e["pos"] = rng.integers(0, 1 << 47, 30), np.sort(rng.integers(0, 200_000, 30)), rng.integers(20, 900, 30), rng.integers(0, 180, 30)
+    e["seen"] = rng.integers(0, 1 << 48, (30, set_join.SEEN))
+    e["lab"] = e["id"]
+    assert (set_join.unpack_entries(memoryview(set_join.pack_entries(e))) == e).all()
+    assert not len(set_join.unpack_entries(memoryview(set_join.pack_entries(e[:0]))))
+    lz4 = pa.Codec("lz4")  # as in the shuffle
+    assert lz4.compress(set_join.pack_entries(e)).size < 36 * len(e)  # of 56 bytes; 24 are hashes
+
+
 def test_html_wrapper_decides_inside_articles(spark):
     page = "<body><article><h1>{0} title</h1><div class='zq7'>Read our {1} today</div><p>{0} first<p>{0} second<p class='kx'>Spread the word</p></article></body>"
     rows = [(k, f"http://a.example/{k}", page.format(w, "terms")) for k, w in enumerate(("red", "blue", "green", "grey"))]
