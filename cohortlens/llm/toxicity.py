@@ -227,6 +227,23 @@ class Index:
         self.no_terms = float(none[1] / none.sum()) if none.sum() else self.score(0.0) if pools else self.base
 
 
+def inverted(vectors: pa.Table, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, of, value) of the examples' vectors (at, tf: a row each), whose weights are put in place row by row:
+    beside the vectors and the lists nothing of their size is held."""
+    size = np.zeros(len(idf) + 1, np.int64)
+    for a in vectors.column("at"):
+        size[np.frombuffer(a.as_buffer(), np.int32) + 1] += 1  # a vector holds a term once
+    first = np.cumsum(size)
+    free = first.copy()
+    of, value = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.float32)
+    for k, (a, b) in enumerate(zip(vectors.column("at"), vectors.column("tf"), strict=True)):
+        at = np.frombuffer(a.as_buffer(), np.int32)
+        w = (1 + np.log(np.frombuffer(b.as_buffer(), np.int32))) * idf[at]
+        of[free[at]], value[free[at]] = k, w / max(np.linalg.norm(w), 1e-12)
+        free[at] += 1
+    return first, of, value
+
+
 def left_out_votes(spark: SparkSession, index: Index) -> np.ndarray:
     """The leave-one-out vote of every example, computed in tasks."""
     shared = spark.sparkContext.broadcast(index)
@@ -306,19 +323,12 @@ def fit(
                 yield pa.RecordBatch.from_arrays([i.slice(run.lo, run.hi - run.lo), *sent], names=["i", "at", "tf"])
 
     sent = texts.mapInArrow(place, "i long, at binary, tf binary").toArrow().sort_by("i")  # at most 2 * per_class rows
-    row, at, tf = [], [], []
-    for k, (a, b) in enumerate(zip(sent.column("at"), sent.column("tf"), strict=True)):
-        at.append(np.frombuffer(a.as_buffer(), np.int32))
-        w = (1 + np.log(np.frombuffer(b.as_buffer(), np.int32))) * idf[at[-1]]
-        tf.append((w / max(np.linalg.norm(w), 1e-12)).astype(np.float32))
-        row.append(np.full(len(w), k, np.int32))
-    row, at, value = (np.concatenate([*v, np.zeros(0, kind)]).astype(kind) for v, kind in ((row, np.int32), (at, np.int32), (tf, np.float32)))
-    sent = a = b = None  # one copy at a time
-    order = np.argsort(at, kind="stable")
-    first = np.r_[0, np.cumsum(np.bincount(at, minlength=len(hashes)))].astype(np.int64)
+    first, of, value = inverted(sent, idf)
+    sent = None
+    pa.default_memory_pool().release_unused()
     class_weight = (n0 / max(1, m0), n1_all / max(1, m1))
-    index = Index(hashes, idf, sure, first, row[order], value[order], label, ids, class_weight, base)
-    del row, at, value, order
+    index = Index(hashes, idf, sure, first, of, value, label, ids, class_weight, base)
+    del of, value
     index.no_terms = base
     index.calibrate(left_out_votes(docs.sparkSession, index))
     return index

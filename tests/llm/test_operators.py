@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import (
-    components, decontaminate, fingerprints, lang_id, mixing, repeats, secret_scan, set_join, token_counts, toxicity, wrappers,
+    bloom, components, decontaminate, fingerprints, lang_id, mixing, repeats, secret_scan, set_join, token_counts, toxicity, wrappers,
 )
 from cohortlens.llm.queries import TOKENIZER, TOKENIZER_FOLDER
 
@@ -185,6 +186,34 @@ def test_components(spark):
     assert got == {v: c for v, c in name.items() if v not in alone}
 
 
+def test_components_of_stars_take_one_round(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or df.localCheckpoint())
+    stars = [(hub, hub + k) for hub in (0, 100, 200) for k in range(1, 40)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {v: v // 100 * 100 for e in stars for v in e}
+    assert names == ["components", "components-large", "components"]
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_bit_table_sends_the_driver_one_small_table(spark):
+    ids = spark.range(-500, 20_000, 1, 40)
+    table = bloom.bit_table(ids)
+    assert len(table) == 1 << (bloom.BITS - 3) and bloom.member(table, np.arange(-500, 20_000)).all()
+    assert np.unpackbits(table).sum() <= 20_500 and not bloom.bit_table(ids.where("id > 30000")).any()
+    for slots in (np.arange(0, 9000, 3), np.arange(0, 1 << bloom.BITS, 5), np.zeros(0, np.int64)):
+        whole, data = bloom.packed(slots)
+        assert (bloom.unpacked(whole, data) == slots).all() and len(data) == (1 << (bloom.BITS - 3) if whole else 4 * len(slots))
+
+
+def test_bit_table_of_many_ids(spark):
+    ids = spark.range(0, 2_000_000, 1, 4)
+    table = bloom.bit_table(ids)
+    expected = np.zeros(1 << bloom.BITS, bool)
+    expected[bloom._slot(np.arange(2_000_000))] = True
+    assert (np.unpackbits(table) == expected).all()
+
+
 def test_set_join_coarse_sketches_tell_long_sets_apart():
     rng = np.random.default_rng(9)
     shared = rng.choice(1 << 47, 40_000, replace=False).astype(np.uint64)
@@ -214,6 +243,25 @@ def test_set_join_entries_stay_small_in_many_buckets():
     assert lz4.compress(set_join.pack_entries(e)).size < 36 * len(e)  # of 56 bytes; 24 are hashes
 
 
+def test_toxicity_lists_are_made_without_copies():
+    rng = np.random.default_rng(2)
+    idf = rng.random(5000) + 0.5
+    at = [np.sort(rng.choice(5000, n, replace=False)).astype(np.int32) for n in [0, *rng.integers(1, 2500, 600)]]
+    tf = [rng.integers(1, 9, len(x)).astype(np.int32) for x in at]
+    vectors = pa.table({"at": pa.array([x.tobytes() for x in at], pa.binary()), "tf": pa.array([x.tobytes() for x in tf], pa.binary())})
+    tracemalloc.start()
+    first, of, value = toxicity.inverted(vectors, idf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.3 * (of.nbytes + value.nbytes)
+    whole = np.zeros((5000, len(at)), np.float32)
+    for k, (x, y) in enumerate(zip(at, tf, strict=True)):
+        w = (1 + np.log(y)) * idf[x]
+        whole[x, k] = w / max(np.linalg.norm(w), 1e-12)
+    term, example = np.nonzero(whole)
+    assert (of == example).all() and (value == whole[term, example]).all() and (np.diff(first) == np.bincount(term, minlength=5000)).all()
+
+
 def test_html_wrapper_decides_inside_articles(spark):
     page = "<body><article><h1>{0} title</h1><div class='zq7'>Read our {1} today</div><p>{0} first<p>{0} second<p class='kx'>Spread the word</p></article></body>"
     rows = [(k, f"http://a.example/{k}", page.format(w, "terms")) for k, w in enumerate(("red", "blue", "green", "grey"))]
